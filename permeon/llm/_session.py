@@ -8,14 +8,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Rows in one Arrow batch; whole documents stay together, so this bounds a worker's memory.
-ARROW_ROWS = 256
+#: Bytes in one Arrow batch (a longer document is a batch of its own), which bounds a worker's memory.
+ARROW_BYTES = "4m"
 
 
 def prepare(spark: SparkSession) -> None:
     """Bound Arrow batches, and set a checkpoint folder only where the cluster names none (as in tests)."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
 

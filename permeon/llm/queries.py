@@ -8,6 +8,12 @@ from ._encode import public_path
 from ._session import table
 
 
+def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("set_print")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .wavelet import token_files
 
@@ -28,5 +34,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), public_tokenizers.PATTERN, keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op4_token_files, op5_packing, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op1_hyperminhash, op4_token_files, op5_packing, op9_bpe)}
 ORACLE_SQL: dict[str, str] = {}

@@ -229,7 +229,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, s
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, from the files alone."""
     files = spark.read.schema(schema("range int, shard int, range_start bigint, n_tokens bigint, file binary")).parquet(folder)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    prepare(spark)
     totals = files.groupBy("range").agg(F.sum("n_tokens").alias("total"))
     starts = {r["range"]: r["total"] for r in totals.collect()}  # at most MAX_RANGES numbers
     first, at = {}, 0
