@@ -34,5 +34,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), public_tokenizers.PATTERN, keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_hyperminhash, op4_token_files, op5_packing, op9_bpe)}
+def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hyperminhash, op4_token_files, op5_packing, op9_bpe, op10_suffix_arrays)}
 ORACLE_SQL: dict[str, str] = {}
