@@ -26,6 +26,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), end_id=2)
 
 
+def op6_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op7_cosine_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embdedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,5 +52,5 @@ def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hyperminhash, op4_token_files, op5_packing, op9_bpe, op10_suffix_arrays)}
+QUERIES = {f.__name__: f for f in (op1_hyperminhash, op4_token_files, op5_packing, op6_additive_quantisation, op7_cosine_cells, op9_bpe, op10_suffix_arrays)}
 ORACLE_SQL: dict[str, str] = {}
