@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._encode import public_path
 from ._session import table
@@ -14,6 +15,23 @@ def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("set_print")
 
 
+def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ._session import scratch_path
+    from .tokencounts import Rollup, counts, inserts
+
+    changes = inserts(counts(table(spark, sf_dir, "documents"), {"byte_bpe_50k": (public_path("byte_bpe_50k.json"), True)}))
+    rollup = Rollup(spark, scratch_path(spark, "rollup"))
+    rollup.commit("base", changes)
+    rollup.commit("base", changes)  # a job that runs again adds nothing
+    return rollup.totals()
+
+
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kneser import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .wavelet import token_files
 
@@ -38,6 +56,13 @@ def op7_cosine_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license import scan
+
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs.select("doc_id", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,5 +77,40 @@ def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hyperminhash, op4_token_files, op5_packing, op6_additive_quantisation, op7_cosine_cells, op9_bpe, op10_suffix_arrays)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_hyperminhash, op2_token_rollup, op3_kneser_ney, op4_token_files, op5_packing, op6_additive_quantisation,
+        op7_cosine_cells, op8_license_scan, op9_bpe, op10_suffix_arrays,
+    )
+}
+
+
+def _license_sql() -> str:
+    from .license import FILE_NAMES, LEAST, TEMPLATES
+
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    values = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in TEMPLATES.items())
+    return f"""
+with templates(template, body) as (values {values}),
+bags as (select template, term, count(*) as tf from (select template, unnest(string_split_regex(lower(body), '[^a-z0-9]+')) as term from templates) where term <> '' group by all),
+idfs as (select term, ln((1 + (select count(*) from templates))::double / (1 + count(distinct template))) + 1 as idf from bags group by term),
+lengths as (select template, sqrt(sum((tf * idf) ** 2)) as length from bags join idfs using (term) group by template),
+entries as (select template, term, idf, tf * idf / length as w from bags join idfs using (term) join lengths using (template)),
+split as (select doc_id, list_filter(string_split(text, chr(10)), x -> trim(x) <> '') as l from documents),
+lines as (select doc_id, len(l) as n_lines, generate_subscripts(l, 1) as at, unnest(l) as line from split),
+tf as (select doc_id, at, term, count(*) as tf from (select doc_id, at, unnest(string_split_regex(lower(line), '[^a-z0-9]+')) as term from lines) where term <> '' group by all),
+norms as (select doc_id, at, sqrt(sum((tf * coalesce(idf, ln(1 + (select count(*) from templates)) + 1)) ** 2)) as length from tf left join idfs using (term) group by all),
+scores as (select doc_id, at, template, round(sum(tf * idf * w) / any_value(length), 6) as score from tf join entries using (term) join norms using (doc_id, at) group by doc_id, at, template),
+good as (select * from scores where score >= {LEAST}),
+own as (select g.doc_id, (min({{'s': -score, 't': template}})) as best, 2 * count(distinct g.at) > any_value(n_lines) as mostly from good g join (select distinct doc_id, n_lines from lines) using (doc_id) group by g.doc_id),
+files as (select d.doc_id, concat_ws('/', source, lang, d.doc_id || '.txt') as path, best.t as own_license, -best.s as own_score, mostly from documents d left join own using (doc_id)),
+grants as (select regexp_replace(path, '/?[^/]*$', '') as dir, min({{'s': -own_score, 't': own_license}}) as best from files where own_license is not null and (mostly or regexp_matches(path, {quoted(FILE_NAMES)})) group by 1),
+wanting as (select doc_id, depth, array_to_string(string_split(path, '/')[1:depth], '/') as dir from (select doc_id, path, unnest(range(0, len(string_split(path, '/')))) as depth from files where own_license is null)),
+inherited as (select doc_id, max_by(best.t, depth) as granted, max_by(dir, depth) as dir from wanting join grants using (dir) group by doc_id)
+select doc_id, path, own_license, own_score, coalesce(own_license, granted) as license, case when own_license is not null then 'own' else dir end as license_from
+from files left join inherited using (doc_id)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op8_license_scan": _license_sql()}
