@@ -213,3 +213,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = signed.select("doc_id", "n_shingles", "set_print").join(of_set, "set_print", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), component.isNull()).alias("kept"), "set_print")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each group, that of the smallest doc_id, with all its columns. Of rows with one doc_id one stays;
+    documents without an id all stay."""
+    gone = near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
+    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -297,7 +297,7 @@ def _resolve(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["block", "data"])
 
 
-def _finish(with_text: bool):
+def _finish(with_text: bool, with_rest: bool):
     def run(key: tuple, block: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for blob in block["docs"]:
@@ -309,13 +309,13 @@ def _finish(with_text: bool):
                 np.subtract.at(step, hi, 1)
             gone = np.cumsum(step[:-1]) > 0
             data = np.frombuffer(b.text, np.uint8)
-            for d, lo, hi in zip(b.doc_ids(), b.starts.tolist(), b.ends.tolist()):
+            for d, rest, lo, hi in zip(b.doc_ids(), b.groups, b.starts.tolist(), b.ends.tolist()):
                 g, t = gone[lo:hi], data[lo:hi]
                 spans_of = int(g[0]) + int(np.count_nonzero(g[1:] & ~g[:-1])) if hi > lo else 0
                 kept = t[~g].tobytes()
                 row = (d, hi - lo, int(np.count_nonzero(g)), spans_of, hashlib.sha256(kept).hexdigest())
-                rows.append((*row, whole_characters(t, g)) if with_text else row)
-        out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text"] * with_text])
+                rows.append((*row, *[whole_characters(t, g)] * with_text, *[rest] * with_rest))
+        out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text"] * with_text, *["rest"] * with_rest])
         return out.astype({"doc_id": "Int64"})
 
     return run
@@ -329,11 +329,12 @@ def whole_characters(text: np.ndarray, gone: np.ndarray) -> str:
     return text[~gone].tobytes().decode()
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False, shard_bytes: int = 4 << 20) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text: also the text left (whole characters)."""
+def remove_repeats(docs: DataFrame, with_text: bool = False, rest: str | None = None, shard_bytes: int = 4 << 20) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text: also the text left (whole characters); rest: a string
+    column that is carried along under that name."""
     spark = docs.sparkSession
     prepare(spark)
-    made = blocks(docs, "suffix-blocks")
+    made = blocks(docs, "suffix-blocks", group=rest)
     total = made.agg(F.sum("bytes").alias("n")).first()["n"] or 0
     shards = max(shuffle_partitions(spark), min(20_000, -(-total // shard_bytes)))
     asked = made.select("block", "docs").mapInPandas(_ask(shards), schema("block bigint, shard int, data binary"))
@@ -342,5 +343,15 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, shard_bytes: int =
     sent = written(sent, "suffix-runs")
     resolved = sent.where("shard >= 0").groupBy("shard").applyInPandas(_resolve, schema("block bigint, data binary"))
     spans = sent.where("shard < 0").select("block", "data").unionByName(resolved)
-    out = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", text string" * with_text
-    return made.select("block", "docs").groupBy("block").cogroup(spans.groupBy("block")).applyInPandas(_finish(with_text), schema(out))
+    out = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", text string" * with_text + ", rest string" * bool(rest)
+    return made.select("block", "docs").groupBy("block").cogroup(spans.groupBy("block")).applyInPandas(_finish(with_text, bool(rest)), schema(out))
+
+
+def cut_repeats(docs: DataFrame) -> DataFrame:
+    """The documents with their columns, texts without repeats; n_chars, if there, follows the text."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    shape = docs.select(*others).schema if others else schema("x int")
+    packed = docs.withColumn("rest", F.to_json(F.struct(*others)) if others else F.lit("{}"))
+    out = remove_repeats(packed, with_text=True, rest="rest").withColumn("rest", F.from_json("rest", shape))
+    text = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*(text.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))
