@@ -97,13 +97,13 @@ bags as (select template, term, count(*) as tf from (select template, unnest(str
 idfs as (select term, ln((1 + (select count(*) from templates))::double / (1 + count(distinct template))) + 1 as idf from bags group by term),
 lengths as (select template, sqrt(sum((tf * idf) ** 2)) as length from bags join idfs using (term) group by template),
 entries as (select template, term, idf, tf * idf / length as w from bags join idfs using (term) join lengths using (template)),
-split as (select doc_id, list_filter(string_split(text, chr(10)), x -> trim(x) <> '') as l from documents),
-lines as (select doc_id, len(l) as n_lines, generate_subscripts(l, 1) as at, unnest(l) as line from split),
-tf as (select doc_id, at, term, count(*) as tf from (select doc_id, at, unnest(string_split_regex(lower(line), '[^a-z0-9]+')) as term from lines) where term <> '' group by all),
-norms as (select doc_id, at, sqrt(sum((tf * coalesce(idf, ln(1 + (select count(*) from templates)) + 1)) ** 2)) as length from tf left join idfs using (term) group by all),
-scores as (select doc_id, at, template, round(sum(tf * idf * w) / any_value(length), 6) as score from tf join entries using (term) join norms using (doc_id, at) group by doc_id, at, template),
+split as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') as l from documents),
+lines as (select doc_id, len(l) as n_lines, generate_subscripts(l, 1) as pos, unnest(l) as line from split),
+tf as (select doc_id, pos, term, count(*) as tf from (select doc_id, pos, unnest(string_split_regex(lower(line), '[^a-z0-9]+')) as term from lines) where term <> '' group by all),
+norms as (select doc_id, pos, sqrt(sum((tf * coalesce(idf, ln(1 + (select count(*) from templates)) + 1)) ** 2)) as length from tf left join idfs using (term) group by all),
+scores as (select doc_id, pos, template, round(sum(tf * idf * w) / any_value(length), 6) as score from tf join entries using (term) join norms using (doc_id, pos) group by doc_id, pos, template),
 good as (select * from scores where score >= {LEAST}),
-own as (select g.doc_id, (min({{'s': -score, 't': template}})) as best, 2 * count(distinct g.at) > any_value(n_lines) as mostly from good g join (select distinct doc_id, n_lines from lines) using (doc_id) group by g.doc_id),
+own as (select g.doc_id, (min({{'s': -score, 't': template}})) as best, 2 * count(distinct g.pos) > any_value(n_lines) as mostly from good g join (select distinct doc_id, n_lines from lines) using (doc_id) group by g.doc_id),
 files as (select d.doc_id, concat_ws('/', source, lang, d.doc_id || '.txt') as path, best.t as own_license, -best.s as own_score, mostly from documents d left join own using (doc_id)),
 grants as (select regexp_replace(path, '/?[^/]*$', '') as dir, min({{'s': -own_score, 't': own_license}}) as best from files where own_license is not null and (mostly or regexp_matches(path, {quoted(FILE_NAMES)})) group by 1),
 wanting as (select doc_id, depth, array_to_string(string_split(path, '/')[1:depth], '/') as dir from (select doc_id, path, unnest(range(0, len(string_split(path, '/')))) as depth from files where own_license is null)),
