@@ -1,8 +1,8 @@
 """Exact, memoised encoding with the tokenizers library.
 
 Both vocabularies split a text at single spaces (and line ends) before any merge, so a text's ids are the ids of its
-chunks, one after the other. Chunks repeat, so each worker memoises them; memory is bounded by LIMIT entries. A text in
-which white space meets white space is not cut, but encoded as a whole.
+chunks, one after the other. Chunks repeat, so each worker memoises them and their parts; a memo keeps two generations of
+bounded size, so what is in use stays. A text in which white space meets white space is not cut, but encoded as a whole.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-LIMIT = 200_000
+#: Entries in a generation of the memo of chunks, and of the memo of their parts: about 300 MB a worker in all.
+CHUNKS, PARTS = 300_000, 500_000
 #: A chunk's end that starts a token of its own after a letter, in both vocabularies.
 TRAILING = ".,!|$%&#*"
 
@@ -32,6 +33,8 @@ class ChunkEncoder:
         self.whole, self.byte_level = whole, byte_level
         self.chunks: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
+        self.old_chunks: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -41,8 +44,8 @@ class ChunkEncoder:
             try:
                 return b"".join(map(self.chunks.__getitem__, cut))
             except KeyError:
-                if len(self.chunks) > LIMIT:
-                    self.chunks.clear()
+                if len(self.chunks) > CHUNKS:
+                    self.old_chunks, self.chunks = self.chunks, {}
                 self.learn(set(cut).difference(self.chunks))
                 return b"".join(map(self.chunks.__getitem__, cut))
         except Uncut:
@@ -59,8 +62,11 @@ class ChunkEncoder:
         return cut[1:] if cut and not cut[0] else cut
 
     def learn(self, new: Iterable[str]) -> None:
-        ends = {}
+        ends, known = {}, self.old_chunks
         for chunk in new:
+            if (ids := known.get(chunk)) is not None:
+                self.chunks[chunk] = ids
+                continue
             if self.byte_level and chunk != "\n":
                 core = chunk.removeprefix(" ")
                 if not core or core[0].isspace() or core[-1].isspace():
@@ -69,10 +75,13 @@ class ChunkEncoder:
             if not stem or not stem[-1].isalpha():
                 stem = chunk
             ends[chunk] = stem, chunk[len(stem) :]
-        if len(self.parts) > LIMIT:
-            self.parts = {"": b""}
-        wanted = list({x for pair in ends.values() for x in pair}.difference(self.parts))
-        self.parts.update(zip(wanted, self.whole(wanted) if wanted else []))
+        if len(self.parts) > PARTS:
+            self.old_parts, self.parts = self.parts, {"": b""}
+        wanted = {x for pair in ends.values() for x in pair}.difference(self.parts)
+        again = {x for x in wanted if x in self.old_parts}
+        self.parts.update((x, self.old_parts[x]) for x in again)
+        if wanted := list(wanted - again):
+            self.parts.update(zip(wanted, self.whole(wanted)))
         self.chunks.update((chunk, self.parts[a] + self.parts[b]) for chunk, (a, b) in ends.items())
 
 

@@ -7,7 +7,7 @@ A merge's token is made by that merge alone, so pairs that appear always have hi
 the batch gives each piece what piece-by-piece merging would give it.
 
 Documents are independent: a map over Arrow batches without a shuffle. Pieces repeat between documents, so a worker
-keeps the ids of up to `_encode.LIMIT` of them.
+keeps a bounded memo of their ids (see _encode).
 
 Null and empty texts have no ids: n_tokens 0 and the digests of nothing. Repeated rows each give a row, a null doc_id
 stays null. The special token's literal in a text gives its id, as in the library's default. Extra columns are ignored.
