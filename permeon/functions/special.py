@@ -124,7 +124,7 @@ def z_of_t(t, df, eps: float = EPS) -> np.ndarray:
     """Through the smaller tail, so large statistics keep their precision up to the clip."""
     t = np.asarray(t, np.float64)
     low = np.clip(t_cdf(-np.abs(t), df), eps, 0.5)
-    return -np.copysign(norm_ppf(low), t)
+    return np.copysign(norm_ppf(low), t)
 
 
 def z_of_f(f, df1, df2, eps: float = EPS) -> np.ndarray:

@@ -6,8 +6,6 @@ grouped count in complete mode gives interim p-values that only get finer.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -16,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.analysis import plan, prepared
+from ..sources.sinks import put
 from ..spec import AnalysisSpec
 
 
@@ -49,11 +48,11 @@ def interim(stream: DataFrame, features: DataFrame, spec: AnalysisSpec) -> DataF
 
 def online_p(spark: SparkSession, features: DataFrame, spec: AnalysisSpec, batches: int = 2) -> DataFrame:
     """The end state after all permutations have streamed through, in a few micro-batches."""
-    folder = tempfile.mkdtemp(prefix="permeon-stream-")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/permeon-checkpoints"
+    folder = f"{shared}/permeon-stream-{uuid.uuid4().hex}"
     count = len(spec.orders) if spec.orders is not None else spec.permutations
     for b in range(batches):
-        with open(os.path.join(folder, f"{b}.json"), "w") as out:
-            out.writelines(f'{{"perm_id": {p}}}\n' for p in range(b, count, batches))
+        put(spark, f"{folder}/{b}.json", "".join(f'{{"perm_id": {p}}}\n' for p in range(b, count, batches)).encode())
     name = f"online_{uuid.uuid4().hex}"
     stream = spark.readStream.schema("perm_id int").option("maxFilesPerTrigger", 1).json(folder)
     running = interim(stream, features, spec).writeStream.outputMode("complete").format("memory").queryName(name).start()
