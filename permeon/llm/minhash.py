@@ -11,9 +11,13 @@ of both texts.
 Plan, without pairs inside groups:
 - equal sets are one node (by a 128-bit fingerprint); the smallest doc_id stands for it;
 - a band's bucket first links each member to the bucket's smallest node: as many candidates as members;
-- after components of the confirmed links, only buckets whose members still lie in different components are paired, and
-  only across components; then components again. So links between different texts are all found where a bucket sees
-  them, while a large group of near copies costs one comparison a member and bucket at most.
+- after components of the confirmed links, only documents in buckets whose members still lie in different components are
+  looked at again, and only across components. Their shingles are put in order from the rarest among them; a pair whose
+  first common shingle stands at places i and j of n and m shares at most min(n - i, m - j). So pairs meet at the shingles
+  of their prefixes, and only where that bound allows a link. Texts that merely quote the same passage, and copies whose
+  edits are their own, never meet: what they share comes after too much that they don't;
+- the rest are estimated and confirmed; then components again. So links between different texts are all found where a
+  bucket sees them, while a large group of near copies costs one comparison a member and bucket at most.
 
 Result: doc_id, n_shingles, component_id, kept. Null, empty and wordless texts: n_shingles 0, linked with nothing. A null
 doc_id keeps its row, with component_id null unless its set is another document's. Repeated rows share a component; rows
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._components import components
@@ -179,6 +183,32 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, schema("a bigint, b bigint")).distinct()
 
 
+def across(texts: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes in different components whose prefixes leave room for a link. groups: node, component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for lo in range(0, len(ids), 64):
+                sets = [shingle_set(t) for t in batch.column(1)[lo : lo + 64].to_pylist()]
+                n = np.array([len(s) for s in sets], np.int64)
+                of = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                out = (*(np.repeat(c, n) for c in (ids[lo : lo + 64], of, n)), np.concatenate(sets).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["node", "of", "n", "h"])
+
+    own = texts.join(groups.select(F.col("node").alias("doc_id")), "doc_id").select("doc_id", "text")
+    rows = own.mapInArrow(run, schema("node bigint, of bigint, n bigint, h bigint"))
+    rows = rows.withColumn("held_by", F.count("*").over(Window.partitionBy("h"))).where("held_by > 1")
+    mine = Window.partitionBy("node", "of")
+    rows = rows.withColumn("place", F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("held_by", "h")) - 1)
+    rows = rows.where(f"{DEN} * (n - place) >= {NUM} * n").select("node", "n", "h", "place").join(groups, "node")
+    x, y = rows.alias("x"), rows.alias("y")
+    most = "least(x.n - x.place, y.n - y.place)"
+    room = f"{DEN} * {most} >= {NUM} * (x.n + y.n - {most})"
+    found = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.component") < F.col("y.component")) & F.expr(room))
+    return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, set_print."""
     prepare(docs.sparkSession)
@@ -200,13 +230,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labelled = members.select("key", "node", "n").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = written(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = labelled.join(mixed, "key")
-    x, y = rest.alias("x"), rest.alias("y")
-    ratio = f"{DEN} * least(x.n, y.n) >= {NUM} * greatest(x.n, y.n)"
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & F.expr(ratio))
-    across = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    across = across.join(first, ["a", "b"], "left_anti")
-    more = confirmed(likely(across, nodes), texts)
+    rest = written(labelled.join(mixed, "key").select("node", "component").distinct(), "mixed")
+    second = across(texts, rest)
+    second = second.join(first, ["a", "b"], "left_anti")
+    more = confirmed(likely(second, nodes), texts)
     groups = components(links.unionByName(more))
 
     of_set = classes.join(groups, "node", "left").select("set_print", F.coalesce("component", "node").alias("component"))
