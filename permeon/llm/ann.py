@@ -40,7 +40,9 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
 
 
 def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 5) -> np.ndarray:
-    """Codebooks (books, words, dimensions)."""
+    """Codebooks (books, words, dimensions). Vectors a thousand times longer than usual don't count."""
+    length = np.abs(x).max(1)
+    x = x[length <= 1000 * np.median(length)]
     rng, rest, out, codes = np.random.default_rng(seed), x.copy(), [], []
     k = max(1, min(words, len(x)))
     for _ in range(books):
@@ -90,7 +92,8 @@ def _index(books: np.ndarray):
             out = []
             for lo in range(0, len(f), 1024):
                 part = f.iloc[lo : lo + 1024]
-                codes, length = encode(matrix(part["embedding"]), books)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    codes, length = encode(matrix(part["embedding"]), books)
                 out.append(part.assign(codes=[c.tobytes() for c in codes], length=length))
             yield pd.concat(out) if out else f.assign(codes=pd.Series([], dtype=object), length=pd.Series([], dtype=float))
 
@@ -101,6 +104,10 @@ def _search(books: np.ndarray, k: int):
     m = len(books)
 
     def run(key: tuple, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        with np.errstate(over="ignore", invalid="ignore"):
+            return search(rows, queries)
+
+    def search(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(queries):
             x = matrix(rows["embedding"])
@@ -115,6 +122,8 @@ def _search(books: np.ndarray, k: int):
                     own = ids == query
                     near[own] = np.inf
                     pick = np.argpartition(near, short - 1)[:short] if short < len(x) else np.arange(len(x))
+                    # what overflows in the tables is always looked at exactly
+                    pick = np.union1d(pick, np.flatnonzero(~np.isfinite(near)))
                     pick = pick[~own[pick]]
                     gap = x[pick] - q[i]
                     exact = np.sqrt((gap * gap).sum(1))
