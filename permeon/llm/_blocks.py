@@ -27,7 +27,7 @@ def pack(*arrays: np.ndarray | bytes) -> bytes:
     for a in arrays:
         data = a if isinstance(a, bytes) else a.tobytes()
         out += [struct.pack("<Q", len(data)), data]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
 
 
 def unpack(blob: bytes) -> list[bytes]:

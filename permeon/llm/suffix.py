@@ -12,8 +12,8 @@ sends one, that of its smallest document, to the anchor's shard; the block's oth
 every document has costs a shard one entry a block. Where all runs of an anchor are equal, the smallest document keeps
 its run and all others lose theirs, and nothing more is to be compared.
 
-Suffix arrays. Where an anchor has different runs (the passage begins, ends or was edited there), blocks are batches that
-come one after the other. A batch's windows are sorted (a suffix array cut off at LENGTH bytes); the array is
+Suffix arrays. Where an anchor has different runs (the passage begins, ends or was edited there), blocks come one after the
+other, in batches. A batch's windows are sorted (a suffix array cut off at LENGTH bytes); the array is
 merge-scanned against every level of the shard's index, and where suffixes share LENGTH bytes the one of the larger
 document is marked. The array then joins the index as a level, and levels of like size merge: a batch meets
 logarithmically many levels, and an entry moves as often. Marks don't depend on the order of batches.
@@ -36,14 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._blocks import Block, blocks, pack, unpack
-from ._session import prepare, schema, shuffle_partitions, written
+from ._session import prepare, schema, shuffle_partitions
 from ._shingles import mix
 
 LENGTH = 50
 SEED = 20
 SPREAD = LENGTH - SEED + 1
-#: Levels merge when the newer is at least 1/RATIO of the older.
-RATIO = 2
+#: Levels merge when the newer is at least 1/RATIO of the older. Blocks join a batch until it has so many windows.
+RATIO, BATCH = 2, 1 << 16
 
 
 def seeds(data: np.ndarray) -> np.ndarray:
@@ -104,19 +104,17 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
 
 
 def windows(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All windows of some runs as seven big-endian words each (the last with two bytes), so that numbers compare as
-    strings do; and how many each run has."""
+    """All windows of some runs as strings of one length, which compare byte by byte; and how many each run has."""
     count = np.array([len(r) - LENGTH + 1 for r in runs], np.int64)
-    data = np.frombuffer(b"".join(runs) + bytes(8), np.uint8)
+    data = np.frombuffer(b"".join(runs), np.uint8)
     sizes = count + LENGTH - 1
     at = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 56)[at])
-    rows[:, LENGTH:] = 0
-    return rows.view(">u8").astype(np.uint64), count
+    rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at])
+    return rows.view(f"S{LENGTH}").ravel(), count
 
 
 class SuffixArray:
-    """Windows in lexicographic order: keys, the document of each, and its number among all windows of the shard."""
+    """Distinct windows in lexicographic order, the smallest document of each, and its number among the shard's windows."""
 
     def __init__(self, keys: np.ndarray, doc: np.ndarray, entry: np.ndarray) -> None:
         self.keys, self.doc, self.entry = keys, doc, entry
@@ -124,22 +122,6 @@ class SuffixArray:
     def __len__(self) -> int:
         return len(self.doc)
 
-    def joined(self, other: SuffixArray) -> tuple[SuffixArray, np.ndarray]:
-        """Both, in order (equal windows by document), and which windows equal the one before."""
-        keys, doc, entry = (np.concatenate(x) for x in ((self.keys, other.keys), (self.doc, other.doc), (self.entry, other.entry)))
-        order = np.lexsort((doc, *keys.T[::-1]))
-        keys = keys[order]
-        same = np.zeros(len(keys), bool)
-        same[1:] = (keys[1:] == keys[:-1]).all(1)
-        return SuffixArray(keys, doc[order], entry[order]), same
-
-    def first(self, same: np.ndarray) -> SuffixArray:
-        """Of equal windows the one of the smallest document."""
-        return SuffixArray(self.keys[~same], self.doc[~same], self.entry[~same])
-
-
-NOTHING = SuffixArray(np.empty((0, 7), np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
-
 
 class LogIndex:
     """Levels of suffix arrays of geometrically growing sizes. marked: entries that a smaller document has too."""
@@ -150,20 +132,41 @@ class LogIndex:
 
     def add(self, keys: np.ndarray, doc: np.ndarray, entry: np.ndarray) -> None:
         """A batch: sort it, scan it against all levels, and let it join them."""
-        new = self.scan(NOTHING, SuffixArray(keys, doc, entry))
-        for level in self.levels:
-            self.scan(level, new)
+        new = self.sorted(keys, doc, entry)
+        found = [self.scan(level, new) for level in self.levels]
         while self.levels and len(new) * RATIO >= len(self.levels[-1]):
-            both, same = self.levels.pop().joined(new)
-            new = both.first(same)
+            new = self.merged(self.levels.pop(), new, *(found.pop() if found else (None, None)))
+            found = []  # places in further levels are those of the batch alone
         self.levels.append(new)
 
-    def scan(self, old: SuffixArray, new: SuffixArray) -> SuffixArray:
-        both, same = old.joined(new)
-        if same.any():
-            head = np.flatnonzero(~same)[np.cumsum(~same) - 1]
-            self.marked[both.entry[both.doc > both.doc[head]]] = True
-        return both.first(same)
+    def sorted(self, keys: np.ndarray, doc: np.ndarray, entry: np.ndarray) -> SuffixArray:
+        order = np.argsort(doc, kind="stable")
+        order = order[np.argsort(keys[order], kind="stable")]
+        keys, doc, entry = keys[order], doc[order], entry[order]
+        head = np.ones(len(keys), bool)
+        head[1:] = keys[1:] != keys[:-1]
+        least = doc[head][np.cumsum(head) - 1]
+        self.marked[entry[doc > least]] = True
+        return SuffixArray(keys[head], doc[head], entry[head])
+
+    def scan(self, old: SuffixArray, new: SuffixArray) -> tuple[np.ndarray, np.ndarray]:
+        """Mark twins; where the new windows belong in the level, and which of them it has."""
+        place = np.searchsorted(old.keys, new.keys)
+        near = np.minimum(place, len(old) - 1)
+        twin = old.keys[near] == new.keys
+        other = old.doc[near]
+        self.marked[new.entry[twin & (new.doc > other)]] = True
+        self.marked[old.entry[near[twin & (new.doc < other)]]] = True
+        return place, twin
+
+    def merged(self, old: SuffixArray, new: SuffixArray, place: np.ndarray | None, twin: np.ndarray | None) -> SuffixArray:
+        """One array; of equal windows the smaller document stays."""
+        if place is None:
+            place, twin = self.scan(old, new)
+        doc, entry, better = old.doc.copy(), old.entry.copy(), twin & (new.doc < old.doc[np.minimum(place, len(old) - 1)])
+        doc[place[better]], entry[place[better]] = new.doc[better], new.entry[better]
+        add = ~twin
+        return SuffixArray(*(np.insert(a, place[add], b[add]) for a, b in ((old.keys, new.keys), (doc, new.doc), (entry, new.entry))))
 
 
 def _anchor_hashes(runs: Runs) -> tuple[np.ndarray, np.ndarray]:
@@ -184,6 +187,19 @@ def _pieces(shard: np.ndarray) -> Iterator[tuple[int, slice]]:
             yield int(shard[lo]), slice(lo, hi)
 
 
+def short(h: np.ndarray, shards: int) -> np.ndarray:
+    """Sorted hashes of a shard as differences of their next 32 bits, in planes of bytes, which pack well. Hashes that are equal
+    in them count as one, which costs a needless look at most."""
+    part = (h >> np.uint64(32)) * np.uint64(shards) & np.uint64(0xFFFFFFFF)
+    part = (part.astype(np.uint32) & np.uint32(0xFFFF0000)) | (h >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.uint32)
+    return np.diff(part, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.copy()
+
+
+def long(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
+
+
 def _ask(shards: int):
     """From blocks to shards: the block's anchors, and whether two of its own documents have them."""
 
@@ -191,7 +207,7 @@ def _ask(shards: int):
         for frame in frames:
             for number, blob in zip(frame["block"], frame["docs"]):
                 h, several = _anchor_hashes(Runs(Block(blob)))
-                rows = [(number, s, pack(h[i], np.packbits(several[i]))) for s, i in _pieces(shard_of(h, shards))]
+                rows = [(number, s, pack(short(h[i], shards), np.packbits(several[i]))) for s, i in _pieces(shard_of(h, shards))]
                 yield pd.DataFrame(rows, columns=["block", "shard", "data"])
 
     return run
@@ -200,9 +216,9 @@ def _ask(shards: int):
 def _answer(frame: pd.DataFrame) -> pd.DataFrame:
     """A shard's bits: does more than one block, or do several documents of a block, have the anchor?"""
     parts = [unpack(x) for x in frame["data"]]
-    hashes = [np.frombuffer(a, np.uint64) for a, _ in parts]
+    hashes = [long(a) for a, _ in parts]
     several = [np.unpackbits(np.frombuffer(b, np.uint8), count=len(h)).view(bool) for h, (_, b) in zip(hashes, parts)]
-    every = np.sort(np.concatenate(hashes))
+    every = np.sort(np.concatenate([np.unique(h) for h in hashes]))
     again = np.unique(np.concatenate((every[1:][every[1:] == every[:-1]], *(h[s] for h, s in zip(hashes, several)))))
     bits = []
     for h in hashes:
@@ -212,7 +228,8 @@ def _answer(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _send(shards: int):
-    """From blocks to shards: each distinct run once. Shard -1: spans that the block has settled itself."""
+    """From blocks to shards: each distinct run once; and spans that the block has settled itself, which go along to its own
+    shard's answer."""
 
     def run(key: tuple, block: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -231,25 +248,26 @@ def _send(shards: int):
                 if least.setdefault(r, d) > d:
                     least[r] = d
             settled = np.array([d > least[r] for r, d in zip(strings, docs)], bool)
-            rows.append((key[0], -1, pack(start[settled].astype("<u4"), end[settled].astype("<u4"))))
+            rows.append((key[0], key[0] % shards, True, pack(start[settled].astype("<u4"), end[settled].astype("<u4"))))
             sent = np.flatnonzero(~settled)
             shard = shard_of(runs.hash[wanted[sent]], shards)
             order = np.argsort(shard, kind="stable")
             sent, offset = sent[order], runs.anchor[wanted] - start
             for s, i in _pieces(shard[order]):
                 mine = sent[i]
-                rows.append((key[0], s, pack(
+                rows.append((key[0], s, False, pack(
                     start[mine].astype("<u4"), (end - start)[mine].astype("<u2"), offset[mine].astype("u1"), doc[mine].astype("<i8"),
                     b"".join([strings[j] for j in mine.tolist()]),
                 )))
-        return pd.DataFrame(rows, columns=["block", "shard", "data"])
+        return pd.DataFrame(rows, columns=["block", "shard", "settled", "data"])
 
     return run
 
 
 def _resolve(frame: pd.DataFrame) -> pd.DataFrame:
-    """A shard's spans for each block that sent it runs."""
-    frame = frame.sort_values("block")
+    """A shard's spans for each block that sent it runs, after those that are settled."""
+    settled = frame[frame["settled"]][["block", "data"]]
+    frame = frame[~frame["settled"]].sort_values("block")
     batches, least, variants = [], {}, {}
     for number, blob in zip(frame["block"], frame["data"]):
         start, size, offset, doc, text = unpack(blob)
@@ -274,9 +292,11 @@ def _resolve(frame: pd.DataFrame) -> pd.DataFrame:
                 count += len(r) - LENGTH + 1
                 new.append(r)
         plan.append(new)
-    index = LogIndex(count)
-    for new in plan:
-        if new:
+    index, batch = LogIndex(count), []
+    for i, new in enumerate(plan):
+        batch += new
+        if batch and (i == len(plan) - 1 or sum(map(len, batch)) > BATCH):
+            new, batch = batch, []
             keys, n = windows(new)
             entry = np.repeat(np.array([first[r] for r in new]) - (np.cumsum(n) - n), n) + np.arange(n.sum())
             index.add(keys, np.repeat(np.array([least[r] for r in new], np.int64), n), entry)
@@ -294,7 +314,7 @@ def _resolve(frame: pd.DataFrame) -> pd.DataFrame:
                     lo += (s + hit[new]).tolist()
                     hi += (s + hit[np.append(new[1:] - 1, len(hit) - 1)] + LENGTH).tolist()
         rows.append((number, pack(np.array(lo, "<u4"), np.array(hi, "<u4"))))
-    return pd.DataFrame(rows, columns=["block", "data"])
+    return pd.concat((settled, pd.DataFrame(rows, columns=["block", "data"])))
 
 
 def _finish(with_text: bool, with_rest: bool):
@@ -337,12 +357,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, rest: str | None =
     made = blocks(docs, "suffix-blocks", group=rest)
     total = made.agg(F.sum("bytes").alias("n")).first()["n"] or 0
     shards = max(shuffle_partitions(spark), min(20_000, -(-total // shard_bytes)))
+    tasks = min(shards, 4 * shuffle_partitions(spark))  # named, as small requests are much work
     asked = made.select("block", "docs").mapInPandas(_ask(shards), schema("block bigint, shard int, data binary"))
-    replies = asked.groupBy("shard").applyInPandas(_answer, schema("block bigint, shard int, data binary"))
-    sent = made.select("block", "docs").groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_send(shards), schema("block bigint, shard int, data binary"))
-    sent = written(sent, "suffix-runs")
-    resolved = sent.where("shard >= 0").groupBy("shard").applyInPandas(_resolve, schema("block bigint, data binary"))
-    spans = sent.where("shard < 0").select("block", "data").unionByName(resolved)
+    replies = asked.repartition(tasks, "shard").groupBy("shard").applyInPandas(_answer, schema("block bigint, shard int, data binary"))
+    sent = made.select("block", "docs").groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_send(shards), schema("block bigint, shard int, settled boolean, data binary"))
+    spans = sent.repartition(tasks, "shard").groupBy("shard").applyInPandas(_resolve, schema("block bigint, data binary"))
     out = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", text string" * with_text + ", rest string" * bool(rest)
     return made.select("block", "docs").groupBy("block").cogroup(spans.groupBy("block")).applyInPandas(_finish(with_text, bool(rest)), schema(out))
 
