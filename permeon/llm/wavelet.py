@@ -56,7 +56,7 @@ class WaveletMatrix:
             one = ((left >> b) & 1).astype(bool)
             planes.append(np.packbits(one, bitorder="little"))
             if b:
-                left = np.concatenate((left[~one], left[one]))
+                left = np.concatenate((np.compress(~one, left), np.compress(one, left)))
         return cls(len(ids), planes)
 
     def bits(self, level: int) -> np.ndarray:
@@ -68,10 +68,11 @@ class WaveletMatrix:
         low = np.zeros(self.n, np.uint16 if k <= 16 else np.uint32)
         for level in range(k - 1, -1, -1):
             one = self.bits(level)
-            zeros = self.n - int(np.count_nonzero(one))
+            # places beat masks here by half
+            zeros, ones = np.flatnonzero(~one), np.flatnonzero(one)
             back = np.empty_like(low)
-            back[~one] = low[:zeros]
-            back[one] = low[zeros:] | low.dtype.type(1 << (k - 1 - level))
+            back[zeros] = low[: len(zeros)]
+            back[ones] = low[len(zeros) :] | low.dtype.type(1 << (k - 1 - level))
             low = back
         return low
 
