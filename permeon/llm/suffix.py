@@ -349,7 +349,7 @@ def whole_characters(text: np.ndarray, gone: np.ndarray) -> str:
     return text[~gone].tobytes().decode()
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False, rest: str | None = None, shard_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_text: bool = False, rest: str | None = None, shard_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text: also the text left (whole characters); rest: a string
     column that is carried along under that name."""
     spark = docs.sparkSession
