@@ -7,7 +7,8 @@ cell whose border (the plane half-way between both centroids) is at most REACH a
 
 A cell is compared in blocks: rows are dealt to blocks of about BLOCK rows by a hash of their id, and each pair of blocks is
 a task, however large the cell is. A task returns, for each vector, how many it links with (multiplicities counted) and
-one edge to its group's smallest member; never the pairs, of which a group of copies has a square.
+one edge to the smallest member of its group among all the task's links; never the pairs, of which a group of copies has a
+square.
 
 Result: vec_id, n_links, component_id, kept. Vectors that are null, zero or hold null or non-finite components: n_links 0,
 their own component, kept. A null vec_id: n_links 0, component null, kept. Repeated rows link with each other (equal
@@ -82,7 +83,8 @@ def compare(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
     ids, copies, home, block = (f[c].to_numpy() for c in ("vec_id", "copies", "home", "block"))
     guests = [frozenset(g) for g in f["guest_of"]]
     count = np.zeros(len(f), np.int64)
-    label = ids.copy()
+    names, node = np.unique(ids, return_inverse=True)
+    stars = [(node[:0], node[:0])]  # of each chunk, what leads to the smallest of its group there
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
     order = np.arange(len(f))
     for lo in range(0, len(left), 512):
@@ -105,15 +107,26 @@ def compare(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         weight = link.astype(np.float64)
         np.add.at(count, a, (weight @ copies[b]).astype(np.int64))
         np.add.at(count, b, (copies[a] @ weight).astype(np.int64))
+        label = node.copy()
         while True:
-            before = label[a].sum(dtype=object), label[b].sum(dtype=object)
-            big = np.iinfo(np.int64).max
-            np.minimum.at(label, a, np.where(link, label[b], big).min(1))
-            np.minimum.at(label, b, np.where(link, label[a][:, None], big).min(0))
-            if before == (label[a].sum(dtype=object), label[b].sum(dtype=object)):
+            before = label[a].sum(), label[b].sum()
+            np.minimum.at(label, a, np.where(link, label[b], len(names)).min(1))
+            np.minimum.at(label, b, np.where(link, label[a][:, None], len(names)).min(0))
+            if before == (label[a].sum(), label[b].sum()):
                 break
-    some = (count > 0) | (label != ids)
-    return pd.DataFrame({"vec_id": ids[some], "other": label[some], "n": count[some]})
+        moved = label != node
+        stars.append((node[moved], label[moved]))
+    group = np.arange(len(names))
+    u, v = (np.concatenate(x) for x in zip(*stars))
+    while True:
+        before = group.copy()
+        np.minimum.at(group, u, group[v])
+        np.minimum.at(group, v, group[u])
+        if np.array_equal(before, group):
+            break
+    other = names[group[node]]
+    some = (count > 0) | (other != ids)
+    return pd.DataFrame({"vec_id": ids[some], "other": other[some], "n": count[some]})
 
 
 def near_duplicates(embeddings: DataFrame, seed: int = 7) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -276,6 +277,43 @@ def test_near_duplicate_vectors(spark, embeddings, monkeypatch):
     assert embdedup.near_duplicates(embeddings.limit(0)).count() == 0
 
 
+def test_links_of_a_large_cell():
+    """Chains round the threshold whose links lie in different chunks of a task."""
+    rng = np.random.default_rng(5)
+    n, chains = 1300, 200
+    middle = rng.standard_normal((chains, 64))
+    side = rng.standard_normal((chains, 64))
+    middle /= np.linalg.norm(middle, axis=1, keepdims=True)
+    side -= (side * middle).sum(1, keepdims=True) * middle
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    turn = np.radians(15) * np.arange(-3, 4)[:, None, None]
+    x = rng.permutation((np.cos(turn) * middle + np.sin(turn) * side).reshape(-1, 64))[:n]
+    ids, copies = rng.permutation(10 * n)[:n], rng.integers(1, 4, n)
+    link = x @ x.T >= embdedup.COSINE
+    np.fill_diagonal(link, False)
+    want = components_of(ids.tolist(), [(int(ids[i]), int(ids[j])) for i, j in np.argwhere(np.triu(link))])
+    frame = pd.DataFrame({"vec_id": ids, "copies": copies, "home": 0, "guest_of": [[]] * n, "embedding": list(x)})
+    for blocks in (1, 2):
+        edges, degree = [], defaultdict(int)
+        for i in range(blocks):
+            for j in range(i, blocks):
+                block = np.arange(n) * blocks // n
+                out = embdedup.compare((64, 0, i, j), frame.assign(block=block)[np.isin(block, (i, j))].reset_index(drop=True))
+                assert out["vec_id"].is_unique
+                edges += zip(out["vec_id"].tolist(), out["other"].tolist())
+                for v, k in zip(out["vec_id"].tolist(), out["n"].tolist()):
+                    degree[v] += k
+        label = {v: v for v in want}
+        while True:
+            before = dict(label)
+            for a, b in edges:
+                label[a] = label[b] = min(label[a], label[b])
+            if before == label:
+                break
+        assert label == want
+        assert [degree[v] for v in ids.tolist()] == (link @ copies).tolist()
+
+
 def test_nearest(spark, embeddings):
     rows = [r for r in local(embeddings) if usable(r) and len(r["embedding"]) == 8]
     got = defaultdict(list)
