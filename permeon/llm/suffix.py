@@ -16,7 +16,8 @@ Suffix arrays. Where an anchor has different runs (the passage begins, ends or w
 other, in batches. A batch's windows are sorted (a suffix array cut off at LENGTH bytes); the array is
 merge-scanned against every level of the shard's index, and where suffixes share LENGTH bytes the one of the larger
 document is marked. The array then joins the index as a level, and levels of like size merge: a batch meets
-logarithmically many levels, and an entry moves as often. Marks don't depend on the order of batches.
+logarithmically many levels, and an entry moves as often. Of a document's equal windows one stays and the others follow
+it, so all have its mark. Marks don't depend on the order of batches.
 
 Blocks are made where documents are read and written once (see _blocks); the shuffles carry hashes, bits, runs of
 repeated text, spans, and the compressed blocks.
@@ -124,11 +125,24 @@ class SuffixArray:
 
 
 class LogIndex:
-    """Levels of suffix arrays of geometrically growing sizes. marked: entries that a smaller document has too."""
+    """Levels of suffix arrays of geometrically growing sizes. found: entries seen to be in a smaller document too; follows:
+    for entries that left the index, the entry of the same window and document that stayed."""
 
     def __init__(self, entries: int) -> None:
         self.levels: list[SuffixArray] = []
-        self.marked = np.zeros(entries, bool)
+        self.found = np.zeros(entries, bool)
+        self.follows = np.arange(entries)
+
+    @property
+    def marked(self) -> np.ndarray:
+        """Entries that a smaller document has too."""
+        marked, follows = self.found.copy(), self.follows
+        while True:
+            marked |= marked[follows]
+            further = follows[follows]
+            if np.array_equal(further, follows):
+                return marked
+            follows = further
 
     def add(self, keys: np.ndarray, doc: np.ndarray, entry: np.ndarray) -> None:
         """A batch: sort it, scan it against all levels, and let it join them."""
@@ -145,8 +159,10 @@ class LogIndex:
         keys, doc, entry = keys[order], doc[order], entry[order]
         head = np.ones(len(keys), bool)
         head[1:] = keys[1:] != keys[:-1]
-        least = doc[head][np.cumsum(head) - 1]
-        self.marked[entry[doc > least]] = True
+        first = np.flatnonzero(head)[np.cumsum(head) - 1]
+        more = doc > doc[first]
+        self.found[entry[more]] = True
+        self.follows[entry[~more]] = entry[first[~more]]
         return SuffixArray(keys[head], doc[head], entry[head])
 
     def scan(self, old: SuffixArray, new: SuffixArray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,8 +171,8 @@ class LogIndex:
         near = np.minimum(place, len(old) - 1)
         twin = old.keys[near] == new.keys
         other = old.doc[near]
-        self.marked[new.entry[twin & (new.doc > other)]] = True
-        self.marked[old.entry[near[twin & (new.doc < other)]]] = True
+        self.found[new.entry[twin & (new.doc > other)]] = True
+        self.found[old.entry[near[twin & (new.doc < other)]]] = True
         return place, twin
 
     def merged(self, old: SuffixArray, new: SuffixArray, place: np.ndarray | None, twin: np.ndarray | None) -> SuffixArray:
@@ -165,6 +181,9 @@ class LogIndex:
             place, twin = self.scan(old, new)
         doc, entry, better = old.doc.copy(), old.entry.copy(), twin & (new.doc < old.doc[np.minimum(place, len(old) - 1)])
         doc[place[better]], entry[place[better]] = new.doc[better], new.entry[better]
+        equal = np.flatnonzero(twin)
+        equal = equal[new.doc[equal] == old.doc[place[equal]]]
+        self.follows[new.entry[equal]] = old.entry[place[equal]]
         add = ~twin
         return SuffixArray(*(np.insert(a, place[add], b[add]) for a, b in ((old.keys, new.keys), (doc, new.doc), (entry, new.entry))))
 

@@ -12,6 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from permeon.llm import ann, bpe, embdedup, kneser, license, minhash, packing, suffix, tokencounts, wavelet
+from permeon.llm._blocks import pack
 from permeon.llm._encode import library_encoder, public_path
 
 BYTE, WORD = public_path("byte_bpe_50k.json"), public_path("word_bpe_49k.json")
@@ -217,6 +218,39 @@ def test_log_index():
     assert len(index.levels) <= 5
 
 
+def test_log_index_of_windows_that_documents_repeat():
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        pool = [(b"%02d" % i) * 25 for i in range(8)]
+        index, keys, docs = suffix.LogIndex(120), [], []
+        for batch in range(12):
+            k, d = [pool[i] for i in rng.integers(0, 8, 10)], rng.integers(0, 30, 10) if batch % 2 else rng.permutation(30)[:5].repeat(2)
+            index.add(np.array(k, f"S{suffix.LENGTH}"), d, np.arange(10) + 10 * batch)
+            keys += k
+            docs += d.tolist()
+        assert index.marked.tolist() == [any(k == w and e < d for w, e in zip(keys, docs)) for k, d in zip(keys, docs)]
+
+
+def test_repeats_inside_a_document_over_batches(monkeypatch):
+    """A line that stands several times in a document between different neighbours, with each block a batch of its own."""
+    monkeypatch.setattr(suffix, "BATCH", 1)
+    line = "this line of some sixty bytes stands in all of the documents ok"
+    rows = [{"doc_id": d, "text": " ".join(f"{prose(12, 1000 * d + k)} {line}" for k in range(3 if d % 2 else 2)) + prose(9, 500 + d)} for d in (9, 3, 7, 2, 8, 5, 1, 6)]
+    blobs = []
+    for number, part in enumerate((rows[:2], rows[2:3], rows[3:6], rows[6:])):
+        held = [r["text"].encode() for r in part]
+        ids = np.array([r["doc_id"] for r in part], "<i8")
+        blobs.append(pd.DataFrame({"block": [number], "docs": [pack(ids, np.ones(len(ids), bool), b"\0" * (len(ids) - 1), np.cumsum([len(t) for t in held], dtype="<i8"), b"".join(held))]}))
+    by = lambda f, c: [g for _, g in f.groupby(c)]
+    asked = pd.concat(x for b in blobs for x in suffix._ask(2)(iter([b])))
+    replies = pd.concat(suffix._answer(g) for g in by(asked, "shard"))
+    sent = pd.concat(suffix._send(2)((i,), b, replies[replies["block"] == i]) for i, b in enumerate(blobs))
+    spans = pd.concat(suffix._resolve(g) for g in by(sent, "shard"))
+    got = pd.concat(suffix._finish(False, False)((i,), b, spans[spans["block"] == i]) for i, b in enumerate(blobs))
+    want = {k[1]: int(x[0][1].sum()) for k, x in removed(rows).items()}
+    assert dict(zip(got["doc_id"], got["n_removed"])) == want and want[9] >= 3 * len(line)
+
+
 def test_perplexity_is_kneser_ney(spark, docs):
     train = ["abab abc", "abba cab", "bca", prose(30, 9)]
     entries = kneser.model(spark.createDataFrame([("en", t) for t in train], "lang string, text string"))
