@@ -129,6 +129,26 @@ def to_features(obs: DataFrame) -> DataFrame:
     return obs.groupBy("feature_id").agg(pairs.alias("p")).select("feature_id", F.transform("p", lambda s: s["y"].cast("double")).alias("y"))
 
 
+def freedman_lane(features: DataFrame, nuisance: np.ndarray, perms: DataFrame) -> DataFrame:
+    """Permuted data: residuals of the nuisance model in each order, on its fitted values. perms: (perm_id, pos, src) of samples.
+    (perm_id, feature_id, pos array, y array), both in sample order. Orders are broadcast: samples x permutations numbers."""
+
+    def fits(frames):
+        for f in frames:
+            residual, fitted = algebra.residualise(np.stack(f["y"].to_numpy()).T, nuisance)
+            yield pd.DataFrame({"feature_id": f["feature_id"], "residual": list(residual.T), "fitted": list(fitted.T)})
+
+    def places(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("pos")
+        pos = f["pos"].to_numpy()
+        return pd.DataFrame({"perm_id": f["perm_id"].iloc[:1], "pos": [pos], "src": [np.searchsorted(pos, f["src"].to_numpy())]})
+
+    models = features.select("feature_id", "y").mapInPandas(fits, "feature_id long, residual array<double>, fitted array<double>")
+    orders = perms.groupBy("perm_id").applyInPandas(places, "perm_id int, pos array<long>, src array<int>")
+    moved = F.transform("src", lambda i: F.get("residual", i))
+    return models.crossJoin(F.broadcast(orders)).select("perm_id", "feature_id", "pos", F.zip_with(moved, "fitted", lambda e, fit: e + fit).alias("y"))
+
+
 def permutation_analysis(features: DataFrame, spec: AnalysisSpec) -> Result:
     """features: (feature_id, y array in the order of the design's rows)."""
     tasks = plan(spec)

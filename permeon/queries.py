@@ -395,13 +395,21 @@ def sign_flip_groups(spark, sf):
 
 
 # nuisance: the intercept
+def freedman_lane(spark, sf, kept, count=P):
+    perms = exchange.hash_permutations(samples(spark, sf).select("sample_id"), P).where(F.col("perm_id") < count)
+    out = analysis.freedman_lane(kept, design(spark, sf, ("x0",)), perms).select("perm_id", "feature_id", F.explode(F.arrays_zip("pos", "y")).alias("s"))
+    return out.select("perm_id", F.col("s.pos").alias("sample_id"), "feature_id", r6(F.col("s.y")).alias("y"))
+
+
 @query(f"with {OBS}, {SAMPLES}, {PERMS}, m as (select feature_id, avg(y) as m from obs where feature_id < 4 group by all) select perm_id, pos as sample_id, feature_id, round(y - m + m, 6) + 0.0 as y from perms p join obs o on o.sample_id = p.src join m using (feature_id) where perm_id < 5")
 def freedman_lane_data(spark, sf):
-    o = obs(spark, sf).where("feature_id < 4")
-    means = o.groupBy("feature_id").agg(F.avg("y").alias("m"))
-    perms = exchange.hash_permutations(samples(spark, sf).select("sample_id"), P).where("perm_id < 5")
-    moved = perms.join(o, perms["src"] == o["sample_id"]).join(F.broadcast(means), "feature_id")
-    return moved.select("perm_id", F.col("pos").alias("sample_id"), "feature_id", r6(F.col("y") - F.col("m") + F.col("m")).alias("y"))
+    return freedman_lane(spark, sf, features(spark, sf).where("feature_id < 4"), 5)
+
+
+# all features and permutations; the one above keeps to what its SQL selects
+@query(f"with {OBS}, {SAMPLES}, {PERMS}, m as (select feature_id, avg(y) as m from obs group by all) select perm_id, pos as sample_id, feature_id, round(y - m + m, 6) + 0.0 as y from perms p join obs o on o.sample_id = p.src join m using (feature_id)")
+def freedman_lane_whole(spark, sf):
+    return freedman_lane(spark, sf, features(spark, sf))
 
 
 # Inference
