@@ -580,8 +580,11 @@ def halves(spark, sf):
     return out
 
 
-def reference_maps(spark, sf):
-    e = table(spark, sf, "embeddings").where("label < 3")
+SIM_WHOLE = SIM.replace(" where label < 3", "")
+
+
+def reference_maps(spark, sf, kept="label < 3"):
+    e = table(spark, sf, "embeddings").where(kept)
     return e.select(F.concat(F.lit("label"), "label").alias("ref_id"), F.posexplode("embedding").alias("feature_id", "y")).groupBy("ref_id", F.col("feature_id").cast("long").alias("feature_id")).agg(F.avg(F.col("y").cast("double")).alias("value"))
 
 
@@ -595,18 +598,33 @@ def sim_ds_ref(spark, sf):
     return similarity.similarity_analysis(halves(spark, sf), reference_maps(spark, sf))["ds_ref"].select("a", "b", r6(F.col("r")).alias("r"), F.round("p", 6).alias("p"))
 
 
+# maps of all labels
+@query(f"{SIM_WHOLE}, tr as (select x.ds as a, y.ref_id as b, corr(x.value, y.value) as r from maps x join refs y using (feature_id) group by all), nl as (select perm_id, x.ds as a, y.ref_id as b, corr(x.value, y.value) as r0 from nulls x join refs y using (feature_id) group by all) select a, b, round(r, 6) + 0.0 as r, round((count(*) filter (abs(r0) >= abs(r)) + 1) / {P + 1.0}, 6) as p from tr join nl using (a, b) group by a, b, r")
+def sim_ds_ref_whole(spark, sf):
+    return similarity.similarity_analysis(halves(spark, sf), reference_maps(spark, sf, "true"))["ds_ref"].select("a", "b", r6(F.col("r")).alias("r"), F.round("p", 6).alias("p"))
+
+
 @query(f"{SIM} select x.perm_id::int as perm_id, x.ds as a, y.ds as b, round(corr(x.value, y.value), 6) + 0.0 as r from nulls x join nulls y using (perm_id, feature_id) where x.ds < y.ds group by all")
 def sim_perm_p(spark, sf):
     return similarity.similarity_analysis(halves(spark, sf))["null_ds_ds"].select("perm_id", "a", "b", r6(F.col("r")).alias("r"))
 
 
-@query(f"{SIM} select x.ds as a, y.ref_id as b, round(sum(x.value * y.value), 5) + 0.0 as r from maps x join refs y using (feature_id) group by all")
-def sim_custom_dot(spark, sf):
+def dots(spark, sf, refs):
     maps = None
     for name, (f, s) in halves(spark, sf).items():
         own = analysis.permutation_analysis(f, s).features.select(F.lit(name).alias("ds"), "feature_id", F.col("stat").alias("value"))
         maps = own if maps is None else maps.unionByName(own)
-    return similarity.pairs(maps, reference_maps(spark, sf), compare=lambda a, b: float(a @ b)).select("a", "b", r6(F.col("r"), 5).alias("r"))
+    return similarity.pairs(maps, refs, compare=lambda a, b: float(a @ b)).select("a", "b", r6(F.col("r"), 5).alias("r"))
+
+
+@query(f"{SIM} select x.ds as a, y.ref_id as b, round(sum(x.value * y.value), 5) + 0.0 as r from maps x join refs y using (feature_id) group by all")
+def sim_custom_dot(spark, sf):
+    return dots(spark, sf, reference_maps(spark, sf))
+
+
+@query(f"{SIM_WHOLE} select x.ds as a, y.ref_id as b, round(sum(x.value * y.value), 5) + 0.0 as r from maps x join refs y using (feature_id) group by all")
+def sim_custom_dot_whole(spark, sf):
+    return dots(spark, sf, reference_maps(spark, sf, "true"))
 
 
 # Ranks, scores, logistic regression
@@ -690,14 +708,24 @@ def circular_spin(spark, sf):
     return spatial.circular_spin(m, 5, 64)
 
 
-@query(f"with {OBS}, {LATTICE}, d as (select a.feature_id as a, b.feature_id as b, sqrt((a.i - b.i) ** 2 + (a.j - b.j) ** 2 + (a.k - b.k) ** 2) as d from lattice a, lattice b where a.feature_id < 8) select a, b, round(exp(-d / max(d) over (partition by a)), 6) as weight from d")
-def exp_decay(spark, sf):
-    a, b = lattice(spark, sf).where("feature_id < 8").alias("a"), lattice(spark, sf).alias("b")
+def decay(spark, sf, kept):
+    a, b = lattice(spark, sf).where(kept).alias("a"), lattice(spark, sf).alias("b")
     d = F.sqrt(sum((F.pow((F.col(f"a.{c}") - F.col(f"b.{c}")).cast("double"), F.lit(2)) for c in "ijk"), F.lit(0.0)))
     rows = a.join(F.broadcast(b)).select(F.col("a.feature_id").alias("a"), F.col("b.feature_id").alias("b"), d.alias("d"))  # a lattice of 64
     return spatial.exp_decay(rows, "a").select("a", "b", F.round("weight", 6).alias("weight"))
 
 
+@query(f"with {OBS}, {LATTICE}, d as (select a.feature_id as a, b.feature_id as b, sqrt((a.i - b.i) ** 2 + (a.j - b.j) ** 2 + (a.k - b.k) ** 2) as d from lattice a, lattice b where a.feature_id < 8) select a, b, round(exp(-d / max(d) over (partition by a)), 6) as weight from d")
+def exp_decay(spark, sf):
+    return decay(spark, sf, "feature_id < 8")
+
+
+# all rows of the matrix
+@query(f"with {OBS}, {LATTICE}, d as (select a.feature_id as a, b.feature_id as b, sqrt((a.i - b.i) ** 2 + (a.j - b.j) ** 2 + (a.k - b.k) ** 2) as d from lattice a, lattice b) select a, b, round(exp(-d / max(d) over (partition by a)), 6) as weight from d")
+def exp_decay_whole(spark, sf):
+    return decay(spark, sf, "true")
+
+
 def coords(spark, sf):
     return lattice(spark, sf).select("feature_id", *(F.col(a).cast("double").alias(b) for a, b in zip("ijk", "xyz")))
 

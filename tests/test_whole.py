@@ -18,3 +18,9 @@ def test_freedman_lane(spark, sf):
     for (p, i), found in got.items():
         assert np.allclose(found, (y - fitted)[orders[p], i] + fitted[:, i])
     assert QUERIES["freedman_lane_whole"](spark, sf).count() == P * 64 * table(spark, sf, "embeddings").count()
+
+
+def test_all_rows_and_references(spark, sf):
+    assert QUERIES["exp_decay_whole"](spark, sf).count() == 64 * 64
+    for name in ("sim_ds_ref_whole", "sim_custom_dot_whole"):
+        assert {r["b"] for r in QUERIES[name](spark, sf).select("b").collect()} == {f"label{i}" for i in range(10)}
