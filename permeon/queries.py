@@ -121,6 +121,16 @@ def scan_pivot_matrix(spark, sf):
     return wide.join(more, "user_id").select("user_id", F.col("click").isNotNull().alias("has_click"), "mean_value", "n_types")
 
 
+TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+# the matrix itself: the mean of each type, null where a user has no value
+@query("select user_id, " + ", ".join(f"round(avg(value) filter (event_type = '{t}') + 1e-9, 6) as {t}" for t in TYPES) + " from events group by user_id")
+def scan_pivot_matrix_whole(spark, sf):
+    wide = table(spark, sf, "events").groupBy("user_id").pivot("event_type", TYPES).agg(F.avg("value"))
+    return wide.select("user_id", *(F.round(F.col(t) + 1e-9, 6).alias(t) for t in TYPES))
+
+
 @query(f"with {OBS} select * from obs where feature_id % 2 = 0")
 def mask_apply(spark, sf):
     mask = obs(spark, sf).select("feature_id").distinct().where("feature_id % 2 = 0")

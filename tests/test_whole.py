@@ -24,3 +24,13 @@ def test_all_rows_and_references(spark, sf):
     assert QUERIES["exp_decay_whole"](spark, sf).count() == 64 * 64
     for name in ("sim_ds_ref_whole", "sim_custom_dot_whole"):
         assert {r["b"] for r in QUERIES[name](spark, sf).select("b").collect()} == {f"label{i}" for i in range(10)}
+
+
+def test_pivot_has_the_means_of_all_types(spark, sf):
+    got = {(r["user_id"], t): r[t] for r in QUERIES["scan_pivot_matrix_whole"](spark, sf).collect() for t in ("click", "error", "purchase", "signup", "view")}
+    want = {}
+    for r in table(spark, sf, "events").collect():
+        want.setdefault((r["user_id"], r["event_type"]), []).append(r["value"])
+    assert {k for k, v in got.items() if v is not None} == {k for k, v in want.items() if any(x is not None for x in v)}
+    for k, v in got.items():
+        assert v is None or abs(v - np.mean([x for x in want[k] if x is not None])) < 1e-5
