@@ -13,6 +13,10 @@ inherits from its nearest ancestor directory that has a licence: its ancestors a
 Plan: lines are filtered inside arrays, so only those with anchors become rows; templates and their terms (bounded, given by
 the caller) are broadcast; directories are joined by an ordinary join on small rows, which skew handling can split.
 
+With spans, sentences, windows of several lines and whole files are weighed too (TEXTS has headers and licence files). A licence file is then
+one whose best unit, or whose lines that state a licence alone, are its larger part. Files, then windows, whose terms let no
+template reach LEAST are left out first, which loses nothing.
+
 Result: doc_id, path, own_license, own_score (rounded to 6 places), license, license_from (null, 'own', or the directory). Null and
 empty texts: no own licence. Null paths inherit nothing. Repeated rows each give a row. Empty table: no rows. Extra columns are ignored.
 """
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +44,43 @@ TEMPLATES = {
     "Proprietary": "All rights reserved.",
 }
 
+#: Also headers over several lines, heads of licence files and whole short licences; # tells a licence's texts apart.
+TEXTS = TEMPLATES | {
+    "Apache-2.0#head": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+    "Apache-2.0#header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+        License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or
+        agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS
+        OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the
+        License.""",
+    "BSD-3-Clause#file": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions
+        and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions
+        and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of
+        the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software
+        without specific prior written permission.""",
+    "GPL-3.0#head": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "GPL-3.0#header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License
+        as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program
+        is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY
+        or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the
+        GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.""",
+    "MIT#file": """MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use,
+        copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
+        Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall
+        be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+        EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+        NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN
+        AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN
+        THE SOFTWARE.""",
+    "MPL-2.0#head": "Mozilla Public License Version 2.0",
+    "MPL-2.0#header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+        distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "Proprietary#header": "Copyright (c). All rights reserved.",
+}
+#: Windows of so many lines are weighed with TEXTS, and whole files.
+SPANS = (1, 2, 3, 4, 6, 8, 11, 16, 21)
+
 FILE_NAMES = r"(?i)(^|/)(licen[cs]e|copying|notice)(\.[a-z]+)?$"
 
 
@@ -69,8 +111,43 @@ def anchors(vectors: dict[str, dict[str, float]], least: float) -> set[str]:
     return out
 
 
-def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """files: doc_id, path, text."""
+def terms_in(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: x != "")
+
+
+def reaches(text: Column, vectors: dict[str, dict[str, float]], least: float) -> Column:
+    """Whether the terms in the text let any template, or any part of the text, reach the threshold (Cauchy-Schwarz)."""
+    terms = F.array_distinct(terms_in(text))
+
+    def reached(v: dict[str, float]) -> Column:
+        squares = F.create_map(*[F.lit(x) for t, w in sorted(v.items()) for x in (t, w * w)])
+        shared = F.array_intersect(terms, F.array(*[F.lit(t) for t in sorted(v)]))
+        return F.aggregate(shared, F.lit(0.0), lambda total, t: total + F.element_at(squares, t)) >= (least * 0.999) ** 2
+
+    return reduce(Column.__or__, map(reached, vectors.values()))
+
+
+def windows(lines: Column, spans: tuple[int, ...]) -> Column:
+    """Structs at (first line, span, part) and line (their text): each window of a span, the whole, and sentences of lines."""
+    n = F.size(lines)
+
+    def named(first: Column, span: Column, part: Column, text: Column) -> Column:
+        return F.struct(F.struct(first.alias("first"), span.alias("span"), part.alias("part")).alias("at"), text.alias("line"))
+
+    def unit(first: Column, span: Column) -> Column:
+        return named(first, span, F.lit(0), F.array_join(F.slice(lines, first + 1, span), " "))
+
+    def sentences(line: Column, i: Column) -> Column:
+        return F.transform(F.split(line, r"[.!?;:]\s+"), lambda x, j: named(i, F.lit(1), j + 1, x))
+
+    def of(k: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: unit(i, F.least(F.lit(k), n)))
+
+    return F.array_distinct(F.flatten(F.array(*map(of, spans), F.array(unit(F.lit(0), n)), F.flatten(F.transform(lines, sentences)))))
+
+
+def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST, spans: tuple[int, ...] = ()) -> DataFrame:
+    """files: doc_id, path, text. spans: besides lines, windows of so many lines, sentences and whole files are weighed."""
     spark = files.sparkSession
     idf, vectors, rare = weights(templates)
     anchored = r"(?i)(^|[^a-z0-9])(" + "|".join(sorted(anchors(vectors, least))) + r")($|[^a-z0-9])"
@@ -81,13 +158,21 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "")
     seen = files.select("row", F.size(lines).alias("n_lines"), F.filter(lines, lambda x: x.rlike(anchored)).alias("lines")).where(F.size("lines") > 0)
     line = seen.select("row", "n_lines", F.posexplode("lines").alias("at", "line"))
-    term = line.select("row", "n_lines", "at", F.explode(F.filter(F.split(F.lower("line"), "[^a-z0-9]+"), lambda x: x != "")).alias("term"))
+    if spans:
+        hopeful = files.where(reaches(F.col("text"), vectors, least)).select("row", lines.alias("lines"))
+        line = hopeful.select("row", F.size("lines").alias("n_lines"), F.explode(windows(F.col("lines"), spans)).alias("u")).select("row", "n_lines", "u.at", "u.line")
+        line = line.where(reaches(F.col("line"), vectors, least))
+    term = line.select("row", "n_lines", "at", F.explode(terms_in(F.col("line"))).alias("term"))
     tf = term.groupBy("row", "n_lines", "at", "term").agg(F.count("*").alias("tf"))
     length = F.sum(F.pow(F.col("tf") * F.coalesce("idf", F.lit(rare)), 2))
     length = tf.join(F.broadcast(idfs), "term", "left").groupBy("row", "n_lines", "at").agg(F.sqrt(length).alias("length"))
     dot = tf.join(F.broadcast(entries), "term").groupBy("row", "at", "template").agg(F.sum(F.col("tf") * F.col("idf") * F.col("w")).alias("dot"))
     score = dot.join(length, ["row", "at"]).select("row", "n_lines", "at", "template", F.round(F.col("dot") / F.col("length"), 6).alias("score")).where(F.col("score") >= least)
     own = score.groupBy("row", "n_lines").agg(F.countDistinct("at").alias("stated"), best_of("template", "score").alias("best"))
+    if spans:
+        score = score.withColumn("template", F.split("template", "#")[0])
+        alone, best = F.countDistinct(F.when(F.col("at.span") == 1, F.col("at.first"))), F.min(F.struct((-F.col("score")).alias("s"), F.col("template").alias("t"), F.col("at.span").alias("span")))
+        own = score.groupBy("row", "n_lines").agg(alone.alias("alone"), best.alias("best")).withColumn("stated", F.greatest("alone", "best.span"))
     own = own.select("row", F.col("best.t").alias("own_license"), (-F.col("best.s")).alias("own_score"), (2 * F.col("stated") > F.col("n_lines")).alias("mostly"))
 
     files = files.drop("text").join(own, "row", "left")

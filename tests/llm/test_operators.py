@@ -396,6 +396,24 @@ def test_licences(spark):
     assert license.scan(docs.limit(0)).count() == 0
 
 
+def test_licence_headers_and_files(spark):
+    wrapped = lambda name, mark: "\n".join(mark + line.strip() for line in license.TEXTS[name].split("\n"))
+    rows = [
+        (1, "a/LICENSE", "MIT License\n\nCopyright (c) 2020 Foo\n\n" + wrapped("MIT#file", "").removeprefix("MIT License. ")),
+        (2, "a/x.py", "code\ncode"),
+        (3, "b/y.py", wrapped("GPL-3.0#header", "# ") + "\n" + "\n".join(f"x{i} = {i}" for i in range(30))),
+        (4, "b/z.py", wrapped("Apache-2.0#header", " * ") + "\ncode"),
+        (5, "c/COPYING", "Mozilla Public License Version 2.0\n\n1. Definitions"),
+        (6, "d/LICENSE", "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\n" + "terms and conditions of use\n" * 9),
+        (7, "e/e.txt", "Copyright 2020 Foo Bar. All rights reserved."),
+        (8, "f/g.txt", "words and the like\nof the person"),
+        (9, None, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["license"] for r in local(license.scan(docs, license.TEXTS, spans=license.SPANS))}
+    assert got == {1: "MIT", 2: "MIT", 3: "GPL-3.0", 4: "Apache-2.0", 5: "MPL-2.0", 6: "Apache-2.0", 7: "Proprietary", 8: None, 9: None}
+
+
 def test_rollup(spark, docs, tmp_path):
     t = Tokenizer.from_file(BYTE)
     counted = tokencounts.counts(docs, {"v1": (BYTE, True)})
