@@ -5,8 +5,8 @@ SAMPLE vectors: residual k-means gives a start, least squares over all codewords
 beam search over the codebooks and indexed with its codes and the squared length of its sum.
 
 Search: |q - x|^2 is |q|^2 - 2 * (sum of q's table entries at x's codes) + the stored length. Rows lie in blocks; each
-block meets the queries in blocks too, keeps the SHORTLIST share of its rows that the tables put nearest, computes their
-exact distances on the original vectors, and returns its nearest k of each query; a grouped limit takes the nearest k of
+block meets the queries in blocks too, keeps the SHORTLIST share of its rows that the tables put nearest and all that tie with
+the last of them, computes their exact distances on the original vectors, and returns its nearest k of each query; a grouped limit takes the nearest k of
 all. So a task's memory is one block of rows and one of queries, and nothing of the table is broadcast but the codebooks.
 
 Queries are rows whose vec_id is divisible by `every`; a query's own row is no candidate. Null, zero or non-finite vectors
@@ -122,6 +122,9 @@ def _search(books: np.ndarray, k: int):
                     own = ids == query
                     near[own] = np.inf
                     pick = np.argpartition(near, short - 1)[:short] if short < len(x) else np.arange(len(x))
+                    # all that the tables put as near as the last of them, such as copies, whose places among equals are arbitrary
+                    cut = near[pick].max()
+                    pick = np.union1d(pick, np.flatnonzero(near <= cut + 1e-9 * np.abs(cut)))
                     # what overflows in the tables is always looked at exactly
                     pick = np.union1d(pick, np.flatnonzero(~np.isfinite(near)))
                     pick = pick[~own[pick]]

@@ -366,6 +366,25 @@ def test_nearest(spark, embeddings):
     assert ann.nearest(embeddings.limit(0)).count() == 0
 
 
+def search_of_block(x, ids, q, k=10):
+    books = ann.fit(x, books=4, words=32)
+    codes, length = ann.encode(x, books)
+    rows = pd.DataFrame({"vec_id": ids, "embedding": list(x), "codes": [c.tobytes() for c in codes], "length": length})
+    asked = -1 - np.arange(len(q))
+    out = ann._search(books, k)((0,), rows, pd.DataFrame({"ids": [asked.astype("<i8").tobytes()], "vectors": [q.astype("<f8").tobytes()]}))
+    return {i: set(g["vec_id"]) for i, g in out.groupby("query_id")}, asked
+
+
+def test_copies_over_the_shortlist():
+    """A third of a full block are copies: the smallest ids of the tie are found, whatever their places."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((ann.BLOCK, 16))
+    x[rng.permutation(ann.BLOCK)[: ann.BLOCK // 3]] = x[0]
+    ids = rng.permutation(10 * ann.BLOCK)[: ann.BLOCK]
+    got, asked = search_of_block(x, ids, x[:1] + 1e-3)
+    assert got[asked[0]] == set(np.sort(ids[(x == x[0]).all(1)])[:10])
+
+
 def test_beam_search_is_no_worse_than_greedy():
     x = RNG.standard_normal((200, 8))
     books = ann.fit(x, books=3, words=16)
