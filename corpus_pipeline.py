@@ -35,7 +35,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_copies", near_copies), ("repeats", repeats), ("packed", packed)]
 
-#: Perplexities, suffix arrays and packing are beyond SQL; the tests hold run() against a brute-force version.
+#: Perplexities, suffix arrays and packing are beyond SQL; the tests hold run() against its stages called one by one, not against brute force.
 ORACLE_SQL = None
 
 

@@ -1,8 +1,7 @@
 """Operator 3: quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
 The model predicts each byte of a text from the ORDER - 1 bytes before it, with one model a language. It is trained on
-documents labelled as good and not toxic: on all of them, or on MOST_TRUSTED by a hash of the id if there are more
-(their ids are broadcast; that bound is a parameter). Counts of the highest order are summed natively; the lower orders
+all documents labelled as good and not toxic. Counts of the highest order are summed natively; the lower orders
 are continuation counts, each derived from the order above; discounts follow Chen and Goodman's modified estimate from the
 counts of counts, a language and order at a time.
 
@@ -33,7 +32,7 @@ from ._blocks import BLOCK_BYTES, Block, blocks, pack, unpack
 from ._session import prepare, schema, written
 
 ORDER = 5
-MOST_TRUSTED, LEAST_TRUSTED = 100_000, 20
+LEAST_TRUSTED = 20
 HIGH, LOW = 0.995, 0.05
 #: A text counts as if so many bytes of its language's usual perplexity stood before it: a few words alone say little.
 PRIOR = 64
@@ -212,13 +211,12 @@ def trusted_ids(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     return of.where("good and not bad and not toxic").select("doc_id"), of.where("bad").select("doc_id")
 
 
-def classify(docs: DataFrame, labels: DataFrame, most_trusted: int = MOST_TRUSTED) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, score, threshold, rejected."""
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text")
     good, bad = trusted_ids(labels)
-    fit_on = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_trusted)
-    entries = model(docs.join(F.broadcast(fit_on), "doc_id", "left_semi").select("lang", "text"))
+    entries = model(docs.join(good, "doc_id", "left_semi").select("lang", "text"))
     scored = written(perplexities(docs, entries), "scored")
     usual = scored.where("perplexity is not null").join(good, "doc_id", "left_semi").groupBy("lang").agg((F.sum(F.log("perplexity") * F.col("n_bytes")) / F.sum("n_bytes")).alias("usual"))
     mixed = F.exp((F.log("perplexity") * F.col("n_bytes") + F.col("usual") * PRIOR) / (F.col("n_bytes") + PRIOR))

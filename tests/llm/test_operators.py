@@ -279,6 +279,21 @@ def test_quality(spark):
     assert not any(r["rejected"] for r in local(kneser.classify(docs, labels.limit(0))))
 
 
+def test_model_trains_on_all_trusted(spark, monkeypatch):
+    """Also beyond the 100,000 that were the bound, and on a rare language's."""
+    seen = {}
+
+    def counted(texts):
+        seen.update({r["lang"]: r["count"] for r in texts.groupBy("lang").count().collect()})
+        raise StopIteration
+
+    monkeypatch.setattr(kneser, "model", counted)
+    docs = spark.range(100_050).selectExpr("id as doc_id", "if(id < 25, 'de', 'en') as lang", "'text' as text")
+    with pytest.raises(StopIteration):
+        kneser.classify(docs, docs.selectExpr("doc_id", "1 as quality", "0 as toxic"))
+    assert seen == {"de": 25, "en": 100_025}
+
+
 @pytest.fixture(scope="module")
 def embeddings(spark):
     rng = np.random.default_rng(3)
