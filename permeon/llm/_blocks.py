@@ -12,7 +12,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,12 +57,8 @@ class Block:
         return [int(d) if k else None for d, k in zip(self.ids, self.known)]
 
 
-def blocks(docs: DataFrame, what: str, group: str | None = None, size: int = BLOCK_BYTES, keep: bool = True) -> DataFrame:
-    """block long, docs binary (see Block), bytes long. group: a string column that is kept for each document.
-
-    keep=False: nothing is written; a block is made anew wherever it is needed and named by a hash of its content. Equal blocks
-    then share a name, and documents must come in the same order each time, as from files; a block that nobody knows is an error
-    for the caller to raise."""
+def blocks(docs: DataFrame, what: str, group: str | None = None, size: int = BLOCK_BYTES) -> DataFrame:
+    """block long, docs binary (see Block), bytes long. group: a string column, free of zero characters, that is kept for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -74,8 +69,7 @@ def blocks(docs: DataFrame, what: str, group: str | None = None, size: int = BLO
                 np.array([i or 0 for i in ids], "<i8"), np.array([i is not None for i in ids], bool), "\0".join(groups).encode(),
                 np.cumsum([len(t) for t in texts], dtype="<i8"), b"".join(texts),
             )
-            name = np.uint64(xxhash.xxh3_64_intdigest(blob)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([blob], pa.binary()), pa.array([n], pa.int64())], names=["block", "docs", "bytes"])
+            return pa.RecordBatch.from_arrays([pa.array([blob], pa.binary()), pa.array([n], pa.int64())], names=["docs", "bytes"])
 
         for batch in batches:
             for i, g, t in zip(*(c.to_pylist() for c in batch.columns)):
@@ -89,5 +83,5 @@ def blocks(docs: DataFrame, what: str, group: str | None = None, size: int = BLO
             yield block()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(group) if group else F.lit(None)).cast("string").alias("grp"), "text")
-    made = rows.mapInArrow(run, schema("block bigint, docs binary, bytes bigint"))
-    return written(made.withColumn("block", F.monotonically_increasing_id()), what) if keep else made
+    made = rows.mapInArrow(run, schema("docs binary, bytes bigint"))
+    return written(made.select(F.monotonically_increasing_id().alias("block"), "docs", "bytes"), what)

@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 #: Bytes in one Arrow batch (a longer document is a batch of its own), which bounds a worker's memory.
 ARROW_BYTES = "4m"
+#: Row groups of scratch tables, which bound what a reader of large binary cells holds.
+ROW_GROUP = 16 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -20,7 +22,10 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names; where all runs in one process (as in tests), one of our own will do."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return named or "/tmp/permeon-checkpoints"
 
 
@@ -33,17 +38,18 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     prepare(spark)
     path = scratch_path(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Delete scratch tables that nothing reads any more."""
+    """Delete scratch tables (as written() returned them) that nothing reads any more."""
     for df in tables:
         spark = df.sparkSession
-        for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -5,40 +5,54 @@ all documents labelled as good and not toxic. Counts of the highest order are su
 are continuation counts, each derived from the order above; discounts follow Chen and Goodman's modified estimate from the
 counts of counts, a language and order at a time.
 
-Scoring joins counts by shards. A block of documents (see _blocks) asks for its distinct n-grams, of whole texts; requests
-meet the model's entries in shards by language and the byte before the last, which every table that an n-gram backs off
-through has in common; log-probabilities come back to the block, which sums them for each document. Where there are many
-blocks, shards are salted by block, so no shard holds more than the requests of SALT_BLOCKS blocks.
+A trusted document is never judged by a model that has seen it: trusted texts are in two halves by a hash of the text, each
+half has a model of its own, and a document of one half is scored by the other's. All other documents are scored by the
+model of both. So thresholds are quantiles of text that the model hasn't seen.
+
+Scoring joins counts by shards. A block of documents (see _blocks) asks for its distinct n-grams of every order, of whole
+texts; requests meet the model's entries in shards by a hash of the whole n-gram, so that neither a common byte nor a common
+context is a hot key and no entry is copied; each n-gram's probability, and what is left to the next order down after it, come
+back to the block, which backs off and sums for each document. A shard is one partition, sorted with its entries first: it
+holds its part of the model (ENTRIES at most, by the number of shards) and one Arrow batch of requests. A scoring
+task holds one block and its replies.
 
 Thresholds are quantiles a language: HIGH of the trusted documents' perplexities, or, where the LOW quantile of the
 documents labelled bad lies above that, the geometric mean of both. A document above its language's threshold is rejected.
-
 Thresholds and decisions use `score`, the perplexity with PRIOR bytes of the language's trusted mean mixed in.
 
-Result: doc_id, lang, n_bytes, perplexity, score, threshold, rejected. Null or empty text: perplexity null, not rejected. Languages
-(null is one of them) with fewer than LEAST_TRUSTED trusted documents have no threshold, and nothing of them is rejected. A
-null doc_id has no label. Repeated rows are scored each; repeated labels count once, as bad if one of them says so. Empty
-tables give no rows. Extra columns are ignored.
+Result: doc_id, lang, n_bytes, perplexity, score, threshold, rejected. Null or empty text: perplexity null, not rejected. Very long
+texts are scored whole, each in a block of its own. Languages (null and '' are one of them) with fewer than LEAST_TRUSTED
+trusted documents have no threshold, and nothing of them is rejected. A null doc_id has no label. Repeated rows are scored
+each; repeated labels count once, as bad if one of them says so. Ties with a threshold are kept. Empty tables give no rows.
+Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
+from collections import defaultdict
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._blocks import BLOCK_BYTES, Block, blocks, pack, unpack
-from ._session import prepare, schema, written
+from ._blocks import Block, blocks, pack, unpack
+from ._session import dropped, prepare, schema, shuffle_partitions, written
+from ._shingles import mix
 
 ORDER = 5
 LEAST_TRUSTED = 20
 HIGH, LOW = 0.995, 0.05
 #: A text counts as if so many bytes of its language's usual perplexity stood before it: a few words alone say little.
 PRIOR = 64
-SHARDS, SALT_BLOCKS = 64, 1_024
-#: Log-probabilities travel as multiples of -UNIT.
-UNIT = 28 / 65535
+#: Entries of the model in one shard, at most (on average of the hash).
+ENTRIES = 2_000_000
+#: Logarithms are stored as multiples of -UNIT in 16 bits; ABSENT stands for no entry.
+UNIT, ABSENT = 28 / 65535, 65535
+#: n-grams as numbers have their order above this bit.
+TOP = 40
 
 
 def grams(text: bytes | np.ndarray) -> np.ndarray:
@@ -51,180 +65,316 @@ def grams(text: bytes | np.ndarray) -> np.ndarray:
     return key
 
 
-def _count(frames):
-    for f in frames:
-        for lang, g in f.groupby("lang"):
-            key, n = np.unique(np.concatenate([grams(t.encode()) for t in g["text"]]), return_counts=True)
-            yield pd.DataFrame({"lang": lang, "key": key.astype(np.int64), "c": n})
+def distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
+
+
+def low(keys: np.ndarray, m: int) -> np.ndarray:
+    """The last m bytes."""
+    return keys & np.uint64((1 << 8 * m) - 1)
+
+
+def wanted(keys: np.ndarray) -> list[np.ndarray]:
+    """For m = 0 .. ORDER the sorted distinct m-grams that probabilities of these ORDER-grams may need, also as contexts."""
+    out = [distinct(keys)]
+    for m in range(ORDER - 1, -1, -1):
+        out.append(distinct(np.concatenate((low(out[-1], m), out[-1] >> np.uint64(8)))))
+    return out[::-1]
+
+
+def numbered(by_order: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([k | np.uint64(m << TOP) for m, k in enumerate(by_order)])
+
+
+def model_of(name: str) -> str:
+    """Names start with '0' or '1' (of that half of the trusted), 'a', or 'b' (labelled bad); models are '0', '1' and 'a'."""
+    return {"0": "1", "1": "0", "a": "a", "b": "a"}[name[0]] + name[1:]
+
+
+def named(block: Block) -> list[str]:
+    return [bytes.fromhex(g).decode() for g in block.groups]
+
+
+# -- the model
+
+
+def counted(made: DataFrame) -> DataFrame:
+    """lang, key, c: ORDER-grams of the blocks' trusted documents, for the model of their half and of both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0):
+                b, of = Block(blob.as_py()), defaultdict(list)
+                for d, name in enumerate(named(b)):
+                    if name[0] in "01":
+                        of[name].append(grams(b.text[b.starts[d] : b.ends[d]]))
+                for name, parts in of.items():
+                    key, n = np.unique(np.concatenate(parts), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(key), pa.string()), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], names=["name", "key", "c"])
 
+    rows = made.select("docs").mapInArrow(run, schema("name string, key bigint, c bigint"))
+    halves = rows.groupBy("name", "key").agg(F.sum("c").alias("c"))
+    both = F.concat(F.lit("a"), F.substr("name", F.lit(2)))
+    return halves.select(F.explode(F.array("name", both)).alias("lang"), "key", "c")
 
-def model(trusted: DataFrame) -> DataFrame:
-    """lang, kind ('p' or 'g'), m, key, value: probabilities of seen m-grams, and the weight that contexts of m - 1 bytes
-    leave to the next order down. trusted: lang, text."""
-    counts = trusted.where("length(text) > 0").mapInPandas(_count, schema("lang string, key bigint, c bigint"))
+
+def _code(x: Column) -> Column:
+    """-ln x in units; of 0, whose logarithm is null here, the largest code."""
+    return F.least(F.rint(-F.log(x) / UNIT), F.lit(float(ABSENT - 1))).cast("int")
+
+
+def model(counts: DataFrame) -> DataFrame:
+    """lang, kind, key, code: for kind 0 log-probabilities of seen m-grams, for kind 1 logarithms of what contexts leave to the
+    next order down, in units. counts: lang, key, c, of ORDER-grams; repeated keys add up."""
     tables = {ORDER: written(counts.groupBy("lang", "key").agg(F.sum("c").alias("c")), "grams")}
     for m in range(ORDER - 1, 0, -1):
-        low = F.col("key").bitwiseAND(F.lit((1 << 8 * m) - 1))
-        tables[m] = tables[m + 1].groupBy("lang", low.alias("key")).agg(F.count("*").alias("c"))
-    lower, out = None, []
+        last = F.col("key").bitwiseAND(F.lit((1 << 8 * m) - 1))
+        tables[m] = written(tables[m + 1].groupBy("lang", last.alias("key")).agg(F.count("*").alias("c")), "grams")
+    lower, steps, out = None, [], []
     for m in range(1, ORDER + 1):
-        t = tables[m].withColumn("context", F.shiftright("key", 8))
-        of = t.groupBy("lang").agg(*(F.count_if(F.col("c") == i).cast("double").alias(f"n{i}") for i in range(1, 5)))
+        of = tables[m].groupBy("lang").agg(*(F.count_if(F.col("c") == i).cast("double").alias(f"n{i}") for i in range(1, 5)))
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        discount = lambda i: F.when((F.col(f"n{i}") > 0) & (F.col("n1") > 0), F.greatest(F.lit(0.0), i - (i + 1) * y * F.col(f"n{i + 1}") / F.nullif(F.col(f"n{i}"), F.lit(0.0)))).otherwise(0.75 * F.lit(1.0))
+        discount = lambda i: F.when((F.col(f"n{i}") > 0) & (F.col("n1") > 0), F.greatest(F.lit(0.0), i - (i + 1) * y * F.col(f"n{i + 1}") / F.nullif(F.col(f"n{i}"), F.lit(0.0)))).otherwise(F.lit(0.75))
         of = of.select("lang", *(discount(i).alias(f"d{i}") for i in (1, 2, 3)))
-        t = t.join(F.broadcast(of), "lang")  # one row a language
+        t = tables[m].join(F.broadcast(of), "lang")  # one row a language
         d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        t = t.withColumn("d", F.least(d, F.col("c").cast("double")))
-        contexts = t.groupBy("lang", "context").agg(F.sum("c").alias("s"), F.sum("d").alias("left"))
-        t = t.join(contexts, ["lang", "context"])
-        t = t.withColumn("share", (F.col("c") - F.col("d")) / F.col("s")).withColumn("weight", F.col("left") / F.col("s"))
+        t = t.select("lang", "key", "c", F.least(d, F.col("c").cast("double")).alias("d"), F.shiftright("key", 8).alias("context"))
+        of_context = Window.partitionBy("lang", "context")  # 256 rows at most
+        t = t.select("lang", "key", "c", "d", F.sum("c").over(of_context).alias("s"), F.sum("d").over(of_context).alias("left"), (F.row_number().over(of_context.orderBy("key")) == 1).alias("first"))
+        t = t.select("lang", "key", "first", ((F.col("c") - F.col("d")) / F.col("s")).alias("share"), (F.col("left") / F.col("s")).alias("weight"))
         if lower is None:
-            p = t.select("lang", "key", (F.col("share") + F.col("weight") / 256).alias("p"))
+            p = F.col("share") + F.col("weight") / 256
         else:
             below = lower.select("lang", F.col("key").alias("suffix"), F.col("p").alias("q"))
-            t = t.withColumn("suffix", F.col("key").bitwiseAND(F.lit((1 << 8 * (m - 1)) - 1)))
-            p = t.join(below, ["lang", "suffix"]).select("lang", "key", (F.col("share") + F.col("weight") * F.col("q")).alias("p"))
-        lower = p = written(p, "probabilities")
-        out.append(p.select("lang", F.lit("p").alias("kind"), F.lit(m).alias("m"), "key", F.col("p").alias("value")))
-        out.append(contexts.select("lang", F.lit("g").alias("kind"), F.lit(m).alias("m"), F.col("context").alias("key"), (F.col("left") / F.col("s")).alias("value")))
+            t = t.withColumn("suffix", F.col("key").bitwiseAND(F.lit((1 << 8 * (m - 1)) - 1))).join(below, ["lang", "suffix"])
+            p = F.col("share") + F.col("weight") * F.col("q")
+        lower = written(t.select("lang", "key", "first", "weight", p.alias("p")), "probabilities")
+        steps.append(lower)
+        out.append(lower.select("lang", F.lit(0).alias("kind"), F.col("key").bitwiseOR(F.lit(m << TOP)).alias("key"), _code(F.col("p")).alias("code")))
+        context = F.shiftright("key", 8).bitwiseOR(F.lit((m - 1) << TOP))
+        out.append(lower.where("first").select("lang", F.lit(1).alias("kind"), context.alias("key"), _code(F.col("weight")).alias("code")))
     every = out[0]
     for t in out[1:]:
         every = every.unionByName(t)
-    return written(every, "model")
+    every = written(every, "model")
+    dropped(*tables.values(), *steps)
+    return every
+
+
+# -- requests and replies
+
+
+def spread(keys: np.ndarray, shards: int) -> np.ndarray:
+    return (mix(keys) % np.uint64(shards)).astype(np.int64)
+
+
+def ask(block: Block, shards: int) -> list[tuple[int, bytes]]:
+    """Messages (shard, names of models and their sorted n-grams as differences in planes of bytes)."""
+    of, out = defaultdict(list), defaultdict(list)
+    for d, name in enumerate(named(block)):
+        of[model_of(name)].append(grams(block.text[block.starts[d] : block.ends[d]]))
+    for name in sorted(of):
+        keys = numbered(wanted(np.concatenate(of[name])))
+        shard = spread(keys, shards)
+        order = np.argsort(shard, kind="stable")
+        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            out[s].append((name, keys[order[cuts[s] : cuts[s + 1]]]))
+    messages = []
+    for s, parts in out.items():
+        keys = np.concatenate([k for _, k in parts])
+        planes = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.copy()
+        messages.append((s, pack(json.dumps([[n, len(k)] for n, k in parts]).encode(), planes)))
+    return messages
+
+
+class Entries:
+    """A shard's part of the model."""
+
+    def __init__(self) -> None:
+        self.parts, self.of = defaultdict(list), {}
+
+    def add(self, lang: pa.Array, kind: np.ndarray, key: np.ndarray, code: np.ndarray) -> None:
+        coded = lang.dictionary_encode()
+        which = coded.indices.to_numpy()
+        for i, name in enumerate(coded.dictionary.to_pylist()):
+            for k in (0, 1):
+                here = (which == i) & (kind == k)
+                self.parts[name, k].append((key[here].astype(np.uint64), code[here].astype(np.uint16)))
+
+    def close(self) -> None:
+        for which, parts in self.parts.items():
+            key, code = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(key)
+            self.of[which] = key[order], code[order]
+        self.parts.clear()
+
+    def look(self, name: str, kind: int, keys: np.ndarray) -> np.ndarray:
+        known, code = self.of.get((name, kind), (np.empty(0, np.uint64), np.empty(0, np.uint16)))
+        if not len(known):
+            return np.full(len(keys), ABSENT, np.uint16)
+        i = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[i] == keys, code[i], np.uint16(ABSENT))
+
+    def reply(self, message: bytes) -> bytes:
+        names, planes = unpack(message)
+        keys = np.cumsum(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+        out, at = [], 0
+        for name, n in json.loads(names):
+            out.append([self.look(name, kind, keys[at : at + n]) for kind in (0, 1)])
+            at += n
+        return pack(*(np.concatenate(x).astype("<u2") for x in zip(*out)))
+
+
+def _ask(shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                shard, data = zip(*ask(Block(blob.as_py()), shards)) if len(blob.as_py()) else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(shard), pa.int64()), pa.array(shard, pa.int32()), pa.array(data, pa.binary())], names=["block", "shard", "data"])
+
+    return run
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one shard: lang, kind, key, code, block, shard, data; entries (without a block) come first."""
+    entries, closed = Entries(), False
+    for batch in batches:
+        n = batch.column(4).null_count
+        if n:
+            entries.add(batch.column(0).slice(0, n), *(batch.column(i).slice(0, n).to_numpy() for i in (1, 2, 3)))
+        if n == len(batch):
+            continue
+        if not closed:
+            entries.close()
+            closed = True
+        rest = batch.slice(n)
+        replies = [entries.reply(m.as_py()) for m in rest.column(6)]
+        yield pa.RecordBatch.from_arrays([rest.column(4), rest.column(5), pa.array(replies, pa.binary())], names=["block", "shard", "data"])
+
+
+def log_probabilities(by_order: list[np.ndarray], p: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Of the ORDER-grams, backing off through the orders; p and left are codes of all wanted n-grams."""
+    ends = np.cumsum([len(k) for k in by_order])
+    part = lambda x, m: x[ends[m] - len(by_order[m]) : ends[m]]
+    value = np.full(len(by_order[0]), -np.log(256))  # after nothing known, every byte alike
+    for m in range(1, ORDER + 1):
+        keys, seen, weight = by_order[m], part(p, m), part(left, m - 1)
+        weight = np.where(weight == ABSENT, 0, weight)[np.searchsorted(by_order[m - 1], keys >> np.uint64(8))]
+        below = value[np.searchsorted(by_order[m - 1], low(keys, m - 1))]
+        value = np.where(seen == ABSENT, below - UNIT * weight, -UNIT * seen)
+    return value
+
+
+def scores(block: Block, replies: dict[int, bytes], shards: int) -> list[tuple]:
+    """(doc_id, name, bytes, perplexity) of each document."""
+    answers = {s: [np.frombuffer(x, "<u2") for x in unpack(data)] for s, data in replies.items()}
+    taken, names, out = defaultdict(int), named(block), []
+    ids, size = block.doc_ids(), block.ends - block.starts
+    models = np.array([model_of(n) for n in names])
+    for name in sorted(set(models.tolist())):  # in the order of ask()
+        docs = np.flatnonzero(models == name)
+        every = np.concatenate([grams(block.text[block.starts[d] : block.ends[d]]) for d in docs])
+        by_order = wanted(every)
+        keys = numbered(by_order)
+        shard = spread(keys, shards)
+        order = np.argsort(shard, kind="stable")
+        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+        p, left = np.empty(len(keys), np.uint16), np.empty(len(keys), np.uint16)
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            here, at = order[cuts[s] : cuts[s + 1]], taken[s]
+            p[here], left[here] = answers[s][0][at : at + len(here)], answers[s][1][at : at + len(here)]
+            taken[s] += len(here)
+        value = log_probabilities(by_order, p, left)
+        total = np.concatenate(([0.0], np.cumsum(value[np.searchsorted(by_order[ORDER], every)])))
+        ends = np.cumsum(size[docs])
+        for d, end in zip(docs.tolist(), ends.tolist()):
+            n = int(size[d])
+            out.append((ids[d], names[d], n, float(np.exp(-(total[end] - total[end - n]) / n)) if n else None))
+    return out
 
 
-class Tables:
-    """A shard's part of the model, by language."""
+def _score(shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows block, shard, data, sorted: a block (without a shard), then its replies."""
+        held, replies = None, {}
 
-    def __init__(self, rows: pd.DataFrame) -> None:
-        self.of = {}
-        for (lang, kind, m), g in rows.groupby(["lang", "kind", "m"]):
-            g = g.sort_values("key")
-            self.of[lang, kind, m] = g["key"].to_numpy(np.uint64), g["value"].to_numpy()
+        def done() -> Iterator[pa.RecordBatch]:
+            if held is not None:
+                rows = scores(Block(held), replies, shards)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.float64()))], names=["doc_id", "name", "n_bytes", "perplexity"])
 
-    def look(self, lang: str, kind: str, m: int, keys: np.ndarray) -> np.ndarray:
-        """NaN where there is no entry."""
-        known, value = self.of.get((lang, kind, m), (np.empty(0, np.uint64), np.empty(0)))
-        if not len(known):
-            return np.full(len(keys), np.nan)
-        i = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return np.where(known[i] == keys, value[i], np.nan)
-
-    def log_probability(self, lang: str, keys: np.ndarray) -> np.ndarray:
-        """Of each ORDER-gram, backing off through the orders."""
-        p = self.look(lang, "p", 1, keys & np.uint64(255))
-        p = np.where(np.isnan(p), np.nan_to_num(self.look(lang, "g", 1, np.zeros(len(keys), np.uint64)), nan=1.0) / 256, p)
-        for m in range(2, ORDER + 1):
-            gram = keys & np.uint64((1 << 8 * m) - 1)
-            weight = self.look(lang, "g", m, gram >> np.uint64(8))
-            seen = self.look(lang, "p", m, gram)
-            p = np.where(np.isnan(seen), np.where(np.isnan(weight), p, weight * p), seen)
-        return np.log(np.maximum(p, 1e-12))
-
-
-def shards_of(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(8) & np.uint64(255)).astype(np.int64) * 37 % SHARDS
-
-
-def _distinct(block: Block) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each language: which documents, their distinct n-grams by shard, and each byte's place among these."""
-    out = {}
-    langs = np.array(block.groups)
-    for lang in sorted(set(block.groups)):
-        docs = np.flatnonzero(langs == lang)
-        parts = [grams(block.text[block.starts[d] : block.ends[d]]) for d in docs]
-        keys, place = np.unique(np.concatenate(parts), return_inverse=True)
-        order = np.argsort(shards_of(keys), kind="stable")
-        back = np.empty_like(order)
-        back[order] = np.arange(len(order))
-        out[lang] = docs, keys[order], back[place]
-    return out
+        for batch in batches:
+            for shard, data in zip(batch.column(1).to_pylist(), batch.column(2)):
+                if shard is None:
+                    yield from done()
+                    held, replies = data.as_py(), {}
+                else:
+                    replies[shard] = data.as_py()
+        yield from done()
+
+    return run
+
+
+def perplexities(made: DataFrame, entries: DataFrame, shards: int) -> DataFrame:
+    """doc_id, name, n_bytes, perplexity of each document of the blocks."""
+    spark = made.sparkSession
+    asked = made.select("block", "docs").mapInArrow(_ask(shards), schema("block bigint, shard int, data binary"))
+    rows = entries.select("lang", "kind", "key", "code").mapInArrow(_dealt(shards), schema("lang string, kind int, key bigint, code int, block bigint, shard int, data binary"))
+    blank = [F.lit(None).cast(t).alias(n) for n, t in (("lang", "string"), ("kind", "int"), ("key", "bigint"), ("code", "int"))]
+    rows = rows.unionByName(asked.select(*blank, "block", "shard", "data"))
+    rows = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions(F.col("block").isNotNull())
+    replies = rows.mapInArrow(_answer, schema("block bigint, shard int, data binary"))
+    both = made.select("block", F.lit(None).cast("int").alias("shard"), F.col("docs").alias("data")).unionByName(replies)
+    both = both.repartition(max(shuffle_partitions(spark), 1), "block").sortWithinPartitions("block", F.col("shard").asc_nulls_first())
+    return both.mapInArrow(_score(shards), schema("doc_id bigint, name string, n_bytes bigint, perplexity double"))
+
+
+def _dealt(shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard = pa.array(spread(batch.column(2).to_numpy().astype(np.uint64), shards), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(len(batch), pa.int64()), shard, pa.nulls(len(batch), pa.binary())], names=["lang", "kind", "key", "code", "block", "shard", "data"])
+
+    return run
+
+
+# -- decisions
 
 
-def packed(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences in planes of bytes."""
-    return pack(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.copy())
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(unpack(data)[0], np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
-
-
-def _ask(frames):
-    for f in frames:
-        for number, blob in zip(f["block"], f["docs"]):
-            rows = []
-            for lang, (_, keys, _) in _distinct(Block(blob)).items():
-                shard = shards_of(keys)
-                cuts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True]))) if len(keys) else []
-                rows += [(number, lang, int(shard[lo]), packed(keys[lo:hi])) for lo, hi in zip(cuts[:-1], cuts[1:])]
-            yield pd.DataFrame(rows, columns=["block", "lang", "shard", "data"])
-
-
-def _answer(key: tuple, asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-    tables, out = Tables(rows), []
-    for lang, g in asked.groupby("lang"):
-        lists = [unpacked(x) for x in g["data"]]
-        keys = np.unique(np.concatenate(lists))
-        found = np.rint(np.minimum(-tables.log_probability(lang, keys) / UNIT, 65535)).astype("<u2")
-        out += [(b, lang, key[0], found[np.searchsorted(keys, x)].tobytes()) for b, x in zip(g["block"], lists)]
-    return pd.DataFrame(out, columns=["block", "lang", "shard", "data"])
-
-
-def _score(key: tuple, block: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-    rows = []
-    for blob in block["docs"]:
-        b, ids = Block(blob), Block(blob).doc_ids()
-        for lang, (docs, keys, place) in _distinct(b).items():
-            mine = replies[replies["lang"] == lang].drop_duplicates("shard").sort_values("shard")
-            value = np.frombuffer(b"".join(mine["data"]), "<u2") * -UNIT
-            if len(value) != len(keys):
-                raise ValueError("documents came in another order than before; write the table first")
-            ends = np.cumsum(b.ends[docs] - b.starts[docs])
-            total = np.concatenate(([0.0], np.cumsum(value[place]))) if len(place) else np.zeros(1)
-            for d, end in zip(docs.tolist(), ends.tolist()):
-                n = int(b.ends[d] - b.starts[d])
-                rows.append((ids[d], lang, n, float(np.exp(-(total[end] - total[end - n]) / n)) if n else None))
-    return pd.DataFrame(rows, columns=["doc_id", "lang", "n_bytes", "perplexity"]).astype({"doc_id": "Int64"})
-
-
-def perplexities(docs: DataFrame, entries: DataFrame) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity."""
-    made = blocks(docs, "quality-blocks", group="lang", keep=False)
-    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    salts = max(1, -(-total // (BLOCK_BYTES * SALT_BLOCKS)))
-    salt = F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")
-    asked = made.select("block", "docs").mapInPandas(_ask, schema("block bigint, lang string, shard int, data binary")).withColumn("salt", salt)
-    # an entry goes to the shard of the byte before the last, or of a context's last byte; order 1 goes to all
-    last = F.when(F.col("kind") == "p", F.shiftright("key", 8)).otherwise(F.col("key")).bitwiseAND(F.lit(255))
-    shard = F.when(F.col("m") == 1, F.sequence(F.lit(0), F.lit(SHARDS - 1))).otherwise(F.array((last * 37 % SHARDS).cast("int")))
-    dealt = entries.withColumn("shard", F.explode(shard)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    replies = asked.groupBy("shard", "salt").cogroup(dealt.groupBy("shard", "salt")).applyInPandas(_answer, schema("block bigint, lang string, shard int, data binary"))
-    return made.select("block", "docs").groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_score, schema("doc_id bigint, lang string, n_bytes bigint, perplexity double"))
-
-
-def trusted_ids(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Ids labelled good, and ids labelled bad."""
-    bad = F.coalesce(F.col("quality") == 0, F.lit(False))
-    of = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(bad).alias("bad"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"), F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"))
-    return of.where("good and not bad and not toxic").select("doc_id"), of.where("bad").select("doc_id")
+def marks(labels: DataFrame) -> DataFrame:
+    """doc_id, mark: 'good' where labelled good, never bad and never toxic; 'bad' where labelled bad."""
+    said = lambda c, v: F.max(F.coalesce(F.col(c) == v, F.lit(False)))
+    of = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(said("quality", 0).alias("bad"), said("toxic", 1).alias("toxic"), said("quality", 1).alias("good"))
+    mark = F.when(F.col("bad"), "bad").when(F.col("good") & ~F.col("toxic"), "good")
+    return of.select("doc_id", mark.alias("mark")).where("mark is not null")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, score, threshold, rejected."""
-    prepare(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text")
-    good, bad = trusted_ids(labels)
-    entries = model(docs.join(good, "doc_id", "left_semi").select("lang", "text"))
-    scored = written(perplexities(docs, entries), "scored")
-    usual = scored.where("perplexity is not null").join(good, "doc_id", "left_semi").groupBy("lang").agg((F.sum(F.log("perplexity") * F.col("n_bytes")) / F.sum("n_bytes")).alias("usual"))
+    spark = docs.sparkSession
+    prepare(spark)
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.col("text").cast("string").alias("text"))
+    docs = docs.join(marks(labels), "doc_id", "left")
+    half = F.pmod(F.xxhash64("text"), F.lit(2)).cast("string")
+    kind = F.when((F.col("mark") == "good") & (F.length("text") > 0), half).when(F.col("mark") == "bad", "b").otherwise("a")
+    made = blocks(docs.withColumn("name", F.hex(F.concat(kind, "lang"))), "quality-blocks", group="name")
+    entries = model(counted(made))
+    shards = max(shuffle_partitions(spark), -(-entries.count() // ENTRIES))
+    scored = perplexities(made, entries, shards)
+    kind = F.substr("name", F.lit(1), F.lit(1))
+    scored = written(scored.select("doc_id", F.substr("name", F.lit(2)).alias("lang"), kind.alias("kind"), "n_bytes", "perplexity"), "scored")
+    dropped(made, entries)
+    trusted = F.col("kind").isin("0", "1")
+    usual = scored.where(trusted).groupBy("lang").agg((F.sum(F.log("perplexity") * F.col("n_bytes")) / F.sum("n_bytes")).alias("usual"))
     mixed = F.exp((F.log("perplexity") * F.col("n_bytes") + F.col("usual") * PRIOR) / (F.col("n_bytes") + PRIOR))
     scored = scored.join(F.broadcast(usual), "lang", "left").withColumn("score", mixed)  # one row a language
-    known = scored.where("score is not null")
-    high = known.join(good, "doc_id", "left_semi").groupBy("lang").agg(F.percentile_approx("score", HIGH, 100_000).alias("high"), F.count("*").alias("n")).where(F.col("n") >= LEAST_TRUSTED)
-    low = known.join(bad, "doc_id", "left_semi").groupBy("lang").agg(F.percentile_approx("score", LOW, 100_000).alias("low"))
-    limits = high.join(low, "lang", "left").select("lang", F.when(F.col("low") > F.col("high"), F.sqrt(F.col("low") * F.col("high"))).otherwise(F.col("high")).alias("threshold"))
+    high = F.percentile_approx(F.when(trusted, F.col("score")), F.lit(HIGH), F.lit(100_000))
+    worst = F.percentile_approx(F.when(F.col("kind") == "b", F.col("score")), F.lit(LOW), F.lit(100_000))
+    limits = scored.where(F.col("score").isNotNull() & (F.col("kind") != "a")).groupBy("lang").agg(high.alias("high"), worst.alias("low"), F.count_if(trusted).alias("n")).where(F.col("n") >= LEAST_TRUSTED)
+    limits = limits.select("lang", F.when(F.col("low") > F.col("high"), F.sqrt(F.col("low") * F.col("high"))).otherwise(F.col("high")).alias("threshold"))
     out = scored.join(F.broadcast(limits), "lang", "left")
     return out.select("doc_id", "lang", "n_bytes", "perplexity", "score", "threshold", F.coalesce(F.col("score") > F.col("threshold"), F.lit(False)).alias("rejected"))
 

@@ -251,17 +251,56 @@ def test_repeats_inside_a_document_over_batches(monkeypatch):
     assert dict(zip(got["doc_id"], got["n_removed"])) == want and want[9] >= 3 * len(line)
 
 
-def test_perplexity_is_kneser_ney(spark, docs):
-    train = ["abab abc", "abba cab", "bca", prose(30, 9)]
-    entries = kneser.model(spark.createDataFrame([("en", t) for t in train], "lang string, text string"))
-    grams = [[("\0" * 4 + t)[i : i + 5] for i in range(len(t))] for t in train if t.isascii()]
-    got = {r["doc_id"]: r for r in local(kneser.perplexities(docs, entries))}
-    assert len(grams) >= 3 and all(r["perplexity"] is None or r["perplexity"] > 1 for r in got.values())
-    # probabilities of all next bytes sum to one after any context
-    tables = kneser.Tables(entries.toPandas())
-    for context in (b"\0\0\0\0", b"abab", b"zzzz", b"ab c"):
-        keys = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], np.uint64)
-        assert np.exp(tables.log_probability("en", keys)).sum() == pytest.approx(1)
+def brute_kneser_ney(train):
+    """probability(context of 4 bytes, byte) from counts as the estimate defines them, in dictionaries."""
+    counts = {5: defaultdict(int)}
+    for t in train:
+        data = b"\0" * 4 + t.encode()
+        for i in range(len(data) - 4):
+            counts[5][data[i : i + 5]] += 1
+    for m in (4, 3, 2, 1):
+        counts[m] = defaultdict(int)
+        for g in counts[m + 1]:
+            counts[m][g[1:]] += 1
+    tables = {}
+    for m, of in counts.items():
+        n = [sum(c == i for c in of.values()) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+        d = [0] + [max(0, i - (i + 1) * y * n[i + 1] / n[i]) if n[i] and n[1] and i < 4 and i + 1 < 5 else 0.75 for i in (1, 2, 3)]
+        total, left = defaultdict(int), defaultdict(float)
+        for g, c in of.items():
+            total[g[:-1]] += c
+            left[g[:-1]] += min(c, d[min(c, 3)])
+        tables[m] = of, total, left, d
+
+    def probability(context, byte):
+        p = 1 / 256
+        for m in range(1, 6):
+            of, total, left, d = tables[m]
+            c = context[5 - m :]
+            if c in total:
+                n = of.get(c + byte, 0)
+                p = (n - min(n, d[min(n, 3)])) / total[c] + max(left[c] / total[c], np.exp(-28)) * p
+        return p
+
+    return probability
+
+
+def test_perplexity_is_kneser_ney(spark):
+    """Of trusted documents by the model of the other half, of others by the model of both: all as brute force has it."""
+    train = [prose(40, 900 + i) for i in range(12)] + ["abab abc", "abba cab"]
+    other = ["bca abc", prose(70, 940), "zzz \0 ééé 你好", "a", prose(3000, 941)]
+    rows = [(i, t, "en", i % 2) for i, t in enumerate([*train, *other])] + [(100, None, "en", 7), (101, "", None, 7), (102, "no model", "fr", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, name int").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(len(train))], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in local(kneser.classify(docs, labels))}
+    halves = {r["doc_id"]: r["h"] for r in local(docs.selectExpr("doc_id", "pmod(xxhash64(text), 2) as h")) if r["doc_id"] < len(train)}
+    models = {h: brute_kneser_ney([t for i, t in enumerate(train) if halves[i] != h]) for h in (0, 1)} | {None: brute_kneser_ney(train)}
+    for i, t in enumerate([*train, *other]):
+        data = b"\0" * 4 + t.encode()
+        logs = [np.log(models[halves.get(i)](data[j : j + 4], data[j + 4 : j + 5])) for j in range(len(data) - 4)]
+        assert got[i]["perplexity"] == pytest.approx(np.exp(-np.mean(logs)), rel=2e-3)
+    assert got[100]["perplexity"] is None and got[101]["perplexity"] is None and got[102]["perplexity"] == pytest.approx(256, rel=1e-3)
 
 
 def test_quality(spark):
@@ -279,21 +318,6 @@ def test_quality(spark):
     assert not any(r["rejected"] for r in local(kneser.classify(docs, labels.limit(0))))
 
 
-def test_model_trains_on_all_trusted(spark, monkeypatch):
-    """Also beyond the 100,000 that were the bound, and on a rare language's."""
-    seen = {}
-
-    def counted(texts):
-        seen.update({r["lang"]: r["count"] for r in texts.groupBy("lang").count().collect()})
-        raise StopIteration
-
-    monkeypatch.setattr(kneser, "model", counted)
-    docs = spark.range(100_050).selectExpr("id as doc_id", "if(id < 25, 'de', 'en') as lang", "'text' as text")
-    with pytest.raises(StopIteration):
-        kneser.classify(docs, docs.selectExpr("doc_id", "1 as quality", "0 as toxic"))
-    assert seen == {"de": 25, "en": 100_025}
-
-
 @pytest.fixture(scope="module")
 def embeddings(spark):
     rng = np.random.default_rng(3)
