@@ -57,8 +57,9 @@ class Block:
         return [int(d) if k else None for d, k in zip(self.ids, self.known)]
 
 
-def blocks(docs: DataFrame, what: str, group: str | None = None, size: int = BLOCK_BYTES) -> DataFrame:
-    """block long, docs binary (see Block), bytes long. group: a string column, free of zero characters, that is kept for each document."""
+def blocks(docs: DataFrame, what: str, group: str | None = None, size: int = BLOCK_BYTES, buckets: int = 0) -> DataFrame:
+    """block long, docs binary (see Block), bytes long. group: a string column, free of zero characters, that is kept for each document.
+    buckets: so many buckets by block, which a join on it reads in place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -84,4 +85,4 @@ def blocks(docs: DataFrame, what: str, group: str | None = None, size: int = BLO
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(group) if group else F.lit(None)).cast("string").alias("grp"), "text")
     made = rows.mapInArrow(run, schema("docs binary, bytes bigint"))
-    return written(made.select(F.monotonically_increasing_id().alias("block"), "docs", "bytes"), what)
+    return written(made.select(F.monotonically_increasing_id().alias("block"), "docs", "bytes"), what, ("block", buckets) if buckets else None)

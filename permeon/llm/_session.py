@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 ARROW_BYTES = "4m"
 #: Row groups of scratch tables, which bound what a reader of large binary cells holds.
 ROW_GROUP = 16 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -33,14 +35,25 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/permeon-{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Cut lineage: write to a table in the shared folder and read it back."""
+def written(df: DataFrame, what: str, buckets: tuple[str, int] | None = None) -> DataFrame:
+    """Cut lineage: write to a table in the shared folder and read it back. buckets: a column and a number, which then need a name
+    in the catalog."""
     spark = df.sparkSession
     prepare(spark)
     path = scratch_path(spark, what)
-    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table.scratch = path
+    writer, name = df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP), None
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # once a table is written, nothing needs its shuffles
+    try:
+        if buckets:
+            name = os.path.basename(path).replace("-", "_")
+            writer.bucketBy(buckets[1], buckets[0]).option("path", path).saveAsTable(name)
+        else:
+            writer.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    table = spark.table(name) if name else spark.read.schema(df.schema).parquet(path)
+    table.scratch = path, name
     return table
 
 
@@ -48,7 +61,10 @@ def dropped(*tables: DataFrame) -> None:
     """Delete scratch tables (as written() returned them) that nothing reads any more."""
     for df in tables:
         spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        place, name = df.scratch
+        if name:
+            spark.sql(f"drop table if exists {name}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -5,24 +5,23 @@ all documents labelled as good and not toxic. Counts of the highest order are su
 are continuation counts, each derived from the order above; discounts follow Chen and Goodman's modified estimate from the
 counts of counts, a language and order at a time.
 
-A trusted document is never judged by a model that has seen it: trusted texts are in two halves by a hash of the text, each
-half has a model of its own, and a document of one half is scored by the other's. All other documents are scored by the
-model of both. So thresholds are quantiles of text that the model hasn't seen.
+One in HELD_OUT of the trusted texts, by a hash of the text, is kept out of the training, and thresholds come from those alone:
+they are quantiles of text that the model hasn't seen.
 
 Scoring joins counts by shards. A block of documents (see _blocks) asks for its distinct n-grams of every order, of whole
 texts; requests meet the model's entries in shards by a hash of the whole n-gram, so that neither a common byte nor a common
 context is a hot key and no entry is copied; each n-gram's probability, and what is left to the next order down after it, come
 back to the block, which backs off and sums for each document. A shard is one partition, sorted with its entries first: it
-holds its part of the model (ENTRIES at most, by the number of shards) and one Arrow batch of requests. A scoring
-task holds one block and its replies.
+holds its part of the model (ENTRIES at most, by the number of shards) and one Arrow batch of requests. Blocks are written
+in buckets, so that replies move to them and the texts stay where they are; a scoring task holds one block and its replies.
 
-Thresholds are quantiles a language: HIGH of the trusted documents' perplexities, or, where the LOW quantile of the
+Thresholds are quantiles a language: HIGH of the held-out trusted documents' perplexities, or, where the LOW quantile of the
 documents labelled bad lies above that, the geometric mean of both. A document above its language's threshold is rejected.
 Thresholds and decisions use `score`, the perplexity with PRIOR bytes of the language's trusted mean mixed in.
 
 Result: doc_id, lang, n_bytes, perplexity, score, threshold, rejected. Null or empty text: perplexity null, not rejected. Very long
 texts are scored whole, each in a block of its own. Languages (null and '' are one of them) with fewer than LEAST_TRUSTED
-trusted documents have no threshold, and nothing of them is rejected. A null doc_id has no label. Repeated rows are scored
+held-out trusted documents have no threshold, and nothing of them is rejected. A null doc_id has no label. Repeated rows are scored
 each; repeated labels count once, as bad if one of them says so. Ties with a threshold are kept. Empty tables give no rows.
 Extra columns are ignored, whatever their names.
 """
@@ -43,7 +42,7 @@ from ._session import dropped, prepare, schema, shuffle_partitions, written
 from ._shingles import mix
 
 ORDER = 5
-LEAST_TRUSTED = 20
+HELD_OUT, LEAST_TRUSTED = 3, 10
 HIGH, LOW = 0.995, 0.05
 #: A text counts as if so many bytes of its language's usual perplexity stood before it: a few words alone say little.
 PRIOR = 64
@@ -51,6 +50,12 @@ PRIOR = 64
 ENTRIES = 2_000_000
 #: Logarithms are stored as multiples of -UNIT in 16 bits; ABSENT stands for no entry.
 UNIT, ABSENT = 28 / 65535, 65535
+#: Bytes of trusted text that a task counts together.
+COUNT_BYTES = 6 << 20
+#: Entries that a task puts in messages together.
+DEALT = 500_000
+#: So many marks (16 MB) are broadcast to the documents; beyond, both sides are shuffled.
+MARKS = 1_000_000
 #: n-grams as numbers have their order above this bit.
 TOP = 40
 
@@ -87,12 +92,8 @@ def numbered(by_order: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([k | np.uint64(m << TOP) for m, k in enumerate(by_order)])
 
 
-def model_of(name: str) -> str:
-    """Names start with '0' or '1' (of that half of the trusted), 'a', or 'b' (labelled bad); models are '0', '1' and 'a'."""
-    return {"0": "1", "1": "0", "a": "a", "b": "a"}[name[0]] + name[1:]
-
-
 def named(block: Block) -> list[str]:
+    """Kinds and languages: 't' trusted, 'h' trusted and held out, 'b' labelled bad, 'a' any other."""
     return [bytes.fromhex(g).decode() for g in block.groups]
 
 
@@ -100,23 +101,30 @@ def named(block: Block) -> list[str]:
 
 
 def counted(made: DataFrame) -> DataFrame:
-    """lang, key, c: ORDER-grams of the blocks' trusted documents, for the model of their half and of both."""
+    """lang, key, c: ORDER-grams of the blocks' trusted documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, held = defaultdict(list), 0
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            for name, parts in of.items():
+                key, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(key), pa.string()), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "key", "c"])
+            of.clear()
+
         for batch in batches:
             for blob in batch.column(0):
-                b, of = Block(blob.as_py()), defaultdict(list)
+                b = Block(blob.as_py())
                 for d, name in enumerate(named(b)):
-                    if name[0] in "01":
-                        of[name].append(grams(b.text[b.starts[d] : b.ends[d]]))
-                for name, parts in of.items():
-                    key, n = np.unique(np.concatenate(parts), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(key), pa.string()), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], names=["name", "key", "c"])
+                    if name[0] == "t":
+                        of[name[1:]].append(grams(b.text[b.starts[d] : b.ends[d]]))
+                        held += int(b.ends[d] - b.starts[d])
+                if held > COUNT_BYTES:
+                    yield from sums()
+                    held = 0
+        yield from sums()
 
-    rows = made.select("docs").mapInArrow(run, schema("name string, key bigint, c bigint"))
-    halves = rows.groupBy("name", "key").agg(F.sum("c").alias("c"))
-    both = F.concat(F.lit("a"), F.substr("name", F.lit(2)))
-    return halves.select(F.explode(F.array("name", both)).alias("lang"), "key", "c")
+    return made.select("docs").mapInArrow(run, schema("lang string, key bigint, c bigint"))
 
 
 def _code(x: Column) -> Column:
@@ -166,14 +174,29 @@ def model(counts: DataFrame) -> DataFrame:
 
 
 def spread(keys: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(keys) % np.uint64(shards)).astype(np.int64)
+    """By a hash of all but the last two bytes: at most 65,536 neighbours stay together, which makes messages short."""
+    return (mix(keys >> np.uint64(16)) % np.uint64(shards)).astype(np.int64)
+
+
+def flat(keys: np.ndarray) -> np.ndarray:
+    """Differences in planes of bytes, which compress well."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.copy()
+
+
+def restored(planes: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def contexts(keys: np.ndarray) -> int:
+    """How many of sorted n-grams are of an order below ORDER, and so are asked as contexts too."""
+    return int(np.searchsorted(keys, np.uint64(ORDER << TOP)))
 
 
 def ask(block: Block, shards: int) -> list[tuple[int, bytes]]:
     """Messages (shard, names of models and their sorted n-grams as differences in planes of bytes)."""
     of, out = defaultdict(list), defaultdict(list)
     for d, name in enumerate(named(block)):
-        of[model_of(name)].append(grams(block.text[block.starts[d] : block.ends[d]]))
+        of[name[1:]].append(grams(block.text[block.starts[d] : block.ends[d]]))
     for name in sorted(of):
         keys = numbered(wanted(np.concatenate(of[name])))
         shard = spread(keys, shards)
@@ -184,8 +207,7 @@ def ask(block: Block, shards: int) -> list[tuple[int, bytes]]:
     messages = []
     for s, parts in out.items():
         keys = np.concatenate([k for _, k in parts])
-        planes = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.copy()
-        messages.append((s, pack(json.dumps([[n, len(k)] for n, k in parts]).encode(), planes)))
+        messages.append((s, pack(json.dumps([[n, len(k)] for n, k in parts]).encode(), flat(keys))))
     return messages
 
 
@@ -195,13 +217,12 @@ class Entries:
     def __init__(self) -> None:
         self.parts, self.of = defaultdict(list), {}
 
-    def add(self, lang: pa.Array, kind: np.ndarray, key: np.ndarray, code: np.ndarray) -> None:
-        coded = lang.dictionary_encode()
-        which = coded.indices.to_numpy()
-        for i, name in enumerate(coded.dictionary.to_pylist()):
-            for k in (0, 1):
-                here = (which == i) & (kind == k)
-                self.parts[name, k].append((key[here].astype(np.uint64), code[here].astype(np.uint16)))
+    def add(self, message: bytes) -> None:
+        what, planes, codes = unpack(message)
+        key, code, at = restored(planes), np.frombuffer(codes, "<u2"), 0
+        for name, kind, n in json.loads(what):
+            self.parts[name, kind].append((key[at : at + n], code[at : at + n]))
+            at += n
 
     def close(self) -> None:
         for which, parts in self.parts.items():
@@ -218,13 +239,15 @@ class Entries:
         return np.where(known[i] == keys, code[i], np.uint16(ABSENT))
 
     def reply(self, message: bytes) -> bytes:
+        """Codes of probabilities, then of what contexts leave."""
         names, planes = unpack(message)
-        keys = np.cumsum(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
-        out, at = [], 0
+        keys, p, left, at = restored(planes), [], [], 0
         for name, n in json.loads(names):
-            out.append([self.look(name, kind, keys[at : at + n]) for kind in (0, 1)])
+            mine = keys[at : at + n]
+            p.append(self.look(name, 0, mine))
+            left.append(self.look(name, 1, mine[: contexts(mine)]))
             at += n
-        return pack(*(np.concatenate(x).astype("<u2") for x in zip(*out)))
+        return pack(np.concatenate(p).astype("<u2"), np.concatenate(left).astype("<u2"))
 
 
 def _ask(shards: int):
@@ -237,21 +260,57 @@ def _ask(shards: int):
     return run
 
 
+def _dealt(shards: int):
+    """Entries lang, kind, key, code in messages to their shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def sent() -> pa.RecordBatch:
+            rows, out = pa.Table.from_batches(held), defaultdict(list)
+            coded = rows.column(0).combine_chunks().dictionary_encode()
+            which, kind = coded.indices.to_numpy(), rows.column(1).to_numpy()
+            key, code = rows.column(2).to_numpy().astype(np.uint64), rows.column(3).to_numpy().astype("<u2")
+            shard = spread(key, shards)
+            order = np.lexsort((key, kind, which, shard))
+            of = (shard * len(coded.dictionary) + which)[order] * 2 + kind[order]
+            cuts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True])))
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                i = order[lo]
+                out[int(shard[i])].append((coded.dictionary[which[i]].as_py(), int(kind[i]), order[lo:hi]))
+            data = []
+            for parts in out.values():
+                places = np.concatenate([p for _, _, p in parts])
+                data.append(pack(json.dumps([[name, k, len(p)] for name, k, p in parts]).encode(), flat(key[places]), code[places]))
+            return pa.RecordBatch.from_arrays([pa.nulls(len(data), pa.int64()), pa.array(list(out), pa.int32()), pa.array(data, pa.binary())], names=["block", "shard", "data"])
+
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= DEALT:
+                yield sent()
+                held, n = [], 0
+        if n:
+            yield sent()
+
+    return run
+
+
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one shard: lang, kind, key, code, block, shard, data; entries (without a block) come first."""
+    """Rows block, shard, data of one shard; entries (without a block) come first."""
     entries, closed = Entries(), False
     for batch in batches:
-        n = batch.column(4).null_count
-        if n:
-            entries.add(batch.column(0).slice(0, n), *(batch.column(i).slice(0, n).to_numpy() for i in (1, 2, 3)))
+        n = batch.column(0).null_count
+        for message in batch.column(2).slice(0, n):
+            entries.add(message.as_py())
         if n == len(batch):
             continue
         if not closed:
             entries.close()
             closed = True
         rest = batch.slice(n)
-        replies = [entries.reply(m.as_py()) for m in rest.column(6)]
-        yield pa.RecordBatch.from_arrays([rest.column(4), rest.column(5), pa.array(replies, pa.binary())], names=["block", "shard", "data"])
+        replies = [entries.reply(m.as_py()) for m in rest.column(2)]
+        yield pa.RecordBatch.from_arrays([rest.column(0), rest.column(1), pa.array(replies, pa.binary())], names=["block", "shard", "data"])
 
 
 def log_probabilities(by_order: list[np.ndarray], p: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -270,9 +329,9 @@ def log_probabilities(by_order: list[np.ndarray], p: np.ndarray, left: np.ndarra
 def scores(block: Block, replies: dict[int, bytes], shards: int) -> list[tuple]:
     """(doc_id, name, bytes, perplexity) of each document."""
     answers = {s: [np.frombuffer(x, "<u2") for x in unpack(data)] for s, data in replies.items()}
-    taken, names, out = defaultdict(int), named(block), []
+    taken, names, out = defaultdict(lambda: (0, 0)), named(block), []
     ids, size = block.doc_ids(), block.ends - block.starts
-    models = np.array([model_of(n) for n in names])
+    models = np.array([n[1:] for n in names])
     for name in sorted(set(models.tolist())):  # in the order of ask()
         docs = np.flatnonzero(models == name)
         every = np.concatenate([grams(block.text[block.starts[d] : block.ends[d]]) for d in docs])
@@ -281,11 +340,12 @@ def scores(block: Block, replies: dict[int, bytes], shards: int) -> list[tuple]:
         shard = spread(keys, shards)
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-        p, left = np.empty(len(keys), np.uint16), np.empty(len(keys), np.uint16)
+        p, left = np.empty(len(keys), np.uint16), np.empty(contexts(keys), np.uint16)
         for s in np.flatnonzero(np.diff(cuts)).tolist():
-            here, at = order[cuts[s] : cuts[s + 1]], taken[s]
-            p[here], left[here] = answers[s][0][at : at + len(here)], answers[s][1][at : at + len(here)]
-            taken[s] += len(here)
+            here, (i, j) = order[cuts[s] : cuts[s + 1]], taken[s]
+            n = contexts(keys[here])
+            p[here], left[here[:n]] = answers[s][0][i : i + len(here)], answers[s][1][j : j + n]
+            taken[s] = i + len(here), j + n
         value = log_probabilities(by_order, p, left)
         total = np.concatenate(([0.0], np.cumsum(value[np.searchsorted(by_order[ORDER], every)])))
         ends = np.cumsum(size[docs])
@@ -297,57 +357,35 @@ def scores(block: Block, replies: dict[int, bytes], shards: int) -> list[tuple]:
 
 def _score(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows block, shard, data, sorted: a block (without a shard), then its replies."""
-        held, replies = None, {}
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if held is not None:
-                rows = scores(Block(held), replies, shards)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.float64()))], names=["doc_id", "name", "n_bytes", "perplexity"])
-
         for batch in batches:
-            for shard, data in zip(batch.column(1).to_pylist(), batch.column(2)):
-                if shard is None:
-                    yield from done()
-                    held, replies = data.as_py(), {}
-                else:
-                    replies[shard] = data.as_py()
-        yield from done()
+            for docs, shard, data in zip(batch.column(0), batch.column(1), batch.column(2)):
+                replies = dict(zip(shard.as_py() or [], data.as_py() or []))
+                rows = scores(Block(docs.as_py()), replies, shards)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.float64()))], names=["doc_id", "name", "n_bytes", "perplexity"])
 
     return run
 
 
 def perplexities(made: DataFrame, entries: DataFrame, shards: int) -> DataFrame:
     """doc_id, name, n_bytes, perplexity of each document of the blocks."""
-    spark = made.sparkSession
     asked = made.select("block", "docs").mapInArrow(_ask(shards), schema("block bigint, shard int, data binary"))
-    rows = entries.select("lang", "kind", "key", "code").mapInArrow(_dealt(shards), schema("lang string, kind int, key bigint, code int, block bigint, shard int, data binary"))
-    blank = [F.lit(None).cast(t).alias(n) for n, t in (("lang", "string"), ("kind", "int"), ("key", "bigint"), ("code", "int"))]
-    rows = rows.unionByName(asked.select(*blank, "block", "shard", "data"))
+    rows = entries.select("lang", "kind", "key", "code").mapInArrow(_dealt(shards), schema("block bigint, shard int, data binary")).unionByName(asked)
     rows = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions(F.col("block").isNotNull())
     replies = rows.mapInArrow(_answer, schema("block bigint, shard int, data binary"))
-    both = made.select("block", F.lit(None).cast("int").alias("shard"), F.col("docs").alias("data")).unionByName(replies)
-    both = both.repartition(max(shuffle_partitions(spark), 1), "block").sortWithinPartitions("block", F.col("shard").asc_nulls_first())
+    # as long as the block's own distinct n-grams, however common they are
+    replies = replies.groupBy("block").agg(F.collect_list(F.struct("shard", "data")).alias("replies"))
+    both = made.select("block", "docs").join(replies.hint("merge"), "block", "left").select("docs", "replies.shard", "replies.data")
     return both.mapInArrow(_score(shards), schema("doc_id bigint, name string, n_bytes bigint, perplexity double"))
 
 
-def _dealt(shards: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shard = pa.array(spread(batch.column(2).to_numpy().astype(np.uint64), shards), pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(len(batch), pa.int64()), shard, pa.nulls(len(batch), pa.binary())], names=["lang", "kind", "key", "code", "block", "shard", "data"])
-
-    return run
-
-
 # -- decisions
 
 
 def marks(labels: DataFrame) -> DataFrame:
-    """doc_id, mark: 'good' where labelled good, never bad and never toxic; 'bad' where labelled bad."""
+    """doc_id, mark: 1 where labelled good, never bad and never toxic; 0 where labelled bad."""
     said = lambda c, v: F.max(F.coalesce(F.col(c) == v, F.lit(False)))
     of = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(said("quality", 0).alias("bad"), said("toxic", 1).alias("toxic"), said("quality", 1).alias("good"))
-    mark = F.when(F.col("bad"), "bad").when(F.col("good") & ~F.col("toxic"), "good")
+    mark = F.when(F.col("bad"), F.lit(0)).when(F.col("good") & ~F.col("toxic"), F.lit(1)).cast("tinyint")
     return of.select("doc_id", mark.alias("mark")).where("mark is not null")
 
 
@@ -357,23 +395,24 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     prepare(spark)
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.col("text").cast("string").alias("text"))
-    docs = docs.join(marks(labels), "doc_id", "left")
-    half = F.pmod(F.xxhash64("text"), F.lit(2)).cast("string")
-    kind = F.when((F.col("mark") == "good") & (F.length("text") > 0), half).when(F.col("mark") == "bad", "b").otherwise("a")
-    made = blocks(docs.withColumn("name", F.hex(F.concat(kind, "lang"))), "quality-blocks", group="name")
+    known = written(marks(labels), "marks")
+    docs = docs.join(F.broadcast(known) if known.count() <= MARKS else known, "doc_id", "left")
+    held_out = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0
+    kind = F.when((F.col("mark") == 1) & (F.length("text") > 0), F.when(held_out, "h").otherwise("t")).when(F.col("mark") == 0, "b").otherwise("a")
+    made = blocks(docs.withColumn("name", F.hex(F.concat(kind, "lang"))), "quality-blocks", group="name", buckets=shuffle_partitions(spark))
     entries = model(counted(made))
     shards = max(shuffle_partitions(spark), -(-entries.count() // ENTRIES))
     scored = perplexities(made, entries, shards)
     kind = F.substr("name", F.lit(1), F.lit(1))
     scored = written(scored.select("doc_id", F.substr("name", F.lit(2)).alias("lang"), kind.alias("kind"), "n_bytes", "perplexity"), "scored")
-    dropped(made, entries)
-    trusted = F.col("kind").isin("0", "1")
+    dropped(made, entries, known)
+    trusted = F.col("kind") == "h"
     usual = scored.where(trusted).groupBy("lang").agg((F.sum(F.log("perplexity") * F.col("n_bytes")) / F.sum("n_bytes")).alias("usual"))
     mixed = F.exp((F.log("perplexity") * F.col("n_bytes") + F.col("usual") * PRIOR) / (F.col("n_bytes") + PRIOR))
     scored = scored.join(F.broadcast(usual), "lang", "left").withColumn("score", mixed)  # one row a language
     high = F.percentile_approx(F.when(trusted, F.col("score")), F.lit(HIGH), F.lit(100_000))
     worst = F.percentile_approx(F.when(F.col("kind") == "b", F.col("score")), F.lit(LOW), F.lit(100_000))
-    limits = scored.where(F.col("score").isNotNull() & (F.col("kind") != "a")).groupBy("lang").agg(high.alias("high"), worst.alias("low"), F.count_if(trusted).alias("n")).where(F.col("n") >= LEAST_TRUSTED)
+    limits = scored.where(F.col("score").isNotNull() & F.col("kind").isin("h", "b")).groupBy("lang").agg(high.alias("high"), worst.alias("low"), F.count_if(trusted).alias("n")).where(F.col("n") >= LEAST_TRUSTED)
     limits = limits.select("lang", F.when(F.col("low") > F.col("high"), F.sqrt(F.col("low") * F.col("high"))).otherwise(F.col("high")).alias("threshold"))
     out = scored.join(F.broadcast(limits), "lang", "left")
     return out.select("doc_id", "lang", "n_bytes", "perplexity", "score", "threshold", F.coalesce(F.col("score") > F.col("threshold"), F.lit(False)).alias("rejected"))

@@ -287,18 +287,19 @@ def brute_kneser_ney(train):
 
 
 def test_perplexity_is_kneser_ney(spark):
-    """Of trusted documents by the model of the other half, of others by the model of both: all as brute force has it."""
+    """By a model of the trusted texts that aren't held out, as brute force has it."""
     train = [prose(40, 900 + i) for i in range(12)] + ["abab abc", "abba cab"]
     other = ["bca abc", prose(70, 940), "zzz \0 ééé 你好", "a", prose(3000, 941)]
     rows = [(i, t, "en", i % 2) for i, t in enumerate([*train, *other])] + [(100, None, "en", 7), (101, "", None, 7), (102, "no model", "fr", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, name int").repartition(3)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(len(train))], "doc_id long, quality int, toxic int")
     got = {r["doc_id"]: r for r in local(kneser.classify(docs, labels))}
-    halves = {r["doc_id"]: r["h"] for r in local(docs.selectExpr("doc_id", "pmod(xxhash64(text), 2) as h")) if r["doc_id"] < len(train)}
-    models = {h: brute_kneser_ney([t for i, t in enumerate(train) if halves[i] != h]) for h in (0, 1)} | {None: brute_kneser_ney(train)}
+    part = {r["doc_id"]: r["h"] for r in local(docs.selectExpr("doc_id", f"pmod(xxhash64(text), {kneser.HELD_OUT}) as h")) if r["doc_id"] < len(train)}
+    assert 0 < sum(h == 0 for h in part.values()) < len(train)
+    probability = brute_kneser_ney([t for i, t in enumerate(train) if part[i]])
     for i, t in enumerate([*train, *other]):
         data = b"\0" * 4 + t.encode()
-        logs = [np.log(models[halves.get(i)](data[j : j + 4], data[j + 4 : j + 5])) for j in range(len(data) - 4)]
+        logs = [np.log(probability(data[j : j + 4], data[j + 4 : j + 5])) for j in range(len(data) - 4)]
         assert got[i]["perplexity"] == pytest.approx(np.exp(-np.mean(logs)), rel=2e-3)
     assert got[100]["perplexity"] is None and got[101]["perplexity"] is None and got[102]["perplexity"] == pytest.approx(256, rel=1e-3)
 
