@@ -1,36 +1,43 @@
 """Operator 8: licence scan by sparse TF-IDF cosine to templates, then inheritance from directories. DataFrame operations only.
 
-A licence statement is a line. Its terms (runs of a-z and 0-9 after lower-casing) are weighted by how often they occur in the
-line and by ln((1 + N) / (1 + df)) + 1 over the N templates; a term of no template counts in the line's length with df 0. A
-file's own licence is the template with the highest cosine of any of its lines, if that is at least LEAST; of equal ones the
-smallest template id. Only lines with an anchor term are weighed: anchors are chosen so that without them no template's
-remaining terms reach LEAST (Cauchy-Schwarz), so nothing is lost.
-
-A licence file is one whose lines are statements of its own licence for the larger part (or that is named so). It licenses its
-directory; of several in one directory the highest cosine, then the smallest template id, decides. A file without a statement
-inherits from its nearest ancestor directory that has a licence: its ancestors are joined by path, the deepest wins.
-
-Plan: lines are filtered inside arrays, so only those with anchors become rows; templates and their terms (bounded, given by
-the caller) are broadcast; directories are joined by an ordinary join on small rows, which skew handling can split.
-
-With spans, sentences, windows of several lines and whole files are weighed too (TEXTS has headers and licence files). A licence file is then
-one whose best unit, or whose lines that state a licence alone, are its larger part. Files, then windows, whose terms let no
-template reach LEAST are left out first, which loses nothing.
+Terms are runs of a-z and 0-9 after lower-casing. A unit's terms are weighted by how often they occur in it and by
+ln((1 + N) / (1 + df)) + 1 over the N templates; a term of no template counts in the unit's length with df 0. Templates are
+statements of one sentence, headers, heads of licence files and whole short licences. Units of a file are each line that isn't
+blank, each sentence in it, each run of two and more such lines of which each has at least as much weight (squared, term by term) in the templates'
+terms as in others, and the file. A file's own licence is the template with the highest cosine of any unit, if that is at least
+LEAST; of equal ones the smallest licence id.
+
+A licence file is one whose best unit, or whose lines that state a licence alone, are its larger part (or that is named so). It
+licenses its directory; of several in one directory the highest cosine, then the smallest id, decides. A file without a
+licence inherits from its nearest ancestor directory that has one: the distinct directories' ancestors are joined by path, the
+deepest wins.
+
+Plan: all of the cosines are computed inside the row by higher-order functions, without a shuffle: terms become places in the
+templates' vocabulary (bounded by the caller's templates), units whose known terms cannot reach LEAST even if no other term
+occurs twice are left out (the length is at least that long, so nothing is lost), the rest are weighed exactly. What
+remains of a file is one small row, written once. Directories are combined before they are shuffled, so a directory with a third of
+all files is one row a task; files then meet their directory's licence by a broadcast of at most DIRECTORIES rows, or
+beyond that by a join that salts the files.
 
 Result: doc_id, path, own_license, own_score (rounded to 6 places), license, license_from (null, 'own', or the directory). Null and
-empty texts: no own licence. Null paths inherit nothing. Repeated rows each give a row. Empty table: no rows. Extra columns are ignored.
+empty texts: no own licence. Very long texts are weighed whole. Null paths inherit nothing. Repeated rows each give a row. Ties: as
+above. Empty table: no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._session import written
+
 LEAST = 0.6
+DIRECTORIES, SALTS = 100_000, 16
 
 #: Licence ids and the sentences that state them.
 TEMPLATES = {
@@ -78,9 +85,6 @@ TEXTS = TEMPLATES | {
         distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
     "Proprietary#header": "Copyright (c). All rights reserved.",
 }
-#: Windows of so many lines are weighed with TEXTS, and whole files.
-SPANS = (1, 2, 3, 4, 6, 8, 11, 16, 21)
-
 FILE_NAMES = r"(?i)(^|/)(licen[cs]e|copying|notice)(\.[a-z]+)?$"
 
 
@@ -100,96 +104,133 @@ def weights(templates: dict[str, str]) -> tuple[dict[str, float], dict[str, dict
     return idf, out, math.log(1 + n) + 1
 
 
-def anchors(vectors: dict[str, dict[str, float]], least: float) -> set[str]:
-    """Terms without which no template can reach the threshold."""
-    out: set[str] = set()
-    for v in vectors.values():
-        for t, _ in sorted(v.items(), key=lambda x: (-x[1], x[0])):
-            if math.sqrt(sum(x * x for u, x in v.items() if u not in out)) < least * 0.999:
-                break
-            out.add(t)
-    return out
-
-
 def terms_in(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: x != "")
 
 
-def reaches(text: Column, vectors: dict[str, dict[str, float]], least: float) -> Column:
-    """Whether the terms in the text let any template, or any part of the text, reach the threshold (Cauchy-Schwarz)."""
-    terms = F.array_distinct(terms_in(text))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def total(values: Column, of: Callable[[Column], Column]) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda sum_, x: sum_ + of(x))
+
 
-    def reached(v: dict[str, float]) -> Column:
-        squares = F.create_map(*[F.lit(x) for t, w in sorted(v.items()) for x in (t, w * w)])
-        shared = F.array_intersect(terms, F.array(*[F.lit(t) for t in sorted(v)]))
-        return F.aggregate(shared, F.lit(0.0), lambda total, t: total + F.element_at(squares, t)) >= (least * 0.999) ** 2
+def tallies(values: Column) -> Column:
+    """Structs x (each distinct value) and tf (how often it occurs)."""
 
-    return reduce(Column.__or__, map(reached, vectors.values()))
+    def of(ordered: Column, distinct: Column, first: Column) -> Column:
+        after = lambda i: F.coalesce(F.get(first, i + 1), F.size(ordered) + 1)
+        return F.transform(distinct, lambda x, i: F.struct(x.alias("x"), (after(i) - F.get(first, i)).alias("tf")))
 
+    return let(F.sort_array(values), lambda o: let(F.array_distinct(o), lambda d: let(F.transform(d, lambda x: F.array_position(o, x)), lambda first: of(o, d, first))))
 
-def windows(lines: Column, spans: tuple[int, ...]) -> Column:
-    """Structs at (first line, span, part) and line (their text): each window of a span, the whole, and sentences of lines."""
-    n = F.size(lines)
 
-    def named(first: Column, span: Column, part: Column, text: Column) -> Column:
-        return F.struct(F.struct(first.alias("first"), span.alias("span"), part.alias("part")).alias("at"), text.alias("line"))
+class Weigher:
+    """Column expressions for units of terms; codes are places in the vocabulary, from 1."""
 
-    def unit(first: Column, span: Column) -> Column:
-        return named(first, span, F.lit(0), F.array_join(F.slice(lines, first + 1, span), " "))
+    def __init__(self, templates: dict[str, str], least: float) -> None:
+        idf, vectors, rare = weights(templates)
+        self.vocabulary, self.names, self.least, self.rare2 = sorted(idf), sorted(templates), least, rare**2
+        # literals, which the optimiser folds
+        self.words = F.split(F.lit(" ".join(self.vocabulary)), " ")
+        self.idf = F.from_json(F.lit(json.dumps([idf[t] for t in self.vocabulary])), "array<double>")
+        self.weighted = F.from_json(F.lit(json.dumps([[idf[t] * vectors[k].get(t, 0.0) for t in self.vocabulary] for k in self.names])), "array<array<double>>")
+        self.licences = F.split(F.lit(" ".join(k.split("#")[0] for k in self.names)), " ")
 
-    def sentences(line: Column, i: Column) -> Column:
-        return F.transform(F.split(line, r"[.!?;:]\s+"), lambda x, j: named(i, F.lit(1), j + 1, x))
+    def codes(self, terms: Column) -> Column:
+        return F.filter(F.transform(terms, lambda t: F.array_position(self.words, t)), lambda c: c > 0)
 
-    def of(k: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: unit(i, F.least(F.lit(k), n)))
+    def squares(self, codes: Column) -> Column:
+        """Of the weights, each occurrence by itself."""
+        return total(codes, lambda c: F.pow(F.get(self.idf, c - 1), 2))
 
-    return F.array_distinct(F.flatten(F.array(*map(of, spans), F.array(unit(F.lit(0), n)), F.flatten(F.transform(lines, sentences)))))
+    def length2(self, known: Column) -> Column:
+        return total(known, lambda t: F.pow(t["tf"] * F.get(self.idf, t["x"] - 1), 2))
 
+    def products(self, known: Column) -> Column:
+        """With each template's unit vector."""
+        return F.transform(self.weighted, lambda w: total(known, lambda t: t["tf"] * F.get(w, t["x"] - 1)))
 
-def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST, spans: tuple[int, ...] = ()) -> DataFrame:
-    """files: doc_id, path, text. spans: besides lines, windows of so many lines, sentences and whole files are weighed."""
-    spark = files.sparkSession
-    idf, vectors, rare = weights(templates)
-    anchored = r"(?i)(^|[^a-z0-9])(" + "|".join(sorted(anchors(vectors, least))) + r")($|[^a-z0-9])"
-    entries = spark.createDataFrame([(t, idf[t], k, w) for k, v in sorted(vectors.items()) for t, w in sorted(v.items())], "term string, idf double, template string, w double")
-    idfs = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
+    def hopeful(self, codes: Column, unknown: Column) -> Column:
+        """Whether a unit may reach the threshold if all other terms occur once."""
+        bound = self.least * 0.999
 
-    files = files.select("doc_id", "path", "text").withColumn("row", F.monotonically_increasing_id())
+        def of(known: Column) -> Column:
+            return let(self.length2(known), lambda k: (k >= bound**2 * (k + unknown * self.rare2)) & (F.array_max(self.products(known)) >= bound * F.sqrt(k + unknown * self.rare2)))
+
+        return (self.squares(codes) > 0) & let(tallies(codes), of)
+
+    def best(self, terms: Column, codes: Column) -> Column:
+        """Struct s (minus the highest cosine, rounded) and t (its licence)."""
+        others = F.filter(terms, lambda t: F.array_position(self.words, t) == 0)
+        others2 = total(tallies(others), lambda t: F.pow(t["tf"].cast("double"), 2)) * self.rare2
+
+        def of(known: Column) -> Column:
+            length = F.sqrt(self.length2(known) + others2)
+            scored = lambda n: F.transform(self.products(known), lambda p, i: F.struct((-F.round(p / n, 6)).alias("s"), F.get(self.licences, i).alias("t")))
+            return let(length, lambda n: F.array_min(scored(n)))
+
+        return let(tallies(codes), of)
+
+
+def units(like: Column, sentences: Column) -> Column:
+    """Structs first (line, from 0), span and part (a sentence of the line, from 1, or 0): each line, each sentence of a line that
+    has more than one, each run of at least two like lines, the whole. There is a line at least."""
+    n = F.size(like)
+    at = F.sequence(F.lit(0), n - 1)
+    edge = lambda step: F.filter(at, lambda i: F.get(like, i) & ~F.coalesce(F.get(like, i + step), F.lit(False)))
+    unit = lambda first, span, part=F.lit(0): F.struct(first.cast("int").alias("first"), span.cast("int").alias("span"), part.cast("int").alias("part"))
+    runs = F.filter(F.zip_with(edge(-1), edge(1), lambda a, b: unit(a, b - a + 1)), lambda u: u["span"] > 1)
+    inside = F.flatten(F.transform(sentences, lambda s, i: F.when(F.size(s) > 1, F.transform(s, lambda _, j: unit(i, F.lit(1), j + 1))).otherwise(F.array().cast("array<struct<first:int,span:int,part:int>>"))))
+    return F.array_distinct(F.concat(F.transform(at, lambda i: unit(i, F.lit(1))), inside, runs, F.array(unit(F.lit(0), n))))
+
+
+def own_licences(files: DataFrame, templates: dict[str, str], least: float) -> DataFrame:
+    """doc_id, path, own_license, own_score, mostly: whether it is the larger part of the file."""
+    w = Weigher(templates, least)
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "")
-    seen = files.select("row", F.size(lines).alias("n_lines"), F.filter(lines, lambda x: x.rlike(anchored)).alias("lines")).where(F.size("lines") > 0)
-    line = seen.select("row", "n_lines", F.posexplode("lines").alias("at", "line"))
-    if spans:
-        hopeful = files.where(reaches(F.col("text"), vectors, least)).select("row", lines.alias("lines"))
-        line = hopeful.select("row", F.size("lines").alias("n_lines"), F.explode(windows(F.col("lines"), spans)).alias("u")).select("row", "n_lines", "u.at", "u.line")
-        line = line.where(reaches(F.col("line"), vectors, least))
-    term = line.select("row", "n_lines", "at", F.explode(terms_in(F.col("line"))).alias("term"))
-    tf = term.groupBy("row", "n_lines", "at", "term").agg(F.count("*").alias("tf"))
-    length = F.sum(F.pow(F.col("tf") * F.coalesce("idf", F.lit(rare)), 2))
-    length = tf.join(F.broadcast(idfs), "term", "left").groupBy("row", "n_lines", "at").agg(F.sqrt(length).alias("length"))
-    dot = tf.join(F.broadcast(entries), "term").groupBy("row", "at", "template").agg(F.sum(F.col("tf") * F.col("idf") * F.col("w")).alias("dot"))
-    score = dot.join(length, ["row", "at"]).select("row", "n_lines", "at", "template", F.round(F.col("dot") / F.col("length"), 6).alias("score")).where(F.col("score") >= least)
-    own = score.groupBy("row", "n_lines").agg(F.countDistinct("at").alias("stated"), best_of("template", "score").alias("best"))
-    if spans:
-        score = score.withColumn("template", F.split("template", "#")[0])
-        alone, best = F.countDistinct(F.when(F.col("at.span") == 1, F.col("at.first"))), F.min(F.struct((-F.col("score")).alias("s"), F.col("template").alias("t"), F.col("at.span").alias("span")))
-        own = score.groupBy("row", "n_lines").agg(alone.alias("alone"), best.alias("best")).withColumn("stated", F.greatest("alone", "best.span"))
-    own = own.select("row", F.col("best.t").alias("own_license"), (-F.col("best.s")).alias("own_score"), (2 * F.col("stated") > F.col("n_lines")).alias("mostly"))
-
-    files = files.drop("text").join(own, "row", "left")
-    directory = F.regexp_replace("path", "/?[^/]*$", "")
-    licence_file = F.col("own_license").isNotNull() & F.col("path").isNotNull() & (F.col("mostly") | F.col("path").rlike(FILE_NAMES))
-    grants = files.where(licence_file).groupBy(directory.alias("dir")).agg(best_of("own_license", "own_score")["t"].alias("granted"))
-    steps = F.split("path", "/")
-    ancestors = F.transform(F.sequence(F.lit(0), F.size(steps) - 1), lambda i: F.array_join(F.slice(steps, 1, i), "/"))
-    wanting = files.where("own_license is null and path is not null").select("row", F.posexplode(ancestors).alias("depth", "dir"))
-    inherited = wanting.join(grants, "dir").groupBy("row").agg(F.max_by(F.struct("granted", "dir"), "depth").alias("from"))
-    out = files.join(inherited, "row", "left")
+    # by line and sentence
+    f = files.select("doc_id", F.col("path").cast("string").alias("path"), F.transform(lines, lambda x: F.transform(F.split(x, r"[.!?;:]\s+"), terms_in)).alias("terms"))
+    f = f.withColumn("codes", F.transform("terms", lambda ss: F.transform(ss, w.codes)))
+    f = f.withColumn("unknown", F.zip_with("terms", "codes", lambda tt, cc: F.zip_with(tt, cc, lambda t, c: F.size(t) - F.size(c))))
+    add = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    f = f.withColumn("like", F.zip_with("codes", "unknown", lambda cc, uu: let(F.flatten(cc), lambda c: (F.size(c) > 0) & (w.squares(c) >= add(uu) * w.rare2))))
+    f = f.withColumn("units", F.when(F.size("terms") > 0, units(F.col("like"), F.col("terms"))))
+
+    def part(column: str, u: Column) -> Column:
+        """The unit's part of an array by line and sentence, as an array by sentence."""
+        of = F.flatten(F.slice(column, u["first"] + 1, u["span"]))
+        return F.when(u["part"] > 0, F.slice(of, F.greatest(u["part"], F.lit(1)), F.lit(1))).otherwise(of)
+
+    f = f.withColumn("units", F.filter("units", lambda u: w.hopeful(F.flatten(part("codes", u)), add(part("unknown", u)))))
+    scored = F.transform("units", lambda u: F.struct(u["first"].alias("first"), u["span"].alias("span"), w.best(F.flatten(part("terms", u)), F.flatten(part("codes", u))).alias("best")))
+    f = f.withColumn("scored", F.filter(scored, lambda x: -x["best"]["s"] >= least))
+    f = f.withColumn("best", F.array_min(F.transform("scored", lambda x: F.struct(x["best"]["s"].alias("s"), x["best"]["t"].alias("t"), (-x["span"]).alias("span")))))
+    alone = F.size(F.array_distinct(F.transform(F.filter("scored", lambda x: x["span"] == 1), lambda x: x["first"])))
+    mostly = 2 * F.greatest(alone, -F.col("best.span")) > F.size("terms")
+    return f.select("doc_id", "path", F.col("best.t").alias("own_license"), (-F.col("best.s")).alias("own_score"), F.coalesce(mostly, F.lit(False)).alias("mostly"))
+
+
+def scan(files: DataFrame, templates: dict[str, str] = TEXTS, least: float = LEAST) -> DataFrame:
+    """files: doc_id, path, text. templates: licence ids, with anything after a # to tell a licence's texts apart, and texts."""
+    own = written(own_licences(files, templates, least).withColumn("dir", F.regexp_replace("path", "/?[^/]*$", "")), "licences")
+    named = F.col("own_license").isNotNull() & F.col("path").isNotNull() & (F.col("mostly") | F.col("path").rlike(FILE_NAMES))
+    of_dir = own.where("dir is not null").groupBy("dir").agg(F.min(F.when(named, F.struct((-F.col("own_score")).alias("s"), F.col("own_license").alias("t"))))["t"].alias("granted"))
+    of_dir = written(of_dir, "directories")
+    grants = of_dir.where("granted is not null").select(F.col("dir").alias("from"), "granted")
+    # '' , a, a/b, ..: a directory and what is above it
+    steps = F.split("dir", "/")
+    above = F.when(F.col("dir") == "", F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/")))
+    wanting = of_dir.select("dir", F.posexplode(above).alias("depth", "from"))
+    inherited = wanting.join(grants, "from").groupBy("dir").agg(F.max_by(F.struct("granted", "from"), "depth").alias("inherited"))
+    if of_dir.count() <= DIRECTORIES:
+        out = own.join(F.broadcast(inherited), "dir", "left")
+    else:
+        salted = inherited.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = own.withColumn("salt", F.pmod(F.xxhash64("path", "doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["dir", "salt"], "left")
     return out.select(
-        "doc_id", "path", "own_license", "own_score", F.coalesce("own_license", "from.granted").alias("license"),
-        F.when(F.col("own_license").isNotNull(), "own").otherwise(F.col("from.dir")).alias("license_from"),
+        "doc_id", "path", "own_license", "own_score", F.coalesce("own_license", "inherited.granted").alias("license"),
+        F.when(F.col("own_license").isNotNull(), "own").otherwise(F.col("inherited.from")).alias("license_from"),
     )
-
-
-def best_of(template: str, score: str) -> Column:
-    """The highest score (as -s) and its template (t), of equal scores the smallest id."""
-    return F.min(F.struct((-F.col(score)).alias("s"), F.col(template).alias("t")))

@@ -67,12 +67,6 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(files(spark, sf_dir))
 
 
-def op8_license_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .license import SPANS, TEXTS, scan
-
-    return scan(files(spark, sf_dir), TEXTS, spans=SPANS)
-
-
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -91,29 +85,35 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_hyperminhash, op2_token_rollup, op3_kneser_ney, op4_token_files, op5_packing, op6_additive_quantisation,
-        op7_cosine_cells, op8_license_scan, op8_license_texts, op9_bpe, op10_suffix_arrays,
+        op7_cosine_cells, op8_license_scan, op9_bpe, op10_suffix_arrays,
     )
 }
 
 
 def _license_sql() -> str:
-    from .license import FILE_NAMES, LEAST, TEMPLATES
+    from .license import FILE_NAMES, LEAST, TEXTS
 
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    values = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in TEMPLATES.items())
+    values = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in TEXTS.items())
     return f"""
 with templates(template, body) as (values {values}),
 bags as (select template, term, count(*) as tf from (select template, unnest(string_split_regex(lower(body), '[^a-z0-9]+')) as term from templates) where term <> '' group by all),
 idfs as (select term, ln((1 + (select count(*) from templates))::double / (1 + count(distinct template))) + 1 as idf from bags group by term),
 lengths as (select template, sqrt(sum((tf * idf) ** 2)) as length from bags join idfs using (term) group by template),
 entries as (select template, term, idf, tf * idf / length as w from bags join idfs using (term) join lengths using (template)),
+rare as (select ln(1 + count(*)) + 1 as idf0 from templates),
 split as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') as l from documents),
 lines as (select doc_id, len(l) as n_lines, generate_subscripts(l, 1) as pos, unnest(l) as line from split),
-tf as (select doc_id, pos, term, count(*) as tf from (select doc_id, pos, unnest(string_split_regex(lower(line), '[^a-z0-9]+')) as term from lines) where term <> '' group by all),
-norms as (select doc_id, pos, sqrt(sum((tf * coalesce(idf, ln(1 + (select count(*) from templates)) + 1)) ** 2)) as length from tf left join idfs using (term) group by all),
-scores as (select doc_id, pos, template, round(sum(tf * idf * w) / any_value(length), 6) as score from tf join entries using (term) join norms using (doc_id, pos) group by doc_id, pos, template),
-good as (select * from scores where score >= {LEAST}),
-own as (select g.doc_id, (min({{'s': -score, 't': template}})) as best, 2 * count(distinct g.pos) > any_value(n_lines) as mostly from good g join (select distinct doc_id, n_lines from lines) using (doc_id) group by g.doc_id),
+sentences as (select doc_id, pos, generate_subscripts(s, 1) as part, len(s) as parts, unnest(s) as sentence from (select doc_id, pos, string_split_regex(line, '[.!?;:]\\s+') as s from lines)),
+terms as (select doc_id, pos, part, term, idf from (select doc_id, pos, part, unnest(string_split_regex(lower(sentence), '[^a-z0-9]+')) as term from sentences) left join idfs using (term) where term <> ''),
+liked as (select doc_id, pos from terms group by doc_id, pos having count(idf) > 0 and sum(coalesce(idf ** 2, 0)) >= (count(*) - count(idf)) * (select idf0 ** 2 from rare)),
+runs as (select doc_id, min(pos) as pos, count(*) as span from (select doc_id, pos, pos - row_number() over (partition by doc_id order by pos) as run from liked) group by doc_id, run having count(*) > 1),
+units as (select doc_id, pos, 1 as span, 0 as part from lines union select doc_id, pos, 1, part from sentences where parts > 1 union select doc_id, pos, span, 0 from runs union select distinct doc_id, 1, n_lines, 0 from lines),
+tf as (select u.doc_id, u.pos, u.span, u.part, term, any_value(idf) as idf, count(*) as tf from units u join terms t on t.doc_id = u.doc_id and t.pos between u.pos and u.pos + u.span - 1 and u.part in (0, t.part) group by all),
+norms as (select doc_id, pos, span, part, sqrt(sum((tf * coalesce(idf, idf0)) ** 2)) as length from tf, rare group by all),
+scores as (select doc_id, pos, span, part, template, round(sum(tf * entries.idf * w) / any_value(length), 6) as score from tf join entries using (term) join norms using (doc_id, pos, span, part) group by doc_id, pos, span, part, template),
+good as (select doc_id, pos, span, string_split(template, '#')[1] as template, score from scores where score >= {LEAST}),
+own as (select g.doc_id, min({{'s': -score, 't': template, 'span': -span}}) as best, greatest(count(distinct case when span = 1 then pos end), -min({{'s': -score, 't': template, 'span': -span}}).span) * 2 > any_value(n_lines) as mostly from good g join (select distinct doc_id, n_lines from lines) using (doc_id) group by g.doc_id),
 files as (select d.doc_id, concat_ws('/', source, lang, d.doc_id || '.txt') as path, best.t as own_license, -best.s as own_score, mostly from documents d left join own using (doc_id)),
 grants as (select regexp_replace(path, '/?[^/]*$', '') as dir, min({{'s': -own_score, 't': own_license}}) as best from files where own_license is not null and (mostly or regexp_matches(path, {quoted(FILE_NAMES)})) group by 1),
 wanting as (select doc_id, depth, array_to_string(string_split(path, '/')[1:depth], '/') as dir from (select doc_id, path, unnest(range(0, len(string_split(path, '/')))) as depth from files where own_license is null)),

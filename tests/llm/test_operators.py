@@ -469,10 +469,23 @@ def test_licence_headers_and_files(spark):
         (9, None, None),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, path string, text string")
-    got = {r["doc_id"]: r["license"] for r in local(license.scan(docs, license.TEXTS, spans=license.SPANS))}
+    got = {r["doc_id"]: r["license"] for r in local(license.scan(docs))}
     assert got == {1: "MIT", 2: "MIT", 3: "GPL-3.0", 4: "Apache-2.0", 5: "MPL-2.0", 6: "Apache-2.0", 7: "Proprietary", 8: None, 9: None}
 
 
+def test_licences_of_awkward_files(spark, monkeypatch):
+    """Repeated rows, clashing columns, a tie of two licences in a directory, a very long file, many directories."""
+    apache, mit = license.TEXTS["Apache-2.0"], license.TEXTS["MIT"]
+    rows = [(1, "x/a", apache, "t"), (1, "x/a", apache, "t"), (2, "x/b", mit, None), (3, "x/y/z", "code", "own"), (None, "x/y/z", None, ""), (4, "w/long", " \n".join(prose(300, i) for i in range(40)) + "\n\n" + mit, "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, text string, terms string").selectExpr("*", "1 as dir", "'q' as units", "0 as salt")
+    want = [(None, "Apache-2.0", "x"), (1, "Apache-2.0", "own"), (1, "Apache-2.0", "own"), (2, "MIT", "own"), (3, "Apache-2.0", "x"), (4, "MIT", "own")]
+    for most in (license.DIRECTORIES, 0):
+        monkeypatch.setattr(license, "DIRECTORIES", most)
+        got = license.scan(docs)
+        assert got.columns == ["doc_id", "path", "own_license", "own_score", "license", "license_from"]
+        assert sorted(((r["doc_id"], r["license"], r["license_from"]) for r in local(got)), key=lambda r: key(r[0])) == want
+
+
 def test_rollup(spark, docs, tmp_path):
     t = Tokenizer.from_file(BYTE)
     counted = tokencounts.counts(docs, {"v1": (BYTE, True)})
