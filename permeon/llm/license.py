@@ -14,7 +14,7 @@ deepest wins.
 
 Plan: all of the cosines are computed inside the row by higher-order functions, without a shuffle: terms become places in the
 templates' vocabulary (bounded by the caller's templates), units whose known terms cannot reach LEAST even if no other term
-occurs twice are left out (the length is at least that long, so nothing is lost), the rest are weighed exactly. What
+occurs twice are left out (the length is at least that long, so nothing is lost; sums by sentence bound most units before any count), the rest are weighed exactly. What
 remains of a file is one small row, written once. Directories are combined before they are shuffled, so a directory with a third of
 all files is one row a task; files then meet their directory's licence by a broadcast of at most DIRECTORIES rows, or
 beyond that by a join that salts the files.
@@ -26,11 +26,14 @@ above. Empty table: no rows. Extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import re
 from collections.abc import Callable
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,55 +120,113 @@ def total(values: Column, of: Callable[[Column], Column]) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda sum_, x: sum_ + of(x))
 
 
+def added(sums: Column) -> Column:
+    return F.struct(*(total(sums, lambda s, c=c: s[c]).alias(c) for c in ("k2", "u", "a")))
+
+
 def tallies(values: Column) -> Column:
     """Structs x (each distinct value) and tf (how often it occurs)."""
 
     def of(ordered: Column, distinct: Column, first: Column) -> Column:
         after = lambda i: F.coalesce(F.get(first, i + 1), F.size(ordered) + 1)
-        return F.transform(distinct, lambda x, i: F.struct(x.alias("x"), (after(i) - F.get(first, i)).alias("tf")))
+        return F.transform(distinct, lambda x, i: F.struct(x.alias("x"), (after(i) - F.get(first, i)).cast("double").alias("tf")))
 
     return let(F.sort_array(values), lambda o: let(F.array_distinct(o), lambda d: let(F.transform(d, lambda x: F.array_position(o, x)), lambda first: of(o, d, first))))
 
 
+def places(words: list[str]) -> tuple[int, list[int]]:
+    """A size of table in which xxhash64 puts each of the words in a place of its own, and the places."""
+    hashes = [np.uint64(xxhash.xxh64_intdigest(t, seed=42)).astype(np.int64).item() for t in words]  # the seed of the SQL function
+    size = next(m for m in itertools.count(len(words) + 1) if len({h % m for h in hashes}) == len(words))
+    return size, [h % size for h in hashes]
+
+
 class Weigher:
-    """Column expressions for units of terms; codes are places in the vocabulary, from 1."""
+    """Column expressions for units of terms; a term's code is its place in a hash table of the templates' vocabulary."""
 
     def __init__(self, templates: dict[str, str], least: float) -> None:
         idf, vectors, rare = weights(templates)
-        self.vocabulary, self.names, self.least, self.rare2 = sorted(idf), sorted(templates), least, rare**2
-        # literals, which the optimiser folds
-        self.words = F.split(F.lit(" ".join(self.vocabulary)), " ")
-        self.idf = F.from_json(F.lit(json.dumps([idf[t] for t in self.vocabulary])), "array<double>")
-        self.weighted = F.from_json(F.lit(json.dumps([[idf[t] * vectors[k].get(t, 0.0) for t in self.vocabulary] for k in self.names])), "array<array<double>>")
-        self.licences = F.split(F.lit(" ".join(k.split("#")[0] for k in self.names)), " ")
+        words, names = sorted(idf), sorted(templates)
+        self.least, self.rare2 = least, rare**2
+        self.size, at = places(words)
+
+        def literal(values: dict[str, object], blank: object) -> list:
+            out = [blank] * self.size
+            for t, i in zip(words, at):
+                out[i] = values[t]
+            return out
+
+        def folded(value: object, of: str) -> Column:  # the optimiser makes it a literal
+            return F.from_json(F.lit(json.dumps(value)), of)
+
+        self.words = folded(literal({t: t for t in words}, ""), "array<string>")
+        self.idf = folded(literal(idf, 0.0), "array<double>")
+        self.most = folded(literal({t: idf[t] * max(vectors[k].get(t, 0.0) for k in names) for t in words}, 0.0), "array<double>")
+        self.weighted = folded([literal({t: idf[t] * vectors[k].get(t, 0.0) for t in words}, 0.0) for k in names], "array<array<double>>")
+        self.licences = F.split(F.lit(" ".join(k.split("#")[0] for k in names)), " ")
+
+    def place(self, term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(self.size)).cast("int")
+
+    def known(self, term: Column) -> Column:
+        return F.get(self.words, self.place(term)) == term
 
     def codes(self, terms: Column) -> Column:
-        return F.filter(F.transform(terms, lambda t: F.array_position(self.words, t)), lambda c: c > 0)
+        return F.transform(F.filter(terms, self.known), self.place)
 
-    def squares(self, codes: Column) -> Column:
-        """Of the weights, each occurrence by itself."""
-        return total(codes, lambda c: F.pow(F.get(self.idf, c - 1), 2))
+    def sums(self, terms: Column, codes: Column) -> Column:
+        """Struct k2 (squared weights of known occurrences), u (how many are unknown), a (above any template's product)."""
+        square = lambda x: x * x
+        return F.struct(
+            total(codes, lambda c: square(F.get(self.idf, c))).alias("k2"), (F.size(terms) - F.size(codes)).cast("double").alias("u"),
+            total(codes, lambda c: F.get(self.most, c)).alias("a"),
+        )
 
     def length2(self, known: Column) -> Column:
-        return total(known, lambda t: F.pow(t["tf"] * F.get(self.idf, t["x"] - 1), 2))
+        return total(known, lambda t: t["tf"] * t["tf"] * F.get(self.idf, t["x"]) * F.get(self.idf, t["x"]))
 
     def products(self, known: Column) -> Column:
         """With each template's unit vector."""
-        return F.transform(self.weighted, lambda w: total(known, lambda t: t["tf"] * F.get(w, t["x"] - 1)))
+        return F.transform(self.weighted, lambda w: total(known, lambda t: t["tf"] * F.get(w, t["x"])))
+
+    def may(self, sums: Column) -> Column:
+        """Whether a unit may reach the threshold if all its terms occur once, and count as in the template that likes them most."""
+        return (sums["a"] > 0) & (sums["a"] >= self.least * 0.999 * F.sqrt(sums["k2"] + sums["u"] * self.rare2))
+
+    def units(self, sums: Column, of_line: Column) -> Column:
+        """Structs first (line, from 0), span, part (a sentence of the line, from 1, or 0) and sums of the units that may reach the
+        threshold: lines, sentences of lines that have more than one, runs of at least two like lines, the whole. There is a line."""
+        n, shape = F.size(of_line), "array<struct<first:int,span:int,part:int,sums:struct<k2:double,u:double,a:double>>>"
+
+        def unit(first: Column, span: Column, part: Column, s: Column) -> Column:
+            return F.struct(first.cast("int").alias("first"), span.cast("int").alias("span"), part.cast("int").alias("part"), s.alias("sums"))
+
+        def over(first: Column, span: Column) -> Column:
+            return unit(first, span, F.lit(0), added(F.slice(of_line, first + 1, span)))
+
+        def inside(ss: Column, i: Column) -> Column:
+            return F.when(F.size(ss) > 1, F.filter(F.transform(ss, lambda s, j: unit(i, F.lit(1), j + 1, s)), lambda u: self.may(u["sums"]))).otherwise(F.array().cast(shape))
+
+        like = lambda s: (s["a"] > 0) & (s["k2"] >= s["u"] * self.rare2)
+        edge = lambda step: F.filter(F.sequence(F.lit(0), n - 1), lambda i: like(F.get(of_line, i)) & ~F.coalesce(like(F.get(of_line, i + step)), F.lit(False)))
+        runs = F.filter(F.zip_with(edge(-1), edge(1), lambda a, b: F.struct(a.alias("a"), (b - a + 1).alias("n"))), lambda r: (r["n"] > 1) & (r["n"] < n))
+        lines = F.transform(of_line, lambda s, i: unit(i, F.lit(1), F.lit(0), s))
+        whole = F.when(n > 1, F.array(over(F.lit(0), n))).otherwise(F.array().cast(shape))
+        large = F.filter(F.concat(lines, F.transform(runs, lambda r: over(r["a"], r["n"])), whole), lambda u: self.may(u["sums"]))
+        return F.concat(F.flatten(F.transform(sums, inside)), large)
 
     def hopeful(self, codes: Column, unknown: Column) -> Column:
-        """Whether a unit may reach the threshold if all other terms occur once."""
+        """Whether a unit may reach the threshold if all unknown terms occur once."""
         bound = self.least * 0.999
 
         def of(known: Column) -> Column:
             return let(self.length2(known), lambda k: (k >= bound**2 * (k + unknown * self.rare2)) & (F.array_max(self.products(known)) >= bound * F.sqrt(k + unknown * self.rare2)))
 
-        return (self.squares(codes) > 0) & let(tallies(codes), of)
+        return let(tallies(codes), of)
 
     def best(self, terms: Column, codes: Column) -> Column:
         """Struct s (minus the highest cosine, rounded) and t (its licence)."""
-        others = F.filter(terms, lambda t: F.array_position(self.words, t) == 0)
-        others2 = total(tallies(others), lambda t: F.pow(t["tf"].cast("double"), 2)) * self.rare2
+        others2 = total(tallies(F.filter(terms, lambda t: ~self.known(t))), lambda t: t["tf"] * t["tf"]) * self.rare2
 
         def of(known: Column) -> Column:
             length = F.sqrt(self.length2(known) + others2)
@@ -175,18 +236,6 @@ class Weigher:
         return let(tallies(codes), of)
 
 
-def units(like: Column, sentences: Column) -> Column:
-    """Structs first (line, from 0), span and part (a sentence of the line, from 1, or 0): each line, each sentence of a line that
-    has more than one, each run of at least two like lines, the whole. There is a line at least."""
-    n = F.size(like)
-    at = F.sequence(F.lit(0), n - 1)
-    edge = lambda step: F.filter(at, lambda i: F.get(like, i) & ~F.coalesce(F.get(like, i + step), F.lit(False)))
-    unit = lambda first, span, part=F.lit(0): F.struct(first.cast("int").alias("first"), span.cast("int").alias("span"), part.cast("int").alias("part"))
-    runs = F.filter(F.zip_with(edge(-1), edge(1), lambda a, b: unit(a, b - a + 1)), lambda u: u["span"] > 1)
-    inside = F.flatten(F.transform(sentences, lambda s, i: F.when(F.size(s) > 1, F.transform(s, lambda _, j: unit(i, F.lit(1), j + 1))).otherwise(F.array().cast("array<struct<first:int,span:int,part:int>>"))))
-    return F.array_distinct(F.concat(F.transform(at, lambda i: unit(i, F.lit(1))), inside, runs, F.array(unit(F.lit(0), n))))
-
-
 def own_licences(files: DataFrame, templates: dict[str, str], least: float) -> DataFrame:
     """doc_id, path, own_license, own_score, mostly: whether it is the larger part of the file."""
     w = Weigher(templates, least)
@@ -194,17 +243,16 @@ def own_licences(files: DataFrame, templates: dict[str, str], least: float) -> D
     # by line and sentence
     f = files.select("doc_id", F.col("path").cast("string").alias("path"), F.transform(lines, lambda x: F.transform(F.split(x, r"[.!?;:]\s+"), terms_in)).alias("terms"))
     f = f.withColumn("codes", F.transform("terms", lambda ss: F.transform(ss, w.codes)))
-    f = f.withColumn("unknown", F.zip_with("terms", "codes", lambda tt, cc: F.zip_with(tt, cc, lambda t, c: F.size(t) - F.size(c))))
-    add = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
-    f = f.withColumn("like", F.zip_with("codes", "unknown", lambda cc, uu: let(F.flatten(cc), lambda c: (F.size(c) > 0) & (w.squares(c) >= add(uu) * w.rare2))))
-    f = f.withColumn("units", F.when(F.size("terms") > 0, units(F.col("like"), F.col("terms"))))
+    f = f.withColumn("sums", F.zip_with("terms", "codes", lambda tt, cc: F.zip_with(tt, cc, w.sums)))
+    f = f.withColumn("of_line", F.transform("sums", added))
+    f = f.withColumn("units", F.when(F.size("terms") > 0, w.units(F.col("sums"), F.col("of_line"))))
 
     def part(column: str, u: Column) -> Column:
         """The unit's part of an array by line and sentence, as an array by sentence."""
         of = F.flatten(F.slice(column, u["first"] + 1, u["span"]))
         return F.when(u["part"] > 0, F.slice(of, F.greatest(u["part"], F.lit(1)), F.lit(1))).otherwise(of)
 
-    f = f.withColumn("units", F.filter("units", lambda u: w.hopeful(F.flatten(part("codes", u)), add(part("unknown", u)))))
+    f = f.withColumn("units", F.filter("units", lambda u: w.hopeful(F.flatten(part("codes", u)), u["sums"]["u"])))
     scored = F.transform("units", lambda u: F.struct(u["first"].alias("first"), u["span"].alias("span"), w.best(F.flatten(part("terms", u)), F.flatten(part("codes", u))).alias("best")))
     f = f.withColumn("scored", F.filter(scored, lambda x: -x["best"]["s"] >= least))
     f = f.withColumn("best", F.array_min(F.transform("scored", lambda x: F.struct(x["best"]["s"].alias("s"), x["best"]["t"].alias("t"), (-x["span"]).alias("span")))))
