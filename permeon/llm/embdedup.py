@@ -1,34 +1,44 @@
 """Operator 7: near-duplicate vectors by cosine, compared inside cells of a spherical k-means.
 
-Equal vectors are one row with a multiplicity. Centroids come from a sample of at most SAMPLE vectors; there are at most
-MOST_CELLS, so they may be broadcast. Every vector goes to its nearest centroid's cell, its home, and as a guest to each
-cell whose border (the plane half-way between both centroids) is at most REACH away. Unit vectors of cosine 0.95 are at most
-2 * REACH apart, so of two of them with different homes one at least is within REACH of the other's cell: no link is lost.
-
-A cell is compared in blocks: rows are dealt to blocks of about BLOCK rows by a hash of their id, and each pair of blocks is
-a task, however large the cell is. A task returns, for each vector, how many it links with (multiplicities counted) and
-one edge to the smallest member of its group among all the task's links; never the pairs, of which a group of copies has a
-square.
+Equal vectors are one row with a multiplicity. Centroids come from a sample of at most SAMPLE vectors; there is one for each
+CELL_ROWS rows, MOST_CELLS at most, so they may be broadcast. Every vector goes to its nearest centroid's cell, its home, and as a
+guest to each cell whose border (the plane half-way between both centroids) is at most REACH away. Unit vectors of cosine 0.95 are
+at most 2 * REACH apart, so of two of them with different homes one at least is within REACH of the other's cell: no link is
+lost, and guests need no comparison with each other.
+
+A cell is compared in blocks: its vectors travel packed, are dealt to blocks of about BLOCK rows by a hash, and each pair of blocks
+of homes, and of homes and guests, is a task, however large the cell is. (Cells grow beyond CELL_ROWS only above CELL_ROWS *
+MOST_CELLS vectors, or where vectors lie close together.) A task returns, for each vector, how many it links with (multiplicities
+counted) and one edge to the smallest member of its group among all the task's links; never the pairs, of which a group of
+copies has a square.
 
 Result: vec_id, n_links, component_id, kept. Vectors that are null, zero or hold null or non-finite components: n_links 0,
 their own component, kept. A null vec_id: n_links 0, component null, kept. Repeated rows link with each other (equal
-vectors). Vectors of different lengths are compared only with their like. Empty table: no rows. Extra columns are ignored.
+vectors). Vectors of different lengths are compared only with their like. Ties at the threshold link. Empty table: no rows. Extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._blocks import pack, unpack
 from ._components import components
 from ._session import prepare, schema, written
 from ._vectors import matrix, sample, vectors
 
 COSINE = 0.95
 REACH = (2 - 2 * COSINE) ** 0.5 / 2 + 1e-9
-SAMPLE, CELL_ROWS, MOST_CELLS, BLOCK = 20_000, 4_000, 1_024, 4_096
+SAMPLE, CELL_ROWS, MOST_CELLS, BLOCK = 20_000, 1_000, 4_096, 8_192
+#: Vectors that a task deals together, and rows of a comparison.
+DEALT, CHUNK = 16_384, 1_024
+#: Products of vectors and centroids that are held at a time.
+PRODUCTS = 1 << 22
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -36,11 +46,17 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def slices(x: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """Rows in parts whose products with k centroids stay small."""
+    step = max(1, PRODUCTS // k)
+    return (x[lo : lo + step] for lo in range(0, max(len(x), 1), step))
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
     """Unit centroids of unit vectors."""
     centroids = x[np.random.default_rng(seed).permutation(len(x))[:k]]
     for _ in range(rounds):
-        cell = (x @ centroids.T).argmax(1)
+        cell = np.concatenate([(part @ centroids.T).argmax(1) for part in slices(x, k)])
         sums = np.zeros_like(centroids)
         np.add.at(sums, cell, x)
         length = np.sqrt((sums * sums).sum(1, keepdims=True))
@@ -50,83 +66,134 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) ->
 
 def cells_of(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Home of each unit vector, and which cells it is a guest of."""
-    near = x @ centroids.T
-    home = near.argmax(1)
     apart = np.sqrt(np.maximum(0, 2 - 2 * centroids @ centroids.T))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        border = (near[np.arange(len(x)), home][:, None] - near) / apart[home]
-    guest = ~(border > REACH)
-    guest[np.arange(len(x)), home] = False
-    return home, guest
+    homes, guests = [], []
+    for part in slices(x, len(centroids)):
+        near = part @ centroids.T
+        home, at = near.argmax(1), np.arange(len(part))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            border = (near[at, home][:, None] - near) / apart[home]
+        guest = ~(border > REACH)
+        guest[at, home] = False
+        homes.append(home)
+        guests.append(guest)
+    return np.concatenate(homes), np.concatenate(guests)
+
+
+class Vectors:
+    """Vectors of one block of a cell: ids, copies, home cells, the cells each is a guest of (as sorted row * cells + cell), unit vectors."""
+
+    def __init__(self, blobs: list[bytes], cells: int) -> None:
+        parts, ids, copies, home, guest, x = [unpack(b) for b in blobs], [], [], [], [], []
+        n = 0
+        for i, c, h, g, v, kind in parts:
+            ids.append(np.frombuffer(i, "<i8"))
+            copies.append(np.frombuffer(c, "<i8"))
+            home.append(np.frombuffer(h, "<i4"))
+            guest.append(np.frombuffer(g, "<i8") + n * cells)
+            x.append(np.frombuffer(v, kind.decode()).reshape(len(ids[-1]), -1))
+            n += len(ids[-1])
+        self.ids, self.copies, self.home, self.guest = map(np.concatenate, (ids, copies, home, guest))
+        self.x, self.cells = unit(np.concatenate(x).astype(np.float64)), cells
+
+    @staticmethod
+    def packed(ids: np.ndarray, copies: np.ndarray, home: np.ndarray, guest: np.ndarray, x: np.ndarray) -> bytes:
+        single = x.astype("<f4")
+        exact = np.array_equal(single.astype(np.float64), x)
+        rows, of = np.nonzero(guest)
+        return pack(ids.astype("<i8"), copies.astype("<i8"), home.astype("<i4"), (rows * guest.shape[1] + of).astype("<i8"), single if exact else x.astype("<f8"), b"<f4" if exact else b"<f8")
 
 
 def _deal(centroids: dict[int, np.ndarray]):
+    """Packed vectors of each cell: size, cell, guests (whether they are), rows, name, data."""
+
+    def dealt(size: int, ids: np.ndarray, copies: np.ndarray, x: np.ndarray) -> Iterator[tuple]:
+        home, guest = cells_of(unit(x), centroids[size])
+        for c in range(len(centroids[size])):
+            for guests, rows in ((False, np.flatnonzero(home == c)), (True, np.flatnonzero(guest[:, c]))):
+                for lo in range(0, len(rows), CHUNK):
+                    r = rows[lo : lo + CHUNK]
+                    yield size, c, guests, len(r), int(ids[r].min()), Vectors.packed(ids[r], copies[r], home[r], guest[r] if not guests else guest[r] & False, x[r])
+
     def run(frames):
-        for f in frames:
-            out = []
+        held, n = [], 0
+
+        def sent() -> pd.DataFrame:
+            f, out = pd.concat(held), []
             for size, g in f.groupby(f["embedding"].map(len)):
-                if size not in centroids:
-                    continue
-                home, guest = cells_of(unit(matrix(g["embedding"])), centroids[size])
-                for i, (v, m, e) in enumerate(zip(g["vec_id"], g["copies"], g["embedding"])):
-                    others = np.flatnonzero(guest[i]).tolist()
-                    out += [(size, c, int(home[i]), v, m, others if c == home[i] else [], e) for c in [int(home[i]), *others]]
-            yield pd.DataFrame(out, columns=["size", "cell", "home", "vec_id", "copies", "guest_of", "embedding"])
+                if size in centroids:
+                    out += dealt(size, g["vec_id"].to_numpy(np.int64), g["copies"].to_numpy(np.int64), matrix(g["embedding"]))
+            return pd.DataFrame(out, columns=["size", "cell", "guests", "rows", "name", "data"])
+
+        for f in frames:
+            held.append(f)
+            n += len(f)
+            if n >= DEALT:
+                yield sent()
+                held, n = [], 0
+        if n:
+            yield sent()
 
     return run
 
 
-def compare(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-    """Links between two blocks of a cell (or inside one): rows (vec_id, other, n_links)."""
-    _, cell, i, j = key
-    x = unit(matrix(f["embedding"]))
-    ids, copies, home, block = (f[c].to_numpy() for c in ("vec_id", "copies", "home", "block"))
-    guests = [frozenset(g) for g in f["guest_of"]]
-    count = np.zeros(len(f), np.int64)
-    names, node = np.unique(ids, return_inverse=True)
+def settled(group: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The smallest of each component, where u and v are linked."""
+    while True:
+        before = group.copy()
+        np.minimum.at(group, u, group[v])
+        np.minimum.at(group, v, group[u])
+        group = group[group]
+        if np.array_equal(before, group):
+            return group
+
+
+def compare(cell: int, left: Vectors, right: Vectors | None) -> pd.DataFrame:
+    """Links between homes of a cell and another block of homes or guests, or inside a block: rows (vec_id, other, n)."""
+    inside, right = right is None, left if right is None else right
+    names, node = np.unique(np.concatenate((left.ids, right.ids)), return_inverse=True)
+    of_left, of_right, count = node[: len(left.ids)], node[len(left.ids) :], np.zeros(len(names), np.int64)
     stars = [(node[:0], node[:0])]  # of each chunk, what leads to the smallest of its group there
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    order = np.arange(len(f))
-    for lo in range(0, len(left), 512):
-        a = left[lo : lo + 512]
-        link = x[a] @ x[right].T >= COSINE
-        # each pair once: inside a block the earlier first; of two cells that both see the pair, the smaller
-        link &= (home[a] == cell)[:, None] | (home[right] == cell)
-        if i == j:
-            link &= order[a][:, None] < order[right]
+    for lo in range(0, len(left.ids), CHUNK):
+        a = np.arange(lo, min(lo + CHUNK, len(left.ids)))
+        link = left.x[a] @ right.x.T >= COSINE
+        if inside:
+            link &= a[:, None] < np.arange(len(right.ids))
+        # a pair that both cells see counts in the smaller one
+        p, q = np.nonzero(link & (right.home < cell))
+        seen = np.isin(a[p] * left.cells + right.home[q], left.guest)
+        link[p[seen], q[seen]] = False
         rows, cols = np.flatnonzero(link.any(1)), np.flatnonzero(link.any(0))
         if not len(rows):
             continue
-        a, b, link = a[rows], right[cols], link[np.ix_(rows, cols)]
-        p, q = np.nonzero(link & ((home[a] != cell)[:, None] | (home[b] != cell)))
-        for r, c in zip(p.tolist(), q.tolist()):
-            inner, outer = (a[r], b[c]) if home[a[r]] == cell else (b[c], a[r])
-            if home[outer] < cell and home[outer] in guests[inner]:
-                link[r, c] = False
+        link = link[np.ix_(rows, cols)]
         # integers of 64 bits take no BLAS, doubles do; counts stay far below 2**53
         weight = link.astype(np.float64)
-        np.add.at(count, a, (weight @ copies[b]).astype(np.int64))
-        np.add.at(count, b, (copies[a] @ weight).astype(np.int64))
-        label = node.copy()
+        np.add.at(count, of_left[a[rows]], (weight @ right.copies[cols]).astype(np.int64))
+        np.add.at(count, of_right[cols], (left.copies[a[rows]] @ weight).astype(np.int64))
+        u, v, label = of_left[a[rows]], of_right[cols], np.arange(len(names))
         while True:
-            before = label[a].sum(), label[b].sum()
-            np.minimum.at(label, a, np.where(link, label[b], len(names)).min(1))
-            np.minimum.at(label, b, np.where(link, label[a][:, None], len(names)).min(0))
-            if before == (label[a].sum(), label[b].sum()):
+            before = label[u].sum(), label[v].sum()
+            np.minimum.at(label, u, np.where(link, label[v], len(names)).min(1))
+            np.minimum.at(label, v, np.where(link, label[u][:, None], len(names)).min(0))
+            if before == (label[u].sum(), label[v].sum()):
                 break
-        moved = label != node
-        stars.append((node[moved], label[moved]))
-    group = np.arange(len(names))
-    u, v = (np.concatenate(x) for x in zip(*stars))
-    while True:
-        before = group.copy()
-        np.minimum.at(group, u, group[v])
-        np.minimum.at(group, v, group[u])
-        if np.array_equal(before, group):
-            break
-    other = names[group[node]]
-    some = (count > 0) | (other != ids)
-    return pd.DataFrame({"vec_id": ids[some], "other": other[some], "n": count[some]})
+        moved = np.flatnonzero(label != np.arange(len(names)))
+        stars.append((moved, label[moved]))
+    group = settled(np.arange(len(names)), *(np.concatenate(x) for x in zip(*stars)))
+    some = (count > 0) | (group != np.arange(len(names)))
+    return pd.DataFrame({"vec_id": names[some], "other": names[group[some]], "n": count[some]})
+
+
+def _compare(cells: dict[int, int]):
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        size, cell, guests, i, j = key
+        of = lambda rows: Vectors(f.loc[rows, "data"].tolist(), cells[size])
+        left = (f["block"] == i) & ~f["guest"]
+        right = f["guest"] if guests else (f["block"] == j)
+        return compare(cell, of(left), None if not guests and i == j else of(right)) if left.any() and right.any() else pd.DataFrame({"vec_id": [], "other": [], "n": []})
+
+    return run
 
 
 def near_duplicates(embeddings: DataFrame, seed: int = 7) -> DataFrame:
@@ -142,13 +209,24 @@ def near_duplicates(embeddings: DataFrame, seed: int = 7) -> DataFrame:
     for r in reps.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n")).collect():  # one row a vector length
         k = max(1, min(MOST_CELLS, r["n"] // CELL_ROWS))
         centroids[r["size"]] = spherical_kmeans(unit(sample(reps.where(F.size("embedding") == r["size"]), SAMPLE)), k, seed=seed)
-    dealt = reps.mapInPandas(_deal(centroids), schema("size int, cell int, home int, vec_id bigint, copies bigint, guest_of array<int>, embedding array<double>"))
-    dealt = written(dealt, "cells")
-    blocks = dealt.groupBy("size", "cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    rows = dealt.join(F.broadcast(blocks), ["size", "cell"])  # at most MOST_CELLS rows a vector length
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with")).drop("with", "blocks")
-    found = rows.groupBy("size", "cell", "i", "j").applyInPandas(compare, schema("vec_id bigint, other bigint, n bigint"))
+    dealt = reps.mapInPandas(_deal(centroids), schema("size int, cell int, guests boolean, rows bigint, name bigint, data binary"))
+    dealt = written(dealt.withColumnRenamed("guests", "guest"), "cells")
+    blocks = lambda guest: F.greatest(F.lit(1), F.ceil(F.sum(F.when(guest, F.col("rows"))) / F.lit(BLOCK))).cast("int")
+    of_cell = dealt.groupBy("size", "cell").agg(blocks(~F.col("guest")).alias("homes"), blocks(F.col("guest")).alias("others"))
+    rows = dealt.join(F.broadcast(of_cell), ["size", "cell"])  # at most MOST_CELLS rows a vector length
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("name"), F.when(F.col("guest"), F.col("others")).otherwise(F.col("homes"))).cast("int"))
+
+    def tasks(guests: bool, n: str, i, j):
+        return F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda w: F.struct(F.lit(guests).alias("guests"), i(w).alias("i"), j(w).alias("j")))
+
+    own = F.col("block")
+    with_homes = tasks(False, "homes", lambda w: F.least(own, w), lambda w: F.greatest(own, w))
+    with_guests = tasks(True, "others", lambda w: own, lambda w: w)
+    as_guest = tasks(True, "homes", lambda w: w, lambda w: own)
+    rows = rows.select("size", "cell", "guest", "block", "data", F.explode(F.when(F.col("guest"), as_guest).otherwise(F.concat(with_homes, with_guests))).alias("task"))
+    rows = rows.select("size", "cell", "guest", "block", "data", "task.*")
+    cells = {size: len(c) for size, c in centroids.items()}
+    found = rows.groupBy("size", "cell", "guests", "i", "j").applyInPandas(_compare(cells), schema("vec_id bigint, other bigint, n bigint"))
     found = written(found, "links")
     counts = found.groupBy(F.col("vec_id").alias("node")).agg(F.sum("n").alias("n"))
     groups = components(found.where("other <> vec_id").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))

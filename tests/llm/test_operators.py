@@ -337,6 +337,8 @@ def usable(r):
 def test_near_duplicate_vectors(spark, embeddings, monkeypatch):
     monkeypatch.setattr(embdedup, "CELL_ROWS", 15)
     monkeypatch.setattr(embdedup, "BLOCK", 8)
+    monkeypatch.setattr(embdedup, "CHUNK", 3)
+    embeddings = embeddings.selectExpr("*", "'x' as cell", "1 as home", "2 as ok", "3 as same", "4 as copies")
     rows = local(embeddings)
     unit = [np.array(r["embedding"]) / np.abs(r["embedding"]).max() if usable(r) else None for r in rows]
     unit = [None if u is None else u / np.linalg.norm(u) for u in unit]
@@ -366,13 +368,14 @@ def test_links_of_a_large_cell():
     link = x @ x.T >= embdedup.COSINE
     np.fill_diagonal(link, False)
     want = components_of(ids.tolist(), [(int(ids[i]), int(ids[j])) for i, j in np.argwhere(np.triu(link))])
-    frame = pd.DataFrame({"vec_id": ids, "copies": copies, "home": 0, "guest_of": [[]] * n, "embedding": list(x)})
+    none = np.zeros((n, 1), bool)
     for blocks in (1, 2):
         edges, degree = [], defaultdict(int)
         for i in range(blocks):
             for j in range(i, blocks):
                 block = np.arange(n) * blocks // n
-                out = embdedup.compare((64, 0, i, j), frame.assign(block=block)[np.isin(block, (i, j))].reset_index(drop=True))
+                part = lambda b: embdedup.Vectors([embdedup.Vectors.packed(ids[block == b], copies[block == b], np.zeros((block == b).sum()), none[block == b], x[block == b])], 1)
+                out = embdedup.compare(0, part(i), None if i == j else part(j))
                 assert out["vec_id"].is_unique
                 edges += zip(out["vec_id"].tolist(), out["other"].tolist())
                 for v, k in zip(out["vec_id"].tolist(), out["n"].tolist()):
