@@ -19,9 +19,13 @@ Plan, without pairs inside groups:
 - the rest are estimated and confirmed; then components again. So links between different texts are all found where a
   bucket sees them, while a large group of near copies costs one comparison a member and bucket at most.
 
+A set is a node with a number of its own, whatever doc_ids its documents have; a doc_id with several texts links their sets.
+Keys that very many rows share (a star, a common shingle) are counted first; there are few of them, and their rows are salted
+or get what they need by broadcast.
+
 Result: doc_id, n_shingles, component_id, kept. Null, empty and wordless texts: n_shingles 0, linked with nothing. A null
-doc_id keeps its row, with component_id null unless its set is another document's. Repeated rows share a component; rows
-with one doc_id and different texts are one node. Empty table: no rows. Extra columns are ignored.
+doc_id: component null, kept, links nothing. Very long texts are compared whole, in a batch of their own. Repeated rows are equal
+sets. Ties: similarity of exactly 0.75 links. Empty table: no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,6 +48,7 @@ ZERO_BITS, MANTISSA_BITS = 4, 4
 #: A pair is linked if NUM * |union| <= DEN * |intersection|.
 NUM, DEN = 75, 100
 DEVIATIONS = 6
+HOT, SALTS, COMMON = 256, 16, 20_000
 
 #: For each register, in which order it asks others when its bucket is empty.
 ASK = np.random.default_rng(20).permuted(np.tile(np.arange(REGISTERS, dtype=np.int16), (REGISTERS, 1)), axis=1)
@@ -84,12 +89,16 @@ def least_estimate() -> float:
     return j - DEVIATIONS * (j * (1 - j) / REGISTERS) ** 0.5
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_print (128 bits of the set), registers."""
+def signatures(docs: DataFrame, with_text: bool = False) -> DataFrame:
+    """doc_id, n_shingles, set_print (128 bits of the set), registers; with_text: doc_id, set_print and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
+            if with_text:
+                prints = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), prints, batch.column(1)], names=["doc_id", "set_print", "text"])
+                continue
             out = (
                 batch.column(0),
                 pa.array([len(s) for s in sets], pa.int64()),
@@ -98,7 +107,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             )
             yield pa.RecordBatch.from_arrays(list(out), names=["doc_id", "n_shingles", "set_print", "registers"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema("doc_id bigint, n_shingles bigint, set_print binary, registers binary"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema("doc_id bigint, set_print binary, text string" if with_text else "doc_id bigint, n_shingles bigint, set_print binary, registers binary"))
 
 
 def bands(nodes: DataFrame) -> DataFrame:
@@ -161,7 +170,18 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 yield batch.select([0, 1]).filter(pa.array(estimate(a, b) >= least))
 
     side = lambda name: nodes.select(F.col("node").alias(name), F.col("registers").alias(f"r{name}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ra", "rb").mapInArrow(run, schema("a bigint, b bigint"))
+    both = salted_join(pairs.join(side("b"), "b"), side("a"), pairs)
+    return both.select("a", "b", "ra", "rb").mapInArrow(run, schema("a bigint, b bigint"))
+
+
+def salted_join(rows: DataFrame, side: DataFrame, pairs: DataFrame) -> DataFrame:
+    """rows joined with side on a. What stands in more than 1/HOT of the pairs (less than HOT keys) is spread over SALTS keys."""
+    counts = pairs.groupBy("a").agg(F.count("*").alias("of_a"))
+    hot = F.broadcast(counts.join(F.broadcast(pairs.agg(F.count("*").alias("every"))), F.col("of_a") * HOT > F.greatest("every", F.lit(SALTS * HOT))).select("a", F.lit(SALTS).alias("salts")))
+    salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    rows = rows.join(hot, "a", "left").withColumn("salt", salt).drop("salts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
+    return rows.join(side.join(hot, "a", "left").withColumn("salt", copies).drop("salts"), ["a", "salt"])
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -179,8 +199,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append(DEN * both >= NUM * (len(held) + len(other) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda name: texts.select(F.col("doc_id").alias(name), F.col("text").alias(f"t{name}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, schema("a bigint, b bigint")).distinct()
+    side = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"t{name}"))
+    both = salted_join(pairs.join(side("b"), "b"), side("a"), pairs)
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, schema("a bigint, b bigint")).distinct()
 
 
 def across(texts: DataFrame, groups: DataFrame) -> DataFrame:
@@ -192,14 +213,17 @@ def across(texts: DataFrame, groups: DataFrame) -> DataFrame:
             for lo in range(0, len(ids), 64):
                 sets = [shingle_set(t) for t in batch.column(1)[lo : lo + 64].to_pylist()]
                 n = np.array([len(s) for s in sets], np.int64)
-                of = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                out = (*(np.repeat(c, n) for c in (ids[lo : lo + 64], of, n)), np.concatenate(sets).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["node", "of", "n", "h"])
-
-    own = texts.join(groups.select(F.col("node").alias("doc_id")), "doc_id").select("doc_id", "text")
-    rows = own.mapInArrow(run, schema("node bigint, of bigint, n bigint, h bigint"))
-    rows = rows.withColumn("held_by", F.count("*").over(Window.partitionBy("h"))).where("held_by > 1")
-    mine = Window.partitionBy("node", "of")
+                out = (*(np.repeat(c, n) for c in (ids[lo : lo + 64], n)), np.concatenate(sets).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["node", "n", "h"])
+
+    own = texts.join(groups.select("node"), "node").select("node", "text")
+    rows = written(own.mapInArrow(run, schema("node bigint, n bigint, h bigint")), "shingles")
+    counts = rows.groupBy("h").agg(F.count("*").alias("held_by")).where("held_by > 1")
+    common = written(counts.where(F.col("held_by") * COMMON > rows.count()), "common")  # less than COMMON rows
+    light = counts.join(F.broadcast(common.select("h")), "h", "left_anti")
+    often = rows.join(F.broadcast(common), "h")
+    rows = rows.join(F.broadcast(common.select("h")), "h", "left_anti").join(light, "h").unionByName(often)
+    mine = Window.partitionBy("node")
     rows = rows.withColumn("place", F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("held_by", "h")) - 1)
     rows = rows.where(f"{DEN} * (n - place) >= {NUM} * n").select("node", "n", "h", "place").join(groups, "node")
     x, y = rows.alias("x"), rows.alias("y")
@@ -209,21 +233,39 @@ def across(texts: DataFrame, groups: DataFrame) -> DataFrame:
     return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+def texts_of(docs: DataFrame, wanted: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """node, text: of each wanted set (node, doc_id, set_print) the text of a document of that doc_id. repeated: doc_ids of several rows,
+    whose texts are told apart by their sets."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if repeated is None:
+        return docs.join(wanted.select("doc_id", "node"), "doc_id").select("node", "text")
+    again = signatures(docs.join(repeated, "doc_id", "left_semi"), with_text=True)
+    again = again.join(wanted, ["doc_id", "set_print"]).select("node", "text").dropDuplicates(["node"])
+    return texts_of(docs.join(repeated, "doc_id", "left_anti"), wanted, None).unionByName(again)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, set_print."""
     prepare(docs.sparkSession)
     signed = written(signatures(docs), "signatures")
     known = signed.where("set_print is not null and doc_id is not null")
-    classes = known.groupBy("set_print").agg(F.min("doc_id").alias("node"))
-    nodes = known.join(classes.select(F.col("node").alias("doc_id"), "set_print"), ["doc_id", "set_print"]).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "registers").dropDuplicates(["node", "n"])
-    members = written(bucket_members(bands(nodes)), "buckets")
+    classes = known.groupBy("set_print").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    repeated = written(known.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    some = repeated.count() > 0
+
+    members = written(bucket_members(bands(classes)), "buckets")
     near = f"{DEN} * least(n, star_n) >= {NUM} * greatest(n, star_n)"
     wanted = members.select("node").distinct()
-    nodes = written(nodes.join(wanted, "node"), "nodes")
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.withColumnRenamed("node", "doc_id"), "doc_id"), "texts")
+    nodes = written(classes.join(wanted, "node"), "nodes")
+    texts = written(texts_of(docs, nodes.select("node", "doc_id", "set_print"), repeated if some else None), "texts")
 
     first = members.where(f"node <> star and {near}").select(F.col("star").alias("a"), F.col("node").alias("b")).distinct()
     links = written(confirmed(likely(first, nodes), texts), "confirmed")
+    if some:  # sets of one doc_id
+        of_doc = known.join(repeated, "doc_id", "left_semi").select("doc_id", "set_print").distinct().join(classes.select("set_print", "node"), "set_print")
+        least = of_doc.groupBy("doc_id").agg(F.min("node").alias("a"))
+        links = written(links.unionByName(of_doc.join(least, "doc_id").where("a <> node").select("a", F.col("node").alias("b"))), "confirmed")
     groups = components(links)
 
     # buckets whose members still lie in different components, paired across components only
@@ -231,20 +273,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labelled = written(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     rest = written(labelled.join(mixed, "key").select("node", "component").distinct(), "mixed")
+    dropped(members, labelled)
     second = across(texts, rest)
-    second = second.join(first, ["a", "b"], "left_anti")
-    more = confirmed(likely(second, nodes), texts)
+    second = second.join(links.select("a", "b"), ["a", "b"], "left_anti")
+    more = written(confirmed(likely(written(second, "across"), nodes), texts), "confirmed")
+    dropped(texts, nodes)
     groups = components(links.unionByName(more))
 
-    of_set = classes.join(groups, "node", "left").select("set_print", F.coalesce("component", "node").alias("component"))
+    of_set = classes.select("set_print", "doc_id", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = of_set.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_set = of_set.join(least, "component").select("set_print", "component_id")
     out = signed.select("doc_id", "n_shingles", "set_print").join(of_set, "set_print", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), component.isNull()).alias("kept"), "set_print")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, that of the smallest doc_id, with all its columns. Of rows with one doc_id one stays;
-    documents without an id all stay."""
+    """One document of each group, that of the smallest doc_id, with all its columns. Of rows with one doc_id the text with the
+    smallest hash stays, once (of rows with equal texts and other columns that differ, either); documents without an id all stay."""
     gone = near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    kept = kept.select(*(F.col(f"`{c}`") for c in docs.columns), F.row_number().over(one).alias(ROW)).where(F.col(ROW) == 1)
     return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+#: A column of our own beside the caller's.
+ROW = "permeon row of doc_id"

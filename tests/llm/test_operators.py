@@ -163,6 +163,31 @@ def test_near_duplicate_documents(spark, docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_links_of_repeated_doc_ids(spark):
+    """Two texts under one doc_id, each near another document; and documents that only a repeated doc_id joins."""
+    rows = []
+    for g in range(20):
+        a, b = prose(60, 3000 + g).split(" "), prose(60, 4000 + g).split(" ")
+        near = lambda w: " ".join([*w[:-2], "other", "end."])
+        rows += [(3 * g, " ".join(a)), (3 * g, " ".join(b)), (3 * g + 1, near(b)), (3 * g + 2, near(a))]
+    rows += [(900, "one two three four five six"), (901, "one two three four five six"), (901, "seven eight nine ten"), (902, "seven eight nine ten")]
+    got = local(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(i, i // 3 * 3) for i in range(60)} | {(i, 900) for i in (900, 901, 902)}
+    kept = local(minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id as node", "'x' as set_print")))
+    assert sorted(r["doc_id"] for r in kept) == [*range(0, 60, 3), 900]
+
+
+def test_hot_keys_of_near_copies(spark, monkeypatch):
+    """One large group of near copies, with bounds so low that its keys are salted and its shingles common."""
+    monkeypatch.setattr(minhash, "HOT", 1)
+    monkeypatch.setattr(minhash, "SALTS", 3)
+    monkeypatch.setattr(minhash, "COMMON", 5000)
+    words = prose(150, 77).split(" ")
+    rows = [(i, " ".join([*words[: 150 - i % 9], f"tail{i % 40}"])) for i in range(150)] + [(500 + i, prose(80, 600 + i)) for i in range(20)]
+    got = local(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(i, 0) for i in range(150)} | {(500 + i, 500 + i) for i in range(20)}
+
+
 def test_registers():
     a = np.sort(RNG.integers(0, 2**63, 2000).astype(np.uint64) * np.uint64(2))
     for share in (0.5, 0.8):
