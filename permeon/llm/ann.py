@@ -4,14 +4,17 @@ A vector is coded as a sum of one codeword from each of BOOKS full-dimensional c
 SAMPLE vectors: residual k-means gives a start, least squares over all codewords together refines it. Every row is encoded by
 beam search over the codebooks and indexed with its codes and the squared length of its sum.
 
-Search: |q - x|^2 is |q|^2 - 2 * (sum of q's table entries at x's codes) + the stored length. Rows lie in blocks; each
-block meets the queries in blocks too, keeps the SHORTLIST share of its rows that the tables put nearest and all that tie with
-the last of them, computes their exact distances on the original vectors, and returns its nearest k of each query; a grouped limit takes the nearest k of
-all. So a task's memory is one block of rows and one of queries, and nothing of the table is broadcast but the codebooks.
+Search: |q - x|^2 is |q|^2 - 2 * (sum of q's table entries at x's codes) + the stored length. Rows lie in blocks of about BLOCK;
+each block meets the queries in blocks too. It computes exact distances on the original vectors for the SHORTLIST rows that the
+tables put nearest, and learns from these by how much the tables err; then also for all rows that, by DEVIATIONS times that
+error, may be nearer than the k-th found (in a group of close copies that is the group). It returns its nearest k of each query; a
+grouped limit takes the nearest k of all. So a task's memory is one block of rows and one of queries, and nothing of the table is
+broadcast but the codebooks. SHORTLIST and BLOCK are the same at every size.
 
 Queries are rows whose vec_id is divisible by `every`; a query's own row is no candidate. Null, zero or non-finite vectors
-and null vec_ids take no part, nor do vectors of another length than most of the sample. Repeated vec_ids: each row is a
-candidate of its own, and a repeated query is asked once. Fewer candidates than k: all of them. Empty table: no rows.
+and null vec_ids take no part, nor do vectors of another length than most of the sample. Ties go to the smaller vec_id. Repeated
+vec_ids: each row is a candidate of its own, and a repeated query is asked once. Fewer candidates than k: all of them. Empty table: no
+rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from ._session import prepare, schema, shuffle_partitions, written
 from ._vectors import matrix, sample, vectors
 
 BOOKS, WORDS, BEAM, SAMPLE = 8, 256, 4, 20_000
-BLOCK, QUERY_BLOCK, SHORTLIST, LEAST = 4_096, 512, 0.125, 128
+BLOCK, QUERY_BLOCK, SHORTLIST, DEVIATIONS = 4_096, 512, 128, 3
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -116,14 +119,19 @@ def _search(books: np.ndarray, k: int):
             for blob_ids, blob in zip(queries["ids"], queries["vectors"]):
                 asked, q = np.frombuffer(blob_ids, "<i8"), np.frombuffer(blob, "<f8").reshape(-1, x.shape[1])
                 tables = np.einsum("qd,mkd->qmk", q, books)
-                short = min(len(x), max(LEAST + k, int(SHORTLIST * len(x))))
+                short = min(len(x), SHORTLIST)
                 for i, query in enumerate(asked.tolist()):
                     near = length - 2 * tables[i][np.arange(m), codes].sum(1)
                     own = ids == query
                     near[own] = np.inf
                     pick = np.argpartition(near, short - 1)[:short] if short < len(x) else np.arange(len(x))
-                    # all that the tables put as near as the last of them, such as copies, whose places among equals are arbitrary
-                    cut = near[pick].max()
+                    cut, first = near[pick].max(), pick[np.isfinite(near[pick])]
+                    if len(first) > k:
+                        gap = x[first] - q[i]
+                        exact = (gap * gap).sum(1)
+                        error = exact - near[first]
+                        cut = max(cut, np.partition(exact, k - 1)[k - 1] - np.median(error) + DEVIATIONS * error.std())
+                    # with all that the tables put as near as the last of them, such as copies
                     pick = np.union1d(pick, np.flatnonzero(near <= cut + 1e-9 * np.abs(cut)))
                     # what overflows in the tables is always looked at exactly
                     pick = np.union1d(pick, np.flatnonzero(~np.isfinite(near)))
@@ -157,9 +165,9 @@ def nearest(embeddings: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     size = known["size"] if known else 0
     if not size:
         return spark.createDataFrame([], schema("query_id bigint, rank int, vec_id bigint, score double"))
-    books = fit(sample(rows.where(F.size("embedding") == size), SAMPLE))
+    books = fit(sample(rows.where(F.size("embedding") == size), SAMPLE))  # a bounded sample; every row is indexed
     index = written(rows.mapInPandas(_index(books), schema("vec_id bigint, embedding array<double>, codes binary, length double")), "codes")
-    count = max(shuffle_partitions(spark), -(-index.count() // BLOCK))
+    count = max(1, -(-index.count() // BLOCK))
     index = index.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int"))
     queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
     queries = written(queries.coalesce(max(1, shuffle_partitions(spark) // 16)).mapInPandas(_query_blocks(size), schema("ids binary, vectors binary")), "queries")

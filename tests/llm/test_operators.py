@@ -453,6 +453,25 @@ def test_copies_over_the_shortlist():
     assert got[asked[0]] == set(np.sort(ids[(x == x[0]).all(1)])[:10])
 
 
+def test_recall(spark):
+    """Against brute force, over blocks of full size: vectors without structure, clusters, and close copies of one (a third)."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((9000, 32))
+    x[:3000] = x[0] + 1e-3 * rng.standard_normal((3000, 32))
+    x[3000:6000] = x[3000:3030].repeat(100, 0) + 0.3 * rng.standard_normal((3000, 32))
+    x = rng.permutation(x)
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(9000), "embedding": x.tolist()})).selectExpr("*", "1 as block", "'c' as codes", "2 as size", "3 as rank")
+    got = ann.nearest(table).toPandas()
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        gap = x - x[q]
+        exact = np.sqrt((gap * gap).sum(1))
+        exact[q] = np.inf
+        assert np.allclose(exact[g["vec_id"]], g["score"], rtol=1e-12) and sorted(g["rank"]) == list(range(1, 11))
+        hits += len(set(np.argsort(exact)[:10].tolist()) & set(g["vec_id"].tolist()))
+    assert len(got) == 900 and hits / 900 >= 0.9
+
+
 def test_beam_search_is_no_worse_than_greedy():
     x = RNG.standard_normal((200, 8))
     books = ann.fit(x, books=3, words=16)
