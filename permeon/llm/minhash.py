@@ -49,6 +49,8 @@ ZERO_BITS, MANTISSA_BITS = 4, 4
 NUM, DEN = 75, 100
 DEVIATIONS = 6
 HOT, SALTS, COMMON = 256, 16, 20_000
+#: So many rows of two numbers (16 MB) are broadcast to the texts; beyond, both sides are shuffled.
+BROADCAST = 1_000_000
 
 #: For each register, in which order it asks others when its bucket is empty.
 ASK = np.random.default_rng(20).permuted(np.tile(np.arange(REGISTERS, dtype=np.int16), (REGISTERS, 1)), axis=1)
@@ -160,7 +162,7 @@ def bucket_members(banded: DataFrame) -> DataFrame:
 
 
 def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose estimate doesn't rule a link out."""
+    """Pairs (a, b) whose estimate doesn't rule a link out. pairs: a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = least_estimate()
@@ -177,7 +179,7 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def salted_join(rows: DataFrame, side: DataFrame, pairs: DataFrame) -> DataFrame:
     """rows joined with side on a. What stands in more than 1/HOT of the pairs (less than HOT keys) is spread over SALTS keys."""
     counts = pairs.groupBy("a").agg(F.count("*").alias("of_a"))
-    hot = F.broadcast(counts.join(F.broadcast(pairs.agg(F.count("*").alias("every"))), F.col("of_a") * HOT > F.greatest("every", F.lit(SALTS * HOT))).select("a", F.lit(SALTS).alias("salts")))
+    hot = F.broadcast(counts.where(F.col("of_a") * HOT > max(pairs.count(), SALTS * HOT)).select("a", F.lit(SALTS).alias("salts")))
     salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
     rows = rows.join(hot, "a", "left").withColumn("salt", salt).drop("salts")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
@@ -185,7 +187,7 @@ def salted_join(rows: DataFrame, side: DataFrame, pairs: DataFrame) -> DataFrame
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs that are links by the full sets of both texts."""
+    """Pairs that are links by the full sets of both texts. pairs: a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
@@ -238,7 +240,8 @@ def texts_of(docs: DataFrame, wanted: DataFrame, repeated: DataFrame | None) ->
     whose texts are told apart by their sets."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if repeated is None:
-        return docs.join(wanted.select("doc_id", "node"), "doc_id").select("node", "text")
+        wanted = wanted.select("doc_id", "node")
+        return docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted, "doc_id").select("node", "text")
     again = signatures(docs.join(repeated, "doc_id", "left_semi"), with_text=True)
     again = again.join(wanted, ["doc_id", "set_print"]).select("node", "text").dropDuplicates(["node"])
     return texts_of(docs.join(repeated, "doc_id", "left_anti"), wanted, None).unionByName(again)
@@ -250,9 +253,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = written(signatures(docs), "signatures")
     known = signed.where("set_print is not null and doc_id is not null")
     classes = known.groupBy("set_print").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
-    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     repeated = written(known.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     some = repeated.count() > 0
+    # nodes are in the order of doc_ids: an original comes before its copies, and is like more of them than they are like each other
+    if some:
+        classes = classes.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "set_print").withColumn("node", F.monotonically_increasing_id())
+    else:
+        classes = classes.withColumn("node", F.col("doc_id"))
+    classes = written(classes, "classes")
 
     members = written(bucket_members(bands(classes)), "buckets")
     near = f"{DEN} * least(n, star_n) >= {NUM} * greatest(n, star_n)"
@@ -261,7 +269,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = written(texts_of(docs, nodes.select("node", "doc_id", "set_print"), repeated if some else None), "texts")
 
     first = members.where(f"node <> star and {near}").select(F.col("star").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(confirmed(likely(first, nodes), texts), "confirmed")
+    first = written(first, "pairs")
+    links = written(confirmed(written(likely(first, nodes), "likely"), texts), "confirmed")
     if some:  # sets of one doc_id
         of_doc = known.join(repeated, "doc_id", "left_semi").select("doc_id", "set_print").distinct().join(classes.select("set_print", "node"), "set_print")
         least = of_doc.groupBy("doc_id").agg(F.min("node").alias("a"))
@@ -275,14 +284,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = written(labelled.join(mixed, "key").select("node", "component").distinct(), "mixed")
     dropped(members, labelled)
     second = across(texts, rest)
-    second = second.join(links.select("a", "b"), ["a", "b"], "left_anti")
-    more = written(confirmed(likely(written(second, "across"), nodes), texts), "confirmed")
+    second = second.join(first, ["a", "b"], "left_anti")
+    more = written(confirmed(written(likely(written(second, "pairs"), nodes), "likely"), texts), "confirmed")
     dropped(texts, nodes)
     groups = components(links.unionByName(more))
 
-    of_set = classes.select("set_print", "doc_id", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = of_set.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_set = of_set.join(least, "component").select("set_print", "component_id")
+    of_set = classes.select("set_print", "doc_id", "node").join(groups, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
+    if some:  # nodes are no doc_ids then
+        least = of_set.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+        of_set = of_set.join(least, "component_id").withColumn("component_id", F.col("least"))
+    of_set = of_set.select("set_print", "component_id")
     out = signed.select("doc_id", "n_shingles", "set_print").join(of_set, "set_print", "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), component.isNull()).alias("kept"), "set_print")
