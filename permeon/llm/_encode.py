@@ -16,6 +16,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries in a generation of the memo of chunks, and of the memo of their parts: about 300 MB a worker in all.
 CHUNKS, PARTS = 300_000, 500_000
+#: Characters (and bytes of ids) in a generation of either, however few the entries are.
+MEMO_BYTES = 32 << 20
 #: A chunk's end that starts a token of its own after a letter, in both vocabularies.
 TRAILING = ".,!|$%&#*"
 
@@ -35,21 +37,46 @@ class ChunkEncoder:
         self.parts: dict[str, bytes] = {"": b""}
         self.old_chunks: dict[str, bytes] = {}
         self.old_parts: dict[str, bytes] = {}
+        self.held = self.held_parts = 0
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        try:
-            cut = self.cut(text)
+        return self.encode_batch([text])[0]
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; what is new in any of them is encoded together."""
+        if len(self.chunks) > CHUNKS or self.held > MEMO_BYTES:
+            self.old_chunks, self.chunks, self.held = self.chunks, {}, 0
+        out, rest, uncut, new, known = [b""] * len(texts), [], [], set(), self.chunks.__getitem__
+        for i, text in enumerate(texts):
+            if not text:
+                continue
             try:
-                return b"".join(map(self.chunks.__getitem__, cut))
-            except KeyError:
-                if len(self.chunks) > CHUNKS:
-                    self.old_chunks, self.chunks = self.chunks, {}
-                self.learn(set(cut).difference(self.chunks))
-                return b"".join(map(self.chunks.__getitem__, cut))
-        except Uncut:
-            return self.whole([text])[0]
+                cut = self.cut(text)
+                try:
+                    out[i] = b"".join(map(known, cut))
+                except KeyError:
+                    fresh = set(cut).difference(self.chunks)
+                    self.check(fresh)
+                    new |= fresh
+                    rest.append((i, cut))
+            except Uncut:
+                uncut.append(i)
+        if new:
+            self.learn(new)
+        for i, cut in rest:
+            out[i] = b"".join(map(known, cut))
+        if uncut:
+            for i, ids in zip(uncut, self.whole([texts[i] for i in uncut])):
+                out[i] = ids
+        return out
+
+    def check(self, new: Iterable[str]) -> None:
+        """A chunk with white space of its own can't stand alone."""
+        for chunk in new if self.byte_level else ():
+            if chunk != "\n":
+                core = chunk.removeprefix(" ")
+                if not core or core[0].isspace() or core[-1].isspace():
+                    raise Uncut
 
     def cut(self, text: str) -> list[str]:
         if not self.byte_level:
@@ -61,27 +88,25 @@ class ChunkEncoder:
             cut.pop()
         return cut[1:] if cut and not cut[0] else cut
 
-    def learn(self, new: Iterable[str]) -> None:
+    def learn(self, new: set[str]) -> None:
         ends, known = {}, self.old_chunks
         for chunk in new:
             if (ids := known.get(chunk)) is not None:
                 self.chunks[chunk] = ids
                 continue
-            if self.byte_level and chunk != "\n":
-                core = chunk.removeprefix(" ")
-                if not core or core[0].isspace() or core[-1].isspace():
-                    raise Uncut
             stem = chunk.rstrip(TRAILING)
             if not stem or not stem[-1].isalpha():
                 stem = chunk
             ends[chunk] = stem, chunk[len(stem) :]
-        if len(self.parts) > PARTS:
-            self.old_parts, self.parts = self.parts, {"": b""}
+        if len(self.parts) > PARTS or self.held_parts > MEMO_BYTES:
+            self.old_parts, self.parts, self.held_parts = self.parts, {"": b""}, 0
         wanted = {x for pair in ends.values() for x in pair}.difference(self.parts)
         again = {x for x in wanted if x in self.old_parts}
         self.parts.update((x, self.old_parts[x]) for x in again)
         if wanted := list(wanted - again):
             self.parts.update(zip(wanted, self.whole(wanted)))
+        self.held_parts += sum(len(x) + len(self.parts[x]) for x in (*again, *wanted))
+        self.held += sum(map(len, new))
         self.chunks.update((chunk, self.parts[a] + self.parts[b]) for chunk, (a, b) in ends.items())
 
 

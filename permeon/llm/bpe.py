@@ -1,7 +1,7 @@
 """Operator 9: BPE encoding and decoding through an index of pair occurrences.
 
-All distinct pieces of a batch lie in one symbol array. An index maps the rank of each mergeable pair to the positions
-where the pair stands, over the whole batch. Ranks that occur are taken in ascending order from a heap; a rank's merge is
+All distinct pieces of a batch of documents that the worker hasn't met lately lie in one symbol array. An index maps the rank of each
+mergeable pair to the positions where the pair stands, over the whole batch. Ranks that occur are taken in ascending order from a heap; a rank's merge is
 applied at all of its positions, and the lists of the pairs that appear to the left and right get the new positions.
 A merge's token is made by that merge alone, so pairs that appear always have higher ranks, and one ascending pass over
 the batch gives each piece what piece-by-piece merging would give it.
@@ -10,7 +10,8 @@ Documents are independent: a map over Arrow batches without a shuffle. Pieces re
 keeps a bounded memo of their ids (see _encode).
 
 Null and empty texts have no ids: n_tokens 0 and the digests of nothing. Repeated rows each give a row, a null doc_id
-stays null. The special token's literal in a text gives its id, as in the library's default. Extra columns are ignored.
+stays null. Very long texts are encoded whole, in a batch of their own. Empty table: no rows. The special token's literal in a text gives its id, as in the library's default. Extra columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -147,8 +148,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = True) -> D
         bpe, memo = coder(path, pattern)
         for batch in batches:
             n, first, second = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = memo.encode(text)
+            for ids in memo.encode_batch(batch.column(1).to_pylist()):
                 decoded = bpe.decode(ids)
                 n.append(len(ids) // 4)
                 first.append(ids if keep_ids else hashlib.sha256(ids).hexdigest())

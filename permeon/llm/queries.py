@@ -17,12 +17,16 @@ def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ._session import scratch_path
-    from .tokencounts import Rollup, counts, inserts
+    from .tokencounts import Rollup, history
 
-    changes = inserts(counts(table(spark, sf_dir, "documents"), {"byte_bpe_50k": (public_path("byte_bpe_50k.json"), True)}))
+    tokenizers = {"byte_bpe_50k": (public_path("byte_bpe_50k.json"), True), "word_bpe_49k": (public_path("word_bpe_49k.json"), False)}
+    batches = history(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), tokenizers)
     rollup = Rollup(spark, scratch_path(spark, "rollup"))
-    rollup.commit("base", changes)
-    rollup.commit("base", changes)  # a job that runs again adds nothing
+    for name in reversed(batches):  # out of order
+        rollup.commit(name, batches[name])
+    rollup.fold()
+    for name in batches:  # a job that runs again adds nothing
+        rollup.commit(name, batches[name])
     return rollup.totals()
 
 

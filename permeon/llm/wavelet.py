@@ -195,7 +195,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, s
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             at = [-1 if d is None else int(np.searchsorted(bounds, d, side="right")) for d in doc_ids]
-            ids = [np.frombuffer(encoder.encode(t) + end, "<u4") for t in batch.column(1).to_pylist()]
+            ids = [np.frombuffer(x + end, "<u4") for x in encoder.encode_batch(batch.column(1).to_pylist())]
             # two bytes an id while it crosses the network, where that is enough
             ids = [b"2" + x.astype("<u2").tobytes() if x.max() < 1 << 16 else b"4" + x.tobytes() for x in ids]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column(0), pa.array(ids, pa.binary())], names=["range", "doc_id", "ids"])

@@ -552,3 +552,26 @@ def test_rollup(spark, docs, tmp_path):
     assert {r["tokenizer_version"] for r in after if r["source"] == "src0"} == {"v2"} and not [r for r in after if r["source"] is None]
     with pytest.raises(ValueError):
         rollup.commit("x/y", some)
+    assert rollup.fold() == 3 and rollup.fold() == 0 and not rollup.commit("a", tokencounts.inserts(counted))
+    assert sorted(map(str, local(rollup.totals()))) == sorted(map(str, after))
+    rollup.commit("d", tokencounts.deletes(counted.where("source = 's'")))
+    assert rollup.fold() == 1 and len(rollup._names()) == 2
+    assert {r["source"] for r in local(rollup.totals())} == {r["source"] for r in after} - {"s"}
+
+
+def test_rollup_of_whole_tables(spark, sf):
+    """The query's deltas, out of order, folded and replayed, against a recount with the library."""
+    from permeon.llm.queries import op2_token_rollup
+
+    documents, labels = pd.read_parquet(f"{sf}/documents.parquet"), pd.read_parquet(f"{sf}/labels.parquet")
+    toxic, bad = set(labels["doc_id"][labels["toxic"] == 1]), set(labels["doc_id"][labels["quality"] == 0])
+    want = defaultdict(lambda: np.zeros(3, int))
+    for version, path in (("byte_bpe_50k", BYTE), ("word_bpe_49k", WORD)):
+        t = Tokenizer.from_file(path)
+        for d in documents.itertuples():
+            if d.doc_id not in toxic:
+                text = d.text or ""
+                want["quarantine" if d.doc_id in bad else d.source, d.lang, version] += (1, len(t.encode(text, add_special_tokens=False).ids), len(text.encode()))
+    got = local(op2_token_rollup(spark, sf))
+    assert toxic and bad - toxic
+    assert {(r["source"], r["lang"], r["tokenizer_version"]): [r["n_docs"], r["n_tokens"], r["n_bytes"]] for r in got} == {k: v.tolist() for k, v in want.items()}
