@@ -23,7 +23,8 @@ Blocks are made where documents are read and written once (see _blocks); the shu
 repeated text, spans, and the compressed blocks.
 
 Null and empty texts: no bytes, nothing removed. Null doc_ids count as smaller than all others and equal to each other;
-repeated doc_ids are one document's parts and don't remove each other. Empty table: no rows. Extra columns are ignored.
+repeated doc_ids are one document's parts and don't remove each other. Very long texts are whole blocks of their own. Equal
+passages tie by doc_id: the smallest keeps its own. Empty table: no rows. Extra columns are ignored, or carried along as they are.
 """
 
 from __future__ import annotations
@@ -33,11 +34,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._blocks import Block, blocks, pack, unpack
-from ._session import prepare, schema, shuffle_partitions
+from ._blocks import Block, blocks, carried_name, pack, unpack
+from ._session import prepare, schema, shuffle_partitions, written
 from ._shingles import mix
 
 LENGTH = 50
@@ -45,6 +47,7 @@ SEED = 20
 SPREAD = LENGTH - SEED + 1
 #: Levels merge when the newer is at least 1/RATIO of the older. Blocks join a batch until it has so many windows.
 RATIO, BATCH = 2, 1 << 16
+SHARDS_A_TASK = 16
 
 
 def seeds(data: np.ndarray) -> np.ndarray:
@@ -336,30 +339,38 @@ def _resolve(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.concat((settled, pd.DataFrame(rows, columns=["block", "data"])))
 
 
-def _finish(with_text: bool, with_rest: bool):
-    def run(key: tuple, block: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
-        rows = []
+def _finish(with_text: bool):
+    def run(block: pa.Table, spans: pa.Table) -> pa.Table:
+        out = []
         for blob in block["docs"]:
-            b = Block(blob)
+            b = Block(blob.as_py())
             step = np.zeros(len(b.text) + 1, np.int32)
             for data in spans["data"]:
-                lo, hi = (np.frombuffer(x, "<u4") for x in unpack(data))
+                lo, hi = (np.frombuffer(x, "<u4") for x in unpack(data.as_py()))
                 np.add.at(step, lo, 1)
                 np.subtract.at(step, hi, 1)
-            gone = np.cumsum(step[:-1]) > 0
+            gone, rows = np.cumsum(step[:-1]) > 0, []
             data = np.frombuffer(b.text, np.uint8)
-            for d, rest, lo, hi in zip(b.doc_ids(), b.groups, b.starts.tolist(), b.ends.tolist()):
+            for d, lo, hi in zip(b.doc_ids(), b.starts.tolist(), b.ends.tolist()):
                 g, t = gone[lo:hi], data[lo:hi]
                 spans_of = int(g[0]) + int(np.count_nonzero(g[1:] & ~g[:-1])) if hi > lo else 0
-                kept = t[~g].tobytes()
-                row = (d, hi - lo, int(np.count_nonzero(g)), spans_of, hashlib.sha256(kept).hexdigest())
-                rows.append((*row, *[whole_characters(t, g)] * with_text, *[rest] * with_rest))
-        out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text"] * with_text, *["rest"] * with_rest])
-        return out.astype({"doc_id": "Int64"})
+                row = (d, hi - lo, int(np.count_nonzero(g)), spans_of, hashlib.sha256(t[~g].tobytes()).hexdigest())
+                rows.append((*row, *[whole_characters(t, g)] * with_text))
+            made = pa.table([pa.array(c, t) for c, t in zip(zip(*rows), KINDS)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text"] * with_text])
+            if b.rest is not None:
+                rest = b.carried()
+                for name in rest.column_names:
+                    made = made.append_column(name, rest[name])
+            out.append(made)
+        return pa.concat_tables(out)
 
     return run
 
 
+#: Types of a row of _finish.
+KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+
+
 def whole_characters(text: np.ndarray, gone: np.ndarray) -> str:
     """What is left as text: a character of which a byte is removed goes as a whole."""
     if gone.any():
@@ -368,28 +379,31 @@ def whole_characters(text: np.ndarray, gone: np.ndarray) -> str:
     return text[~gone].tobytes().decode()
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False, rest: str | None = None, shard_bytes: int = 1 << 20) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text: also the text left (whole characters); rest: a string
-    column that is carried along under that name."""
+def remove_repeats(docs: DataFrame, with_text: bool = False, carry: tuple[str, ...] = (), shard_bytes: int = 1 << 20) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text: also the text left (whole characters); carry: columns that go
+    along, as carried_0 and so on. A shard takes the anchors of about shard_bytes of text: raise it, and the blocks, with executors'
+    memory, as there are messages from each block to each shard."""
     spark = docs.sparkSession
     prepare(spark)
-    made = blocks(docs, "suffix-blocks", group=rest)
+    made = blocks(docs, "suffix-blocks", carry=carry)
     total = made.agg(F.sum("bytes").alias("n")).first()["n"] or 0
-    shards = max(shuffle_partitions(spark), min(20_000, -(-total // shard_bytes)))
-    tasks = min(shards, 4 * shuffle_partitions(spark))  # named, as small requests are much work
+    shards = max(shuffle_partitions(spark), -(-total // shard_bytes))
+    tasks = min(shards, max(4 * shuffle_partitions(spark), shards // SHARDS_A_TASK))  # named, as small requests are much work
     asked = made.select("block", "docs").mapInPandas(_ask(shards), schema("block bigint, shard int, data binary"))
     replies = asked.repartition(tasks, "shard").groupBy("shard").applyInPandas(_answer, schema("block bigint, shard int, data binary"))
     sent = made.select("block", "docs").groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_send(shards), schema("block bigint, shard int, settled boolean, data binary"))
-    spans = sent.repartition(tasks, "shard").groupBy("shard").applyInPandas(_resolve, schema("block bigint, data binary"))
-    out = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", text string" * with_text + ", rest string" * bool(rest)
-    return made.select("block", "docs").groupBy("block").cogroup(spans.groupBy("block")).applyInPandas(_finish(with_text, bool(rest)), schema(out))
+    # written, as their shuffles and those before them can go then
+    spans = written(sent.repartition(tasks, "shard").groupBy("shard").applyInPandas(_resolve, schema("block bigint, data binary")), "suffix-spans")
+    out = schema("doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", text string" * with_text)
+    for i, c in enumerate(carry):
+        out = out.add(carried_name(i), docs.schema[c].dataType)
+    return made.select("block", "docs").groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_finish(with_text), out)
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """The documents with their columns, texts without repeats; n_chars, if there, follows the text."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    shape = docs.select(*others).schema if others else schema("x int")
-    packed = docs.withColumn("rest", F.to_json(F.struct(*others)) if others else F.lit("{}"))
-    out = remove_repeats(packed, with_text=True, rest="rest").withColumn("rest", F.from_json("rest", shape))
-    text = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return out.select(*(text.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    out = remove_repeats(docs, with_text=True, carry=others)
+    named = {c: F.col(carried_name(i)) for i, c in enumerate(others)}
+    named |= {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*(named[c].alias(c) for c in docs.columns))

@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -227,6 +228,20 @@ def test_suffix_arrays(spark, docs, empty, monkeypatch):
     assert sum(r["n_chars"] != len(r["text"] or "") for r in local(cut)) == 0
 
 
+def test_cut_keeps_columns_of_every_type(spark):
+    line = "a line that is long enough to be a repeat of fifty bytes or more"
+    docs = spark.createDataFrame([(2, f"x {line}"), (1, f"{line} y"), (3, None)], "doc_id int, text string").selectExpr(
+        "doc_id", "timestamp'2020-01-01 00:00:03.123456' as ts", "timestamp_ntz'2020-01-01 00:00:03.123456' as block", "map(1, doc_id, 2, null) as docs", "text",
+        "array(named_struct('a', cast(doc_id as decimal(20, 3)), 'b', null)) as carried_0", "cast('ab' as binary) as data", "double('nan') as rest", "date'1500-01-01' as `a b`", "cast(null as string) as grp",
+    )
+    got, want = ({r["doc_id"]: r for r in local(x)} for x in (suffix.cut_repeats(docs), docs))
+    assert suffix.cut_repeats(docs).schema.simpleString() == docs.schema.simpleString()
+    assert [got[i]["text"] for i in (1, 2, 3)] == [f"{line} y", "x", ""] or [got[i]["text"] for i in (1, 2, 3)] == [f"{line} y", "x ", ""]
+    for i in (1, 2, 3):
+        for c in set(docs.columns) - {"text", "rest"}:
+            assert got[i][c] == want[i][c], c
+
+
 def test_log_index():
     windows = [RNG.integers(97, 99, 53).astype(np.uint8).tobytes() for _ in range(40)]
     index, all_keys, all_docs = suffix.LogIndex(160), [], []
@@ -271,7 +286,7 @@ def test_repeats_inside_a_document_over_batches(monkeypatch):
     replies = pd.concat(suffix._answer(g) for g in by(asked, "shard"))
     sent = pd.concat(suffix._send(2)((i,), b, replies[replies["block"] == i]) for i, b in enumerate(blobs))
     spans = pd.concat(suffix._resolve(g) for g in by(sent, "shard"))
-    got = pd.concat(suffix._finish(False, False)((i,), b, spans[spans["block"] == i]) for i, b in enumerate(blobs))
+    got = pd.concat(suffix._finish(False)(pa.Table.from_pandas(b), pa.Table.from_pandas(spans[spans["block"] == i])).to_pandas() for i, b in enumerate(blobs))
     want = {k[1]: int(x[0][1].sum()) for k, x in removed(rows).items()}
     assert dict(zip(got["doc_id"], got["n_removed"])) == want and want[9] >= 3 * len(line)
 
