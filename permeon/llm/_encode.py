@@ -8,7 +8,8 @@ bounded size, so what is in use stays. A text in which white space meets white s
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -16,12 +17,14 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries in a generation of the memo of chunks, and of the memo of their parts: about 300 MB a worker in all.
 CHUNKS, PARTS = 300_000, 500_000
-#: Characters (and bytes of ids) in a generation of either, however few the entries are.
+#: Texts that are cut before any is encoded; measured best one by one.
+GROUP = 1
+#: Characters in a generation of either, however few the entries are.
 MEMO_BYTES = 32 << 20
 #: A chunk's end that starts a token of its own after a letter, in both vocabularies.
 TRAILING = ".,!|$%&#*"
 
-Pieces = Callable[[list[str]], list[bytes]]
+Pieces = Callable[[list[str]], list]
 
 
 class Uncut(Exception):
@@ -29,54 +32,56 @@ class Uncut(Exception):
 
 
 class ChunkEncoder:
-    """Texts to ids, as little-endian unsigned 32-bit integers. whole: encodes uncut pieces."""
-
-    def __init__(self, whole: Pieces, byte_level: bool) -> None:
-        self.whole, self.byte_level = whole, byte_level
-        self.chunks: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
-        self.old_chunks: dict[str, bytes] = {}
-        self.old_parts: dict[str, bytes] = {}
+    """Texts to ids, as little-endian unsigned 32-bit integers. whole: encodes uncut pieces. counting: whole gives numbers of ids, and
+    so do texts."""
+
+    def __init__(self, whole: Pieces, byte_level: bool, counting: bool = False) -> None:
+        self.whole, self.byte_level, self.counting = whole, byte_level, counting
+        self.nothing, self.total = (0, sum) if counting else (b"", b"".join)
+        self.chunks: dict = {}
+        self.parts: dict = {"": self.nothing}
+        self.old_chunks: dict = {}
+        self.old_parts: dict = {}
         self.held = self.held_parts = 0
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_batch([text])[0]
 
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; what is new in any of them is encoded together."""
+    def encode_batch(self, texts: list[str | None], group: int = GROUP) -> list:
+        """The ids of each text; what is new in any of a group is encoded together."""
+        return [ids for lo in range(0, len(texts), group) for ids in self._encode(texts[lo : lo + group])]
+
+    def _encode(self, texts: list[str | None]) -> list:
         if len(self.chunks) > CHUNKS or self.held > MEMO_BYTES:
             self.old_chunks, self.chunks, self.held = self.chunks, {}, 0
-        out, rest, uncut, new, known = [b""] * len(texts), [], [], set(), self.chunks.__getitem__
+        cuts, uncut = [], []
         for i, text in enumerate(texts):
-            if not text:
-                continue
             try:
-                cut = self.cut(text)
-                try:
-                    out[i] = b"".join(map(known, cut))
-                except KeyError:
-                    fresh = set(cut).difference(self.chunks)
-                    self.check(fresh)
-                    new |= fresh
-                    rest.append((i, cut))
+                cuts.append(self.cut(text) if text else [])
             except Uncut:
+                cuts.append([])
                 uncut.append(i)
+        new = set(chain.from_iterable(cuts)).difference(self.chunks)
+        if alone := self.inseparable(new):
+            uncut += [i for i, cut in enumerate(cuts) if not alone.isdisjoint(cut)]
+            for i in uncut:
+                cuts[i] = []
+            new -= alone
         if new:
             self.learn(new)
-        for i, cut in rest:
-            out[i] = b"".join(map(known, cut))
+        known, total = self.chunks.__getitem__, self.total
+        out = [total(map(known, cut)) for cut in cuts]
         if uncut:
             for i, ids in zip(uncut, self.whole([texts[i] for i in uncut])):
                 out[i] = ids
         return out
 
-    def check(self, new: Iterable[str]) -> None:
-        """A chunk with white space of its own can't stand alone."""
-        for chunk in new if self.byte_level else ():
-            if chunk != "\n":
-                core = chunk.removeprefix(" ")
-                if not core or core[0].isspace() or core[-1].isspace():
-                    raise Uncut
+    def inseparable(self, new: set[str]) -> set[str]:
+        """Chunks with white space of their own, whose texts must stay whole."""
+        if not self.byte_level:
+            return set()
+        cores = ((c, c[1:] if c[:1] == " " else c) for c in new if c != "\n")
+        return {c for c, core in cores if not core or core[0].isspace() or core[-1].isspace()}
 
     def cut(self, text: str) -> list[str]:
         if not self.byte_level:
@@ -99,18 +104,18 @@ class ChunkEncoder:
                 stem = chunk
             ends[chunk] = stem, chunk[len(stem) :]
         if len(self.parts) > PARTS or self.held_parts > MEMO_BYTES:
-            self.old_parts, self.parts, self.held_parts = self.parts, {"": b""}, 0
+            self.old_parts, self.parts, self.held_parts = self.parts, {"": self.nothing}, 0
         wanted = {x for pair in ends.values() for x in pair}.difference(self.parts)
         again = {x for x in wanted if x in self.old_parts}
         self.parts.update((x, self.old_parts[x]) for x in again)
         if wanted := list(wanted - again):
             self.parts.update(zip(wanted, self.whole(wanted)))
-        self.held_parts += sum(len(x) + len(self.parts[x]) for x in (*again, *wanted))
+        self.held_parts += sum(map(len, again)) + sum(map(len, wanted))
         self.held += sum(map(len, new))
         self.chunks.update((chunk, self.parts[a] + self.parts[b]) for chunk, (a, b) in ends.items())
 
 
-def library_pieces(path: str) -> Pieces:
+def library_pieces(path: str, counting: bool = False) -> Pieces:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -119,8 +124,8 @@ def library_pieces(path: str) -> Pieces:
 
     def whole(pieces: list[str]) -> list[bytes]:
         out = []
-        for i in range(0, len(pieces), 512):
-            out += [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(pieces[i : i + 512], add_special_tokens=False)]
+        for i in range(0, len(pieces), 64):
+            out += [len(e) if counting else np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(pieces[i : i + 64], add_special_tokens=False)]
         return out
 
     return whole
@@ -137,6 +142,24 @@ def library_encoder(path: str, byte_level: bool) -> ChunkEncoder:
     return _ENCODERS[key]
 
 
+#: Bits of each tokenizer's number in a sum of several.
+COUNT_BITS = 40
+
+
+def library_counter(tokenizers: tuple[tuple[str, bool], ...]) -> ChunkEncoder:
+    """Numbers of ids by several tokenizers (file, whether byte-level) in one integer each, the first lowest; texts are cut once, as
+    byte-level ones want it if there is one, which suits the others too."""
+    key = ("counter", tokenizers)
+    if key not in _ENCODERS:
+        wholes = [library_pieces(path, counting=True) for path, _ in tokenizers]
+
+        def whole(pieces: list[str]) -> list[int]:
+            return [sum(n << COUNT_BITS * i for i, n in enumerate(each)) for each in zip(*(w(pieces) for w in wholes))]
+
+        _ENCODERS[key] = ChunkEncoder(whole, any(byte_level for _, byte_level in tokenizers), counting=True)
+    return _ENCODERS[key]
+
+
 def public_path(name: str) -> str:
     import public_tokenizers
 

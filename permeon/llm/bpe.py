@@ -1,7 +1,7 @@
 """Operator 9: BPE encoding and decoding through an index of pair occurrences.
 
-All distinct pieces of a batch of documents that the worker hasn't met lately lie in one symbol array. An index maps the rank of each
-mergeable pair to the positions where the pair stands, over the whole batch. Ranks that occur are taken in ascending order from a heap; a rank's merge is
+All distinct pieces of GROUP documents that the worker hasn't met lately lie in one symbol array. An index maps the rank of each
+mergeable pair to the positions where the pair stands, over all of them. Ranks that occur are taken in ascending order from a heap; a rank's merge is
 applied at all of its positions, and the lists of the pairs that appear to the left and right get the new positions.
 A merge's token is made by that merge alone, so pairs that appear always have higher ranks, and one ascending pass over
 the batch gives each piece what piece-by-piece merging would give it.
@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from ._encode import ChunkEncoder
 from ._session import prepare, schema
 
+#: Documents whose new pieces are merged together.
+GROUP = 64
 END = -1
 DEAD = -2
 
@@ -148,7 +150,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = True) -> D
         bpe, memo = coder(path, pattern)
         for batch in batches:
             n, first, second = [], [], []
-            for ids in memo.encode_batch(batch.column(1).to_pylist()):
+            for ids in memo.encode_batch(batch.column(1).to_pylist(), GROUP):
                 decoded = bpe.decode(ids)
                 n.append(len(ids) // 4)
                 first.append(ids if keep_ids else hashlib.sha256(ids).hexdigest())

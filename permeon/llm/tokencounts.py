@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._encode import library_encoder
+from ._encode import COUNT_BITS, library_counter
 from ._session import prepare, schema, written
 
 KEYS = ["source", "lang", "tokenizer_version"]
@@ -38,12 +38,13 @@ def counts(docs: DataFrame, tokenizers: dict[str, tuple[str, bool]]) -> DataFram
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoders = {v: library_encoder(*t) for v, t in tokenizers.items()}
+        counter, mask = library_counter(tuple(tokenizers.values())), (1 << COUNT_BITS) - 1
         for batch in batches:
             texts = batch.column(3).to_pylist()
             size = pa.array([len((t or "").encode()) for t in texts], pa.int64())
-            for version, encoder in encoders.items():
-                n = pa.array([len(ids) // 4 for ids in encoder.encode_batch(texts)], pa.int64())
+            numbers = counter.encode_batch(texts)
+            for i, version in enumerate(tokenizers):
+                n = pa.array([x >> COUNT_BITS * i & mask for x in numbers], pa.int64())
                 names = ["doc_id", "source", "lang", "tokenizer_version", "n_tokens", "n_bytes"]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([version] * len(texts), pa.string()), n, size], names=names)
 
