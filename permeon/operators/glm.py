@@ -163,10 +163,10 @@ class Permuted:
         w[rows, orders] = m  # the row of M that the sample meets after it is moved
         self.weights = (w if flips is None else w * flips[:, :, None]).transpose(0, 2, 1)
 
-    def __call__(self, y: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        """Statistics (permutations x features) of permutations lo to hi. y: residuals of the nuisance model."""
-        my = self.weights[lo:hi].reshape(-1, self.n) @ y
-        my = my.reshape(hi - lo, self.k, -1)
+    def __call__(self, y: np.ndarray, which: slice | np.ndarray) -> np.ndarray:
+        """Statistics (permutations x features) of some permutations. y: residuals of the nuisance model."""
+        weights = self.weights[which]
+        my = (weights.reshape(-1, self.n) @ y).reshape(len(weights), self.k, -1)
         b = np.einsum("ij,pjv->piv", self.p, my)
         rss = np.maximum((y * y).sum(0) - (b * my).sum(1), 0)
         effect, top = b[:, : self.q], self.p[: self.q, : self.q]

@@ -16,6 +16,17 @@ from pyspark.sql import types as T
 from ..functions import special
 
 
+#: Statistics of the same data in another order differ by rounding (some 1e-12, relatively); within this share they tie.
+TIE = 1e-9
+
+
+def tied(x: np.ndarray) -> np.ndarray:
+    """The least value that counts as reaching x."""
+    x = np.asarray(x, float)
+    with np.errstate(invalid="ignore"):
+        return np.where(np.isfinite(x), x - TIE * np.maximum(np.abs(x), 1.0), x)
+
+
 def uncorrected(exceed: Column, permutations: int) -> Column:
     return (exceed + 1) / F.lit(permutations + 1.0)
 
@@ -56,7 +67,7 @@ def fwe(stats: DataFrame, null: dict[str, np.ndarray], two_tailed: dict[str, boo
 
 def empirical(x: np.ndarray, null: np.ndarray) -> np.ndarray:
     """(null values that reach x, plus 1) / (null values + 1). null is sorted; a NaN statistic is reached by none."""
-    reach = len(null) - np.searchsorted(null, x, side="left")
+    reach = len(null) - np.searchsorted(null, tied(x), side="left")
     return (np.where(np.isnan(x), 0, reach) + 1) / (len(null) + 1)
 
 
@@ -149,7 +160,7 @@ def restored(p: Column, one_minus: bool = False, neg_log10: bool = False) -> Col
 def exceeds(permuted: Column, observed: Column, two_tailed: bool) -> Column:
     """Does a permuted statistic reach the observed one? NaN reaches nothing."""
     a, b = (F.abs(permuted), F.abs(observed)) if two_tailed else (permuted, observed)
-    return ~F.isnan(a) & ~F.isnan(b) & (a >= b)
+    return ~F.isnan(a) & ~F.isnan(b) & (a >= b - F.lit(TIE) * F.greatest(F.abs(b), F.lit(1.0)))
 
 
 def with_double(shape: T.StructType, name: str) -> T.StructType:

@@ -64,18 +64,24 @@ def with_p(true: DataFrame, null: DataFrame, permutations: int, two_tailed: bool
 def similarity_analysis(datasets: dict[str, tuple[DataFrame, object]], refs: DataFrame | None = None, two_tailed: bool = True, compare: Callable | None = None, accel_tail: bool = False, contrast: str | None = None) -> dict[str, DataFrame | None]:
     """datasets: name to (features, AnalysisSpec). Returns ds_ds and ds_ref (a, b, r, p) and their nulls (perm_id, a, b, r); None
     where there is nothing to compare. Each dataset is permuted by itself; as many permutations count as the least dataset has."""
-    from ..plans.analysis import permutation_analysis, permuted_statistics
+    from ..plans.analysis import observed_statistics, permuted_statistics
 
     if not datasets:
         raise ValueError("similarity needs a dataset")
     sizes = {k: f.count() for k, (f, _) in datasets.items()}
     if len(set(sizes.values())) > 1:
         raise ValueError(f"datasets differ in their number of features: {sizes}")
+    if refs is not None:
+        size = next(iter(sizes.values()))
+        held = refs.groupBy("ref_id").agg(F.count("*").alias("n"), F.countDistinct("feature_id").alias("d"))
+        odd = held.where((F.col("n") != size) | (F.col("d") != size)).limit(5).collect()
+        if odd:
+            raise ValueError(f"references that don't have the datasets' {size} features: { {r['ref_id']: r['n'] for r in odd} }")
     count = min(s.permutations for _, s in datasets.values())
     true, null = None, None
     for name, (features, spec) in datasets.items():
         label = contrast or next(iter(spec.labels()))
-        seen = permutation_analysis(features, spec).features.where(F.col("contrast") == label).select(F.lit(name).alias("ds"), "feature_id", F.col("stat").alias("value"))
+        seen = observed_statistics(features, spec).where(F.col("contrast") == label).select(F.lit(name).alias("ds"), "feature_id", F.col("stat").alias("value"))
         moved = permuted_statistics(features, spec).where((F.col("contrast") == label) & (F.col("perm_id") < count)).select("perm_id", F.lit(name).alias("ds"), "feature_id", F.col("stat").alias("value"))
         true = seen if true is None else true.unionByName(seen)
         null = moved if null is None else null.unionByName(moved)

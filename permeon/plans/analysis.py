@@ -8,7 +8,7 @@ shuffled, and no feature data reach the driver.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -39,23 +39,33 @@ class Task:
     orders: np.ndarray
     flips: np.ndarray | None
     permuted: glm.Permuted | None
+    unmoved: glm.Permuted | None
 
     def observed(self, y: np.ndarray) -> np.ndarray:
         return np.ravel(self.statistic(y, self.model, self.contrast, self.groups)[0])
 
-    def null(self, y: np.ndarray):
-        """(first permutation, statistics) by chunks."""
+    def level(self, y: np.ndarray) -> np.ndarray:
+        """The least statistic that counts as reaching the observed one; by the same arithmetic as the null where there is one."""
+        if self.unmoved is None:
+            seen = self.observed(y)
+        else:
+            seen = self.unmoved(algebra.residualise(y, self.nuisance)[0], slice(0, 1))[0]
+        return infer.tied(np.abs(seen) if self.two_tailed else seen)
+
+    def null(self, y: np.ndarray, only: np.ndarray | None = None):
+        """(permutation numbers, statistics) by chunks; only: of these permutations."""
         residual, fitted = algebra.residualise(y, self.nuisance)
-        for lo in range(0, len(self.orders), CHUNK):
-            hi = min(lo + CHUNK, len(self.orders))
+        every = np.arange(len(self.orders)) if only is None else only
+        for lo in range(0, len(every), CHUNK):
+            which = every[lo : lo + CHUNK]
             if self.permuted is not None:
-                yield lo, self.permuted(residual, lo, hi)
+                yield which, self.permuted(residual, which)
                 continue
             rows = []
-            for i in range(lo, hi):
+            for i in which.tolist():
                 e = residual if self.flips is None else residual * self.flips[i][:, None]
                 rows.append(self.observed(e[self.orders[i]] + fitted))
-            yield lo, np.stack(rows)
+            yield which, np.stack(rows)
 
 
 def plan(spec: AnalysisSpec) -> list[Task]:
@@ -78,7 +88,8 @@ def plan(spec: AnalysisSpec) -> list[Task]:
             flips = np.stack(list(exchange.signs(n, len(orders), by, None if seed is None else seed + 1)))
         name = {glm.t: "t", glm.f: "f", glm.pearson_r: "pearson_r", glm.r_squared: "r_squared"}.get(statistic)
         permuted = glm.Permuted(name, of_interest, nuisance, orders, flips) if name else None
-        out.append(Task(label, np.hstack((of_interest, nuisance)), effective, nuisance, statistic, groups, spec.two_tailed and not is_f, orders, flips, permuted))
+        unmoved = glm.Permuted(name, of_interest, nuisance, np.arange(n)[None]) if name else None
+        out.append(Task(label, np.hstack((of_interest, nuisance)), effective, nuisance, statistic, groups, spec.two_tailed and not is_f, orders, flips, permuted, unmoved))
     return out
 
 
@@ -96,8 +107,8 @@ def block_partials(tasks: list[Task], spec: AnalysisSpec):
             for task in tasks:
                 seen = task.observed(y)
                 fold = np.abs if task.two_tailed else (lambda v: v)
-                level, count, maxima = fold(seen), np.zeros(len(ids), np.int64), []
-                for lo, values in task.null(y):
+                level, count, maxima = task.level(y), np.zeros(len(ids), np.int64), []
+                for _, values in task.null(y):
                     values = fold(values)
                     with np.errstate(invalid="ignore"):
                         count += (values >= level).sum(0)
@@ -176,6 +187,20 @@ def permutation_analysis(features: DataFrame, spec: AnalysisSpec) -> Result:
     return Result(out.select("contrast", "feature_id", "stat", "exceed", *p), maxima, tags)
 
 
+def observed_statistics(features: DataFrame, spec: AnalysisSpec) -> DataFrame:
+    """contrast, feature_id, stat of the data as they are: a map over the features."""
+    tasks = plan(replace(spec, permutations=1, orders=None))
+
+    def run(frames):
+        for f in frames:
+            if len(f):
+                y = prepared(spec, np.stack(f["y"].to_numpy()).T.astype(np.float64))
+                for task in tasks:
+                    yield pd.DataFrame({"contrast": task.label, "feature_id": f["feature_id"], "stat": task.observed(y)})
+
+    return features.select("feature_id", "y").mapInPandas(run, "contrast string, feature_id bigint, stat double")
+
+
 def permuted_statistics(features: DataFrame, spec: AnalysisSpec) -> DataFrame:
     """contrast, perm_id, feature_id, stat: the whole cube, for those who ask for it."""
     tasks = plan(spec)
@@ -186,8 +211,8 @@ def permuted_statistics(features: DataFrame, spec: AnalysisSpec) -> DataFrame:
                 continue
             y, ids = prepared(spec, np.stack(f["y"].to_numpy()).T.astype(np.float64)), f["feature_id"].to_numpy()
             for task in tasks:
-                for lo, values in task.null(y):
-                    perm = np.repeat(np.arange(lo, lo + len(values)), len(ids))
+                for which, values in task.null(y):
+                    perm = np.repeat(which, len(ids))
                     yield pd.DataFrame({"contrast": task.label, "perm_id": perm, "feature_id": np.tile(ids, len(values)), "stat": values.ravel()})
 
     return features.select("feature_id", "y").mapInPandas(run, "contrast string, perm_id int, feature_id bigint, stat double")

@@ -15,6 +15,13 @@ from ..spec import AnalysisSpec
 from . import analysis
 
 
+def plain(value: object) -> object:
+    """Arrays as lists, for JSON."""
+    if hasattr(value, "tolist"):
+        return value.tolist()
+    raise TypeError(f"not for JSON: {type(value).__name__}")
+
+
 @dataclass
 class Dataset:
     """data: an array (samples x features), a DataFrame (sample_id, feature_id, y), a table file, or images with `mask`. Other
@@ -84,7 +91,7 @@ class Dataset:
     def save_config(self, spark: SparkSession, path: str, command: list[str] | None = None) -> None:
         """Settings as JSON by name; matrices are written out."""
         settings = json.loads(self.spec(spark).to_json())
-        sinks.put(spark, path, json.dumps({"data": self.data, "mask": self.mask, "output_prefix": self.output_prefix, "name": self.name, "settings": settings, "cmd": command}, indent=1).encode())
+        sinks.put(spark, path, json.dumps({"data": self.data, "mask": self.mask, "output_prefix": self.output_prefix, "name": self.name, "settings": settings, "cmd": command}, indent=1, default=plain).encode())
 
     @classmethod
     def from_config(cls, spark: SparkSession, path: str) -> Dataset:

@@ -112,21 +112,12 @@ def scan_matrix_long(spark, sf):
     return obs(spark, sf)
 
 
-@query("select user_id, avg(value) filter (event_type = 'click') is not null as has_click, round(coalesce(avg(value), 0) + 1e-9, 6) as mean_value, count(distinct event_type) as n_types from events group by user_id")
-def scan_pivot_matrix(spark, sf):
-    e = table(spark, sf, "events")
-    types = ["click"]
-    wide = e.groupBy("user_id").pivot("event_type", types).agg(F.avg("value"))
-    more = e.groupBy("user_id").agg(F.round(F.coalesce(F.avg("value"), F.lit(0.0)) + 1e-9, 6).alias("mean_value"), F.countDistinct("event_type").alias("n_types"))
-    return wide.join(more, "user_id").select("user_id", F.col("click").isNotNull().alias("has_click"), "mean_value", "n_types")
-
-
 TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
 # the matrix itself: the mean of each type, null where a user has no value
 @query("select user_id, " + ", ".join(f"round(avg(value) filter (event_type = '{t}') + 1e-9, 6) as {t}" for t in TYPES) + " from events group by user_id")
-def scan_pivot_matrix_whole(spark, sf):
+def scan_pivot_matrix(spark, sf):
     wide = table(spark, sf, "events").groupBy("user_id").pivot("event_type", TYPES).agg(F.avg("value"))
     return wide.select("user_id", *(F.round(F.col(t) + 1e-9, 6).alias(t) for t in TYPES))
 
@@ -411,14 +402,8 @@ def freedman_lane(spark, sf, kept, count=P):
     return out.select("perm_id", F.col("s.pos").alias("sample_id"), "feature_id", r6(F.col("s.y")).alias("y"))
 
 
-@query(f"with {OBS}, {SAMPLES}, {PERMS}, m as (select feature_id, avg(y) as m from obs where feature_id < 4 group by all) select perm_id, pos as sample_id, feature_id, round(y - m + m, 6) + 0.0 as y from perms p join obs o on o.sample_id = p.src join m using (feature_id) where perm_id < 5")
-def freedman_lane_data(spark, sf):
-    return freedman_lane(spark, sf, features(spark, sf).where("feature_id < 4"), 5)
-
-
-# all features and permutations; the one above keeps to what its SQL selects
 @query(f"with {OBS}, {SAMPLES}, {PERMS}, m as (select feature_id, avg(y) as m from obs group by all) select perm_id, pos as sample_id, feature_id, round(y - m + m, 6) + 0.0 as y from perms p join obs o on o.sample_id = p.src join m using (feature_id)")
-def freedman_lane_whole(spark, sf):
+def freedman_lane_data(spark, sf):
     return freedman_lane(spark, sf, features(spark, sf))
 
 
@@ -575,7 +560,7 @@ d2 as (select p.perm_id, s.sample_id, s.ds, s.x1, md5(p.perm_id || ':' || s.samp
 p2 as (select a.perm_id, a.ds, a.sample_id as src, b.x1 from (select *, row_number() over (partition by perm_id, ds order by h, sample_id) as r from d2) a join (select *, row_number() over (partition by perm_id, ds order by sample_id) as r from d2) b using (perm_id, ds, r)),
 maps as (select ds, feature_id, {t_of_r()} as value from (select ds, feature_id, count(*) as n, corr(y, x1) as r from obs join half using (sample_id) group by all)),
 nulls as (select perm_id, ds, feature_id, {t_of_r()} as value from (select perm_id, ds, feature_id, count(*) as n, corr(y, p2.x1) as r from obs join p2 on obs.sample_id = p2.src group by all)),
-refs as (select 'label' || label as ref_id, feature_id, avg(y) as value from obs join embeddings on sample_id = vec_id where label < 3 group by all)"""
+refs as (select 'label' || label as ref_id, feature_id, avg(y) as value from obs join embeddings on sample_id = vec_id group by all)"""
 
 
 def halves(spark, sf):
@@ -590,11 +575,8 @@ def halves(spark, sf):
     return out
 
 
-SIM_WHOLE = SIM.replace(" where label < 3", "")
-
-
-def reference_maps(spark, sf, kept="label < 3"):
-    e = table(spark, sf, "embeddings").where(kept)
+def reference_maps(spark, sf):
+    e = table(spark, sf, "embeddings")
     return e.select(F.concat(F.lit("label"), "label").alias("ref_id"), F.posexplode("embedding").alias("feature_id", "y")).groupBy("ref_id", F.col("feature_id").cast("long").alias("feature_id")).agg(F.avg(F.col("y").cast("double")).alias("value"))
 
 
@@ -608,12 +590,6 @@ def sim_ds_ref(spark, sf):
     return similarity.similarity_analysis(halves(spark, sf), reference_maps(spark, sf))["ds_ref"].select("a", "b", r6(F.col("r")).alias("r"), F.round("p", 6).alias("p"))
 
 
-# maps of all labels
-@query(f"{SIM_WHOLE}, tr as (select x.ds as a, y.ref_id as b, corr(x.value, y.value) as r from maps x join refs y using (feature_id) group by all), nl as (select perm_id, x.ds as a, y.ref_id as b, corr(x.value, y.value) as r0 from nulls x join refs y using (feature_id) group by all) select a, b, round(r, 6) + 0.0 as r, round((count(*) filter (abs(r0) >= abs(r)) + 1) / {P + 1.0}, 6) as p from tr join nl using (a, b) group by a, b, r")
-def sim_ds_ref_whole(spark, sf):
-    return similarity.similarity_analysis(halves(spark, sf), reference_maps(spark, sf, "true"))["ds_ref"].select("a", "b", r6(F.col("r")).alias("r"), F.round("p", 6).alias("p"))
-
-
 @query(f"{SIM} select x.perm_id::int as perm_id, x.ds as a, y.ds as b, round(corr(x.value, y.value), 6) + 0.0 as r from nulls x join nulls y using (perm_id, feature_id) where x.ds < y.ds group by all")
 def sim_perm_p(spark, sf):
     return similarity.similarity_analysis(halves(spark, sf))["null_ds_ds"].select("perm_id", "a", "b", r6(F.col("r")).alias("r"))
@@ -632,11 +608,6 @@ def sim_custom_dot(spark, sf):
     return dots(spark, sf, reference_maps(spark, sf))
 
 
-@query(f"{SIM_WHOLE} select x.ds as a, y.ref_id as b, round(sum(x.value * y.value), 5) + 0.0 as r from maps x join refs y using (feature_id) group by all")
-def sim_custom_dot_whole(spark, sf):
-    return dots(spark, sf, reference_maps(spark, sf, "true"))
-
-
 # Ranks, scores, logistic regression
 
 RANKED = "select user_id, value, event_id, rank() over (partition by user_id order by value) + (count(*) over (partition by user_id, value) - 1) / 2.0::double as rv, rank() over (partition by user_id order by event_id) as re from events where value is not null"
@@ -718,22 +689,16 @@ def circular_spin(spark, sf):
     return spatial.circular_spin(m, 5, 64)
 
 
-def decay(spark, sf, kept):
-    a, b = lattice(spark, sf).where(kept).alias("a"), lattice(spark, sf).alias("b")
+def decay(spark, sf):
+    a, b = lattice(spark, sf).alias("a"), lattice(spark, sf).alias("b")
     d = F.sqrt(sum((F.pow((F.col(f"a.{c}") - F.col(f"b.{c}")).cast("double"), F.lit(2)) for c in "ijk"), F.lit(0.0)))
     rows = a.join(F.broadcast(b)).select(F.col("a.feature_id").alias("a"), F.col("b.feature_id").alias("b"), d.alias("d"))  # a lattice of 64
     return spatial.exp_decay(rows, "a").select("a", "b", F.round("weight", 6).alias("weight"))
 
 
-@query(f"with {OBS}, {LATTICE}, d as (select a.feature_id as a, b.feature_id as b, sqrt((a.i - b.i) ** 2 + (a.j - b.j) ** 2 + (a.k - b.k) ** 2) as d from lattice a, lattice b where a.feature_id < 8) select a, b, round(exp(-d / max(d) over (partition by a)), 6) as weight from d")
-def exp_decay(spark, sf):
-    return decay(spark, sf, "feature_id < 8")
-
-
-# all rows of the matrix
 @query(f"with {OBS}, {LATTICE}, d as (select a.feature_id as a, b.feature_id as b, sqrt((a.i - b.i) ** 2 + (a.j - b.j) ** 2 + (a.k - b.k) ** 2) as d from lattice a, lattice b) select a, b, round(exp(-d / max(d) over (partition by a)), 6) as weight from d")
-def exp_decay_whole(spark, sf):
-    return decay(spark, sf, "true")
+def exp_decay(spark, sf):
+    return decay(spark, sf)
 
 
 def coords(spark, sf):
@@ -793,7 +758,7 @@ def table_qc(spark, sf):
     return qc.describe(table(spark, sf, "events").select("event_id", "value"))
 
 
-@query()
+@query(f"{FULL} select 'c1' as contrast, feature_id, {P}::bigint as done, exceed::bigint as exceed, round((exceed + 1) / {P + 1.0}, 6) as uncp from counts")
 def stream_online_p(spark, sf):
     from .streaming.online import online_p
 

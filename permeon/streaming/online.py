@@ -34,10 +34,9 @@ def interim(stream: DataFrame, features: DataFrame, spec: AnalysisSpec) -> DataF
                 y, ids, perms = prepared(spec, np.stack(g["y"].to_numpy()).T.astype(float)), g["feature_id"].to_numpy(), list(perms)
                 for task in tasks:
                     fold = np.abs if task.two_tailed else (lambda v: v)
-                    level, count = fold(task.observed(y)), np.zeros(len(ids), np.int64)
-                    for lo, values in task.null(y):
-                        own = [p - lo for p in perms if lo <= p < lo + len(values)]
-                        count += (fold(values[own]) >= level).sum(0)
+                    level, count = task.level(y), np.zeros(len(ids), np.int64)
+                    for _, values in task.null(y, np.array(perms)):
+                        count += (fold(values) >= level).sum(0)
                     yield pd.DataFrame({"contrast": task.label, "feature_id": ids, "n": len(perms), "hits": count})
 
     numbers = stream.withColumn("perms", F.array("perm_id"))
