@@ -5,14 +5,17 @@ order that the planes above leave: ids with a 0 first, then ids with a 1, each i
 the planes one can read any id, count an id in any prefix and find its k-th occurrence without unpacking the shard.
 
 File: magic, number of ids, of documents and of planes; then blocks, each with its length: document ids, their validity,
-document lengths, and the planes, compressed with zstd.
+document lengths (compressed with zstd), the ranks of each plane at every STEP bits, and how long each plane's pieces of PIECE
+bytes are, compressed one by one; then the pieces. A reader unpacks only the pieces that a question touches: reading one id, or
+counting a token, takes two small pieces a plane. count_tokens() and occurrences() ask all files of a folder.
 
 Plan: documents are encoded where they are read; blobs of ids are dealt to ranges of doc_id (boundaries from quantiles of
 the id column alone), sorted there, and each range cuts files of at most `shard_tokens` ids while it streams. A file's
 place in the whole is its range's offset (one number a range, at most MAX_RANGES) plus its offset in the range.
 
 Null and empty texts: the end id alone. Null doc_ids come first. Repeated doc_ids: each row is a document, ordered by its
-ids. A document longer than shard_tokens gets a file of its own. Empty table: no file. Extra columns are ignored.
+ids, so ties don't matter. A very long document, of more than shard_tokens, gets a file of its own. Empty table: no file. Extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,10 +33,12 @@ from pyspark.sql import functions as F
 from ._encode import library_encoder
 from ._session import prepare, schema, scratch_path, shuffle_partitions
 
-MAGIC = b"WMX1"
+MAGIC = b"WMX2"
 HEAD = struct.Struct("<4sQQB")
 #: Bits between two stored ranks.
 STEP = 512
+#: Bytes of a plane that are compressed together.
+PIECE = 8192
 MAX_RANGES = 20_000
 SHARD_TOKENS = 1 << 20
 
@@ -43,9 +48,32 @@ class WaveletMatrix:
 
     def __init__(self, n: int, planes: list[np.ndarray]) -> None:
         """planes: packed bits, the highest plane first."""
-        self.n, self.planes = n, planes
-        self._ranks: list[np.ndarray] | None = None
-        self._zeros: list[int] | None = None
+        self.n, self.depth, self._planes = n, len(planes), planes
+        self._ranks: np.ndarray | None = None
+
+    @classmethod
+    def stored(cls, n: int, ranks: np.ndarray, sizes: np.ndarray, data: memoryview) -> WaveletMatrix:
+        """From a file's ranks and pieces, which are unpacked when they are asked for."""
+        m = cls(n, [])
+        m.depth, m._ranks, m._data = len(ranks), ranks, data
+        m._ends = np.cumsum(sizes.ravel(), dtype=np.int64)
+        m._pieces, m._a_plane, m._unpack = {}, sizes.shape[1], zstandard.ZstdDecompressor()
+        return m
+
+    def piece(self, level: int, p: int) -> np.ndarray:
+        """A plane's bytes from p * PIECE."""
+        if self._planes:
+            return self._planes[level][p * PIECE : (p + 1) * PIECE]
+        i = level * self._a_plane + p
+        if i not in self._pieces:
+            lo = int(self._ends[i - 1]) if i else 0
+            self._pieces[i] = np.frombuffer(self._unpack.decompress(self._data[lo : int(self._ends[i])]), np.uint8)
+        return self._pieces[i]
+
+    def plane(self, level: int) -> np.ndarray:
+        if self._planes:
+            return self._planes[level]
+        return np.concatenate([self.piece(level, p) for p in range(self._a_plane)]) if self._a_plane else np.empty(0, np.uint8)
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
@@ -60,11 +88,11 @@ class WaveletMatrix:
         return cls(len(ids), planes)
 
     def bits(self, level: int) -> np.ndarray:
-        return np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+        return np.unpackbits(self.plane(level), count=self.n, bitorder="little").view(bool)
 
     def decode(self) -> np.ndarray:
         """All ids, from the lowest plane up."""
-        k = len(self.planes)
+        k = self.depth
         low = np.zeros(self.n, np.uint16 if k <= 16 else np.uint32)
         for level in range(k - 1, -1, -1):
             one = self.bits(level)
@@ -76,49 +104,54 @@ class WaveletMatrix:
             low = back
         return low
 
-    def _index(self) -> None:
+    @property
+    def ranks(self) -> np.ndarray:
+        """For each plane how many ones stand before each STEP bits, and in all."""
         if self._ranks is None:
-            self._ranks, self._zeros = [], []
-            for plane in self.planes:
+            self._ranks = np.zeros((self.depth, -(-self.n // STEP) + 1), np.uint32)
+            for level, plane in enumerate(self._planes):
                 padded = np.concatenate((plane, np.zeros(-len(plane) % (STEP // 8), np.uint8)))
-                each = np.bitwise_count(padded).reshape(-1, STEP // 8).sum(1, dtype=np.int64)
-                ranks = np.concatenate(([0], np.cumsum(each)))
-                self._ranks.append(ranks)
-                self._zeros.append(self.n - int(ranks[-1]))
+                np.cumsum(np.bitwise_count(padded).reshape(-1, STEP // 8).sum(1, dtype=np.uint32), out=self._ranks[level, 1:])
+        return self._ranks
+
+    def zeros(self, level: int) -> int:
+        return self.n - int(self.ranks[level, -1])
 
     def _ones(self, level: int, i: int) -> int:
         """Ones in the plane's first i bits."""
         block = i // STEP
-        plane, start = self.planes[level], block * STEP // 8
-        full = i // 8
-        ones = int(self._ranks[level][block]) + int(np.bitwise_count(plane[start:full]).sum())
-        return ones + (int(plane[full]) & ((1 << i % 8) - 1)).bit_count() if i % 8 else ones
+        ones = int(self.ranks[level, block])
+        if i % STEP:
+            start, full = block * STEP // 8 % PIECE, i // 8 % PIECE
+            part = self.piece(level, i // 8 // PIECE)
+            ones += int(np.bitwise_count(part[start:full]).sum())
+            if i % 8:
+                ones += (int(part[full]) & ((1 << i % 8) - 1)).bit_count()
+        return ones
 
     def _bit(self, level: int, i: int) -> int:
-        return int(self.planes[level][i // 8]) >> i % 8 & 1
+        return int(self.piece(level, i // 8 // PIECE)[i // 8 % PIECE]) >> i % 8 & 1
 
     def access(self, i: int) -> int:
         """The id at place i."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        self._index()
         value = 0
-        for level in range(len(self.planes)):
+        for level in range(self.depth):
             bit, ones = self._bit(level, i), self._ones(level, i)
             value = value << 1 | bit
-            i = self._zeros[level] + ones if bit else i - ones
+            i = self.zeros(level) + ones if bit else i - ones
         return value
 
     def _range(self, token: int, end: int) -> tuple[int, int] | None:
         """Where the token's occurrences among the first `end` ids lie below the last plane."""
-        self._index()
-        k = len(self.planes)
+        k = self.depth
         if token >> k:
             return None
         lo, hi = 0, end
         for level in range(k):
             a, b = self._ones(level, lo), self._ones(level, hi)
-            lo, hi = (self._zeros[level] + a, self._zeros[level] + b) if token >> (k - 1 - level) & 1 else (lo - a, hi - b)
+            lo, hi = (self.zeros(level) + a, self.zeros(level) + b) if token >> (k - 1 - level) & 1 else (lo - a, hi - b)
         return lo, hi
 
     def rank(self, token: int, i: int) -> int:
@@ -134,20 +167,20 @@ class WaveletMatrix:
         found = self._range(token, self.n)
         if not found or not 0 <= k < found[1] - found[0]:
             raise IndexError(k)
-        i, depth = found[0] + k, len(self.planes)
+        i, depth = found[0] + k, self.depth
         for level in range(depth - 1, -1, -1):
             one = token >> (depth - 1 - level) & 1
-            i = self._place(level, one, i - self._zeros[level] if one else i)
+            i = self._place(level, one, i - self.zeros(level) if one else i)
         return i
 
     def _place(self, level: int, bit: int, k: int) -> int:
         """Where the plane's bit number k of that value stands."""
-        ranks = self._ranks[level]
+        ranks = self.ranks[level].astype(np.int64)
         before = ranks if bit else np.arange(len(ranks)) * STEP - ranks
         block = int(np.searchsorted(before, k, side="right")) - 1
         start = block * STEP // 8
-        ones = np.unpackbits(self.planes[level][start : start + STEP // 8], bitorder="little")
-        return block * STEP + int(np.flatnonzero(ones == bit)[k - int(before[block])])
+        part = self.piece(level, start // PIECE)[start % PIECE : start % PIECE + STEP // 8]
+        return block * STEP + int(np.flatnonzero(np.unpackbits(part, bitorder="little") == bit)[k - int(before[block])])
 
     def occurrences(self, token: int) -> list[int]:
         return [self.select(token, k) for k in range(self.count(token))]
@@ -157,12 +190,14 @@ def to_file(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> b
     """A shard's file."""
     matrix, pack = WaveletMatrix.build(ids), zstandard.ZstdCompressor(level=1)
     known = np.array([d is not None for d in doc_ids], bool)
-    blocks = [np.array([d or 0 for d in doc_ids], "<i8"), known, np.array(lengths, "<i8"), *matrix.planes]
-    out = [HEAD.pack(MAGIC, len(ids), len(doc_ids), len(matrix.planes))]
+    planes = [matrix.plane(level).tobytes() for level in range(matrix.depth)]
+    pieces = [[pack.compress(p[lo : lo + PIECE]) for lo in range(0, len(p), PIECE)] for p in planes]
+    blocks = [pack.compress(b.tobytes()) for b in (np.array([d or 0 for d in doc_ids], "<i8"), known, np.array(lengths, "<i8"))]
+    blocks += [matrix.ranks.astype("<u4").tobytes(), np.array([[len(p) for p in plane] for plane in pieces], "<u4").tobytes()]
+    out = [HEAD.pack(MAGIC, len(ids), len(doc_ids), matrix.depth)]
     for b in blocks:
-        packed = pack.compress(b.tobytes())
-        out += [struct.pack("<Q", len(packed)), packed]
-    return b"".join(out)
+        out += [struct.pack("<Q", len(b)), b]
+    return b"".join([*out, *(p for plane in pieces for p in plane)])
 
 
 def from_file(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
@@ -171,13 +206,14 @@ def from_file(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]
     if magic != MAGIC:
         raise ValueError("not a wavelet matrix file")
     at, blocks, unpack = HEAD.size, [], zstandard.ZstdDecompressor()
-    for _ in range(3 + planes):
+    for _ in range(5):
         (size,) = struct.unpack_from("<Q", data, at)
-        blocks.append(unpack.decompress(data[at + 8 : at + 8 + size]))
+        blocks.append(data[at + 8 : at + 8 + size])
         at += 8 + size
-    known = np.frombuffer(blocks[1], bool)
-    doc_ids = [int(d) if k else None for d, k in zip(np.frombuffer(blocks[0], "<i8"), known)]
-    return doc_ids, np.frombuffer(blocks[2], "<i8"), WaveletMatrix(n, [np.frombuffer(b, np.uint8) for b in blocks[3:]])
+    ids, known, lengths = map(unpack.decompress, blocks[:3])
+    doc_ids = [int(d) if k else None for d, k in zip(np.frombuffer(ids, "<i8"), np.frombuffer(known, bool))]
+    ranks, sizes = (np.frombuffer(b, "<u4").reshape(planes, -1) for b in blocks[3:])
+    return doc_ids, np.frombuffer(lengths, "<i8"), WaveletMatrix.stored(n, ranks, sizes, memoryview(data)[at:])
 
 
 def write_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS, byte_level: bool = True) -> None:
@@ -223,19 +259,60 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, s
             yield file()
 
     dealt = docs.mapInArrow(encode, schema("range int, doc_id bigint, ids binary")).repartition(max(1, ranges), "range").sortWithinPartitions("range", "doc_id", "ids")
-    files = dealt.mapInArrow(build, schema("range int, shard int, range_start bigint, n_tokens bigint, file binary"))
+    files = dealt.mapInArrow(build, schema(FILES))
     files.write.option("compression", "none").parquet(folder)
 
 
+FILES = "range int, shard int, range_start bigint, n_tokens bigint, file binary"
+
+
+def first_places(files: DataFrame) -> dict[int, int]:
+    """How many ids stand before each range."""
+    totals = {r["range"]: r["total"] for r in files.groupBy("range").agg(F.sum("n_tokens").alias("total")).collect()}  # at most MAX_RANGES numbers
+    first, at = {}, 0
+    for r in sorted(totals):
+        first[r], at = at, at + totals[r]
+    return first
+
+
+def count_tokens(spark: SparkSession, folder: str, tokens: list[int]) -> DataFrame:
+    """token, n: how often each of some tokens stands in all files, by ranks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                matrix = from_file(data)[2]
+                yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array([matrix.count(t) for t in tokens], pa.int64())], names=["token", "n"])
+
+    prepare(spark)
+    files = spark.read.schema(FILES).parquet(folder).select("file")
+    return files.mapInArrow(run, schema("token bigint, n bigint")).groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def occurrences(spark: SparkSession, folder: str, token: int) -> DataFrame:
+    """doc_id, position (in the document, from 0), place (in the whole) of each occurrence of a token, by select."""
+    prepare(spark)
+    files = spark.read.schema(FILES).parquet(folder)
+    first = first_places(files)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r, inner, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                doc_ids, lengths, matrix = from_file(data)
+                places = np.array(matrix.occurrences(token), np.int64)
+                ends = np.cumsum(lengths)
+                doc = np.searchsorted(ends, places, side="right")
+                out = ([doc_ids[d] for d in doc.tolist()], places - (ends - lengths)[doc], places + first[r] + inner)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "position", "place"])
+
+    return files.select("range", "range_start", "file").mapInArrow(run, schema("doc_id bigint, position bigint, place bigint"))
+
+
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, from the files alone."""
-    files = spark.read.schema(schema("range int, shard int, range_start bigint, n_tokens bigint, file binary")).parquet(folder)
+    files = spark.read.schema(FILES).parquet(folder)
     prepare(spark)
-    totals = files.groupBy("range").agg(F.sum("n_tokens").alias("total"))
-    starts = {r["range"]: r["total"] for r in totals.collect()}  # at most MAX_RANGES numbers
-    first, at = {}, 0
-    for r in sorted(starts):
-        first[r], at = at, at + starts[r]
+    first = first_places(files)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

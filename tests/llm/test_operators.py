@@ -86,6 +86,26 @@ def test_wavelet_matrix():
             m.access(len(ids))
 
 
+def test_wavelet_file_is_read_in_pieces():
+    ids = RNG.integers(0, 300, 200_000)
+    m = wavelet.from_file(wavelet.to_file([1], [len(ids)], ids))[2]
+    assert m.access(150_001) == ids[150_001] and len(m._pieces) <= m.depth
+    assert m.rank(7, 123_456) == (ids[:123_456] == 7).sum() and m.count(7) == (ids == 7).sum() and m.select(7, 100) == np.flatnonzero(ids == 7)[100]
+    assert len(m._pieces) < m.depth * m._a_plane and np.array_equal(m.decode(), ids)
+
+
+def test_lookups_in_all_files(spark, docs, tmp_path):
+    t, folder = Tokenizer.from_file(BYTE), str(tmp_path / "files")
+    wavelet.write_files(docs, BYTE, folder, shard_tokens=300)
+    held = [(d["doc_id"], [*t.encode(d["text"] or "", add_special_tokens=False).ids, 0]) for d in local(docs)]
+    tokens = [0, 64, 257, 49_999]
+    assert {r["token"]: r["n"] for r in local(wavelet.count_tokens(spark, folder, tokens))} == {x: sum(ids.count(x) for _, ids in held) for x in tokens}
+    for x in tokens[:3]:
+        got = local(wavelet.occurrences(spark, folder, x))
+        assert sorted((key(r["doc_id"]), r["position"]) for r in got) == sorted((key(d), i) for d, ids in held for i, y in enumerate(ids) if y == x)
+        assert len({r["place"] for r in got}) == len(got)
+
+
 def test_token_files(spark, docs, empty):
     t = Tokenizer.from_file(BYTE)
     got = sorted(local(wavelet.token_files(docs, BYTE)), key=lambda r: r["start"])
