@@ -51,7 +51,9 @@ ENTRIES = 2_000_000
 #: Logarithms are stored as multiples of -UNIT in 16 bits; ABSENT stands for no entry.
 UNIT, ABSENT = 28 / 65535, 65535
 #: Bytes of trusted text that a task counts together.
-COUNT_BYTES = 6 << 20
+COUNT_BYTES = 3 << 20
+#: Bytes whose ORDER-grams are made together.
+GRAM_BYTES = 1 << 19
 #: Entries that a task puts in messages together.
 DEALT = 500_000
 #: So many marks (16 MB) are broadcast to the documents; beyond, both sides are shuffled.
@@ -75,14 +77,26 @@ def distinct(keys: np.ndarray) -> np.ndarray:
     return keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
 
 
+def distinct_grams(texts: Iterator[bytes]) -> np.ndarray:
+    """Sorted distinct ORDER-grams of some texts, a few at a time."""
+    out, held, n = [np.empty(0, np.uint64)], [], 0
+    for t in texts:
+        held.append(grams(t))
+        n += len(t)
+        if n > GRAM_BYTES:
+            out.append(distinct(np.concatenate(held)))
+            held, n = [], 0
+    return distinct(np.concatenate([*out, *held]))
+
+
 def low(keys: np.ndarray, m: int) -> np.ndarray:
     """The last m bytes."""
     return keys & np.uint64((1 << 8 * m) - 1)
 
 
 def wanted(keys: np.ndarray) -> list[np.ndarray]:
-    """For m = 0 .. ORDER the sorted distinct m-grams that probabilities of these ORDER-grams may need, also as contexts."""
-    out = [distinct(keys)]
+    """For m = 0 .. ORDER the sorted m-grams that probabilities of these sorted distinct ORDER-grams may need, also as contexts."""
+    out = [keys]
     for m in range(ORDER - 1, -1, -1):
         out.append(distinct(np.concatenate((low(out[-1], m), out[-1] >> np.uint64(8)))))
     return out[::-1]
@@ -196,9 +210,9 @@ def ask(block: Block, shards: int) -> list[tuple[int, bytes]]:
     """Messages (shard, names of models and their sorted n-grams as differences in planes of bytes)."""
     of, out = defaultdict(list), defaultdict(list)
     for d, name in enumerate(named(block)):
-        of[name[1:]].append(grams(block.text[block.starts[d] : block.ends[d]]))
+        of[name[1:]].append(d)
     for name in sorted(of):
-        keys = numbered(wanted(np.concatenate(of[name])))
+        keys = numbered(wanted(distinct_grams(block.text[block.starts[d] : block.ends[d]] for d in of[name])))
         shard = spread(keys, shards)
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -330,12 +344,11 @@ def scores(block: Block, replies: dict[int, bytes], shards: int) -> list[tuple]:
     """(doc_id, name, bytes, perplexity) of each document."""
     answers = {s: [np.frombuffer(x, "<u2") for x in unpack(data)] for s, data in replies.items()}
     taken, names, out = defaultdict(lambda: (0, 0)), named(block), []
-    ids, size = block.doc_ids(), block.ends - block.starts
+    ids = block.doc_ids()
     models = np.array([n[1:] for n in names])
     for name in sorted(set(models.tolist())):  # in the order of ask()
         docs = np.flatnonzero(models == name)
-        every = np.concatenate([grams(block.text[block.starts[d] : block.ends[d]]) for d in docs])
-        by_order = wanted(every)
+        by_order = wanted(distinct_grams(block.text[block.starts[d] : block.ends[d]] for d in docs))
         keys = numbered(by_order)
         shard = spread(keys, shards)
         order = np.argsort(shard, kind="stable")
@@ -347,11 +360,9 @@ def scores(block: Block, replies: dict[int, bytes], shards: int) -> list[tuple]:
             p[here], left[here[:n]] = answers[s][0][i : i + len(here)], answers[s][1][j : j + n]
             taken[s] = i + len(here), j + n
         value = log_probabilities(by_order, p, left)
-        total = np.concatenate(([0.0], np.cumsum(value[np.searchsorted(by_order[ORDER], every)])))
-        ends = np.cumsum(size[docs])
-        for d, end in zip(docs.tolist(), ends.tolist()):
-            n = int(size[d])
-            out.append((ids[d], names[d], n, float(np.exp(-(total[end] - total[end - n]) / n)) if n else None))
+        for d in docs.tolist():
+            own = value[np.searchsorted(by_order[ORDER], grams(block.text[block.starts[d] : block.ends[d]]))]
+            out.append((ids[d], names[d], len(own), float(np.exp(-own.mean())) if len(own) else None))
     return out
 
 

@@ -48,6 +48,8 @@ SPREAD = LENGTH - SEED + 1
 #: Levels merge when the newer is at least 1/RATIO of the older. Blocks join a batch until it has so many windows.
 RATIO, BATCH = 2, 1 << 16
 SHARDS_A_TASK = 16
+#: Bytes of documents that are hashed together.
+RUN_BYTES = 1 << 19
 
 
 def seeds(data: np.ndarray) -> np.ndarray:
@@ -77,25 +79,34 @@ class Runs:
     that start from start[i] to end[i] - LENGTH, so the bytes from start[i] to end[i]."""
 
     def __init__(self, block: Block) -> None:
-        data = np.frombuffer(block.text, np.uint8)
-        self.start = self.end = self.doc = self.anchor = np.empty(0, np.int64)
-        self.hash = np.empty(0, np.uint64)
+        parts = [(np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),)]
+        first = 0
+        for d in range(1, len(block) + 1):  # documents in groups, as hashes of all places take many times their bytes
+            if d == len(block) or block.ends[d] - block.starts[first] > RUN_BYTES:
+                parts.append(self._of(block, first, d))
+                first = d
+        self.start, self.end, self.doc, self.anchor, self.hash = map(np.concatenate, zip(*parts))
+
+    @staticmethod
+    def _of(block: Block, first: int, last: int) -> tuple[np.ndarray, ...]:
+        """start, end, doc, anchor, hash of the runs of documents from first up to last."""
+        lo, hi = int(block.starts[first]), int(block.ends[last - 1])
+        data = np.frombuffer(block.text, np.uint8)[lo:hi]
         if len(data) < LENGTH:
-            return
+            return (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),)
         h = seeds(data)
         anchor = anchors(h)
-        doc = np.repeat(np.arange(len(block), dtype=np.int32), block.ends - block.starts)
-        doc, last = doc[: len(anchor)], doc[LENGTH - 1 :]
-        inside = doc == last
+        doc = np.repeat(np.arange(first, last, dtype=np.int32), (block.ends - block.starts)[first:last])
+        doc, after = doc[: len(anchor)], doc[LENGTH - 1 :]
+        inside = doc == after
         new = np.ones(len(anchor), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (inside[1:] != inside[:-1])
         start = np.flatnonzero(new)
         end = np.append(start[1:], len(anchor)) + LENGTH - 1
         keep = inside[start]
-        self.start, self.end = start[keep], end[keep]
-        self.anchor = anchor[self.start]
-        self.doc = ranks(block)[doc[self.start]]
-        self.hash = h[self.anchor]
+        start, end = start[keep], end[keep]
+        anchor = anchor[start]
+        return start + lo, end + lo, ranks(block)[doc[start]], anchor + lo, h[anchor]
 
 
 def ranks(block: Block) -> np.ndarray:
