@@ -7,6 +7,7 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes in one Arrow batch (a longer document is a batch of its own), which bounds a worker's memory.
@@ -57,6 +58,15 @@ def written(df: DataFrame, what: str, buckets: tuple[str, int] | None = None) ->
     return table
 
 
+#: So many rows of a few numbers are broadcast (some 30 MB); beyond, both sides of a join are shuffled.
+FEW = 1_000_000
+
+
+def few(table: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast if its size allows it."""
+    return F.broadcast(table) if table.count() <= FEW else table
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete scratch tables (as written() returned them) that nothing reads any more."""
     for df in tables:

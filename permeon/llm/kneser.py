@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._blocks import Block, blocks, pack, unpack
-from ._session import dropped, prepare, schema, shuffle_partitions, written
+from ._session import dropped, few, prepare, schema, shuffle_partitions, written
 from ._shingles import mix
 
 ORDER = 5
@@ -56,8 +56,6 @@ COUNT_BYTES = 3 << 20
 GRAM_BYTES = 1 << 19
 #: Entries that a task puts in messages together.
 DEALT = 500_000
-#: So many marks (16 MB) are broadcast to the documents; beyond, both sides are shuffled.
-MARKS = 1_000_000
 #: n-grams as numbers have their order above this bit.
 TOP = 40
 
@@ -407,7 +405,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.col("text").cast("string").alias("text"))
     known = written(marks(labels), "marks")
-    docs = docs.join(F.broadcast(known) if known.count() <= MARKS else known, "doc_id", "left")
+    docs = docs.join(few(known), "doc_id", "left")
     held_out = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0
     kind = F.when((F.col("mark") == 1) & (F.length("text") > 0), F.when(held_out, "h").otherwise("t")).when(F.col("mark") == 0, "b").otherwise("a")
     made = blocks(docs.withColumn("name", F.hex(F.concat(kind, "lang"))), "quality-blocks", group="name", buckets=shuffle_partitions(spark))
@@ -432,4 +430,4 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't rejected, with all their columns. A doc_id goes only if each of its rows is rejected."""
     gone = classify(docs, labels).groupBy("doc_id").agg(F.min("rejected").alias("rejected")).where("rejected and doc_id is not null").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(few(written(gone, "gone")), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

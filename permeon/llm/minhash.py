@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._session import dropped, prepare, schema, shuffle_partitions, written
+from ._session import dropped, few, prepare, schema, shuffle_partitions, written
 from ._shingles import mix, shared, shingle_set
 
 ROWS, BANDS = 6, 56
@@ -49,8 +49,6 @@ ZERO_BITS, MANTISSA_BITS = 4, 4
 NUM, DEN = 75, 100
 DEVIATIONS = 6
 HOT, SALTS, COMMON = 256, 16, 20_000
-#: So many rows of two numbers (16 MB) are broadcast to the texts; beyond, both sides are shuffled.
-BROADCAST = 1_000_000
 
 #: For each register, in which order it asks others when its bucket is empty.
 ASK = np.random.default_rng(20).permuted(np.tile(np.arange(REGISTERS, dtype=np.int16), (REGISTERS, 1)), axis=1)
@@ -240,8 +238,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame, repeated: DataFrame | None) ->
     whose texts are told apart by their sets."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if repeated is None:
-        wanted = wanted.select("doc_id", "node")
-        return docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted, "doc_id").select("node", "text")
+        return docs.join(few(wanted.select("doc_id", "node")), "doc_id").select("node", "text")
     again = signatures(docs.join(repeated, "doc_id", "left_semi"), with_text=True)
     again = again.join(wanted, ["doc_id", "set_print"]).select("node", "text").dropDuplicates(["node"])
     return texts_of(docs.join(repeated, "doc_id", "left_anti"), wanted, None).unionByName(again)
@@ -302,11 +299,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group, that of the smallest doc_id, with all its columns. Of rows with one doc_id the text with the
     smallest hash stays, once (of rows with equal texts and other columns that differ, either); documents without an id all stay."""
-    gone = near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
+    gone = few(written(near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct(), "gone"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.join(gone, "doc_id", "left_anti").select(*columns)
     kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    kept = kept.select(*(F.col(f"`{c}`") for c in docs.columns), F.row_number().over(one).alias(ROW)).where(F.col(ROW) == 1)
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    kept = kept.select(*columns, F.row_number().over(one).alias(ROW)).where(F.col(ROW) == 1)
+    return kept.select(*columns).unionByName(docs.where("doc_id is null"))
 
 
 #: A column of our own beside the caller's.
