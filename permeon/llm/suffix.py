@@ -19,8 +19,8 @@ document is marked. The array then joins the index as a level, and levels of lik
 logarithmically many levels, and an entry moves as often. Of a document's equal windows one stays and the others follow
 it, so all have its mark. Marks don't depend on the order of batches.
 
-Blocks are made where documents are read and written once (see _blocks); the shuffles carry hashes, bits, runs of
-repeated text, spans, and the compressed blocks.
+Blocks are made where documents are read and written once (see _blocks), in buckets, so that messages move to them; the shuffles
+carry hashes, bits, runs of repeated text, and spans.
 
 Null and empty texts: no bytes, nothing removed. Null doc_ids count as smaller than all others and equal to each other;
 repeated doc_ids are one document's parts and don't remove each other. Very long texts are whole blocks of their own. Equal
@@ -260,39 +260,42 @@ def _answer(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": frame["block"], "shard": frame["shard"], "data": bits})
 
 
+def send(number: int, b: Block, known: dict[int, bytes], shards: int) -> list[tuple]:
+    """From a block to shards (block, shard, settled, data): each distinct run once; and spans that the block has settled itself,
+    which go along to its own shard's answer. known: the shards' bits."""
+    rows = []
+    runs = Runs(b)
+    h, _ = _anchor_hashes(runs)
+    bits = [np.unpackbits(np.frombuffer(known[s], np.uint8), count=i.stop - i.start) for s, i in _pieces(shard_of(h, shards))]
+    wanted = np.flatnonzero(np.isin(runs.hash, h[np.concatenate(bits).view(bool)])) if bits else np.empty(0, np.int64)
+    start, end, doc = runs.start[wanted], runs.end[wanted], runs.doc[wanted]
+    text, least = b.text, {}
+    strings = [text[s:e] for s, e in zip(start.tolist(), end.tolist())]
+    docs = doc.tolist()
+    for r, d in zip(strings, docs):
+        if least.setdefault(r, d) > d:
+            least[r] = d
+    settled = np.array([d > least[r] for r, d in zip(strings, docs)], bool)
+    rows.append((number, number % shards, True, pack(start[settled].astype("<u4"), end[settled].astype("<u4"))))
+    sent = np.flatnonzero(~settled)
+    shard = shard_of(runs.hash[wanted[sent]], shards)
+    order = np.argsort(shard, kind="stable")
+    sent, offset = sent[order], runs.anchor[wanted] - start
+    for s, i in _pieces(shard[order]):
+        mine = sent[i]
+        rows.append((number, s, False, pack(
+            start[mine].astype("<u4"), (end - start)[mine].astype("<u2"), offset[mine].astype("u1"), doc[mine].astype("<i8"),
+            b"".join([strings[j] for j in mine.tolist()]),
+        )))
+    return rows
+
+
 def _send(shards: int):
-    """From blocks to shards: each distinct run once; and spans that the block has settled itself, which go along to its own
-    shard's answer."""
-
-    def run(key: tuple, block: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for blob in block["docs"]:
-            b = Block(blob)
-            runs = Runs(b)
-            h, _ = _anchor_hashes(runs)
-            known = dict(zip(replies["shard"], replies["data"]))
-            bits = [np.unpackbits(np.frombuffer(known[s], np.uint8), count=i.stop - i.start) for s, i in _pieces(shard_of(h, shards))]
-            wanted = np.flatnonzero(np.isin(runs.hash, h[np.concatenate(bits).view(bool)])) if bits else np.empty(0, np.int64)
-            start, end, doc = runs.start[wanted], runs.end[wanted], runs.doc[wanted]
-            text, least = b.text, {}
-            strings = [text[s:e] for s, e in zip(start.tolist(), end.tolist())]
-            docs = doc.tolist()
-            for r, d in zip(strings, docs):
-                if least.setdefault(r, d) > d:
-                    least[r] = d
-            settled = np.array([d > least[r] for r, d in zip(strings, docs)], bool)
-            rows.append((key[0], key[0] % shards, True, pack(start[settled].astype("<u4"), end[settled].astype("<u4"))))
-            sent = np.flatnonzero(~settled)
-            shard = shard_of(runs.hash[wanted[sent]], shards)
-            order = np.argsort(shard, kind="stable")
-            sent, offset = sent[order], runs.anchor[wanted] - start
-            for s, i in _pieces(shard[order]):
-                mine = sent[i]
-                rows.append((key[0], s, False, pack(
-                    start[mine].astype("<u4"), (end - start)[mine].astype("<u2"), offset[mine].astype("u1"), doc[mine].astype("<i8"),
-                    b"".join([strings[j] for j in mine.tolist()]),
-                )))
-        return pd.DataFrame(rows, columns=["block", "shard", "settled", "data"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, docs, shard, data in zip(batch.column(0).to_pylist(), *(batch.column(i) for i in (1, 2, 3))):
+                rows = send(number, Block(docs.as_py()), dict(zip(shard.as_py() or [], data.as_py() or [])), shards)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.bool_(), pa.binary()))], names=["block", "shard", "settled", "data"])
 
     return run
 
@@ -350,34 +353,43 @@ def _resolve(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.concat((settled, pd.DataFrame(rows, columns=["block", "data"])))
 
 
+def finish(b: Block, spans: list[bytes], with_text: bool) -> pa.Table:
+    """A row for each document of the block."""
+    step = np.zeros(len(b.text) + 1, np.int32)
+    for data in spans:
+        lo, hi = (np.frombuffer(x, "<u4") for x in unpack(data))
+        np.add.at(step, lo, 1)
+        np.subtract.at(step, hi, 1)
+    gone, rows = np.cumsum(step[:-1], dtype=np.int32) > 0, []
+    data = np.frombuffer(b.text, np.uint8)
+    for d, lo, hi in zip(b.doc_ids(), b.starts.tolist(), b.ends.tolist()):
+        g, t = gone[lo:hi], data[lo:hi]
+        spans_of = int(g[0]) + int(np.count_nonzero(g[1:] & ~g[:-1])) if hi > lo else 0
+        row = (d, hi - lo, int(np.count_nonzero(g)), spans_of, hashlib.sha256(t[~g].tobytes()).hexdigest())
+        rows.append((*row, *[whole_characters(t, g)] * with_text))
+    made = pa.table([pa.array(c, t) for c, t in zip(zip(*rows), KINDS)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text"] * with_text])
+    if b.rest is not None:
+        rest = b.carried()
+        for name in rest.column_names:
+            made = made.append_column(name, rest[name])
+    return made
+
+
 def _finish(with_text: bool):
-    def run(block: pa.Table, spans: pa.Table) -> pa.Table:
-        out = []
-        for blob in block["docs"]:
-            b = Block(blob.as_py())
-            step = np.zeros(len(b.text) + 1, np.int32)
-            for data in spans["data"]:
-                lo, hi = (np.frombuffer(x, "<u4") for x in unpack(data.as_py()))
-                np.add.at(step, lo, 1)
-                np.subtract.at(step, hi, 1)
-            gone, rows = np.cumsum(step[:-1]) > 0, []
-            data = np.frombuffer(b.text, np.uint8)
-            for d, lo, hi in zip(b.doc_ids(), b.starts.tolist(), b.ends.tolist()):
-                g, t = gone[lo:hi], data[lo:hi]
-                spans_of = int(g[0]) + int(np.count_nonzero(g[1:] & ~g[:-1])) if hi > lo else 0
-                row = (d, hi - lo, int(np.count_nonzero(g)), spans_of, hashlib.sha256(t[~g].tobytes()).hexdigest())
-                rows.append((*row, *[whole_characters(t, g)] * with_text))
-            made = pa.table([pa.array(c, t) for c, t in zip(zip(*rows), KINDS)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text"] * with_text])
-            if b.rest is not None:
-                rest = b.carried()
-                for name in rest.column_names:
-                    made = made.append_column(name, rest[name])
-            out.append(made)
-        return pa.concat_tables(out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for docs, spans in zip(batch.column(0), batch.column(1)):
+                yield from finish(Block(docs.as_py()), spans.as_py() or [], with_text).combine_chunks().to_batches()
 
     return run
 
 
+def beside(made: DataFrame, messages: DataFrame) -> DataFrame:
+    """block, docs, messages (structs) of each block, which stays where it is written."""
+    of = messages.groupBy("block").agg(F.collect_list(F.struct(*(c for c in messages.columns if c != "block"))).alias("messages"))
+    return made.select("block", "docs").join(of.hint("merge"), "block", "left")
+
+
 #: Types of a row of _finish.
 KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
 
@@ -396,19 +408,19 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, carry: tuple[str, .
     memory, as there are messages from each block to each shard."""
     spark = docs.sparkSession
     prepare(spark)
-    made = blocks(docs, "suffix-blocks", carry=carry)
+    made = blocks(docs, "suffix-blocks", carry=carry, buckets=shuffle_partitions(spark))
     total = made.agg(F.sum("bytes").alias("n")).first()["n"] or 0
     shards = max(shuffle_partitions(spark), -(-total // shard_bytes))
     tasks = min(shards, max(4 * shuffle_partitions(spark), shards // SHARDS_A_TASK))  # named, as small requests are much work
     asked = made.select("block", "docs").mapInPandas(_ask(shards), schema("block bigint, shard int, data binary"))
     replies = asked.repartition(tasks, "shard").groupBy("shard").applyInPandas(_answer, schema("block bigint, shard int, data binary"))
-    sent = made.select("block", "docs").groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_send(shards), schema("block bigint, shard int, settled boolean, data binary"))
+    sent = beside(made, replies).select("block", "docs", "messages.shard", "messages.data").mapInArrow(_send(shards), schema("block bigint, shard int, settled boolean, data binary"))
     # written, as their shuffles and those before them can go then
     spans = written(sent.repartition(tasks, "shard").groupBy("shard").applyInPandas(_resolve, schema("block bigint, data binary")), "suffix-spans")
     out = schema("doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", text string" * with_text)
     for i, c in enumerate(carry):
         out = out.add(carried_name(i), docs.schema[c].dataType)
-    return made.select("block", "docs").groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_finish(with_text), out)
+    return beside(made, spans).select("docs", "messages.data").mapInArrow(_finish(with_text), out)
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:

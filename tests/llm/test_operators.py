@@ -304,9 +304,11 @@ def test_repeats_inside_a_document_over_batches(monkeypatch):
     by = lambda f, c: [g for _, g in f.groupby(c)]
     asked = pd.concat(x for b in blobs for x in suffix._ask(2)(iter([b])))
     replies = pd.concat(suffix._answer(g) for g in by(asked, "shard"))
-    sent = pd.concat(suffix._send(2)((i,), b, replies[replies["block"] == i]) for i, b in enumerate(blobs))
+    block = lambda i: suffix.Block(blobs[i]["docs"][0])
+    of = lambda f, i: f[f["block"] == i]
+    sent = pd.DataFrame([r for i in range(len(blobs)) for r in suffix.send(i, block(i), dict(zip(of(replies, i)["shard"], of(replies, i)["data"])), 2)], columns=["block", "shard", "settled", "data"])
     spans = pd.concat(suffix._resolve(g) for g in by(sent, "shard"))
-    got = pd.concat(suffix._finish(False)(pa.Table.from_pandas(b), pa.Table.from_pandas(spans[spans["block"] == i])).to_pandas() for i, b in enumerate(blobs))
+    got = pd.concat(suffix.finish(block(i), of(spans, i)["data"].tolist(), False).to_pandas() for i in range(len(blobs)))
     want = {k[1]: int(x[0][1].sum()) for k, x in removed(rows).items()}
     assert dict(zip(got["doc_id"], got["n_removed"])) == want and want[9] >= 3 * len(line)
 
