@@ -310,7 +310,7 @@ def _resolve(frame: pd.DataFrame) -> pd.DataFrame:
         start, size, offset, doc = np.frombuffer(start, "<u4"), np.frombuffer(size, "<u2"), np.frombuffer(offset, "u1"), np.frombuffer(doc, "<i8").tolist()
         ends = np.cumsum(size, dtype=np.int64).tolist()
         runs = [text[e - n : e] for e, n in zip(ends, size.tolist())]
-        batches.append((number, start, size, doc, runs))
+        batches.append((number, start, size, doc, runs, offset.tolist()))
         for r, d, o in zip(runs, doc, offset.tolist()):
             if least.setdefault(r, d) > d:
                 least[r] = d
@@ -319,8 +319,7 @@ def _resolve(frame: pd.DataFrame) -> pd.DataFrame:
                 variants[seed] = None  # different runs
     # windows of anchors with different runs: each run once, in the batch that has it of its smallest document
     first, count, plan = {}, 0, []
-    for (_, _, _, doc, runs), blob in zip(batches, frame["data"]):
-        offset = np.frombuffer(unpack(blob)[2], "u1").tolist()
+    for _, _, _, doc, runs, offset in batches:
         new = []
         for r, d, o in zip(runs, doc, offset):
             if r not in first and d == least[r] and variants[r[o : o + SEED]] is None:
@@ -337,7 +336,7 @@ def _resolve(frame: pd.DataFrame) -> pd.DataFrame:
             entry = np.repeat(np.array([first[r] for r in new]) - (np.cumsum(n) - n), n) + np.arange(n.sum())
             index.add(keys, np.repeat(np.array([least[r] for r in new], np.int64), n), entry)
     rows, marked = [], index.marked
-    for number, start, size, doc, runs in batches:
+    for number, start, size, doc, runs, _ in batches:
         lo, hi = [], []
         for s, n, d, r in zip(start.tolist(), size.tolist(), doc, runs):
             if d > least[r]:
@@ -402,7 +401,7 @@ def whole_characters(text: np.ndarray, gone: np.ndarray) -> str:
     return text[~gone].tobytes().decode()
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False, carry: tuple[str, ...] = (), shard_bytes: int = 1 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_text: bool = False, carry: tuple[str, ...] = (), shard_bytes: int = 1 << 19) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text: also the text left (whole characters); carry: columns that go
     along, as carried_0 and so on. A shard takes the anchors of about shard_bytes of text: raise it, and the blocks, with executors'
     memory, as there are messages from each block to each shard."""
