@@ -85,11 +85,31 @@ def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_longest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import assign
+
+    shards = assign(table(spark, sf_dir, "documents")).withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+    return shards.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op12_deletion_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
+def op13_radix_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_hyperminhash, op2_token_rollup, op3_kneser_ney, op4_token_files, op5_packing, op6_additive_quantisation,
         op7_cosine_cells, op8_license_scan, op9_bpe, op10_suffix_arrays,
+        op11_longest_first, op12_deletion_keys, op13_radix_tries,
     )
 }
 
@@ -127,4 +147,55 @@ from files left join inherited using (doc_id)
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op8_license_scan": _license_sql()}
+def _spelling_sql() -> str:
+    from .spelling import DAMAGED, FORM, LETTERS, TIMES
+
+    step = "case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end"
+    return f"""
+with recursive crcs as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i::bigint, list_transform(range(8), lambda k: k::bigint)), lambda c, k: {step})) as crc),
+texts as (select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) as run from documents),
+runs as (select id, run, count(*) as n from texts where length(run) >= {LETTERS} group by all),
+bytes as (select id, run, n, hex(encode(id || ':' || run)) as h from runs),
+hashed as (select id, run, n, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, len(h) // 2 + 1), lambda i: ('0x' || substr(h, (2 * i - 1)::int, 2))::bigint)), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]))) as hash from bytes, crcs),
+damaged as (select case when hash % {DAMAGED} = 0 then substr(run, 1, (hash % length(run))::int) || substr(run, (hash % length(run))::int + 2) else run end as word, n from hashed),
+words as (select word, sum(n)::bigint as n from damaged where length(word) >= {LETTERS} group by word having sum(n) >= {TIMES}),
+places as (select word, n, unnest(range(1, length(word) + 1)) as place from words),
+shorter as (select word, n, place, substr(word, 1, place::int - 1) || substr(word, place::int + 1) as rest from places),
+links as (
+  select a.word, b.word as other, b.n as other_n from shorter a join shorter b using (rest, place) where a.word <> b.word
+  union select a.word, b.word, b.n from shorter a join words b on a.rest = b.word
+  union select b.word, a.word, a.n from shorter a join words b on a.rest = b.word),
+near as (select word, count(*) as n_near, min({{'n': -other_n, 'word': other}}) as best from links group by word),
+formed as (select word, n, coalesce(n_near, 0) as n_near, case when -best.n >= {FORM} * n then best.word end as form, case when -best.n >= {FORM} * n then -best.n end as form_n from words left join near using (word)),
+paths as (select word, word as root, 0 as steps from formed union all select paths.word, form, steps + 1 from paths join formed on formed.word = paths.root where form is not null)
+select word, form, (select max_by(root, steps) from paths p where p.word = formed.word) as root, n, n_near, form_n from formed
+"""
+
+
+def _divergence_sql() -> str:
+    from .divergence import LEAST, TOP
+
+    share = "(1 + 1000000000::hugeint * (coalesce({c}, 0) + 2) // (coalesce({n}, 0) + 2 * v))"
+    gap = "((p - q) * (p - q) // (p + q))"
+    rank = "row_number() over (partition by lang, source order by value desc, item)"
+    return f"""
+with docs as (select coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text, row_number() over () as row from documents),
+found as (select lang, source, row, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs),
+kept as (select lang, term from found group by lang, term having count(distinct row) >= {LEAST}),
+sizes as (select lang, count(*) as v from kept group by lang),
+counts as (select lang, source, term, count(*) as c from found join kept using (lang, term) group by all),
+totals as (select lang, source, sum(c) as n from counts group by all),
+everywhere as (select lang, term, sum(c) as c from counts group by all),
+langs as (select lang, sum(c) as n from everywhere group by all),
+groups as (select distinct lang, source from docs),
+shares as (select g.lang, g.source, k.term, coalesce(c, 0) as c, {share.format(c="c", n="n")} as p from groups g join kept k using (lang) join sizes using (lang) left join counts using (lang, source, term) left join totals using (lang, source)),
+of_lang as (select lang, term, {share.format(c="c", n="n")} as q from everywhere join langs using (lang) join sizes using (lang)),
+sums as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value from shares a join shares b using (lang, term) group by all),
+pairs as (select a.lang, a.source, b.source as item, coalesce(value, 0)::bigint as value from groups a join groups b using (lang) left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source where a.source <> b.source),
+terms as (select lang, source, term as item, {gap}::bigint as value from shares join of_lang using (lang, term) where c > 0 and p > q)
+select lang, source, 'pair' as part, item, value, ({rank})::int as rank from pairs
+union all select * from (select lang, source, 'term' as part, item, value, ({rank})::int as rank from terms) where rank <= {TOP}
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op8_license_scan": _license_sql(), "op12_deletion_keys": _spelling_sql(), "op13_radix_tries": _divergence_sql()}
