@@ -8,6 +8,7 @@ bounded size, so what is in use stays. A text in which white space meets white s
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Callable
 from itertools import chain
 
@@ -24,6 +25,13 @@ MEMO_BYTES = 32 << 20
 #: A chunk's end that starts a token of its own after a letter, in both vocabularies.
 TRAILING = ".,!|$%&#*"
 
+
+def ends_in_letter(stem: str) -> bool:
+    """Is the last character a letter, also once a vocabulary has normalised it? Some letters become one with a mark, which goes along
+    with the punctuation that follows."""
+    return stem[-1:].isalpha() and (stem[-1].isascii() or unicodedata.normalize("NFC", stem).lower()[-1].isalpha())
+
+
 Pieces = Callable[[list[str]], list]
 
 
@@ -100,7 +108,7 @@ class ChunkEncoder:
                 self.chunks[chunk] = ids
                 continue
             stem = chunk.rstrip(TRAILING)
-            if not stem or not stem[-1].isalpha():
+            if not ends_in_letter(stem):
                 stem = chunk
             ends[chunk] = stem, chunk[len(stem) :]
         if len(self.parts) > PARTS or self.held_parts > MEMO_BYTES:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -61,6 +62,20 @@ def test_chunks_encode_as_the_library(path, byte_level):
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == whole.encode(t or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize(("path", "byte_level"), [(BYTE, True), (WORD, False)])
+def test_every_letter_before_punctuation(path, byte_level):
+    encoder, whole = library_encoder(path, byte_level), Tokenizer.from_file(path)
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha()]
+    marks = ".,!|$%&#*"
+    texts = [f"{c}{marks[i % 9]} x{c}{marks[i // 9 % 9]}{marks[i % 7]}" for i, c in enumerate(letters)]
+    texts += [f"a{c}{m}" for c in letters if c.lower() != c or unicodedata.normalize("NFD", c) != c for m in marks if c != m][:: 3 if byte_level else 1]
+    texts += ["GELDİ, EVET.", "আমি হয়, বড়. a", "आज़. क़, ड़!", "שּׁ. x", "İ. İİ, aİ!b"]
+    for lo in range(0, len(texts), 4096):
+        some = texts[lo : lo + 4096]
+        want = [e.ids for e in whole.encode_batch(some, add_special_tokens=False)]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode_batch(some)] == want
+
+
 def test_bpe(spark, docs, empty):
     t = Tokenizer.from_file(BYTE)
     got = {(r["doc_id"], bytes(r["ids"])): r["decoded"] for r in local(bpe.encode(docs, BYTE, public_tokenizers.PATTERN))}
