@@ -5,15 +5,14 @@ SAMPLE vectors: residual k-means gives a start, least squares over all codewords
 beam search over the codebooks and indexed with its codes and the squared length of its sum.
 
 Search: |q - x|^2 is |q|^2 - 2 * (sum of q's table entries at x's codes) + the stored length. Rows lie in blocks of about BLOCK;
-each block meets the queries in blocks too. It computes exact distances on the original vectors for the SHORTLIST rows that the
+each block meets the queries in groups of QUERY_GROUP blocks (some 8,000 queries), so a task's share of them is bounded too. It computes exact distances on the original vectors for the SHORTLIST rows that the
 tables put nearest, and learns from these by how much the tables err; then also for all rows that, by DEVIATIONS times that
 error, may be nearer than the k-th found (in a group of close copies that is the group). It returns its nearest k of each query; a
-grouped limit takes the nearest k of all. So a task's memory is one block of rows and one of queries, and nothing of the table is
-broadcast but the codebooks. SHORTLIST and BLOCK are the same at every size.
+grouped limit takes the nearest k of all. Nothing of the table is broadcast but the codebooks. SHORTLIST and BLOCK are the same at every size.
 
 Queries are rows whose vec_id is divisible by `every`; a query's own row is no candidate. Null, zero or non-finite vectors
 and null vec_ids take no part, nor do vectors of another length than most of the sample. Ties go to the smaller vec_id. Repeated
-vec_ids: each row is a candidate of its own, and a repeated query is asked once. Fewer candidates than k: all of them. Empty table: no
+vec_ids: each row is a candidate of its own, and of a repeated query the least vector is asked. Fewer candidates than k: all of them. Empty table: no
 rows. Extra columns are ignored, whatever their names.
 """
 
@@ -29,6 +28,8 @@ from ._vectors import matrix, sample, vectors
 
 BOOKS, WORDS, BEAM, SAMPLE = 8, 256, 4, 20_000
 BLOCK, QUERY_BLOCK, SHORTLIST, DEVIATIONS = 4_096, 512, 128, 3
+#: Blocks of queries that a task gets, about.
+QUERY_GROUP = 16
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -156,6 +157,10 @@ def _query_blocks(size: int):
     return run
 
 
+def _each(n: int):
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
 def nearest(embeddings: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (Euclidean distance)."""
     spark = embeddings.sparkSession
@@ -166,12 +171,15 @@ def nearest(embeddings: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     if not size:
         return spark.createDataFrame([], schema("query_id bigint, rank int, vec_id bigint, score double"))
     books = fit(sample(rows.where(F.size("embedding") == size), SAMPLE))  # a bounded sample; every row is indexed
-    index = written(rows.mapInPandas(_index(books), schema("vec_id bigint, embedding array<double>, codes binary, length double")), "codes")
+    index = written(rows.mapInPandas(_index(books), schema("vec_id bigint, embedding array<double>, codes binary, length double")).withColumn("row", F.monotonically_increasing_id()), "codes")
     count = max(1, -(-index.count() // BLOCK))
-    index = index.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int"))
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    queries = written(queries.coalesce(max(1, shuffle_partitions(spark) // 16)).mapInPandas(_query_blocks(size), schema("ids binary, vectors binary")), "queries")
-    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    found = index.groupBy("block").cogroup(queries.groupBy("block")).applyInPandas(_search(books, k), schema("query_id bigint, vec_id bigint, score double"))
+    index = index.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(count)).cast("int")).drop("row")
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    queries = written(queries.coalesce(max(1, shuffle_partitions(spark) // 16)).mapInPandas(_query_blocks(size), schema("ids binary, vectors binary")).withColumn("row", F.monotonically_increasing_id()), "queries")
+    # a task has one block of rows and QUERY_GROUP blocks of queries at most
+    groups = max(1, -(-queries.count() // QUERY_GROUP))
+    queries = queries.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int")).drop("row")
+    index, queries = index.withColumn("part", _each(groups)), queries.withColumn("block", _each(count))
+    found = index.groupBy("block", "part").cogroup(queries.groupBy("block", "part")).applyInPandas(_search(books, k), schema("query_id bigint, vec_id bigint, score double"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -14,7 +14,7 @@ copies has a square.
 
 Result: vec_id, n_links, component_id, kept. Vectors that are null, zero or hold null or non-finite components: n_links 0,
 their own component, kept. A null vec_id: n_links 0, component null, kept. Repeated rows link with each other (equal
-vectors). Vectors of different lengths are compared only with their like. Ties at the threshold link. Empty table: no rows. Extra
+vectors); rows that share a vec_id count their own links and are of one component. Vectors of different lengths are compared only with their like. Ties at the threshold link. Empty table: no rows. Extra
 columns are ignored, whatever their names.
 """
 
@@ -202,9 +202,10 @@ def near_duplicates(embeddings: DataFrame, seed: int = 7) -> DataFrame:
     prepare(spark)
     every = vectors(embeddings).withColumn("same", F.when(F.col("ok"), F.sha2(F.concat_ws(",", F.col("embedding").cast("array<string>")), 256)))
     every = written(every, "vectors")
-    classes = every.where("ok").groupBy("same").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
-    reps = every.where("ok").join(classes, "same").where("vec_id = node").dropDuplicates(["same"]).select("vec_id", "embedding", "copies")
-    reps = written(reps, "classes")
+    classes = every.where("ok").groupBy("same").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.any_value("embedding").alias("embedding"))
+    # a class has a number of its own, since different vectors may share a vec_id
+    classes = written(classes.select(F.monotonically_increasing_id().alias("node"), "same", "least", "copies", "embedding"), "classes")
+    reps = classes.select(F.col("node").alias("vec_id"), "embedding", "copies")
     centroids = {}
     for r in reps.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n")).collect():  # one row a vector length
         k = max(1, min(MOST_CELLS, r["n"] // CELL_ROWS))
@@ -229,9 +230,13 @@ def near_duplicates(embeddings: DataFrame, seed: int = 7) -> DataFrame:
     found = rows.groupBy("size", "cell", "guests", "i", "j").applyInPandas(_compare(cells), schema("vec_id bigint, other bigint, n bigint"))
     found = written(found, "links")
     counts = found.groupBy(F.col("vec_id").alias("node")).agg(F.sum("n").alias("n"))
-    groups = components(found.where("other <> vec_id").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
+    rows = every.join(classes.select("same", "node"), "same", "left").select("vec_id", "node")
+    shared = rows.where("node is not null").groupBy("vec_id").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most")
+    shared = rows.join(shared, "vec_id").where("node > b").select(F.col("node").alias("a"), "b").distinct()
+    groups = components(found.where("other <> vec_id").select(F.col("vec_id").alias("a"), F.col("other").alias("b")).unionByName(shared))
     of = classes.join(counts, "node", "left").join(groups, "node", "left")
-    of = of.select("same", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "node").alias("component"))
-    out = every.select("vec_id", "same").join(of, "same", "left")
-    component = F.coalesce("component", "vec_id")
+    of = of.select("node", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "node").alias("component"))
+    smallest = of.groupBy("component").agg(F.min("least").alias("smallest"))
+    out = rows.join(of.join(smallest, "component").select("node", "links", "smallest"), "node", "left")
+    component = F.coalesce("smallest", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

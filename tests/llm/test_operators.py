@@ -430,6 +430,13 @@ def test_near_duplicate_vectors(spark, embeddings, monkeypatch):
     assert embdedup.near_duplicates(embeddings.limit(0)).count() == 0
 
 
+def test_links_of_a_repeated_vec_id(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(5, a), (5, b), (6, [1.0, 0.1, 0.0]), (7, [0.0, 1.0, 0.1]), (8, [0.1, 1.0, 0.0])]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in local(embdedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))))
+    assert got == [(5, 1, 5), (5, 2, 5), (6, 1, 5), (7, 2, 5), (8, 2, 5)]
+
+
 def test_links_of_a_large_cell():
     """Chains round the threshold whose links lie in different chunks of a task."""
     rng = np.random.default_rng(5)
@@ -486,6 +493,20 @@ def test_nearest(spark, embeddings):
     assert ann.nearest(embeddings.limit(0)).count() == 0
 
 
+def test_tasks_of_a_search_are_bounded(spark, monkeypatch):
+    """Row blocks and query groups of a few rows: nothing is lost, and a repeated query asks its least vector."""
+    monkeypatch.setattr(ann, "BLOCK", 60)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(ann, "QUERY_GROUP", 2)
+    x = RNG.standard_normal((400, 6)).round(3)
+    rows = [(i // 2, v.tolist()) for i, v in enumerate(x)]
+    got = local(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=4, k=3))
+    for q in range(0, 200, 4):
+        asked = np.array(min(v for i, v in rows if i == q))
+        truth = sorted((float(np.sqrt(((np.array(v) - asked) ** 2).sum())), i) for i, v in rows if i != q)[:3]
+        assert [(r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == truth
+
+
 def search_of_block(x, ids, q, k=10):
     books = ann.fit(x, books=4, words=32)
     codes, length = ann.encode(x, books)
