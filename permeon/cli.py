@@ -95,7 +95,7 @@ def glm(spark: SparkSession, a: argparse.Namespace) -> list[str]:
     if a.saveperms:
         sinks.save_permutations(out["permuted_stats"], a.output)
     if "tfce" in out:
-        out["tfce"].write.mode("overwrite").parquet(f"{a.output}_tfce")
+        sinks.save_parquet(out["tfce"], f"{a.output}_tfce", "overwrite")
     return out["files"]
 
 

@@ -1,13 +1,17 @@
 """Which rearrangements of samples are exchangeable: permutations, sign flips and variance groups.
 
-Two generators. 'numpy' draws on the driver (samples x permutations numbers, no feature data) and can be repeated with a seed.
-'hash' orders samples by md5 in a window, in Spark, so any SQL engine can reproduce it; see hash_permutations.
+Orders and Signs are sequences of which any task makes any element by itself, from the labels and a key: random numbers come from a
+counter-based generator (Philox) whose key is the seed and whose counter is the permutation's number. So nothing that travels grows
+with the number of permutations. HashOrders are orders by md5 instead, which any SQL engine can reproduce; hash_permutations makes the
+same ones in Spark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -82,27 +86,94 @@ def flags(within: bool | None, whole: bool | None) -> tuple[bool, bool]:
     return (not whole if within is None else bool(within)), whole
 
 
-def permutations(n: int, count: int, eb=None, within: bool | None = None, whole: bool | None = None, seed=None) -> Iterator[np.ndarray]:
+class Drawn(Sequence):
+    """`count` things, of which the p-th comes from random numbers of its own: key (seed, stream), counter p."""
+
+    def __init__(self, count: int, seed: int | None, stream: int) -> None:
+        self.count = count
+        self.key = np.array([(np.random.SeedSequence().entropy if seed is None else int(seed)) % (1 << 64), stream], np.uint64)
+
+    def __len__(self) -> int:
+        return self.count
+
+    def rng(self, p: int) -> np.random.Generator:
+        return np.random.Generator(np.random.Philox(key=self.key, counter=np.array([0, 0, 0, p], np.uint64)))
+
+    def __getitem__(self, p: int) -> np.ndarray:
+        if not 0 <= p < self.count:
+            raise IndexError(p)
+        return self.make(self.rng(int(p)))
+
+    def make(self, rng: np.random.Generator) -> np.ndarray:
+        raise NotImplementedError
+
+
+class Orders(Drawn):
     """Row orders, each a bijection of the samples that the labels allow."""
-    m, rng, every = block_matrix(eb, n), np.random.default_rng(seed), np.arange(n)
-    within, whole = flags(within, whole)
-    if m is not None and m.shape[1] > 1:
-        tree = nested(m, every)
-        yield from (tree.draw(rng) for _ in range(count))
-        return
-    blocks = [] if m is None else [np.flatnonzero(m[:, 0] == b) for b in np.unique(m[:, 0])]
-    if len(blocks) <= 1 or within == whole:
-        yield from (rng.permutation(every) for _ in range(count))
-    elif whole:
-        if len({len(b) for b in blocks}) > 1:
+
+    def __init__(self, n: int, count: int, eb=None, within: bool | None = None, whole: bool | None = None, seed=None, stream: int = 0) -> None:
+        super().__init__(count, seed, stream)
+        self.n, self.labels, (self.within, self.whole) = n, block_matrix(eb, n), flags(within, whole)
+        if self.whole and not self.within and len(self.blocks) > 1 and len({len(b) for b in self.blocks}) > 1:
             raise ValueError("whole-block shuffling requires all blocks to be the same size")
-        yield from (np.concatenate([blocks[i] for i in rng.permutation(len(blocks))]) for _ in range(count))
-    else:
-        for _ in range(count):
-            out = every.copy()
-            for b in blocks:
-                out[b] = rng.permutation(b)
-            yield out
+        _ = self.tree  # labels that can't be nested are told at once
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("tree", "blocks")}  # made again where they are needed
+
+    @cached_property
+    def tree(self) -> Node | None:
+        return nested(self.labels, np.arange(self.n)) if self.labels is not None and self.labels.shape[1] > 1 else None
+
+    @cached_property
+    def blocks(self) -> list[np.ndarray]:
+        one = self.labels is not None and self.labels.shape[1] == 1
+        return [np.flatnonzero(self.labels[:, 0] == b) for b in np.unique(self.labels[:, 0])] if one else []
+
+    def make(self, rng: np.random.Generator) -> np.ndarray:
+        if self.tree is not None:
+            return self.tree.draw(rng)
+        if len(self.blocks) <= 1 or self.within == self.whole:
+            return rng.permutation(self.n)
+        if self.whole:
+            return np.concatenate([self.blocks[i] for i in rng.permutation(len(self.blocks))])
+        out = np.arange(self.n)
+        for b in self.blocks:
+            out[b] = rng.permutation(b)
+        return out
+
+
+class HashOrders(Sequence):
+    """The orders that hash_permutations makes, for samples in ascending order of their ids. blocks: a label for each."""
+
+    def __init__(self, ids: np.ndarray, count: int, mode: str = "free", blocks: np.ndarray | None = None) -> None:
+        self.ids, self.count, self.mode, self.blocks = np.asarray(ids), count, mode, blocks
+
+    def __len__(self) -> int:
+        return self.count
+
+    def __getitem__(self, p: int) -> np.ndarray:
+        if not 0 <= p < self.count:
+            raise IndexError(p)
+        md5 = lambda *x: hashlib.md5(":".join(map(str, (p, *x))).encode()).digest()
+        ids, every = self.ids.tolist(), range(len(self.ids))
+        if self.mode == "free":
+            return np.array(sorted(every, key=lambda i: (md5(ids[i]), ids[i])), np.int64)
+        of = np.asarray(self.blocks).tolist()
+        place = sorted(every, key=lambda i: (of[i], ids[i]))
+        if self.mode == "within":
+            order = sorted(every, key=lambda i: (of[i], md5(ids[i]), ids[i]))
+        else:
+            moved = {b: md5("b", b) for b in set(of)}
+            order = sorted(every, key=lambda i: (moved[of[i]], of[i], md5(ids[i]) if self.mode == "both" else b"", ids[i]))
+        out = np.empty(len(ids), np.int64)
+        out[place] = order
+        return out
+
+
+def permutations(n: int, count: int, eb=None, within: bool | None = None, whole: bool | None = None, seed=None) -> Iterator[np.ndarray]:
+    """Orders, one after the other."""
+    yield from Orders(n, count, eb, within, whole, seed)
 
 
 def variance_groups(eb, within: bool | None = True, whole: bool | None = False) -> np.ndarray:
@@ -133,12 +204,20 @@ def variance_groups(eb, within: bool | None = True, whole: bool | None = False)
     return out
 
 
-def signs(n: int, count: int, groups: np.ndarray | None = None, seed=None) -> Iterator[np.ndarray]:
+class Signs(Drawn):
     """+1 or -1 for each sample; with groups, one sign a group."""
-    rng = np.random.default_rng(seed)
-    of = np.arange(n) if groups is None else np.unique(groups, return_inverse=True)[1]
-    for _ in range(count):
-        yield rng.choice([-1, 1], int(of.max(initial=-1)) + 1)[of]
+
+    def __init__(self, n: int, count: int, groups: np.ndarray | None = None, seed=None, stream: int = 0) -> None:
+        super().__init__(count, seed, stream)
+        self.of = np.arange(n) if groups is None else np.unique(groups, return_inverse=True)[1]
+
+    def make(self, rng: np.random.Generator) -> np.ndarray:
+        return rng.choice([-1, 1], int(self.of.max(initial=-1)) + 1)[self.of]
+
+
+def signs(n: int, count: int, groups: np.ndarray | None = None, seed=None) -> Iterator[np.ndarray]:
+    """Signs, one after the other."""
+    yield from Signs(n, count, groups, seed)
 
 
 # In Spark, by hash. Ties in md5 break by sample.

@@ -151,21 +151,45 @@ def select(stat: str | Statistic, f_contrast: bool, groups: bool, zstat: bool =
 class Permuted:
     """All permutations of a one-variance statistic on the partitioned model, one product a block of features.
 
-    orders: permutations x samples; flips: the same shape or None (applied before the order)."""
-
-    def __init__(self, name: str, of_interest: np.ndarray, nuisance: np.ndarray, orders: np.ndarray, flips: np.ndarray | None = None) -> None:
-        m = np.hstack((of_interest, nuisance))
-        self.name, self.p, self.q, self.k = name, pinv_gram(m), of_interest.shape[1], m.shape[1]
-        self.n, self.rank = len(m), int(np.linalg.matrix_rank(m))
-        self.residual = np.eye(self.n) - (nuisance @ np.linalg.pinv(nuisance) if nuisance.shape[1] else 0)
-        rows = np.arange(len(orders))[:, None]
-        w = np.empty((len(orders), self.n, self.k))
-        w[rows, orders] = m  # the row of M that the sample meets after it is moved
-        self.weights = (w if flips is None else w * flips[:, :, None]).transpose(0, 2, 1)
+    orders, flips: sequences of orders and of signs (applied before the order), or None. Their weights are made where they are used, and kept
+    for the next block if all together take HELD bytes at most."""
+
+    HELD = 64 << 20
+
+    def __init__(self, name: str, of_interest: np.ndarray, nuisance: np.ndarray, orders, flips=None) -> None:
+        self.m = np.hstack((of_interest, nuisance))
+        self.name, self.p, self.q, self.k = name, pinv_gram(self.m), of_interest.shape[1], self.m.shape[1]
+        self.n, self.rank = len(self.m), int(np.linalg.matrix_rank(self.m))
+        self.orders, self.flips = orders, flips
+        self.held: dict[tuple, np.ndarray] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"held": {}}
+
+    def weights(self, which: np.ndarray) -> np.ndarray:
+        """Permutations x regressors x samples: what each sample meets after it is moved."""
+        key = tuple(which.tolist())
+        if (found := self.held.get(key)) is not None:
+            return found
+        out = np.empty((len(which), self.k, self.n))
+        for w, p in zip(out, which.tolist()):
+            w[:, self.orders[p]] = self.m.T
+            if self.flips is not None:
+                w *= self.flips[p]
+        if len(self.orders) * self.k * self.n * 8 <= self.HELD:
+            self.held[key] = out
+        return out
+
+    def at_rest(self, y: np.ndarray) -> np.ndarray:
+        """Statistics of the data as they are, by the same arithmetic."""
+        return self.of(y, self.m.T[None])[0]
 
     def __call__(self, y: np.ndarray, which: slice | np.ndarray) -> np.ndarray:
         """Statistics (permutations x features) of some permutations. y: residuals of the nuisance model."""
-        weights = self.weights[which]
+        which = np.arange(len(self.orders))[which] if isinstance(which, slice) else np.asarray(which)
+        return self.of(y, self.weights(which))
+
+    def of(self, y: np.ndarray, weights: np.ndarray) -> np.ndarray:
         my = (weights.reshape(-1, self.n) @ y).reshape(len(weights), self.k, -1)
         b = np.einsum("ij,pjv->piv", self.p, my)
         rss = np.maximum((y * y).sum(0) - (b * my).sum(1), 0)

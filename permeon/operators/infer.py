@@ -16,15 +16,16 @@ from pyspark.sql import types as T
 from ..functions import special
 
 
-#: Statistics of the same data in another order differ by rounding (some 1e-12, relatively); within this share they tie.
-TIE = 1e-9
+#: Statistics of the same data in another order differ by rounding: within TIE of themselves, or NEAR_ZERO of the null's scale, they tie.
+TIE, NEAR_ZERO = 1e-9, 1e-12
 
 
-def tied(x: np.ndarray) -> np.ndarray:
-    """The least value that counts as reaching x."""
+def tied(x: np.ndarray, scale: np.ndarray | float = 0.0) -> np.ndarray:
+    """The least value that counts as reaching x. scale: the size of usual values (of the null), for x near 0."""
     x = np.asarray(x, float)
+    scale = np.where(np.isfinite(scale), scale, 0.0)
     with np.errstate(invalid="ignore"):
-        return np.where(np.isfinite(x), x - TIE * np.maximum(np.abs(x), 1.0), x)
+        return np.where(np.isfinite(x), x - np.maximum(TIE * np.abs(x), NEAR_ZERO * scale), x)
 
 
 def uncorrected(exceed: Column, permutations: int) -> Column:
@@ -67,7 +68,8 @@ def fwe(stats: DataFrame, null: dict[str, np.ndarray], two_tailed: dict[str, boo
 
 def empirical(x: np.ndarray, null: np.ndarray) -> np.ndarray:
     """(null values that reach x, plus 1) / (null values + 1). null is sorted; a NaN statistic is reached by none."""
-    reach = len(null) - np.searchsorted(null, tied(x), side="left")
+    scale = np.abs(null[np.isfinite(null)]).max(initial=0.0)
+    reach = len(null) - np.searchsorted(null, tied(x, scale), side="left")
     return (np.where(np.isnan(x), 0, reach) + 1) / (len(null) + 1)
 
 
@@ -157,12 +159,6 @@ def restored(p: Column, one_minus: bool = False, neg_log10: bool = False) -> Col
     return F.pow(F.lit(10.0), -p) if neg_log10 else 1 - p if one_minus else p
 
 
-def exceeds(permuted: Column, observed: Column, two_tailed: bool) -> Column:
-    """Does a permuted statistic reach the observed one? NaN reaches nothing."""
-    a, b = (F.abs(permuted), F.abs(observed)) if two_tailed else (permuted, observed)
-    return ~F.isnan(a) & ~F.isnan(b) & (a >= b - F.lit(TIE) * F.greatest(F.abs(b), F.lit(1.0)))
-
-
 def with_double(shape: T.StructType, name: str) -> T.StructType:
     """A copy of the schema with one more column."""
     return T.StructType([*shape.fields, T.StructField(name, T.DoubleType())])

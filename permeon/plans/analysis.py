@@ -1,18 +1,21 @@
 """Permutation analysis of a samples x features table, in one pass over the features.
 
-The driver plans: partitions of the model, row orders, sign flips (samples x permutations numbers). Features come as rows with their
-samples as an array; each Arrow batch is a block of features. A block returns its observed statistics and exceedance counts, and
-for every permutation its largest statistic; maxima meet in a grouped maximum of permutations x blocks rows. Nothing else is
-shuffled, and no feature data reach the driver.
+The driver plans: partitions of the model, and the keys from which any task makes any order and its signs by itself, so what travels is
+samples x regressors numbers however many permutations there are (as a broadcast; a row of features holds as many samples). Features
+come as rows with their samples as an array; each Arrow batch is a block of features. A block returns its observed statistics and
+exceedance counts, and for every permutation its largest statistic; maxima meet in a grouped maximum of permutations x blocks rows. Nothing
+else is shuffled, and no feature data reach the driver.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import design as algebra
@@ -36,21 +39,19 @@ class Task:
     statistic: glm.Statistic
     groups: np.ndarray | None
     two_tailed: bool
-    orders: np.ndarray
-    flips: np.ndarray | None
+    orders: object
+    flips: object
     permuted: glm.Permuted | None
-    unmoved: glm.Permuted | None
+
+    def fold(self, x: np.ndarray) -> np.ndarray:
+        return np.abs(x) if self.two_tailed else x
 
     def observed(self, y: np.ndarray) -> np.ndarray:
         return np.ravel(self.statistic(y, self.model, self.contrast, self.groups)[0])
 
-    def level(self, y: np.ndarray) -> np.ndarray:
-        """The least statistic that counts as reaching the observed one; by the same arithmetic as the null where there is one."""
-        if self.unmoved is None:
-            seen = self.observed(y)
-        else:
-            seen = self.unmoved(algebra.residualise(y, self.nuisance)[0], slice(0, 1))[0]
-        return infer.tied(np.abs(seen) if self.two_tailed else seen)
+    def at_rest(self, y: np.ndarray) -> np.ndarray:
+        """The observed statistics, by the same arithmetic as the null where there is one."""
+        return self.observed(y) if self.permuted is None else self.permuted.at_rest(algebra.residualise(y, self.nuisance)[0])
 
     def null(self, y: np.ndarray, only: np.ndarray | None = None):
         """(permutation numbers, statistics) by chunks; only: of these permutations."""
@@ -67,6 +68,19 @@ class Task:
                 rows.append(self.observed(e[self.orders[i]] + fitted))
             yield which, np.stack(rows)
 
+    def counted(self, y: np.ndarray, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Exceedances of each feature, and the largest statistic of each permutation."""
+        seen, level, maxima = self.fold(self.at_rest(y)), None, []
+        count = np.zeros(len(seen), np.int64)
+        for _, values in self.null(y, only):
+            values = self.fold(values)
+            bare = np.where(np.isnan(values), -np.inf, values)
+            if level is None:
+                level = infer.tied(seen, np.where(np.isfinite(bare), np.abs(bare), 0).max(0))
+            count += (bare >= level).sum(0)
+            maxima.append(bare.max(1))
+        return count, np.concatenate(maxima) if maxima else np.empty(0)
+
 
 def plan(spec: AnalysisSpec) -> list[Task]:
     x, rows, groups = spec.design, spec.labels(), spec.groups()
@@ -79,53 +93,79 @@ def plan(spec: AnalysisSpec) -> list[Task]:
         of_interest, nuisance, effective = algebra.partition(x, c)
         is_f = label == "f"
         statistic, _ = glm.select(spec.f_stat if is_f else spec.stat, is_f, groups is not None, spec.zstat)
-        seed = None if spec.seed is None else spec.seed + i
         n = len(x)
-        orders = spec.orders if spec.orders is not None else np.stack(list(exchange.permutations(n, spec.permutations, spec.exchangeability, spec.within, spec.whole, seed)))
+        orders = spec.orders if spec.orders is not None else exchange.Orders(n, spec.permutations, spec.exchangeability, spec.within, spec.whole, spec.seed, stream=2 * i)
         flips = None
         if spec.flip_signs:
             by = np.abs(spec.exchangeability if np.ndim(spec.exchangeability) == 1 else spec.exchangeability[:, 0]) if spec.whole and spec.exchangeability is not None else None
-            flips = np.stack(list(exchange.signs(n, len(orders), by, None if seed is None else seed + 1)))
+            flips = exchange.Signs(n, len(orders), by, spec.seed, stream=2 * i + 1)
         name = {glm.t: "t", glm.f: "f", glm.pearson_r: "pearson_r", glm.r_squared: "r_squared"}.get(statistic)
         permuted = glm.Permuted(name, of_interest, nuisance, orders, flips) if name else None
-        unmoved = glm.Permuted(name, of_interest, nuisance, np.arange(n)[None]) if name else None
-        out.append(Task(label, np.hstack((of_interest, nuisance)), effective, nuisance, statistic, groups, spec.two_tailed and not is_f, orders, flips, permuted, unmoved))
+        out.append(Task(label, np.hstack((of_interest, nuisance)), effective, nuisance, statistic, groups, spec.two_tailed and not is_f, orders, flips, permuted))
     return out
 
 
-def prepared(spec: AnalysisSpec, y: np.ndarray) -> np.ndarray:
-    return y - y.mean(0) if spec.demean else y
+def prepared(demean: bool, y) -> np.ndarray:
+    """Samples x features of an Arrow batch's column of arrays."""
+    y = np.stack(y.to_numpy()).T.astype(np.float64)
+    return y - y.mean(0) if demean else y
+
+
+class Shared:
+    """Something for all tasks, functions of the caller's included, so that closures hold no more than a reference."""
+
+    loaded: dict[int, object] = {}
+
+    def __init__(self, spark: SparkSession, value: object) -> None:
+        self.pickled = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self.number = uuid.uuid4().int
+
+    @property
+    def value(self):
+        """Unpickled once a worker; the last few are kept."""
+        if self.number not in self.loaded:
+            while len(self.loaded) >= 4:
+                self.loaded.pop(next(iter(self.loaded)))
+            self.loaded[self.number] = cloudpickle.loads(self.pickled.value)
+        return self.loaded[self.number]
+
+
+def shared(spark: SparkSession, tasks: list[Task], spec: AnalysisSpec) -> Shared:
+    return Shared(spark, (tasks, spec.demean))
+
 
+def block_partials(held: Shared, only: tuple[int, ...] | range | None = None):
+    """Exceedances and maxima of a block; only: of these permutations."""
 
-def block_partials(tasks: list[Task], spec: AnalysisSpec):
     def run(frames):
+        tasks, demean = held.value
         for f in frames:
             if not len(f):
                 continue
-            y = prepared(spec, np.stack(f["y"].to_numpy()).T.astype(np.float64))
-            ids = f["feature_id"].to_numpy()
+            y, ids = prepared(demean, f["y"]), f["feature_id"].to_numpy()
             for task in tasks:
-                seen = task.observed(y)
-                fold = np.abs if task.two_tailed else (lambda v: v)
-                level, count, maxima = task.level(y), np.zeros(len(ids), np.int64), []
-                for _, values in task.null(y):
-                    values = fold(values)
-                    with np.errstate(invalid="ignore"):
-                        count += (values >= level).sum(0)
-                    maxima.append(np.nanmax(np.where(np.isnan(values), -np.inf, values), axis=1))
-                yield pd.DataFrame({"kind": "feature", "contrast": task.label, "id": ids, "stat": seen, "exceed": count})
-                yield pd.DataFrame({"kind": "max", "contrast": task.label, "id": np.arange(len(task.orders)), "stat": np.concatenate(maxima), "exceed": 0})
+                which = np.arange(len(task.orders)) if only is None else np.array(only, np.int64)
+                count, maxima = task.counted(y, which)
+                yield pd.DataFrame({"kind": "feature", "contrast": task.label, "id": ids, "stat": task.observed(y), "exceed": count})
+                yield pd.DataFrame({"kind": "max", "contrast": task.label, "id": which, "stat": maxima, "exceed": 0})
 
     return run
 
 
 @dataclass
 class Result:
-    """features: contrast, feature_id, stat, exceed, uncp, fdrp, fwep[, cfdrp, cfwep]. maxima: contrast, perm_id, max_stat."""
+    """features: contrast, feature_id, stat, exceed, uncp, fdrp, fwep[, cfdrp, cfwep]. maxima: contrast, perm_id, max_stat. tfce: is this
+    of enhanced maps. release() gives up what the executors keep for it."""
 
     features: DataFrame
     maxima: DataFrame
     tags: dict[str, str]
+    tfce: bool = False
+    kept: DataFrame | None = None
+
+    def release(self) -> None:
+        if self.kept is not None:
+            self.kept.unpersist()
 
     def measures(self) -> DataFrame:
         """Long form: contrast, measure, feature_id, value."""
@@ -160,18 +200,15 @@ def freedman_lane(features: DataFrame, nuisance: np.ndarray, perms: DataFrame) -
     return models.crossJoin(F.broadcast(orders)).select("perm_id", "feature_id", "pos", F.zip_with(moved, "fitted", lambda e, fit: e + fit).alias("y"))
 
 
-def permutation_analysis(features: DataFrame, spec: AnalysisSpec) -> Result:
-    """features: (feature_id, y array in the order of the design's rows)."""
-    tasks = plan(spec)
-    if not tasks:
-        raise ValueError("no contrast is left")
-    count = len(tasks[0].orders)
-    partials = features.select("feature_id", "y").mapInPandas(block_partials(tasks, spec), PARTIALS).persist()
-    two_tailed = {t.label: t.two_tailed for t in tasks}
-    maxima = partials.where("kind = 'max'").groupBy("contrast", F.col("id").alias("perm_id")).agg(F.max("stat").alias("max_stat"))
+def maxima_of(partials: DataFrame) -> DataFrame:
+    """contrast, perm_id, max_stat."""
+    return partials.where("kind = 'max'").groupBy("contrast", F.col("id").alias("perm_id")).agg(F.max("stat").alias("max_stat"))
+
+
+def corrected(counts: DataFrame, maxima: DataFrame, two_tailed: dict[str, bool], spec: AnalysisSpec, count: int) -> DataFrame:
+    """counts (contrast, feature_id, stat, exceed) with its p-values."""
     null = infer.sorted_maxima(maxima)
-    out = partials.where("kind = 'feature'").select("contrast", F.col("id").alias("feature_id"), "stat", "exceed")
-    out = infer.fdr(out, count, ["contrast"]).withColumn("uncp", infer.uncorrected(F.col("exceed"), count))
+    out = infer.fdr(counts, count, ["contrast"]).withColumn("uncp", infer.uncorrected(F.col("exceed"), count))
     tail = spec.accel_method if spec.accel_tail else None
     out = infer.fwe(out, null, two_tailed, tail, seed=spec.seed or 0)
     names = ["uncp", "fdrp", "fwep"]
@@ -182,43 +219,82 @@ def permutation_analysis(features: DataFrame, spec: AnalysisSpec) -> Result:
         out = infer.fwe(out, dict.fromkeys(two_tailed, every), two_tailed, tail, alias="cfwep", seed=spec.seed or 0)
         names += ["cfdrp", "cfwep"]
     p = [infer.transformed(F.col(c), spec.one_minus_p, spec.neg_log10_p).alias(c) for c in names]
+    return out.select("contrast", "feature_id", "stat", "exceed", *p)
+
+
+def tags_of(tasks: list[Task], spec: AnalysisSpec) -> dict[str, str]:
     groups = spec.groups() is not None
-    tags = {t.label: glm.select(spec.f_stat if t.label == "f" else spec.stat, t.label == "f", groups, spec.zstat)[1] for t in tasks}
-    return Result(out.select("contrast", "feature_id", "stat", "exceed", *p), maxima, tags)
+    return {t.label: glm.select(spec.f_stat if t.label == "f" else spec.stat, t.label == "f", groups, spec.zstat)[1] for t in tasks}
+
+
+def contrasts(spec: AnalysisSpec) -> list[Task]:
+    tasks = plan(spec)
+    if not tasks:
+        raise ValueError("no contrast is left")
+    return tasks
+
+
+def permutation_analysis(features: DataFrame, spec: AnalysisSpec) -> Result:
+    """features: (feature_id, y array in the order of the design's rows)."""
+    tasks = contrasts(spec)
+    partials = features.select("feature_id", "y").mapInPandas(block_partials(shared(features.sparkSession, tasks, spec)), PARTIALS).persist()
+    counts = partials.where("kind = 'feature'").select("contrast", F.col("id").alias("feature_id"), "stat", "exceed")
+    maxima = maxima_of(partials)
+    out = corrected(counts, maxima, {t.label: t.two_tailed for t in tasks}, spec, len(tasks[0].orders))
+    return Result(out, maxima, tags_of(tasks, spec), kept=partials)
 
 
 def observed_statistics(features: DataFrame, spec: AnalysisSpec) -> DataFrame:
     """contrast, feature_id, stat of the data as they are: a map over the features."""
-    tasks = plan(replace(spec, permutations=1, orders=None))
+    held = shared(features.sparkSession, plan(replace(spec, permutations=1, orders=None)), spec)
 
     def run(frames):
+        tasks, demean = held.value
         for f in frames:
             if len(f):
-                y = prepared(spec, np.stack(f["y"].to_numpy()).T.astype(np.float64))
+                y = prepared(demean, f["y"])
                 for task in tasks:
                     yield pd.DataFrame({"contrast": task.label, "feature_id": f["feature_id"], "stat": task.observed(y)})
 
     return features.select("feature_id", "y").mapInPandas(run, "contrast string, feature_id bigint, stat double")
 
 
-def permuted_statistics(features: DataFrame, spec: AnalysisSpec) -> DataFrame:
-    """contrast, perm_id, feature_id, stat: the whole cube, for those who ask for it."""
-    tasks = plan(spec)
+def permuted_blocks(features: DataFrame, spec: AnalysisSpec, rest: bool = False, only: range | None = None) -> DataFrame:
+    """contrast, perm_id, feature_ids, stats: the whole cube, a row for each block of features and permutation. rest: and the statistics of
+    the data as they are, as permutation -1. only: of these permutations."""
+    held = shared(features.sparkSession, plan(spec), spec)
 
     def run(frames):
+        tasks, demean = held.value
         for f in frames:
             if not len(f):
                 continue
-            y, ids = prepared(spec, np.stack(f["y"].to_numpy()).T.astype(np.float64)), f["feature_id"].to_numpy()
+            y, ids = prepared(demean, f["y"]), f["feature_id"].to_numpy()
             for task in tasks:
-                for which, values in task.null(y):
-                    perm = np.repeat(which, len(ids))
-                    yield pd.DataFrame({"contrast": task.label, "perm_id": perm, "feature_id": np.tile(ids, len(values)), "stat": values.ravel()})
+                if rest:
+                    yield pd.DataFrame({"contrast": task.label, "perm_id": [-1], "feature_ids": [ids], "stats": [task.at_rest(y)]})
+                for which, values in task.null(y, None if only is None else np.array(only, np.int64)):
+                    yield pd.DataFrame({"contrast": task.label, "perm_id": which, "feature_ids": [ids] * len(which), "stats": list(values)})
+
+    return features.select("feature_id", "y").mapInPandas(run, "contrast string, perm_id int, feature_ids array<bigint>, stats array<double>")
+
+
+def permuted_statistics(features: DataFrame, spec: AnalysisSpec) -> DataFrame:
+    """contrast, perm_id, feature_id, stat: the whole cube in rows, for those who ask for it."""
+    rows = permuted_blocks(features, spec).select("contrast", "perm_id", F.explode(F.arrays_zip("feature_ids", "stats")).alias("s"))
+    return rows.select("contrast", "perm_id", F.col("s.feature_ids").alias("feature_id"), F.col("s.stats").alias("stat"))
 
-    return features.select("feature_id", "y").mapInPandas(run, "contrast string, perm_id int, feature_id bigint, stat double")
 
+def permuted_indices(spark: SparkSession, spec: AnalysisSpec) -> DataFrame:
+    """contrast, perm_id, pos, src: the very orders that the analysis uses, each made in a task."""
+    tasks = plan(spec)
+    held = shared(spark, tasks, spec)
+
+    def run(frames):
+        for f in frames:
+            for p in f["id"].tolist():
+                for task in held.value[0]:
+                    order = task.orders[p]
+                    yield pd.DataFrame({"contrast": task.label, "perm_id": p, "pos": np.arange(len(order)), "src": order})
 
-def permuted_indices(spark, spec: AnalysisSpec) -> DataFrame:
-    """contrast, perm_id, pos, src: the very orders that the analysis uses."""
-    rows = [(t.label, p, pos, int(src)) for t in plan(spec) for p, order in enumerate(t.orders) for pos, src in enumerate(order)]
-    return spark.createDataFrame(rows, "contrast string, perm_id int, pos int, src int")
+    return spark.range(len(tasks[0].orders) if tasks else 0).mapInPandas(run, "contrast string, perm_id int, pos int, src int")

@@ -13,6 +13,7 @@ from ..operators import similarity, tfce
 from ..sources import loaders, sinks
 from ..spec import AnalysisSpec
 from . import analysis
+from .ranges import resumable_analysis
 
 
 def plain(value: object) -> object:
@@ -62,27 +63,33 @@ class Dataset:
         m = (m[:, None] if self.mask is not None else m[None, :]) if m.ndim == 1 else m
         return spark.createDataFrame([(i, [float(v) for v in col]) for i, col in enumerate(m.T)], "feature_id long, y array<double>")
 
-    def run(self, spark: SparkSession, save_fn=None, permute_fn=None) -> dict[str, object]:
-        """Result, and with the settings that ask for it the cube ('permuted_stats') and TFCE maps ('tfce'). save_fn(result) and
-        permute_fn(cube) are called with DataFrames, before anything is written."""
+    def run(self, spark: SparkSession, save_fn=None, permute_fn=None, folder: str | None = None, ranges: int = 10) -> dict[str, object]:
+        """Result, and with the settings that ask for it the cube ('permuted_stats') and the Result of TFCE maps ('tfce').
+
+        folder: work in ranges of permutations there, and go on where an earlier run stopped; save_fn(p-values so far) and permute_fn(the
+        range's permuted statistics) are then called after each range. Without one both are called once, with the result and the cube."""
         spec, features = self.spec(spark), self.features(spark)
-        result = analysis.permutation_analysis(features, spec)
-        out: dict[str, object] = {"result": result}
-        if spec.return_permutations or spec.tfce or permute_fn:
-            out["permuted_stats"] = analysis.permuted_statistics(features, spec)
+        out: dict[str, object] = {}
+        if folder:
+            result = resumable_analysis(features, spec, folder, ranges, save_fn, permute_fn)
+        else:
+            result = analysis.permutation_analysis(features, spec)
             if permute_fn:
-                permute_fn(out["permuted_stats"])
+                permute_fn(analysis.permuted_blocks(features, spec))
+            if save_fn:
+                save_fn(result)
+        out["result"] = result
+        if spec.return_permutations:
+            out["permuted_stats"] = analysis.permuted_statistics(features, spec)
         volume = self.volume(spark)
         if spec.tfce:
             if volume is None:
                 raise ValueError("TFCE needs a mask")
-            tails = {t.label: t.two_tailed for t in analysis.plan(spec)}
-            seen = result.features.select("contrast", "feature_id", "stat")
-            out["tfce"] = tfce.tfce_inference(out["permuted_stats"], seen, loaders.lattice_of(spark, volume), tails, spec.permutations)
-        if save_fn:
-            save_fn(result)
+            out["tfce"] = tfce.tfce_analysis(features, spec, loaders.lattice_of(spark, volume))
         if self.output_prefix:
             out["files"] = sinks.export(spark, result, self.output_prefix, volume)
+            if spec.tfce:
+                out["files"] += sinks.export(spark, out["tfce"], self.output_prefix, volume)
         return out
 
     def permuted_indices(self, spark: SparkSession) -> DataFrame:

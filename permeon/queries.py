@@ -65,13 +65,13 @@ def design(spark, sf, columns=("x0", "x1")) -> np.ndarray:
     return rows.to_numpy(float)
 
 
-def orders(spark, sf, mode="free", block=None, count=P) -> np.ndarray:
-    """md5 orders as the planner takes them: permutations x samples, positions of samples."""
-    s = samples(spark, sf).select("sample_id", *([F.col(block).alias("block")] if block else []))
-    drawn = exchange.hash_permutations(s, count, mode).toPandas()
-    ids = np.sort(drawn["pos"].unique())
-    drawn = drawn.sort_values(["perm_id", "pos"])
-    return np.searchsorted(ids, drawn["src"].to_numpy()).reshape(count, -1)
+def sample_ids(spark, sf) -> np.ndarray:
+    return np.array([r[0] for r in samples(spark, sf).select("sample_id").orderBy("sample_id").collect()])
+
+
+def orders(spark, sf, count=P) -> exchange.HashOrders:
+    """md5 orders as the planner takes them; each task makes those it needs."""
+    return exchange.HashOrders(sample_ids(spark, sf), count)
 
 
 def spec(spark, sf, contrast, columns=("x0", "x1"), **more) -> AnalysisSpec:
@@ -539,18 +539,33 @@ def tfce_1d(spark, sf):
     return tfce.enhance_1d(seen_map(spark, sf)).select("feature_id", r6(F.col("tfce"), 5).alias("tfce"))
 
 
-@query()
+# components of each level set by reachability: pairs of voxels that a path inside the set joins
+def tfce_sql(maps: str, key: str) -> str:
+    return f"""near as (select a.feature_id as a, b.feature_id as b from lattice a join lattice b on abs(a.i - b.i) + abs(a.j - b.j) + abs(a.k - b.k) = 1),
+tops as (select {key}, max(abs(t)) / 100 as dh from {maps} group by {key}),
+sides as (select {key}, feature_id, dh, s, s * t as x from {maps} join tops using ({key}), (values (1), (-1)) v(s) where s * t > 0),
+levels as (select {key}, feature_id, dh, s, unnest(range(1, floor(x / dh + 1e-9)::bigint + 1)) as k from sides),
+reach as (select {key}, s, k, feature_id as a, feature_id as b from levels union select {key}, s, k, r.a, n.b from reach r join near n on n.a = r.b join levels l using ({key}, s, k) where l.feature_id = n.b),
+extents as (select {key}, s, k, a as feature_id, count(*) as e from reach group by all),
+enhanced as (select m.{key}, m.feature_id, coalesce(sum(s * sqrt(e) * (k * dh) ** 2 * dh), 0) as t from {maps} m left join (select * from extents join tops using ({key})) using ({key}, feature_id) group by m.{key}, m.feature_id)"""
+
+
+@query(f"with recursive {FULL.removeprefix('with ')}, {LATTICE}, maps as (select 0 as map_id, feature_id, t from seen), {tfce_sql('maps', 'map_id')} select feature_id, round(t, 5) + 0.0 as tfce from enhanced")
 def tfce_3d(spark, sf):
     return tfce.enhance_maps(seen_map(spark, sf), lattice(spark, sf), by=("map_id",)).select("feature_id", r6(F.col("tfce"), 5).alias("tfce"))
 
 
-@query()
+TFCE = f"""with recursive {FULL.removeprefix('with ')}, {LATTICE}, maps as (select -1 as perm_id, feature_id, t from seen union all select perm_id, feature_id, t from cube), {tfce_sql('maps', 'perm_id')},
+e_counts as (select s.feature_id, s.t, count(*) filter (abs(c.t) >= abs(s.t) * (1 - 1e-9)) as exceed from enhanced c join enhanced s using (feature_id) where c.perm_id >= 0 and s.perm_id < 0 group by all),
+e_max as (select perm_id, max(abs(t)) as m from enhanced where perm_id >= 0 group by perm_id),
+e_ranked as (select *, row_number() over (order by exceed, feature_id) as rk, count(*) over () as m from e_counts),
+e_fdr as (select *, least(1.0, min(case when exceed = 0 then 0 else (exceed + 1) / {P + 1.0} end * m / rk) over (order by rk desc rows between unbounded preceding and current row)) as fdrp from e_ranked)"""
+
+
+@query(f"{TFCE} select feature_id, round(t, 5) + 0.0 as tfce_stat, round((exceed + 1) / {P + 1.0}, 6) as tfce_uncp, round(fdrp, 6) as tfce_fdrp, round(((select count(*) from e_max where m >= abs(t) * (1 - 1e-9)) + 1) / {P + 1.0}, 6) as tfce_fwep from e_fdr")
 def tfce_fwe(spark, sf):
-    s = spec(spark, sf, [0, 1])
-    cube = analysis.permuted_statistics(features(spark, sf), s)
-    seen = stat_query(spark, sf, glm.t, [0, 1], places=12).select(F.lit("c1").alias("contrast"), "feature_id", "stat")
-    out = tfce.tfce_inference(cube, seen, lattice(spark, sf), {"c1": True}, P)
-    return out.select("feature_id", *(F.round(c, 6).alias(c) for c in ("tfce_stat", "tfce_uncp", "tfce_fdrp", "tfce_fwep")))
+    out = tfce.tfce_analysis(features(spark, sf), spec(spark, sf, [0, 1]), lattice(spark, sf)).features
+    return out.select("feature_id", r6(F.col("stat"), 5).alias("tfce_stat"), *(F.round(c, 6).alias(f"tfce_{c}") for c in ("uncp", "fdrp", "fwep")))
 
 
 # Similarity: maps of group differences among vectors of even and of odd vec_id, and label means as references
@@ -567,11 +582,9 @@ def halves(spark, sf):
     out, e = {}, samples(spark, sf)
     for name, parity in (("even", 0), ("odd", 1)):
         own = e.where(F.col("sample_id") % 2 == parity)
-        drawn = exchange.hash_permutations(own.select("sample_id"), P).toPandas().sort_values(["perm_id", "pos"])
-        ids = np.sort(drawn["pos"].unique())
-        o = np.searchsorted(ids, drawn["src"].to_numpy()).reshape(P, -1)
+        ids = np.array([r[0] for r in own.select("sample_id").orderBy("sample_id").collect()])
         x = own.orderBy("sample_id").select("x0", "x1").toPandas().to_numpy(float)
-        out[name] = analysis.to_features(obs(spark, sf).where(F.col("sample_id") % 2 == parity)), AnalysisSpec(x, np.array([0.0, 1.0]), permutations=P, orders=o)
+        out[name] = analysis.to_features(obs(spark, sf).where(F.col("sample_id") % 2 == parity)), AnalysisSpec(x, np.array([0.0, 1.0]), permutations=P, orders=exchange.HashOrders(ids, P))
     return out
 
 
@@ -598,7 +611,7 @@ def sim_perm_p(spark, sf):
 def dots(spark, sf, refs):
     maps = None
     for name, (f, s) in halves(spark, sf).items():
-        own = analysis.permutation_analysis(f, s).features.select(F.lit(name).alias("ds"), "feature_id", F.col("stat").alias("value"))
+        own = analysis.observed_statistics(f, s).select(F.lit(name).alias("ds"), "feature_id", F.col("stat").alias("value"))
         maps = own if maps is None else maps.unionByName(own)
     return similarity.pairs(maps, refs, compare=lambda a, b: float(a @ b)).select("a", "b", r6(F.col("r"), 5).alias("r"))
 

@@ -55,7 +55,7 @@ def export(spark: SparkSession, result: Result, prefix: str, mask: Volume | None
     contrasts = sum(label != "f" for label in result.tags)
     long = result.measures()
     for label, measure in sorted({(r["contrast"], r["measure"]) for r in long.select("contrast", "measure").distinct().collect()}):
-        name = key_name(measure, label, result.tags[label], contrasts, image=mask is not None)
+        name = key_name(measure, label, result.tags[label], contrasts, image=mask is not None and not result.tfce)
         if name in done:
             continue
         rows = long.where((F.col("contrast") == label) & (F.col("measure") == measure)).orderBy("feature_id").toPandas()

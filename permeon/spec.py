@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
-from dataclasses import asdict, dataclass, field, fields
+from collections.abc import Callable, Sequence
+from dataclasses import asdict, dataclass, field, fields, replace
 
 import numpy as np
 
@@ -15,7 +15,7 @@ ARRAYS = ("design", "contrast", "f_contrast", "exchangeability", "variance_group
 class AnalysisSpec:
     """design: samples x regressors. contrast: rows. f_contrast: which rows form the F-contrast, as a boolean mask or a list of
     indices. stat and f_stat: 'auto', 'pearson' or f(Y, M, C, groups) -> (statistic, df1, df2). orders: given row orders
-    (permutations x samples) instead of drawn ones, the same for every contrast."""
+    (permutations x samples, or a sequence such as exchange.HashOrders) instead of drawn ones, the same for every contrast."""
 
     design: np.ndarray
     contrast: np.ndarray
@@ -41,7 +41,7 @@ class AnalysisSpec:
     neg_log10_p: bool = False
     tfce: bool = False
     return_permutations: bool = False
-    orders: np.ndarray | None = field(default=None, repr=False)
+    orders: Sequence | np.ndarray | None = field(default=None, repr=False)
 
     def __post_init__(self) -> None:
         from .design import contrast_rows
@@ -88,7 +88,8 @@ class AnalysisSpec:
         return None if found is None or len(np.unique(found)) < 2 else np.asarray(found)
 
     def to_json(self) -> str:
-        out = {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in asdict(self).items()}
+        given = None if self.orders is None else [np.asarray(o).tolist() for o in self.orders]
+        out = {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in asdict(replace(self, orders=None)).items()} | {"orders": given}
         named = [k for k in ("stat", "f_stat") if callable(out[k])]
         if named:
             raise ValueError(f"functions have no JSON form: {named}")

@@ -1,62 +1,52 @@
 """P-values while permutations arrive: a stream of permutation numbers, counted by feature.
 
-The reference set of permutations is a stream; each micro-batch turns its numbers into statistics by broadcast row orders, and a
-grouped count in complete mode gives interim p-values that only get finer.
+Each micro-batch makes its orders in the tasks, from their numbers, and writes its partial result under the batch's number; a batch that
+runs again after a failure writes the same place, and a number that came in an earlier batch counts once. Features are mapped, not
+joined; nothing is kept in memory between batches, so a query that restarts from its checkpoint goes on where it stopped.
 """
 
 from __future__ import annotations
 
-import uuid
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
-from ..plans.analysis import plan, prepared
+from ..plans import analysis
+from ..plans.ranges import Partials
+from ..shared import scratch_path
 from ..sources.sinks import put
 from ..spec import AnalysisSpec
 
 
-def permutation_stream(spark: SparkSession, folder: str) -> DataFrame:
+def permutation_stream(spark: SparkSession, folder: str, files_a_batch: int | None = None) -> DataFrame:
     """perm_id, from JSON files that are put into a folder."""
-    return spark.readStream.schema("perm_id int").json(folder)
+    reader = spark.readStream.schema("perm_id int")
+    return (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).json(folder)
 
 
-def interim(stream: DataFrame, features: DataFrame, spec: AnalysisSpec) -> DataFrame:
-    """contrast, feature_id, done, exceed, uncp of the permutations so far. Features are a static side: they are joined to each
-    micro-batch's permutation numbers by blocks."""
-    tasks = plan(spec)
+def counting(stream: DataFrame, features: DataFrame, spec: AnalysisSpec, folder: str) -> tuple[DataStreamWriter, Partials]:
+    """The query, to be started, and where its partial results are; p_values() of these are the interim ones."""
+    spark = features.sparkSession
+    tasks = analysis.contrasts(spec)
+    held, store = analysis.shared(spark, tasks, spec), Partials(spark, f"{folder}/partials", spec)
 
-    def run(frames):
-        for f in frames:
-            for perms, g in f.groupby(f["perms"].map(tuple)):
-                y, ids, perms = prepared(spec, np.stack(g["y"].to_numpy()).T.astype(float)), g["feature_id"].to_numpy(), list(perms)
-                for task in tasks:
-                    fold = np.abs if task.two_tailed else (lambda v: v)
-                    level, count = task.level(y), np.zeros(len(ids), np.int64)
-                    for _, values in task.null(y, np.array(perms)):
-                        count += (fold(values) >= level).sum(0)
-                    yield pd.DataFrame({"contrast": task.label, "feature_id": ids, "n": len(perms), "hits": count})
+    def batch(numbers: DataFrame, number: int) -> None:
+        name = f"batch-{number:09d}"
+        asked = {r[0] for r in numbers.select("perm_id").distinct().collect() if r[0] is not None and 0 <= r[0] < len(tasks[0].orders)}
+        new = sorted(asked.difference(store.permutations(but=name)))
+        if new:
+            store.put(name, features.select("feature_id", "y").mapInPandas(analysis.block_partials(held, tuple(new)), analysis.PARTIALS))
 
-    numbers = stream.withColumn("perms", F.array("perm_id"))
-    partial = numbers.crossJoin(features).select("perms", "feature_id", "y").mapInPandas(run, "contrast string, feature_id long, n long, hits long")
-    total = partial.groupBy("contrast", "feature_id").agg(F.sum("n").alias("done"), F.sum("hits").alias("exceed"))
-    return total.withColumn("uncp", (F.col("exceed") + 1) / (F.col("done") + 1.0))
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint"), store
 
 
 def online_p(spark: SparkSession, features: DataFrame, spec: AnalysisSpec, batches: int = 2) -> DataFrame:
     """The end state after all permutations have streamed through, in a few micro-batches."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/permeon-checkpoints"
-    folder = f"{shared}/permeon-stream-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "stream")
     count = len(spec.orders) if spec.orders is not None else spec.permutations
     for b in range(batches):
-        put(spark, f"{folder}/{b}.json", "".join(f'{{"perm_id": {p}}}\n' for p in range(b, count, batches)).encode())
-    name = f"online_{uuid.uuid4().hex}"
-    stream = spark.readStream.schema("perm_id int").option("maxFilesPerTrigger", 1).json(folder)
-    running = interim(stream, features, spec).writeStream.outputMode("complete").format("memory").queryName(name).start()
-    try:
-        running.processAllAvailable()
-    finally:
-        running.stop()
-    return spark.table(name).select("contrast", "feature_id", "done", "exceed", F.round("uncp", 6).alias("uncp"))
+        put(spark, f"{folder}/in/{b}.json", "".join(f'{{"perm_id": {p}}}\n' for p in range(b, count, batches)).encode())
+    writer, store = counting(permutation_stream(spark, f"{folder}/in", 1), features, spec, folder)
+    running = writer.trigger(availableNow=True).start()
+    running.awaitTermination()
+    return store.p_values().withColumn("uncp", F.round("uncp", 6))
