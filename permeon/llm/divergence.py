@@ -33,7 +33,7 @@ from ._session import parts_for, prepare, schema, written
 
 LEAST, TOP, SCALE_STEPS = 10, 10, 3
 #: Leaves of a task's tries, and counters that wait to be added up.
-LEAVES, WAITING = 200_000, 2_000_000
+LEAVES, WAITING = 250_000, 2_000_000
 #: Leaves in a range, about.
 RANGE_LEAVES = 100_000
 #: Pairs looked at together.
@@ -46,34 +46,44 @@ def terms(text: str) -> list[bytes]:
     return text.encode().translate(LETTER).split()
 
 
+#: Bytes that the edges at the root take together.
+HEAD = 3
+
+
 class Trie:
-    """A radix trie over byte strings. An edge: its label, the number of the leaf at its end (-1: none), the edges below."""
+    """A radix trie over byte strings. An edge: its label, the number of the leaf at its end (-1: none), the edges below by their first
+    byte. The edges at the root have HEAD bytes, or are a whole shorter term."""
 
     def __init__(self) -> None:
-        self.edges: dict[int, list] = {}
+        self.edges: dict[bytes, list] = {}
         self.size = 0
 
     def leaf(self, term: bytes) -> int:
         """The number of the term's leaf, a new one if there is none."""
-        edges, at = self.edges, 0
-        while True:
-            edge = edges.get(term[at])
+        head = term[:HEAD]
+        edge = self.edges.get(head)
+        if edge is None:
+            self.edges[head] = edge = [head, -1, None]
+        at, end = len(head), len(term)
+        while at < end:
+            if edge[2] is None:
+                edge[2] = {}
+            edges, first = edge[2], term[at]
+            edge = edges.get(first)
             if edge is None:
-                edges[term[at]] = edge = [term[at:], -1, None]
+                edges[first] = [term[at:], self.size, None]
+                self.size += 1
+                return self.size - 1
             label = edge[0]
             n = len(label)
             if not term.startswith(label, at):
                 n = next(i for i, x in enumerate(label) if term[at + i : at + i + 1] != label[i : i + 1])
                 edge[:] = [label[:n], -1, {label[n]: [label[n:], edge[1], edge[2]]}]
             at += n
-            if at == len(term):
-                if edge[1] < 0:
-                    edge[1] = self.size
-                    self.size += 1
-                return edge[1]
-            if edge[2] is None:
-                edge[2] = {}
-            edges = edge[2]
+        if edge[1] < 0:
+            edge[1] = self.size
+            self.size += 1
+        return edge[1]
 
     def walk(self) -> Iterator[tuple[bytes, int]]:
         """Terms and their leaves' numbers, in the order of their bytes."""
@@ -83,7 +93,8 @@ class Trie:
             term = before + label
             if leaf >= 0:
                 yield term, leaf
-            stack += [(term, edges[x]) for x in sorted(edges or (), reverse=True)]
+            if edges:
+                stack += [(term, edges[x]) for x in sorted(edges, reverse=True)]
 
 
 class Counters:
@@ -102,26 +113,24 @@ class Counters:
         self.trie = Trie()
         self.known = Counters.Known(self.trie)
         self.sources: dict[str, int] = {}
-        self.waiting: list[np.ndarray] = []
+        self.settled = np.empty((3, 0), np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
         self.n_waiting = 0
         self.full = False
 
     def add(self, source: str, found: Counter) -> None:
         """A document's terms."""
         s = self.sources.setdefault(source, len(self.sources))
-        rows = np.ones((3, len(found)), np.int64)
-        rows[0] = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found)) << 32 | s
-        rows[1] = np.fromiter(found.values(), np.int64, len(found))
-        self.waiting.append(rows)
+        self.waiting.append((np.fromiter(map(self.known.__getitem__, found), np.int64, len(found)) << 32 | s, np.fromiter(found.values(), np.int64, len(found))))
         self.n_waiting += len(found)
         if self.n_waiting > WAITING:
-            self.waiting = [self.added()]
-            self.n_waiting = self.waiting[0].shape[1]
-            self.full = self.n_waiting > WAITING // 2
+            self.settled, self.waiting, self.n_waiting = self.added(), [], 0
+            self.full = self.settled.shape[1] > WAITING
 
     def added(self) -> np.ndarray:
         """leaf << 32 | source (ascending), occurrences, documents."""
-        return _added(np.concatenate(self.waiting, 1))
+        code, n = (np.concatenate(x) for x in zip(*self.waiting)) if self.waiting else (np.empty(0, np.int64),) * 2
+        return _added(np.concatenate((self.settled, np.stack((code, n, np.ones_like(n)))), 1))
 
     def rows(self, lang: str) -> Iterator[pa.RecordBatch]:
         """A row for each leaf, in the order of its bytes."""
