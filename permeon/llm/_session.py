@@ -78,6 +78,25 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: What modules remember from task to task of a worker.
+MEMOS: list[dict] = []
+
+
+def lean() -> None:
+    """At the start of a task that needs much memory: give up what tasks of other stages have left in this worker."""
+    import ctypes
+
+    import pyarrow as pa
+
+    for memo in MEMOS:
+        memo.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from ._session import MEMOS
+
 WORDS = 5
 #: Odd multipliers for the places in a shingle, from a fixed rule.
 PLACES = np.array([xxhash.xxh3_64_intdigest(bytes([i])) | 1 for i in range(WORDS)], np.uint64)
@@ -20,6 +22,7 @@ class WordHashes(dict):
 
 
 _HASHES = WordHashes()
+MEMOS.append(_HASHES)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._encode import library_encoder
-from ._session import prepare, schema, shuffle_partitions, written
+from ._session import lean, prepare, schema, shuffle_partitions, written
 
 WINDOW = 4096
 
@@ -75,6 +75,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, window: int, byte_level: b
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         encoder = library_encoder(tokenizer, byte_level)
         for batch in batches:
             rows = [[] for _ in range(5)]
