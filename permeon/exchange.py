@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .operators.order import numbered
+
 
 def block_matrix(eb, n: int | None = None) -> np.ndarray | None:
     """Exchangeability labels as an integer matrix (samples x levels); None if there are none."""
@@ -260,10 +262,58 @@ def hash_signs(samples: DataFrame, count: int, by: str = "sample_id") -> DataFra
     return samples.crossJoin(F.broadcast(perms)).select("perm_id", "sample_id", (1 - 2 * (F.ascii(h) % 2)).alias("sign"))
 
 
+def checked_levels(samples: DataFrame, levels: list[str]) -> None:
+    """What can't be nested: a label 0, labels of both signs in one block, blocks of different sizes that would trade places."""
+    for j, level in enumerate(levels):
+        above = levels[:j]
+        blocks = samples.groupBy(*above, level).count()
+        moves = F.col(above[-1]) > 0 if above else F.col(level) > 0
+        held = blocks.groupBy(*above).agg(F.min(level).alias("lo"), F.max(level).alias("hi"), F.count_if(F.col(level) == 0).alias("zeros"), F.min(F.when(moves, F.col("count"))).alias("least"), F.max(F.when(moves, F.col("count"))).alias("most"))
+        bad = held.where((F.col("zeros") > 0) | ((F.col("lo") < 0) & (F.col("hi") > 0)) | (F.col("least") < F.col("most"))).limit(1).collect()
+        if bad:
+            r = bad[0]
+            what = "label 0" if r["zeros"] else "mixed signs" if r["lo"] < 0 < r["hi"] else "blocks that trade places must be the same size"
+            raise ValueError(f"{what} at level {j}")
+
+
+def hash_nested(samples: DataFrame, count: int, levels: list[str]) -> DataFrame:
+    """(perm_id, pos, src) for nested blocks. samples: sample_id and a column of labels for each level, outermost first.
+
+    A sample's sort key follows its path down the tree: at each level the md5 of the path where the block above lets its blocks trade
+    places (its label is positive; on the first level, the blocks' own are), else the label; at the end the md5 of the sample where its
+    innermost label is positive. Samples in the order of the keys stand at the places in the order of the labels."""
+    checked_levels(samples, levels)
+    path, order, place = [], [], []
+    told = lambda c: F.col(c).cast("string")
+    for j, level in enumerate(levels):
+        path.append(told(level))
+        hashed = F.md5(F.concat_ws(":", told("perm_id"), F.lit(f"b{j}"), *path))
+        order += [F.when(F.col(levels[max(j - 1, 0)]) > 0, hashed).otherwise(F.lit("")), F.col(level)]
+        place.append(F.col(level))
+    order += [F.when(F.col(levels[-1]) > 0, F.col("h")).otherwise(F.lit("")), F.col("sample_id")]
+    drawn, of = _drawn(samples.sparkSession, samples.select("sample_id", *levels), count), Window.partitionBy("perm_id")
+    src = drawn.select("perm_id", F.row_number().over(of.orderBy(*order)).alias("r"), F.col("sample_id").alias("src"))
+    pos = drawn.select("perm_id", F.row_number().over(of.orderBy(*place, "sample_id")).alias("r"), F.col("sample_id").alias("pos"))
+    return src.join(pos, ["perm_id", "r"]).select("perm_id", "pos", "src")
+
+
 def variance_groups_df(samples: DataFrame, by_position: bool) -> DataFrame:
-    """(sample_id, grp) by windows: the position inside the block, or the block's dense rank. The dense rank is taken over the
-    blocks, of which there are few, not over the samples."""
+    """(sample_id, grp): the position inside the block, or the block's rank among all."""
+    if by_position:
+        return samples.select("sample_id", F.row_number().over(Window.partitionBy("block").orderBy("sample_id")).cast("long").alias("grp"))
+    blocks = numbered(samples.select("block").distinct(), "block").select("block", (F.col("place") + 1).alias("grp"))
+    return samples.join(blocks, "block").select("sample_id", "grp")
+
+
+def nested_variance_groups(samples: DataFrame, levels: list[str]) -> DataFrame:
+    """(sample_id, grp) of nested blocks: by the second level's blocks, by position where the first level's labels are positive."""
+    signs = samples.agg(F.min(levels[0]).alias("lo"), F.max(levels[0]).alias("hi")).first()
+    if (signs["lo"] or 0) < 0 < (signs["hi"] or 0):
+        raise ValueError("mixed signs in first column")
+    blocks = samples.select("sample_id", F.col(levels[1]).alias("block"))
+    by_position = (signs["lo"] or 0) > 0
     if by_position:
-        return samples.select("sample_id", F.row_number().over(Window.partitionBy("block").orderBy("sample_id")).alias("grp"))
-    blocks = samples.select("block").distinct().withColumn("grp", F.row_number().over(Window.orderBy("block")))
-    return samples.join(F.broadcast(blocks), "block").select("sample_id", "grp")
+        sizes = blocks.groupBy("block").count().agg(F.min("count").alias("least"), F.max("count").alias("most")).first()
+        if sizes["least"] != sizes["most"]:
+            raise ValueError("blocks (sub-blocks) must be the same size")
+    return variance_groups_df(blocks, by_position)

@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 
 def variogram(values: DataFrame, pairs: DataFrame, bins: int, longest: float | None = None) -> DataFrame:
     """(bin, n, distance, gamma): half the mean squared difference by distance. values: feature_id, value, x, y, z; pairs: a, b,
@@ -25,9 +26,9 @@ def hashed_pairs(features: DataFrame, each: int) -> DataFrame:
     """(a, b): for every feature `each` partners at hashed offsets; as many rows as features times each, no join of all with all."""
     n = features.count()
     partner = lambda k: F.pmod(F.xxhash64(F.col("feature_id"), k), F.lit(max(n, 1)))
-    numbered = features.select("feature_id", F.row_number().over(Window.orderBy("feature_id")).alias("i"))
+    places = numbered(features.select("feature_id"), "feature_id", name="i")
     drawn = features.select(F.col("feature_id").alias("a"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(each)), partner)).alias("i"))
-    return drawn.join(numbered.select((F.col("i") - 1).cast("long").alias("i"), F.col("feature_id").alias("b")), "i").where("a <> b").select("a", "b")
+    return drawn.join(places.select("i", F.col("feature_id").alias("b")), "i").where("a <> b").select("a", "b")
 
 
 def variogram_rmse(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -103,31 +104,53 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def hilbert_order(coords: DataFrame, bits: int = 10) -> DataFrame:
-    """feature_id, hilbert (position on the curve) and place (rank). coords: feature_id, x, y, z; scaled to the curve's cube.
+def hilbert_col(x: Column, y: Column, z: Column, bits: int) -> Column:
+    """The same position as a column: the transform is a fold over the bits, highest first, so its expression doesn't grow with them."""
+    powers = F.array(*(F.lit(1 << b).cast("long") for b in range(bits - 1, -1, -1)))
+    above = F.slice(powers, 1, max(bits - 1, 1)) if bits > 1 else F.array().cast("array<bigint>")
+    on = lambda v, q: v.bitwiseAND(q) != 0
+    xor = lambda a, b: a.bitwiseXOR(b)
+
+    def turn(acc: Column, q: Column) -> Column:
+        p = q - 1
+        first, out = F.when(on(acc["x"], q), xor(acc["x"], p)).otherwise(acc["x"]), {}
+        for name in "yz":
+            swap = F.when(on(acc[name], q), F.lit(0).cast("long")).otherwise(xor(first, acc[name]).bitwiseAND(p))
+            first = F.when(on(acc[name], q), xor(first, p)).otherwise(xor(first, swap))
+            out[name] = xor(acc[name], swap)
+        return F.struct(first.alias("x"), out["y"].alias("y"), out["z"].alias("z"))
 
-    The curve positions are a map over batches; the rank orders features globally, as it must."""
-    low_high = coords.agg(*(f(c).alias(f"{n}{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in "xyz")).first()
-    lo = np.array([low_high[f"lo{c}"] or 0.0 for c in "xyz"])
-    span = max(max(((low_high[f"hi{c}"] or 0.0) - (low_high[f"lo{c}"] or 0.0)) for c in "xyz"), 1e-300)
+    def gray(s: Column) -> Column:
+        y = xor(s["x"], s["y"])
+        z = xor(y, s["z"])
+        flip = F.aggregate(above, F.lit(0).cast("long"), lambda t, q: F.when(on(z, q), xor(t, q - 1)).otherwise(t))
+        bit = lambda v, q: F.when(on(xor(v, flip), q), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+        return F.aggregate(powers, F.lit(0).cast("long"), lambda t, q: t * 8 + bit(s["x"], q) * 4 + bit(y, q) * 2 + bit(z, q))
 
-    def run(frames):
-        for f in frames:
-            grid = np.clip(np.floor((f[["x", "y", "z"]].to_numpy(float) - lo) / span * ((1 << bits) - 1) + 0.5), 0, (1 << bits) - 1)
-            yield pd.DataFrame({"feature_id": f["feature_id"], "hilbert": hilbert(grid, bits)})
+    return F.aggregate(above, F.struct(*(c.cast("long").alias(n) for c, n in zip((x, y, z), "xyz"))), turn, gray)
 
-    ranked = coords.select("feature_id", "x", "y", "z").mapInPandas(run, "feature_id bigint, hilbert bigint")
-    return ranked.withColumn("place", F.row_number().over(Window.orderBy("hilbert", "feature_id")) - 1)
+
+def on_curve(coords: DataFrame, bits: int) -> DataFrame:
+    """coords (.., x, y, z) with `hilbert`, after scaling to the curve's cube: six numbers go through the driver."""
+    ends = coords.agg(*(f(c).alias(f"{n}{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in "xyz")).first()
+    lo = {c: ends[f"lo{c}"] or 0.0 for c in "xyz"}
+    span, top = max(*((ends[f"hi{c}"] or 0.0) - lo[c] for c in "xyz"), 1e-300), (1 << bits) - 1
+    grid = lambda c: F.greatest(F.lit(0), F.least(F.lit(top), F.floor((F.col(c) - lo[c]) / span * top + 0.5)))
+    return coords.withColumn("hilbert", hilbert_col(*(grid(c) for c in "xyz"), bits))
+
+
+def hilbert_order(coords: DataFrame, bits: int = 10) -> DataFrame:
+    """feature_id, hilbert (position on the curve) and place (rank). coords: feature_id, x, y, z."""
+    return numbered(on_curve(coords, bits).select("feature_id", "hilbert"), "hilbert", "feature_id")
 
 
 def unravel(atlas: DataFrame, bits: int = 10, background: int = 0) -> DataFrame:
     """atlas (feature_id, parcel, x, y, z) in Hilbert order of parcel centroids, then inside parcels."""
     own = atlas.where(F.col("parcel") != background)
     centres = own.groupBy("parcel").agg(*(F.round(F.avg(c)).alias(c) for c in "xyz"))
-    outer = hilbert_order(centres.withColumnRenamed("parcel", "feature_id"), bits).select(F.col("feature_id").alias("parcel"), F.col("place").alias("parcel_place"))
-    inner = hilbert_order(own, bits).select("feature_id", "hilbert")
-    ranked = own.select("feature_id", "parcel").join(inner, "feature_id").join(F.broadcast(outer), "parcel")
-    return ranked.withColumn("place", F.row_number().over(Window.orderBy("parcel_place", "hilbert", "feature_id")) - 1).select("feature_id", "parcel", "place")
+    outer = on_curve(centres, bits).select("parcel", F.col("hilbert").alias("outer"))
+    ranked = on_curve(own, bits).select("feature_id", "parcel", "hilbert").join(outer, "parcel")
+    return numbered(ranked, "outer", "parcel", "hilbert", "feature_id").select("feature_id", "parcel", "place")
 
 
 def null_map(shape: tuple[int, int, int], mask: np.ndarray, seed: int | None = None, centre: float = 3.0, edge: float = 7.0) -> np.ndarray:

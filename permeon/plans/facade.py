@@ -45,6 +45,10 @@ class Dataset:
     def volume(self, spark: SparkSession) -> loaders.Volume | None:
         return None if self.mask is None else loaders.read_volume(spark, self.mask)
 
+    def lattice(self, spark: SparkSession) -> DataFrame:
+        """The mask's voxels."""
+        return loaders.lattice_of(spark, self.mask if isinstance(self.mask, str) else self.volume(spark))
+
     def features(self, spark: SparkSession) -> DataFrame:
         """(feature_id, y array in sample order)."""
         data = self.data
@@ -54,8 +58,9 @@ class Dataset:
             paths = [data] if isinstance(data, str) else [str(p) for p in data]
             if self.mask is None:
                 raise ValueError("images need a mask")
-            voxels = loaders.mask_voxels(loaders.read_voxels(spark, paths), loaders.lattice_of(spark, self.volume(spark)))
-            obs = voxels.select((F.col("image_id") * 100_000 + F.col("t")).alias("sample_id"), "feature_id", F.col("value").alias("y"))
+            lattice = self.lattice(spark)
+            voxels = loaders.mask_voxels(loaders.read_voxels(spark, paths, lattice), lattice)
+            obs = voxels.select(F.struct("image_id", "t").alias("sample_id"), "feature_id", F.col("value").alias("y"))
             return analysis.to_features(obs)
         if isinstance(data, str):
             return analysis.to_features(loaders.to_observations(loaders.read_table(spark, data)))
@@ -85,7 +90,7 @@ class Dataset:
         if spec.tfce:
             if volume is None:
                 raise ValueError("TFCE needs a mask")
-            out["tfce"] = tfce.tfce_analysis(features, spec, loaders.lattice_of(spark, volume))
+            out["tfce"] = tfce.tfce_analysis(features, spec, self.lattice(spark))
         if self.output_prefix:
             out["files"] = sinks.export(spark, result, self.output_prefix, volume)
             if spec.tfce:

@@ -157,9 +157,7 @@ def demean_response(spark, sf):
 
 @query(f"with {SAMPLES} select sample_id, x1, round(x2 - avg(x2) over (), 6) + 0.0 as x2 from samples")
 def demean_design(spark, sf):
-    x, _, _ = algebra.demean(design(spark, sf, ("x0", "x1", "x2")), np.eye(3))
-    ids = [r[0] for r in samples(spark, sf).select("sample_id").orderBy("sample_id").collect()]
-    return spark.createDataFrame([(i, float(a), round(float(b), 6) + 0.0) for i, (a, b) in zip(ids, x)], "sample_id long, x1 double, x2 double")
+    return algebra.demeaned(samples(spark, sf), ["x0", "x1", "x2"]).select("sample_id", "x1", r6(F.col("x2")).alias("x2"))
 
 
 @query(f"with {SAMPLES} select c as column, hi - lo = 0 as constant, n > 2 as continuous from (select 'x0' as c, max(x0) as hi, min(x0) as lo, count(distinct x0) as n from samples union all select 'x1', max(x1), min(x1), count(distinct x1) from samples union all select 'x2', max(x2), min(x2), count(distinct x2) from samples)")
@@ -168,10 +166,15 @@ def const_columns(spark, sf):
     return long.groupBy("column").agg((F.max("v") - F.min("v") == 0).alias("constant"), (F.count_distinct("v") > 2).alias("continuous"))
 
 
-@query("select * from (values ('c1', 0, 0.0::double), ('c1', 1, 1.0::double), ('c3', 0, 1.0::double), ('c3', 1, -1.0::double)) t(label, i, c)")
+# weights of constant regressors go, and contrasts that have no other
+@query(f"""with {SAMPLES}, rows as (select * from (values ('c1', 'x0', 0.0::double), ('c1', 'x1', 1.0), ('c1', 'x2', 0.0), ('c2', 'x0', 1.0), ('c2', 'x1', 0.0), ('c2', 'x2', 0.0), ('c3', 'x0', 1.0), ('c3', 'x1', -1.0), ('c3', 'x2', 0.0)) t(label, regressor, weight)),
+ends as (select regressor, max(v) > min(v) as varies from (select 'x0' as regressor, x0 as v from samples union all select 'x1', x1 from samples union all select 'x2', x2 from samples) group by regressor),
+kept as (select label, regressor, weight from rows join ends using (regressor) where varies)
+select * from kept where label in (select label from kept where weight <> 0)""")
 def contrast_trim(spark, sf):
-    rows = spark.createDataFrame([("c1", [0.0, 1.0]), ("c2", [0.0, 0.0]), ("c3", [1.0, -1.0])], "label string, c array<double>")
-    return rows.where(F.exists("c", lambda x: x != 0)).select("label", F.posexplode("c").alias("i", "c"))
+    rows = {"c1": [0.0, 1.0, 0.0], "c2": [1.0, 0.0, 0.0], "c3": [1.0, -1.0, 0.0]}
+    contrasts = spark.createDataFrame([(k, f"x{i}", w) for k, row in rows.items() for i, w in enumerate(row)], "label string, regressor string, weight double")
+    return algebra.trimmed(contrasts, samples(spark, sf), ["x0", "x1", "x2"]).select("label", "regressor", "weight")
 
 
 # Statistics
@@ -198,7 +201,7 @@ def residualize(spark, sf):
     return rows.select("feature_id", F.col("s.ids").alias("sample_id"), r6(F.col("s.e")).alias("resid"), r6(F.col("s.fit")).alias("fitted"))
 
 
-def stat_query(spark, sf, statistic, contrast, columns=("x0", "x1"), groups=None, places=6):
+def stat_query(spark, sf, statistic, contrast, columns=("x0", "x1"), groups=None, places=6, df_places=4):
     x = design(spark, sf, columns)
 
     def run(frames):
@@ -207,7 +210,13 @@ def stat_query(spark, sf, statistic, contrast, columns=("x0", "x1"), groups=None
             yield f[["feature_id"]].assign(stat=np.ravel(value), df2=np.broadcast_to(np.asarray(df2, float), len(f)))
 
     out = features(spark, sf).mapInPandas(run, "feature_id long, stat double, df2 double")
-    return out.select("feature_id", r6(F.col("stat"), places).alias("stat"), r6(F.col("df2"), 4).alias("df2"))
+    return out.select("feature_id", r6(F.col("stat"), places).alias("stat"), r6(F.col("df2"), df_places).alias("df2"))
+
+
+def z_query(spark, sf, z, *args, **more):
+    """A statistic's z-scores, natively. z: of the columns stat and df2."""
+    found = stat_query(spark, sf, *args, **more, places=13, df_places=10)
+    return found.select("feature_id", r6(z(F.col("stat"), F.col("df2")), 5).alias("z"), r6(F.col("df2"), 4).alias("df2"))
 
 
 R1 = f"with {OBS}, {SAMPLES}, f as (select feature_id, count(*) as n, corr(y, x1) as r from obs join samples using (sample_id) group by all)"
@@ -258,26 +267,30 @@ def glm_r2_z(spark, sf):
     return stat_query(spark, sf, glm.as_z(glm.r_squared, "r2"), [[0, 1, 0], [0, 0, 1]], ("x0", "x1", "x2"), places=5)
 
 
-@query()
-def glm_t_z(spark, sf):
-    return stat_query(spark, sf, glm.as_z(glm.t, "t"), [0, 1])
-
-
-@query()
-def glm_F_z(spark, sf):
-    return stat_query(spark, sf, glm.as_z(glm.f, "f"), [[0, 1, 0], [0, 0, 1]], ("x0", "x1", "x2"))
+# P(|T| <= t), n - 2 degrees of freedom, an even number at every scale of the tables: a finite sum of even powers of the cosine
+WITHIN = f"""{R1}, u as (select feature_id, n, atan({t_of_r('abs(r)')} / sqrt(n - 2)) as th from f),
+s as (select feature_id, n, th, k, exp(sum(case when k = 0 then 0 else ln((2.0 * k - 1) / (2.0 * k)) end) over (partition by feature_id order by k) + 2 * k * ln(cos(th))) as term from (select *, unnest(range(((n - 4) // 2 + 1)::bigint)) as k from u)),
+inside as (select feature_id, sin(any_value(th)) * sum(term) as within from s group by feature_id)"""
 
 
-# P(|T| <= t), n - 2 degrees of freedom, an even number at every scale of the tables: a finite sum of even powers of the cosine
-@query(f"""{R1}, u as (select feature_id, n, atan({t_of_r('abs(r)')} / sqrt(n - 2)) as th from f),
-s as (select feature_id, n, th, k, exp(sum(case when k = 0 then 0 else ln((2.0 * k - 1) / (2.0 * k)) end) over (partition by feature_id order by k) + 2 * k * ln(cos(th))) as term from (select *, unnest(range(((n - 4) // 2 + 1)::bigint)) as k from u))
-select feature_id, round(sin(any_value(th)) * sum(term), 6) + 0.0 as within from s group by feature_id""")
+@query(f"{WITHIN} select feature_id, round(within, 6) + 0.0 as within from inside")
 def t_distribution(spark, sf):
     n = samples(spark, sf).count()
     t = stat_query(spark, sf, glm.t, [0, 1], places=12)
     return t.select("feature_id", r6(special.t_within_col(F.col("stat"), n - 2)).alias("within"))
 
 
+@query(f"{WITHIN} select feature_id, round(sign(r) * {special.norm_ppf_sql('((1 + within) / 2)')}, 5) + 0.0 as z, (n - 2)::double as df2 from inside join f using (feature_id)")
+def glm_t_z(spark, sf):
+    return z_query(spark, sf, special.z_of_t_col, glm.t, [0, 1])
+
+
+# with two contrast rows F's tail has a closed form
+@query(f"{R2}, p as (select *, 1 - pow(1 + 2 * (rr / 2 / ((1 - rr) / (n - 3))) / (n - 3), -(n - 3) / 2.0) as p from g) select feature_id, round({special.norm_ppf_sql('p')}, 5) + 0.0 as z, (n - 3)::double as df2 from p")
+def glm_F_z(spark, sf):
+    return z_query(spark, sf, lambda f, df2: special.z_of_f_col(f, F.lit(2.0), df2), glm.f, [[0, 1, 0], [0, 0, 1]], ("x0", "x1", "x2"))
+
+
 W = f"""with {OBS}, {SAMPLES}, g as (select feature_id, x1 as grp, count(*) as n, avg(y) as m, var_samp(y) as v from obs join samples using (sample_id) group by all),
 w as (select a.feature_id, (b.m - a.m) / sqrt(a.v / a.n + b.v / b.n) as v, a.n / a.v as wa, b.n / b.v as wb, a.n as na, b.n as nb, a.v as va, b.v as vb from g a join g b using (feature_id) where a.grp = 0 and b.grp = 1)"""
 
@@ -297,26 +310,43 @@ def glm_G(spark, sf):
     return stat_query(spark, sf, glm.g, [[0, 1]], groups=two_groups(spark, sf))
 
 
-@query()
+# three regressors, two groups: least squares and leverages from covariances, residual weights by group, and the effect's weight as a Schur complement
+G = f"""with {OBS}, {SAMPLES}, m as (select count(*) as n, avg(x1) as m1, avg(x2) as m2, var_pop(x1) as s11, var_pop(x2) as s22, covar_pop(x1, x2) as s12 from samples),
+lev as (select sample_id, x1, x2, 1.0 / n + ((x1 - m1) ** 2 * s22 - 2 * (x1 - m1) * (x2 - m2) * s12 + (x2 - m2) ** 2 * s11) / (n * (s11 * s22 - s12 ** 2)) as h from samples, m),
+fit as (select feature_id, avg(y) as my, (covar_pop(x1, y) * any_value(s22) - covar_pop(x2, y) * any_value(s12)) / any_value(s11 * s22 - s12 ** 2) as b1, (covar_pop(x2, y) * any_value(s11) - covar_pop(x1, y) * any_value(s12)) / any_value(s11 * s22 - s12 ** 2) as b2 from obs join samples using (sample_id), m group by feature_id),
+by_group as (select feature_id, x1 as grp, any_value(b1) as b1, any_value(b2) as b2, count(*) as n, sum(1 - h) as d, sum((y - my - b1 * (x1 - m1) - b2 * (x2 - m2)) ** 2) as rss, sum(x1) as a1, sum(x2) as a2, sum(x1 * x1) as a11, sum(x1 * x2) as a12, sum(x2 * x2) as a22 from obs join lev using (sample_id) join fit using (feature_id), m group by feature_id, x1),
+w as (select *, d / rss as w, sum(d / rss * n) over (partition by feature_id) as wn from by_group),
+a as (select feature_id, any_value(b1) as b1, any_value(b2) as b2, sum(w * n) as a0, sum(w * a1) as a1, sum(w * a2) as a2, sum(w * a11) as a11, sum(w * a12) as a12, sum(w * a22) as a22, sum((1 - w * n / wn) ** 2 / d) / 8 as spread, sum(w) ** 2 / sum(w * w / d) as df2 from w group by feature_id),
+g as (select feature_id, df2, (b1 * b1 * (a11 - a1 * a1 / a0) + 2 * b1 * b2 * (a12 - a1 * a2 / a0) + b2 * b2 * (a22 - a2 * a2 / a0)) / 2 / (1 + 2 * spread) as stat from a)"""
+
+
+@query(f"{G} select feature_id, round(stat, 6) + 0.0 as stat, round(df2, 4) + 0.0 as df2 from g")
 def glm_G_general(spark, sf):
     return stat_query(spark, sf, glm.g, [[0, 1, 0], [0, 0, 1]], ("x0", "x1", "x2"), groups=two_groups(spark, sf))
 
 
-@query()
-def aspin_welch_v_z(spark, sf):
-    return stat_query(spark, sf, glm.as_z(glm.v, "t"), [0, 1], groups=two_groups(spark, sf))
+@query(f"{G}, p as (select *, 1 - pow(1 + 2 * stat / df2, -df2 / 2) as p from g) select feature_id, round({special.norm_ppf_sql('p')}, 5) + 0.0 as z, round(df2, 4) + 0.0 as df2 from p")
+def glm_G_z(spark, sf):
+    return z_query(spark, sf, lambda f, df2: special.z_of_f_col(f, F.lit(2.0), df2), glm.g, [[0, 1, 0], [0, 0, 1]], ("x0", "x1", "x2"), groups=two_groups(spark, sf))
 
 
-@query()
-def glm_G_z(spark, sf):
-    return stat_query(spark, sf, glm.as_z(glm.g, "f"), [[0, 1, 0], [0, 0, 1]], ("x0", "x1", "x2"), groups=two_groups(spark, sf))
+# degrees of freedom are real numbers: the density is integrated by Simpson's rule
+@query(f"""{W}, u as (select feature_id, v, (1 / va + 1 / vb) ** 2 / ((1 / va) ** 2 / (na - 1) + (1 / vb) ** 2 / (nb - 1)) as df2 from w),
+nodes as (select *, unnest(range(1001)) as i from u),
+inside as (select feature_id, any_value(v) as v, any_value(df2) as df2, 2 * exp(lgamma((any_value(df2) + 1) / 2) - lgamma(any_value(df2) / 2)) / sqrt(any_value(df2) * pi()) * any_value(abs(v)) / 3000 * sum(case when i in (0, 1000) then 1 when i % 2 = 1 then 4 else 2 end * pow(1 + (v * i / 1000) ** 2 / df2, -(df2 + 1) / 2)) as within from nodes group by feature_id)
+select feature_id, round(sign(v) * {special.norm_ppf_sql('((1 + within) / 2)')}, 5) + 0.0 as z, round(df2, 4) + 0.0 as df2 from inside""")
+def aspin_welch_v_z(spark, sf):
+    return z_query(spark, sf, special.z_of_t_col, glm.v, [0, 1], groups=two_groups(spark, sf))
 
 
-@query(f"with {SAMPLES} select sample_id, round(x1 - avg(x1) over (), 6) + 0.0 as of_interest, round(abs(any_value(1.0) over ()), 6) as nuisance from samples")
+# x1 beside an intercept and x2: what is of interest is x1's residual; the nuisance is known up to its basis, so its leverages are compared
+@query(f"with {SAMPLES} select sample_id, round(x1 - (regr_intercept(x1, x2) over () + regr_slope(x1, x2) over () * x2), 6) + 0.0 as of_interest, round(1.0 / count(*) over () + (x2 - avg(x2) over ()) ** 2 / (var_pop(x2) over () * count(*) over ()), 8) as leverage from samples")
 def partition_model(spark, sf):
-    of_interest, z, _ = algebra.partition(design(spark, sf), [0, 1])
-    ids = [r[0] for r in samples(spark, sf).select("sample_id").orderBy("sample_id").collect()]
-    return spark.createDataFrame([(i, round(float(a), 6) + 0.0, round(abs(float(b)), 6)) for i, a, b in zip(ids, of_interest[:, 0], z[:, 0])], "sample_id long, of_interest double, nuisance double")
+    model = algebra.partitioned(samples(spark, sf), ["x0", "x1", "x2"], [0, 1, 0])
+    nuisance = ["nuisance_0", "nuisance_1"]
+    inverse = algebra.pinv_gram_of(model, nuisance)
+    leverage = sum((F.col(a) * F.col(b) * float(inverse[i, j]) for i, a in enumerate(nuisance) for j, b in enumerate(nuisance)), F.lit(0.0))
+    return model.select("sample_id", r6(F.col("interest_0")).alias("of_interest"), F.round(leverage, 8).alias("leverage"))
 
 
 # Permutations
@@ -346,39 +376,37 @@ def perm_both(spark, sf):
     return exchange.hash_permutations(samples(spark, sf).select("sample_id", F.col("eb_whole").alias("block")), P, "both")
 
 
-@query()
+def nested(spark, sf, sign=1):
+    return samples(spark, sf).select("sample_id", F.lit(sign).alias("all"), "eb_whole")
+
+
+# one positive block of blocks with positive labels: they trade places, and so do their samples
+NESTED = f"select p.perm_id, s.sample_id, s.eb_whole, md5(p.perm_id || ':b0:1') as h0, md5(p.perm_id || ':b1:1:' || s.eb_whole) as h1, md5(p.perm_id || ':' || s.sample_id) as h from samples s, (select unnest(range({P}))::int as perm_id) p"
+
+
+@query(f"with {SAMPLES}, keys as ({NESTED}) select a.perm_id, b.sample_id as pos, a.sample_id as src from (select *, row_number() over (partition by perm_id order by h0, h1, eb_whole, h, sample_id) as r from keys) a join (select *, row_number() over (partition by perm_id order by eb_whole, sample_id) as r from keys) b using (perm_id, r)")
 def perm_multilevel(spark, sf):
-    rows = samples(spark, sf).orderBy("eb_whole", "sample_id").select("sample_id", "eb_whole").toPandas()
-    eb = np.stack([np.ones(len(rows), int), rows["eb_whole"].to_numpy()], 1)
-    ids = rows["sample_id"].to_numpy()
-    out = [(p, int(ids[a]), int(ids[b])) for p, o in enumerate(exchange.permutations(len(ids), P, eb, seed=42)) for a, b in enumerate(o)]
-    return spark.createDataFrame(out, "perm_id int, pos long, src long")
+    return exchange.hash_nested(nested(spark, sf), P, ["all", "eb_whole"])
 
 
 @query(f"with {SAMPLES} select sample_id, dense_rank() over (order by eb_within) as grp from samples")
 def vg_within(spark, sf):
-    return exchange.variance_groups_df(samples(spark, sf).select("sample_id", F.col("eb_within").alias("block")), by_position=False).select("sample_id", F.col("grp").cast("long").alias("grp"))
+    return exchange.variance_groups_df(samples(spark, sf).select("sample_id", F.col("eb_within").alias("block")), by_position=False)
 
 
 @query(f"with {SAMPLES} select sample_id, row_number() over (partition by eb_whole order by sample_id) as grp from samples")
 def vg_whole(spark, sf):
-    return exchange.variance_groups_df(samples(spark, sf).select("sample_id", F.col("eb_whole").alias("block")), by_position=True).select("sample_id", F.col("grp").cast("long").alias("grp"))
-
-
-def vg_multi(spark, sf, sign):
-    rows = samples(spark, sf).orderBy("sample_id").select("sample_id", "eb_whole").toPandas()
-    eb = np.stack([np.full(len(rows), sign), rows["eb_whole"].to_numpy()], 1)
-    return spark.createDataFrame([(int(a), int(b)) for a, b in zip(rows["sample_id"], exchange.variance_groups(eb))], "sample_id long, grp long")
+    return exchange.variance_groups_df(samples(spark, sf).select("sample_id", F.col("eb_whole").alias("block")), by_position=True)
 
 
 @query(f"with {SAMPLES} select sample_id, row_number() over (partition by eb_whole order by sample_id) as grp from samples")
 def vg_multi_pos(spark, sf):
-    return vg_multi(spark, sf, 1)
+    return exchange.nested_variance_groups(nested(spark, sf), ["all", "eb_whole"])
 
 
 @query(f"with {SAMPLES} select sample_id, dense_rank() over (order by eb_whole) as grp from samples")
 def vg_multi_neg(spark, sf):
-    return vg_multi(spark, sf, -1)
+    return exchange.nested_variance_groups(nested(spark, sf, -1), ["all", "eb_whole"])
 
 
 def signs_sql(by: str) -> str:
@@ -450,7 +478,19 @@ def fdr_bh(spark, sf):
 
 
 # two contrasts with one set of orders: x1 given x2 and x2 given x1; residuals of the nuisance are permuted
-@query()
+CROSS = f"""with {OBS}, {SAMPLES}, {PERMS}, joined as (select * from obs join samples using (sample_id)),
+rest as (select sample_id, feature_id, y - (regr_intercept(y, x2) over w + regr_slope(y, x2) over w * x2) as e1, y - (regr_intercept(y, x1) over w + regr_slope(y, x1) over w * x1) as e2 from joined window w as (partition by feature_id)),
+moved as (select p.perm_id, r.feature_id, e1, e2, s.x1, s.x2 from perms p join rest r on r.sample_id = p.src join samples s on s.sample_id = p.pos union all select -1, feature_id, e1, e2, x1, x2 from rest join samples using (sample_id)),
+c as (select perm_id, feature_id, count(*) as n, corr(x1, x2) as c, corr(e1, x1) as a1, corr(e1, x2) as b1, corr(e2, x2) as a2, corr(e2, x1) as b2 from moved group by all),
+r as (select 'c1' as contrast, perm_id, feature_id, n, (a1 - b1 * c) / sqrt((1 - b1 * b1) * (1 - c * c)) as r from c union all select 'c2', perm_id, feature_id, n, (a2 - b2 * c) / sqrt((1 - b2 * b2) * (1 - c * c)) from c),
+t as (select contrast, perm_id, feature_id, r * sqrt((n - 3) / (1 - r * r)) as t from r),
+counted as (select s.contrast, s.feature_id, s.t, count(*) filter (abs(z.t) >= abs(s.t) * (1 - 1e-9)) as exceed from t z join t s using (contrast, feature_id) where s.perm_id < 0 and z.perm_id >= 0 group by all),
+m as (select perm_id, max(abs(t)) as m from t where perm_id >= 0 group by perm_id),
+ranked as (select *, row_number() over (order by exceed, contrast, feature_id) as rk, count(*) over () as k from counted),
+q as (select *, least(1.0, min(case when exceed = 0 then 0 else (exceed + 1) / {P + 1.0} end * k / rk) over (order by rk desc rows between unbounded preceding and current row)) as cfdrp from ranked)"""
+
+
+@query(f"{CROSS} select contrast, feature_id, round(cfdrp, 6) as cfdrp, round(((select count(*) from m where m >= abs(t) * (1 - 1e-9)) + 1) / {P + 1.0}, 6) as cfwep from q")
 def cross_contrast_p(spark, sf):
     s = spec(spark, sf, [[0, 1, 0], [0, 0, 1]], ("x0", "x1", "x2"), across_contrasts=True)
     f = analysis.permutation_analysis(features(spark, sf), s).features
@@ -657,10 +697,16 @@ def outcomes(spark, sf):
     return features(spark, sf).select("feature_id", F.transform("y", lambda v: (v > 0).cast("double")).alias("y"))
 
 
-@query()
+GROUPED = f"with recursive {OBS}, {SAMPLES}, g as (select feature_id, count(*) filter (y > 0 and x1 = 1)::double as a, count(*) filter (y <= 0 and x1 = 1)::double as b, count(*) filter (y > 0 and x1 = 0)::double as c, count(*) filter (y <= 0 and x1 = 0)::double as d from obs join samples using (sample_id) group by all)"
+
+
+# a regression on two groups is saturated: its slope is the log odds ratio; the two-sided p by Simpson's rule; the area from the four counts
+@query(f"""{GROUPED}, z as (select *, ln(a * d / (b * c)) / sqrt(1 / a + 1 / b + 1 / c + 1 / d) as z from g), nodes as (select *, unnest(range(1001)) as i from z),
+p as (select feature_id, 1 - 2 / sqrt(2 * pi()) * any_value(abs(z)) / 3000 * sum(case when i in (0, 1000) then 1 when i % 2 = 1 then 4 else 2 end * exp(-((z * i / 1000) ** 2) / 2)) as p from nodes group by feature_id)
+select feature_id, 'c1' as contrast, round(z, 4) + 0.0 as zstat, round(p, 5) + 0.0 as pval, round((case when z > 0 then a * d when z < 0 then b * c else (a * d + b * c) / 2 end + (a * b + c * d) / 2) / ((a + c) * (b + d)), 6) as auc from z join p using (feature_id)""")
 def logistic_irls(spark, sf):
     out = logistic.regression(outcomes(spark, sf), design(spark, sf), [[0, 1]])
-    return out.select("feature_id", "contrast", *(r6(F.col(c)).alias(c) for c in ("zstat", "pval", "auc")))
+    return out.select("feature_id", "contrast", r6(F.col("zstat"), 4).alias("zstat"), r6(F.col("pval"), 5).alias("pval"), r6(F.col("auc")).alias("auc"))
 
 
 # a regression of an outcome on two groups is saturated: its slope is the log odds ratio
@@ -670,7 +716,14 @@ def logistic_two_groups(spark, sf):
     return out.select("feature_id", r6(F.col("zstat"), 4).alias("zstat"))
 
 
-@query()
+# Newton's method with a ridge, written out for an intercept and two groups; mu and the information are clipped as in the library
+NEWTON = f"""{GROUPED}, steps as (select feature_id, 0 as step, 0.0::double as b0, 0.0::double as b1 from g union all select feature_id, step + 1, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) from (
+  select *, (c + d) * w0 + (a + b) * w1 + 1e-4 as h00, (a + b) * w1 as h01, (a + b) * w1 + 1e-4 as h11, c - (c + d) * m0 + a - (a + b) * m1 - 1e-4 * b0 as g0, a - (a + b) * m1 - 1e-4 * b1 as g1 from (
+    select *, least(greatest(m0 * (1 - m0), 1e-5), 1) as w0, least(greatest(m1 * (1 - m1), 1e-5), 1) as w1 from (select steps.*, a, b, c, d, 1 / (1 + exp(-b0)) as m0, 1 / (1 + exp(-b0 - b1)) as m1 from steps join g using (feature_id) where step < 15)))),
+last as (select feature_id, b1, (c + d) * w0 + (a + b) * w1 + 1e-4 as h00, (a + b) * w1 as h01, (a + b) * w1 + 1e-4 as h11 from (select *, least(greatest(m0 * (1 - m0), 1e-5), 1) as w0, least(greatest(m1 * (1 - m1), 1e-5), 1) as w1 from (select steps.*, a, b, c, d, 1 / (1 + exp(-b0)) as m0, 1 / (1 + exp(-b0 - b1)) as m1 from steps join g using (feature_id) where step = 15)))"""
+
+
+@query(f"{NEWTON} select feature_id, round(b1 / sqrt(h00 / (h00 * h11 - h01 * h01)), 6) + 0.0 as z from last")
 def logistic_wald(spark, sf):
     x = design(spark, sf)
 
@@ -718,15 +771,39 @@ def coords(spark, sf):
     return lattice(spark, sf).select("feature_id", *(F.col(a).cast("double").alias(b) for a, b in zip("ijk", "xyz")))
 
 
-@query()
+def hilbert_sql(name: str, source: str, bits: int = 2) -> str:
+    """CTEs that end in `name`: source (.., x, y, z) with hilbert, by the same transform, written out bit by bit."""
+    top = (1 << bits) - 1
+    cell = lambda c: f"greatest(0, least({top}, floor(({c} - min({c}) over ()) / greatest((max(x) over ()) - (min(x) over ()), (max(y) over ()) - (min(y) over ()), (max(z) over ()) - (min(z) over ()), 1e-300) * {top} + 0.5)))::bigint"
+    steps = [f"{name}_s0 as (select *, {cell('x')} as u0, {cell('y')} as u1, {cell('z')} as u2 from {source})"]
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        for i in range(3):
+            swap = "0" if not i else f"(case when u{i} & {q} <> 0 then 0 else xor(u0, u{i}) & {q - 1} end)"
+            moved = f", xor(u{i}, {swap}) as u{i}" if i else ""
+            steps.append(f"{name}_s{len(steps)} as (select * replace (case when u{i} & {q} <> 0 then xor(u0, {q - 1}) else xor(u0, {swap}) end as u0{moved}) from {name}_s{len(steps) - 1})")
+    n = len(steps)
+    flip = " + ".join(["0", *(f"case when g2 & {1 << b} <> 0 then {(1 << b) - 1} else 0 end" for b in range(1, bits))]).replace(" + ", ", ")
+    folded = "0"
+    for part in flip.split(", ")[1:]:
+        folded = f"xor({folded}, {part})"
+    steps += [f"{name}_s{n} as (select *, xor(u1, u0) as g1, xor(u2, xor(u1, u0)) as g2 from {name}_s{n - 1})", f"{name}_s{n + 1} as (select *, {folded} as flip from {name}_s{n})"]
+    digits = " + ".join(f"((xor({v}, flip) >> {b}) & 1) * {1 << 3 * b + 2 - i}" for b in range(bits) for i, v in enumerate(("u0", "g1", "g2")))
+    return ", ".join([*steps, f"{name} as (select * exclude (u0, u1, u2, g1, g2, flip), ({digits})::bigint as hilbert from {name}_s{n + 1})"])
+
+
+COORDS = "coords as (select feature_id, i::double as x, j::double as y, k::double as z from lattice)"
+
+
+@query(f"with {OBS}, {LATTICE}, {COORDS}, {hilbert_sql('curve', 'coords')} select feature_id, hilbert, row_number() over (order by hilbert, feature_id) - 1 as place from curve")
 def hilbert_order(spark, sf):
-    return spatial.hilbert_order(coords(spark, sf), 2).select("feature_id", "hilbert", F.col("place").cast("long").alias("place"))
+    return spatial.hilbert_order(coords(spark, sf), 2).select("feature_id", "hilbert", "place")
 
 
-@query()
+@query(f"""with {OBS}, {LATTICE}, {COORDS}, own as (select *, feature_id % 5 as parcel from coords where feature_id % 5 <> 0), centres as (select parcel, round(avg(x)) as x, round(avg(y)) as y, round(avg(z)) as z from own group by parcel),
+{hilbert_sql('within', 'own')}, {hilbert_sql('among', 'centres')} select feature_id, parcel, row_number() over (order by a.hilbert, parcel, w.hilbert, feature_id) - 1 as place from within w join among a using (parcel)""")
 def atlas_order(spark, sf):
     c = coords(spark, sf).withColumn("parcel", (F.col("feature_id") % 5).cast("long"))
-    return spatial.unravel(c, 2).select("feature_id", "parcel", F.col("place").cast("long").alias("place"))
+    return spatial.unravel(c, 2).select("feature_id", "parcel", "place")
 
 
 @query(f"with {OBS}, {LATTICE} select feature_id, round(-j, 6) + 0.0 as x, round(i, 6) + 0.0 as y, round(k, 6) + 0.0 as z from lattice")

@@ -16,6 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.order import numbered, offset
+from . import arrays
+
 SEPARATORS = {".csv": ",", ".tsv": "\t", ".txt": "\t"}
 SQUEEZED = (".csv", ".tsv")
 
@@ -66,14 +69,16 @@ def read_matrix(spark: SparkSession, source) -> np.ndarray:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """(sample_id, x array<double>) of a text table or .npy file of any length. Text is split by Spark; sample_id follows the order
-    of the file."""
+    """(sample_id, x array<double>) of a text table or .npy file of any length. sample_id follows the order of the file: lines are numbered
+    inside the pieces that Spark cuts a text into, and an array's rows by their place. A vector in an .npy file is one row."""
     kind = suffix_of(path)
+    if kind == ".npy":
+        return arrays.read_npy(spark, path)
     if kind in SEPARATORS:
-        lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).where(F.trim("value") != "")
-        numbered = lines.rdd.map(lambda r: r["value"]).zipWithIndex().toDF("value string, sample_id long")
-        return numbered.select("sample_id", F.transform(F.split("value", SEPARATORS[kind]), lambda s: s.cast("double")).alias("x"))
-    m = np.atleast_2d(read_matrix(spark, path))
+        lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("piece")).where(F.trim("value") != "")
+        numbers = offset(lines.withColumn("at", F.monotonically_increasing_id()), "piece", "at", "sample_id")
+        return numbers.select("sample_id", F.transform(F.split("value", SEPARATORS[kind]), lambda s: s.cast("double")).alias("x"))
+    m = np.atleast_2d(read_matrix(spark, path))  # FSL matrices are designs, of samples x regressors
     return spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(m)], "sample_id long, x array<double>")
 
 
@@ -82,10 +87,6 @@ def to_observations(table: DataFrame) -> DataFrame:
     return table.select("sample_id", F.posexplode("x").alias("feature_id", "y")).withColumn("feature_id", F.col("feature_id").cast("long"))
 
 
-#: NIfTI-1 data type codes.
-NIFTI_TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
-
-
 @dataclass
 class Volume:
     """An image: its array (i, j, k[, t]) and its affine."""
@@ -95,39 +96,13 @@ class Volume:
 
 
 def parse_nifti(raw: bytes) -> Volume:
-    """A NIfTI-1 single file, gzipped or not."""
+    """A NIfTI-1 single file, gzipped or not; of the size of a mask or a map, not of data."""
     if raw[:2] == b"\x1f\x8b":
         raw = gzip.decompress(raw)
-    order = "<" if struct.unpack_from("<i", raw)[0] == 348 else ">"
-    if struct.unpack_from(order + "i", raw)[0] != 348:
-        raise ValueError("not a NIfTI-1 file")
-    dim = struct.unpack_from(order + "8h", raw, 40)
-    code = struct.unpack_from(order + "h", raw, 70)[0]
-    pixdim = struct.unpack_from(order + "8f", raw, 76)
-    offset, slope, shift = struct.unpack_from(order + "3f", raw, 108)
-    qform, sform = struct.unpack_from(order + "2h", raw, 252)
-    if code not in NIFTI_TYPES:
-        raise ValueError(f"unsupported NIfTI data type {code}")
-    shape = dim[1 : dim[0] + 1]
-    data = np.frombuffer(raw, order + NIFTI_TYPES[code], int(np.prod(shape)), int(offset)).reshape(shape, order="F").astype(np.float64)
-    if slope not in (0, 1) or (slope and shift):
-        data = data * (slope or 1) + shift
-    affine = np.eye(4)
-    if sform > 0:
-        affine[:3] = np.array(struct.unpack_from(order + "12f", raw, 280)).reshape(3, 4)
-    elif qform > 0:
-        b, c, d, x, y, z = struct.unpack_from(order + "6f", raw, 256)
-        a = np.sqrt(max(0.0, 1 - b * b - c * c - d * d))
-        turn = np.array([
-            [a * a + b * b - c * c - d * d, 2 * (b * c - a * d), 2 * (b * d + a * c)],
-            [2 * (b * c + a * d), a * a + c * c - b * b - d * d, 2 * (c * d - a * b)],
-            [2 * (b * d - a * c), 2 * (c * d + a * b), a * a + d * d - b * b - c * c],
-        ])
-        affine[:3, :3] = turn * np.array([pixdim[1], pixdim[2], pixdim[3] * (-1 if pixdim[0] < 0 else 1)])
-        affine[:3, 3] = x, y, z
-    else:
-        affine[[0, 1, 2], [0, 1, 2]] = pixdim[1:4]
-    return Volume(data, affine)
+    head = arrays.header(raw)
+    count = int(np.prod(head.shape))
+    data = head.values(raw[head.offset : head.offset + count * np.dtype(head.dtype).itemsize]).reshape(head.shape, order="F")
+    return Volume(data[..., 0] if head.shape[3] == 1 else data, np.array(head.affine))
 
 
 def nifti_bytes(volume: Volume, compress: bool = True) -> bytes:
@@ -154,25 +129,21 @@ def read_volume(spark: SparkSession, source) -> Volume:
     return parse_nifti(read_bytes(spark, source))
 
 
-def read_voxels(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(image_id, path, t, i, j, k, value) of images, parsed where they are read; image_id is the place in the list."""
-    order = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "image_id long, given string")
-
-    def run(frames):
-        for f in frames:
-            for path, raw in zip(f["path"], f["content"]):
-                data = parse_nifti(bytes(raw)).data
-                data = data[..., None] if data.ndim == 3 else data
-                i, j, k, t = (a.ravel() for a in np.indices(data.shape))
-                yield pd.DataFrame({"path": path, "t": t, "i": i, "j": j, "k": k, "value": data.ravel()})
-
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    voxels = files.mapInPandas(run, "path string, t int, i int, j int, k int, value double")
-    return voxels.join(F.broadcast(order), F.expr("path like concat('%', given)")).select("image_id", "path", "t", "i", "j", "k", "value")
+def read_voxels(spark: SparkSession, paths: list[str], lattice: DataFrame | None = None) -> DataFrame:
+    """(image_id, path, t, i, j, k, value) of images; image_id is the place in the list, whatever the names are. lattice: of a mask, of
+    which the box is read and no more."""
+    if lattice is None:
+        return arrays.read_images(spark, paths)
+    ends = lattice.agg(*(f(c).alias(f"{n}_{c}") for c in "ijk" for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    box = [[0, 0]] * 3 if ends["lo_i"] is None else [[ends[f"lo_{c}"], ends[f"hi_{c}"] + 1] for c in "ijk"]
+    return arrays.read_images(spark, paths, box)
 
 
-def lattice_of(spark: SparkSession, mask: Volume) -> DataFrame:
-    """(feature_id, i, j, k) of a mask's voxels, numbered in C order."""
+def lattice_of(spark: SparkSession, mask: Volume | str) -> DataFrame:
+    """(feature_id, i, j, k) of a mask's voxels, numbered in C order. A mask's file is read, and its voxels are numbered, in tasks."""
+    if isinstance(mask, str):
+        inside = arrays.read_images(spark, [mask]).where("t = 0 and value <> 0").select("i", "j", "k")
+        return numbered(inside, "i", "j", "k", name="feature_id").select("feature_id", "i", "j", "k")
     rows = [(n, *map(int, p)) for n, p in enumerate(np.argwhere(mask.data != 0))]
     return spark.createDataFrame(rows, "feature_id long, i int, j int, k int")
 
