@@ -68,8 +68,8 @@ def checked(args: argparse.Namespace) -> argparse.Namespace:
             raise SystemExit(f"{name}: one of {', '.join(MATRICES)}")
     if args.f_only and not args.f_contrast:
         raise SystemExit("-fonly needs -f")
-    if args.tfce and not args.mask:
-        raise SystemExit("-T needs -m")
+    if args.tfce and not args.mask and not images:
+        raise SystemExit("-T needs images or -m")
     if args.permutations <= 0:
         raise SystemExit("-n must be positive")
     if args.one_minus_p and args.neg_log10_p:

@@ -6,6 +6,7 @@ from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shared import settled
 
@@ -15,7 +16,8 @@ def offset(rows: DataFrame, part: str, at: str, name: str) -> DataFrame:
     row. A part is a partition or a piece of a file: the driver sees two numbers of each."""
     held = rows.groupBy(part).agg(F.min(at).alias("first"), F.count("*").alias("n")).orderBy(part).collect()
     before = accumulate((r["n"] for r in held), initial=0)
-    starts = rows.sparkSession.createDataFrame([(r[part], b - r["first"]) for r, b in zip(held, before)], f"{part} bigint, _before bigint")
+    shape = T.StructType([T.StructField(part, rows.schema[part].dataType), T.StructField("_before", T.LongType())])
+    starts = rows.sparkSession.createDataFrame([(r[part], b - r["first"]) for r, b in zip(held, before)], shape)
     return rows.join(F.broadcast(starts), part).withColumn(name, F.col(at) + F.col("_before")).drop(part, at, "_before")
 
 

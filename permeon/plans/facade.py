@@ -9,8 +9,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import similarity, tfce
-from ..sources import loaders, sinks
+from ..operators import masks, similarity, tfce
+from ..operators.order import numbered
+from ..shared import settled
+from ..sources import arrays, loaders, sinks
 from ..spec import AnalysisSpec
 from . import analysis
 from .ranges import resumable_analysis
@@ -25,7 +27,7 @@ def plain(value: object) -> object:
 
 @dataclass
 class Dataset:
-    """data: an array (samples x features), a DataFrame (sample_id, feature_id, y), a table file, or images with `mask`. Other
+    """data: an array (samples x features), a DataFrame (sample_id, feature_id, y), a table file, or images with `mask` (without one, an automatic mask). Other
     settings are AnalysisSpec's; its matrices may be paths. A one-dimensional array is one sample; with a mask, one feature."""
 
     data: object
@@ -33,6 +35,7 @@ class Dataset:
     mask: object = None
     output_prefix: str | None = None
     name: str = "dataset"
+    _own: DataFrame | None = field(default=None, init=False, repr=False, compare=False)
 
     def spec(self, spark: SparkSession) -> AnalysisSpec:
         known = {f.name for f in fields(AnalysisSpec)}
@@ -42,24 +45,41 @@ class Dataset:
         matrices = ("design", "contrast", "f_contrast", "exchangeability", "variance_groups")
         return AnalysisSpec(**{k: loaders.read_matrix(spark, v) if k in matrices and v is not None else v for k, v in self.settings.items()})
 
-    def volume(self, spark: SparkSession) -> loaders.Volume | None:
-        return None if self.mask is None else loaders.read_volume(spark, self.mask)
+    def paths(self) -> list[str]:
+        """Of the images, if the data are images."""
+        if not loaders.is_image(self.data) or isinstance(self.data, loaders.Volume):
+            return []
+        return [self.data] if isinstance(self.data, str) else [str(p) for p in self.data]
 
     def lattice(self, spark: SparkSession) -> DataFrame:
-        """The mask's voxels."""
+        """The mask's voxels; of images without one, an automatic mask's."""
+        if self.mask is None:
+            if self._own is None:
+                inside = masks.automatic(loaders.read_voxels(spark, self.paths()))
+                self._own = settled(numbered(inside, "i", "j", "k", name="feature_id").select("feature_id", "i", "j", "k"))
+            return self._own
         return loaders.lattice_of(spark, self.mask if isinstance(self.mask, str) else self.volume(spark))
 
+    def volume(self, spark: SparkSession) -> loaders.Volume | None:
+        """The mask as an image, which results are written in; None if there is none."""
+        if self.mask is not None:
+            return loaders.read_volume(spark, self.mask)
+        if not self.paths():
+            return None
+        head = arrays.head_of(self.paths()[0])
+        data = np.zeros(head.shape[:3])
+        at = self.lattice(spark).select("i", "j", "k").toPandas().to_numpy()
+        data[tuple(at.T)] = 1
+        return loaders.Volume(data, np.array(head.affine))
+
     def features(self, spark: SparkSession) -> DataFrame:
         """(feature_id, y array in sample order)."""
         data = self.data
         if isinstance(data, DataFrame):
             return analysis.to_features(data)
         if loaders.is_image(data):
-            paths = [data] if isinstance(data, str) else [str(p) for p in data]
-            if self.mask is None:
-                raise ValueError("images need a mask")
             lattice = self.lattice(spark)
-            voxels = loaders.mask_voxels(loaders.read_voxels(spark, paths, lattice), lattice)
+            voxels = loaders.mask_voxels(loaders.read_voxels(spark, self.paths(), lattice), lattice)
             obs = voxels.select(F.struct("image_id", "t").alias("sample_id"), "feature_id", F.col("value").alias("y"))
             return analysis.to_features(obs)
         if isinstance(data, str):

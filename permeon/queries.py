@@ -18,6 +18,8 @@ from . import exchange
 from .functions import special
 from .operators import glm, infer, logistic, qc, similarity, spatial, tfce
 from .plans import analysis
+from .shared import scratch_path
+from .sources import arrays, loaders
 from .spec import AnalysisSpec
 
 P = 20
@@ -141,6 +143,47 @@ def lattice(spark, sf):
 
 
 LATTICE = "lattice as (select distinct feature_id, (feature_id // 16)::int as i, (feature_id // 4 % 4)::int as j, (feature_id % 4)::int as k from obs)"
+# Sources: files that Spark writes from the tables, and reads again
+
+
+IMAGES = 100  # volumes of an image
+
+
+@query(f"with {OBS}, {LATTICE} select sample_id // {IMAGES} as image_id, (sample_id % {IMAGES})::int as t, feature_id, y as value from obs join lattice using (feature_id) where j between 1 and 2 and k > 0")
+def scan_images(spark, sf):
+    """A mask's voxels of images of volumes, one for each vector; of the images its box is read."""
+    places = lattice(spark, sf)
+    voxels = obs(spark, sf).join(F.broadcast(places), "feature_id").select(F.floor(F.col("sample_id") / IMAGES).alias("image_id"), (F.col("sample_id") % IMAGES).cast("int").alias("t"), "i", "j", "k", F.col("y").alias("value"))
+    paths = arrays.write_images(voxels, scratch_path(spark, "images"), (4, 4, 4), AFFINE, compress=False)
+    mask = places.where("j between 1 and 2 and k > 0")
+    return loaders.mask_voxels(loaders.read_voxels(spark, paths, mask), mask).select("image_id", "t", "feature_id", "value")
+
+
+@query(f"with {OBS}, {LATTICE} select sample_id // {IMAGES} as image_id, (sample_id % {IMAGES})::int as t, i, j, k, y as value from obs join lattice using (feature_id)")
+def scan_gzipped_images(spark, sf):
+    voxels = obs(spark, sf).join(F.broadcast(lattice(spark, sf)), "feature_id").select(F.floor(F.col("sample_id") / IMAGES).alias("image_id"), (F.col("sample_id") % IMAGES).cast("int").alias("t"), "i", "j", "k", F.col("y").alias("value"))
+    paths = arrays.write_images(voxels, scratch_path(spark, "images"), (4, 4, 4), AFFINE)
+    return loaders.read_voxels(spark, paths).select("image_id", "t", "i", "j", "k", "value")
+
+
+ROWS = "places as (select vec_id, row_number() over (order by vec_id) - 1 as sample_id, embedding from embeddings)"
+
+
+@query(f"with {ROWS} select sample_id, (generate_subscripts(embedding, 1) - 1)::bigint as feature_id, unnest(embedding)::double as y from places")
+def scan_npy(spark, sf):
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("sample_id"), F.col("embedding").cast("array<double>").alias("x"))
+    paths = arrays.write_npy(e, scratch_path(spark, "npy"))
+    return loaders.to_observations(arrays.read_npy(spark, paths))
+
+
+@query(f"with {ROWS} select sample_id, (generate_subscripts(embedding, 1) - 1)::bigint as feature_id, round(unnest(embedding)::double, 6) + 0.0 as y from places")
+def scan_csv(spark, sf):
+    e = table(spark, sf, "embeddings").repartitionByRange("vec_id").sortWithinPartitions("vec_id")
+    folder = scratch_path(spark, "csv")
+    e.select(F.concat_ws(",", F.transform("embedding", lambda v: v.cast("double").cast("string")))).write.text(folder)
+    return loaders.to_observations(loaders.read_table(spark, folder, ".csv")).withColumn("y", r6(F.col("y")))
+
+
 AFFINE = np.array([[2.0, 0.0, 0.0, -90.0], [0.0, 2.0, 0.5, -126.0], [0.0, -0.5, 2.0, -72.0], [0, 0, 0, 1]])
 
 

@@ -132,7 +132,7 @@ def clipped(box: list[list[int]] | None, shape: tuple) -> list[tuple[int, int]]:
 
 
 @dataclass
-class Planes(InputPartition):
+class Planes:
     """Planes lo .. hi - 1 of volume t of an image (t None: of all its volumes)."""
 
     image_id: int
@@ -143,29 +143,42 @@ class Planes(InputPartition):
     hi: int
 
 
+@dataclass
+class Bundle(InputPartition):
+    """Planes of one image or of several small ones."""
+
+    parts: list[Planes]
+
+
 class NiftiReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.paths = json.loads(options["paths"])
         self.box = json.loads(options.get("box", "null"))
         self.part_bytes = int(options.get("partbytes", PART_BYTES))
 
-    def partitions(self) -> list[Planes]:
+    def partitions(self) -> list[Bundle]:
         with ThreadPoolExecutor(16) as pool:
             heads = list(pool.map(head_of, self.paths))
-        out = []
+        out, held = [], 0
         for i, (path, head) in enumerate(zip(self.paths, heads)):
             lo, hi = clipped(self.box, head.shape)[2]
-            if gzipped(path):
-                out.append(Planes(i, path, head, None, lo, hi))
-                continue
-            step = max(1, self.part_bytes // max(1, head.shape[0] * head.shape[1] * np.dtype(head.dtype).itemsize))
-            out += [Planes(i, path, head, t, k, min(k + step, hi)) for t in range(head.shape[3]) for k in range(lo, hi, step)]
+            plane = head.shape[0] * head.shape[1] * np.dtype(head.dtype).itemsize
+            step = max(1, self.part_bytes // max(1, plane))
+            parts = [Planes(i, path, head, t, k, min(k + step, hi)) for t in range(head.shape[3]) for k in range(lo, hi, step)]
+            for part in [Planes(i, path, head, None, lo, hi)] if gzipped(path) else parts:
+                size = plane * (part.hi - part.lo) * (head.shape[3] if part.t is None else 1)
+                if not out or held + size > self.part_bytes:
+                    out.append(Bundle([]))
+                    held = 0
+                out[-1].parts.append(part)
+                held += size
         return out
 
-    def read(self, part: Planes) -> Iterator[pa.RecordBatch]:
-        with Ranges(part.path) as file:
-            for t, k, rows in (unzipped if part.t is None else ranged)(file, part, self.box):
-                yield plane(part, self.box, t, k, rows)
+    def read(self, bundle: Bundle | None) -> Iterator[pa.RecordBatch]:
+        for part in bundle.parts if bundle else []:  # None: there are no partitions
+            with Ranges(part.path) as file:
+                for t, k, rows in (unzipped if part.t is None else ranged)(file, part, self.box):
+                    yield plane(part, self.box, t, k, rows)
 
 
 def ranged(file: Ranges, part: Planes, box) -> Iterator[tuple[int, int, bytes]]:
@@ -260,33 +273,51 @@ def matrix_head(file: Ranges) -> Matrix:
 
 @dataclass
 class Rows(InputPartition):
+    """Rows lo .. hi - 1 of a file, of which the first has a number."""
+
+    path: str
+    head: Matrix
     lo: int
     hi: int
+    number: int
+
+
+def matrix_of(path: str) -> Matrix:
+    with Ranges(path) as file:
+        return matrix_head(file)
 
 
 class NpyReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.path, self.part_bytes = options["path"], int(options.get("partbytes", PART_BYTES))
-        with Ranges(self.path) as file:
-            self.head = matrix_head(file)
+        self.paths, self.part_bytes = json.loads(options["paths"]), int(options.get("partbytes", PART_BYTES))
 
     def partitions(self) -> list[Rows]:
-        n, width = self.head.shape
-        step = max(1, self.part_bytes // max(1, width * np.dtype(self.head.dtype).itemsize))
-        return [Rows(lo, min(lo + step, n)) for lo in range(0, n, step)]
-
-    def read(self, part: Rows) -> Iterator[pa.RecordBatch]:
-        n, width = self.head.shape
-        size = np.dtype(self.head.dtype).itemsize
-        with Ranges(self.path) as file:
-            if self.head.by_column:
-                columns = [np.frombuffer(file.at(self.head.offset + (c * n + part.lo) * size, (part.hi - part.lo) * size), self.head.dtype) for c in range(width)]
-                yield rows(part.lo, np.stack(columns, 1) if columns else np.empty((part.hi - part.lo, 0)))
+        with ThreadPoolExecutor(16) as pool:
+            heads = list(pool.map(matrix_of, self.paths))
+        if len({h.shape[1] for h in heads}) > 1:
+            raise ValueError(f"files with different numbers of columns: {sorted({h.shape[1] for h in heads})}")
+        out, before = [], 0
+        for path, head in zip(self.paths, heads):
+            n, width = head.shape
+            step = max(1, self.part_bytes // max(1, width * np.dtype(head.dtype).itemsize))
+            out += [Rows(path, head, lo, min(lo + step, n), before + lo) for lo in range(0, n, step)]
+            before += n
+        return out
+
+    def read(self, part: Rows | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # there are no partitions
+            return
+        (n, width), dtype = part.head.shape, part.head.dtype
+        size, start = np.dtype(dtype).itemsize, part.head.offset
+        with Ranges(part.path) as file:
+            if part.head.by_column:
+                columns = [np.frombuffer(file.at(start + (c * n + part.lo) * size, (part.hi - part.lo) * size), dtype) for c in range(width)]
+                yield rows(part.number, np.stack(columns, 1) if columns else np.empty((part.hi - part.lo, 0)))
                 return
             step = max(1, READ_BYTES // max(1, width * size))
             for lo in range(part.lo, part.hi, step):
                 hi = min(lo + step, part.hi)
-                yield rows(lo, np.frombuffer(file.at(self.head.offset + lo * width * size, (hi - lo) * width * size), self.head.dtype).reshape(hi - lo, width))
+                yield rows(part.number + lo - part.lo, np.frombuffer(file.at(start + lo * width * size, (hi - lo) * width * size), dtype).reshape(hi - lo, width))
 
 
 def rows(first: int, x: np.ndarray) -> pa.RecordBatch:
@@ -295,7 +326,7 @@ def rows(first: int, x: np.ndarray) -> pa.RecordBatch:
 
 
 class NpySource(DataSource):
-    """Options: path, partBytes."""
+    """Options: paths (a JSON list), partBytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -314,7 +345,57 @@ def read_images(spark: SparkSession, paths: list[str], box: list[list[int]] | No
     return spark.read.format("nifti").option("paths", json.dumps([str(p) for p in paths])).option("box", json.dumps(box)).option("partBytes", part_bytes).load()
 
 
-def read_npy(spark: SparkSession, path: str, part_bytes: int = PART_BYTES) -> DataFrame:
-    """Rows of a matrix; a vector is one row."""
+def read_npy(spark: SparkSession, paths: str | list[str], part_bytes: int = PART_BYTES) -> DataFrame:
+    """Rows of a matrix, or of several, one after the other; a vector is one row."""
     spark.dataSource.register(NpySource)
-    return spark.read.format("npy").option("path", path).option("partBytes", part_bytes).load()
+    paths = [paths] if isinstance(paths, str) else [str(p) for p in paths]
+    return spark.read.format("npy").option("paths", json.dumps(paths)).option("partBytes", part_bytes).load()
+
+
+def create(path: str, data: bytes) -> None:
+    """A file in any file system that pyarrow knows, with the folders that it needs."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+    system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(inner, compression=None) as out:
+        out.write(data)
+
+
+def write_npy(rows: DataFrame, folder: str, partitions: int | None = None) -> list[str]:
+    """rows (sample_id, x array) as .npy files under a folder, a range of sample_ids each, written by the tasks; their paths, in order. What
+    read_npy makes of them has the rows in the order of their sample_ids."""
+    import io
+
+    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(frames):
+        import pandas as pd
+        from pyspark import TaskContext
+
+        held = [f for f in frames if len(f)]
+        if held:
+            buffer = io.BytesIO()
+            np.save(buffer, np.stack([np.asarray(x, np.float64) for f in held for x in f["x"]]))
+            path = f"{folder}/part-{TaskContext.get().partitionId():06d}.npy"
+            create(path, buffer.getvalue())
+            yield pd.DataFrame({"path": [path]})
+
+    ordered = rows.select("sample_id", "x").repartitionByRange(n, "sample_id").sortWithinPartitions("sample_id")
+    return sorted(r[0] for r in ordered.mapInPandas(run, "path string").collect())
+
+
+def write_images(voxels: DataFrame, folder: str, shape: tuple[int, int, int], affine: np.ndarray, compress: bool = True) -> list[str]:
+    """voxels (image_id, t, i, j, k, value) as NIfTI-1 images, an image a task; what is not there is 0. Their paths, by image_id."""
+    import pandas as pd
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        from .loaders import Volume, nifti_bytes
+
+        data = np.zeros((*shape, int(f["t"].max()) + 1))
+        data[f["i"], f["j"], f["k"], f["t"]] = f["value"]
+        path = f"{folder}/image-{int(f['image_id'].iloc[0]):09d}.nii{'.gz' if compress else ''}"
+        create(path, nifti_bytes(Volume(data, affine), compress))
+        return pd.DataFrame({"path": [path]})
+
+    return sorted(r[0] for r in voxels.groupBy("image_id").applyInPandas(run, "path string").collect())

@@ -68,14 +68,15 @@ def read_matrix(spark: SparkSession, source) -> np.ndarray:
     return parse_matrix(source, read_bytes(spark, source))
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """(sample_id, x array<double>) of a text table or .npy file of any length. sample_id follows the order of the file: lines are numbered
-    inside the pieces that Spark cuts a text into, and an array's rows by their place. A vector in an .npy file is one row."""
-    kind = suffix_of(path)
+def read_table(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """(sample_id, x array<double>) of a text table or .npy file of any length, or of a folder of text parts (kind says of which). sample_id
+    follows the order of the file, and of the parts' names: lines are numbered inside the pieces that Spark cuts a text into, and an array's
+    rows by their place. A vector in an .npy file is one row."""
+    kind = kind or suffix_of(path)
     if kind == ".npy":
         return arrays.read_npy(spark, path)
     if kind in SEPARATORS:
-        lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("piece")).where(F.trim("value") != "")
+        lines = spark.read.text(path).select("value", F.struct("_metadata.file_path", "_metadata.file_block_start").alias("piece")).where(F.trim("value") != "")
         numbers = offset(lines.withColumn("at", F.monotonically_increasing_id()), "piece", "at", "sample_id")
         return numbers.select("sample_id", F.transform(F.split("value", SEPARATORS[kind]), lambda s: s.cast("double")).alias("x"))
     m = np.atleast_2d(read_matrix(spark, path))  # FSL matrices are designs, of samples x regressors
