@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ._session import written
 
-LEAST = 0.6
+LEAST = 0.7
 DIRECTORIES, SALTS = 100_000, 16
 
 #: Licence ids and the sentences that state them.
@@ -88,6 +88,41 @@ TEXTS = TEMPLATES | {
         distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
     "Proprietary#header": "Copyright (c). All rights reserved.",
 }
+
+
+def _gnu(name: str, version: str, what: str = "program", address: bool = False) -> str:
+    """The header of a GNU licence, of which there are many that differ in a few words."""
+    end = "write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA." if address else "see https://www.gnu.org/licenses/."
+    return f"""This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} Public License as
+        published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version. This {what}
+        is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY
+        or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} Public License for more details. You should have received a copy of the GNU
+        {name} Public License along with this {what}. If not, {end}"""
+
+
+# Neighbours of these, so that they are told apart. Licence ids and their texts.
+TEXTS |= {
+    "AGPL-3.0#header": _gnu("Affero General", "3"),
+    "AGPL-3.0#head": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "BSD-2-Clause#file": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions
+        and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions
+        and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "EPL-2.0": "Licensed under the Eclipse Public License, Version 2.0.",
+    "EPL-2.0#header": """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is
+        available at https://www.eclipse.org/legal/epl-2.0/""",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0#head": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GPL-2.0#header": _gnu("General", "2", address=True),
+    "ISC#file": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
+        that the above copyright notice and this permission notice appear in all copies.""",
+    "LGPL-2.1#header": _gnu("Lesser General", "2.1", "library", address=True),
+    "LGPL-3.0#header": _gnu("Lesser General", "3", "library"),
+}
 FILE_NAMES = r"(?i)(^|/)(licen[cs]e|copying|notice)(\.[a-z]+)?$"
 
 

@@ -593,6 +593,22 @@ def test_licence_headers_and_files(spark):
     assert got == {1: "MIT", 2: "MIT", 3: "GPL-3.0", 4: "Apache-2.0", 5: "MPL-2.0", 6: "Apache-2.0", 7: "Proprietary", 8: None, 9: None}
 
 
+def test_licences_that_are_alike(spark):
+    """Each text names its own licence; prose and unknown neighbours name none, or none that they aren't."""
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    told = {
+        gpl.format("Affero General", "3"): "AGPL-3.0", gpl.format("Lesser General", "2.1").replace("program", "library"): "LGPL-2.1", gpl.format("General", "2"): "GPL-2.0", gpl.format("General", "3"): "GPL-3.0",
+        "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0", "Licensed under CC BY 4.0.": "CC-BY-4.0", "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0",
+        "Licensed under the Eclipse Public License, Version 2.0.": "EPL-2.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "The rights of all people are reserved.": None, "All of these rights were reserved by the people of the town.": None,
+    }
+    told |= {text: name.split("#")[0] for name, text in license.TEXTS.items()}
+    docs = spark.createDataFrame([(i, f"d{i}/a.txt", text) for i, text in enumerate(told)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["own_license"] for r in local(license.scan(docs))}
+    for i, (text, name) in enumerate(told.items()):
+        assert got[i] == name, text
+
+
 def test_licences_of_awkward_files(spark, monkeypatch):
     """Repeated rows, clashing columns, a tie of two licences in a directory, a very long file, many directories."""
     apache, mit = license.TEXTS["Apache-2.0"], license.TEXTS["MIT"]
