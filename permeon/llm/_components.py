@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from ._session import dropped, written
 
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """links (a long, b long) to (node, component), component the smallest node that links lead to.
 
     Alternates large and small stars: each node hands its larger, then its smaller neighbours to the smallest node it
-    sees, until nothing moves. Minima are combined before the shuffle, so a node with very many links is no hot group;
+    sees, until nothing moves; the number of rounds grows with the logarithm of the longest path. Minima are combined before the shuffle, so a node with very many links is no hot group;
     each round is written, so a lost executor costs one round at most.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    for _ in range(most):
+    while True:
         before = edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -30,7 +30,6 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         dropped(before)
         if same:
             return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-    raise RuntimeError(f"no end after {most} rounds")
 
 
 def _sum(edges: DataFrame) -> tuple:
