@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import difflib
 import json
+import os
 import sys
 import warnings
 
@@ -14,6 +16,13 @@ from .sources import loaders, sinks
 
 TABLES = (".csv", ".tsv", ".txt", ".npy")
 MATRICES = (*TABLES, ".con", ".mat")
+#: Flags of the command line that this one follows which have no meaning here; they are told and left out.
+IGNORED = """
+-s -npcmethod -npcmod -npccon -npc -mv -C -Cstat -tfce1D -tfce2D -corrmod -concordant -reversemasks -advanced -con -tonly -cmcp -cmcx
+-conskipcount -Cuni -Cnpc -Cmv -designperinput -ev4vg -evperdat -inormal -probit -inputmv -noranktest -noniiclass -nounivariate
+-nouncorrected -pmethodp -pmethodr -removevgbysize -rmethod -savedof -savemask -savemetrics -saveparametric -saveglm -syncperms -subjidx
+-tfce_H -tfce_E -tfce_dh -Tuni -Tnpc -Tmv -transposedata -verbosefilenames -vgdemean
+""".split()
 
 
 def parser() -> argparse.ArgumentParser:
@@ -55,6 +64,33 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def left_out(rest: list[str], known: argparse.ArgumentParser) -> list[str]:
+    """Of the arguments that the parser doesn't know, those to be ignored; anything else is an error."""
+    told, values = [], False
+    for arg in rest:
+        flag = arg.startswith("-") and not arg[1:2].isdigit()
+        if flag and arg not in IGNORED:
+            near = difflib.get_close_matches(arg, [*IGNORED, *(o for a in known._actions for o in a.option_strings)], 1)
+            known.error(f"unknown flag {arg}" + (f"; did you mean {near[0]}?" if near else ""))
+        if not flag and not values:
+            known.error(f"unknown argument {arg}")
+        values = values or flag
+        told.append(arg)
+    return told
+
+
+def output_prefix(given: str) -> str:
+    """A folder gives a prefix inside it; anything else is a prefix, relative to the current folder; URIs stay as they are."""
+    if "://" in given:
+        return given
+    path = os.path.abspath(given)
+    if given.endswith(os.sep) or os.path.isdir(path):
+        os.makedirs(path, exist_ok=True)
+        return os.path.join(path, "")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    return path
+
+
 def checked(args: argparse.Namespace) -> argparse.Namespace:
     """Settings that don't go together."""
     if args.what != "glm":
@@ -116,10 +152,13 @@ def similarity(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def main(argv: list[str] | None = None) -> int:
-    args, ignored = parser().parse_known_args(argv)
-    if ignored:
+    known = parser()
+    args, rest = known.parse_known_args(argv)
+    which = next(a for a in known._actions if isinstance(a, argparse._SubParsersAction)).choices[args.what]
+    if ignored := left_out(rest, which):
         warnings.warn(f"ignored: {' '.join(ignored)}", stacklevel=2)
     args = checked(args)
+    args.output = output_prefix(args.output)
     spark = SparkSession.builder.appName("permeon").getOrCreate()
     if args.what == "glm":
         print(json.dumps(glm(spark, args)))
@@ -128,5 +167,15 @@ def main(argv: list[str] | None = None) -> int:
     return 0
 
 
+def glm_main() -> int:
+    """The console script of the analysis."""
+    return main(["glm", *sys.argv[1:]])
+
+
+def similarity_main() -> int:
+    """The console script of the similarity of maps."""
+    return main(["similarity", *sys.argv[1:]])
+
+
 if __name__ == "__main__":
     sys.exit(main())

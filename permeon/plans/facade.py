@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field, fields, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +18,10 @@ from . import analysis
 from .ranges import resumable_analysis
 
 
+#: Settings that may be paths of matrices.
+MATRICES = ("design", "contrast", "f_contrast", "exchangeability", "variance_groups")
+
+
 def plain(value: object) -> object:
     """Arrays as lists, for JSON."""
     if hasattr(value, "tolist"):
@@ -42,8 +46,7 @@ class Dataset:
         unknown = set(self.settings) - known
         if unknown:
             raise ValueError(f"unknown settings: {sorted(unknown)}")
-        matrices = ("design", "contrast", "f_contrast", "exchangeability", "variance_groups")
-        return AnalysisSpec(**{k: loaders.read_matrix(spark, v) if k in matrices and v is not None else v for k, v in self.settings.items()})
+        return AnalysisSpec(**{k: loaders.read_matrix(spark, v) if k in MATRICES and v is not None else v for k, v in self.settings.items()})
 
     def paths(self) -> list[str]:
         """Of the images, if the data are images."""
@@ -121,9 +124,22 @@ class Dataset:
         return analysis.permuted_indices(spark, self.spec(spark))
 
     def save_config(self, spark: SparkSession, path: str, command: list[str] | None = None) -> None:
-        """Settings as JSON by name; matrices are written out."""
-        settings = json.loads(self.spec(spark).to_json())
-        sinks.put(spark, path, json.dumps({"data": self.data, "mask": self.mask, "output_prefix": self.output_prefix, "name": self.name, "settings": settings, "cmd": command}, indent=1, default=plain).encode())
+        """Settings as JSON by name. Matrices, and data that are an array, are written beside it as headerless CSV and told by their path;
+        what came as a path stays one."""
+        settings = json.loads(replace(self.spec(spark), **dict.fromkeys(MATRICES[2:])).to_json())
+        stem = path.removesuffix(".json")
+
+        def beside(name: str, value: object) -> object:
+            if value is None or isinstance(value, str):
+                return value
+            lines = "".join(",".join(repr(x) for x in np.atleast_1d(row).tolist()) + "\n" for row in np.asarray(value))
+            sinks.put(spark, f"{stem}_{name}.csv", lines.encode())
+            return f"{stem}_{name}.csv"
+
+        settings |= {k: beside(k, v) for k, v in self.settings.items() if k in MATRICES}
+        data = beside("data", self.data) if isinstance(self.data, np.ndarray) else self.data
+        told = {"data": data, "mask": self.mask, "output_prefix": self.output_prefix, "name": self.name, "settings": settings, "cmd": command}
+        sinks.put(spark, path, json.dumps(told, indent=1, default=plain).encode())
 
     @classmethod
     def from_config(cls, spark: SparkSession, path: str) -> Dataset:

@@ -52,7 +52,7 @@ def parse_fsl(text: str) -> np.ndarray:
 def parse_matrix(path: str, data: bytes) -> np.ndarray:
     kind = suffix_of(path)
     if kind in SEPARATORS:
-        table = pd.read_csv(io.BytesIO(data), sep=SEPARATORS[kind], header=None).to_numpy()
+        table = pd.read_csv(io.BytesIO(data), sep=SEPARATORS[kind], header=None, float_precision="round_trip").to_numpy()
         return table[:, 0] if table.shape[1] == 1 and kind in SQUEEZED else table
     if kind == ".npy":
         return np.load(io.BytesIO(data), allow_pickle=False)

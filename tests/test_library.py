@@ -137,10 +137,33 @@ def test_command_lines(spark, tmp_path, capsys):
     base = ["glm", "-i", str(tmp_path / "y.csv"), "-d", str(tmp_path / "x.csv"), "-t", str(tmp_path / "c.csv"), "-n", "9"]
     for name in ("a", "b"):
         with pytest.warns(UserWarning, match="ignored"):
-            assert cli.main([*base, "-o", str(tmp_path / name), "-twotail", "-unknown"]) == 0
+            assert cli.main([*base, "-o", str(tmp_path / name), "-twotail", "-savedof", "-rmethod", "huh"]) == 0
     assert len(json.loads(capsys.readouterr().out.splitlines()[-1])) == 4
     assert cli.main(["similarity", "-configs", str(tmp_path / "a_config.json"), str(tmp_path / "b_config.json"), "-o", str(tmp_path / "sim")]) == 0
     assert spark.read.parquet(str(tmp_path / "sim/ds_ds")).first()["r"] == pytest.approx(1)
-    for bad in (["-T"], ["-fonly"], ["-n", "0"]):
+    for bad in (["-T"], ["-fonly"], ["-n", "0"], ["-twotial"], ["-savdof"]):
         with pytest.raises(SystemExit):
             cli.main([*base, *bad])
+    assert "-twotail" in capsys.readouterr().err
+
+
+def test_output_prefixes(tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "there").mkdir()
+    assert cli.output_prefix("there") == f"{tmp_path}/there/" and cli.output_prefix("x") == f"{tmp_path}/x"
+    assert cli.output_prefix("new/sub/x") == f"{tmp_path}/new/sub/x" and (tmp_path / "new/sub").is_dir()
+    assert cli.output_prefix("s3://b/x") == "s3://b/x"
+
+
+def test_configs_with_arrays(spark, tmp_path):
+    eb = np.repeat([1, 2], 18)
+    given = Dataset(DATA[:, :4], {"design": DESIGN, "contrast": np.array([[1.0, 0, 0], [0, 1, 0]]), "f_contrast": np.array([True, True]), "exchangeability": eb, "permutations": 7, "seed": 3})
+    given.save_config(spark, str(tmp_path / "c.json"), ["x"])
+    told = json.loads((tmp_path / "c.json").read_text())
+    assert told["data"] == str(tmp_path / "c_data.csv") and told["settings"]["design"] == str(tmp_path / "c_design.csv")
+    again = Dataset.from_config(spark, str(tmp_path / "c.json"))
+    spec = again.spec(spark)
+    assert np.array_equal(spec.design, DESIGN) and np.array_equal(spec.exchangeability, eb) and spec.f_contrast.tolist() == [True, True] and spec.permutations == 7
+    one, other = (d.run(spark)["result"].features.orderBy("contrast", "feature_id").toPandas() for d in (given, again))
+    assert one["contrast"].tolist() == other["contrast"].tolist() and one["exceed"].tolist() == other["exceed"].tolist()
+    assert one["stat"].to_numpy() == pytest.approx(other["stat"].to_numpy(), rel=1e-12)
