@@ -898,4 +898,4 @@ def stream_online_p(spark, sf):
     return online_p(spark, features(spark, sf), spec(spark, sf, [0, 1]))
 
 
-HEADLINE = ["flagship", "glm_t", "glm_F", "aspin_welch_v", "glm_G_general", "perm_stat_cube", "sim_ds_ds", "tfce_1d", "tfce_3d", "logistic_irls", "fdr_bh", "cfwe_p"]
+HEADLINE = ["flagship", "glm_t", "glm_F", "aspin_welch_v", "glm_G_general", "perm_stat_cube", "sim_ds_ds", "tfce_1d", "tfce_3d", "logistic_irls", "fdr_bh", "cfwe_p", "tfce_fwe", "stream_online_p", "scan_images", "hilbert_order"]
