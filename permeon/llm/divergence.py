@@ -46,55 +46,50 @@ def terms(text: str) -> list[bytes]:
     return text.encode().translate(LETTER).split()
 
 
-#: Bytes that the edges at the root take together.
-HEAD = 3
+#: Bytes of an edge, and the terms below one from which on it gets edges of its own.
+HEAD, BURST = 3, 2048
 
 
 class Trie:
-    """A radix trie over byte strings. An edge: its label, the number of the leaf at its end (-1: none), the edges below by their first
-    byte. The edges at the root have HEAD bytes, or are a whole shorter term."""
+    """A radix trie over byte strings whose small subtrees are flat (a burst trie): an edge takes HEAD bytes, or the rest of a shorter term,
+    and leads to a dict of what follows and the number of the leaf there, or, once that has more than BURST entries, to a trie."""
 
     def __init__(self) -> None:
-        self.edges: dict[bytes, list] = {}
+        self.edges: dict[bytes, dict[bytes, int] | Trie] = {}
         self.size = 0
 
     def leaf(self, term: bytes) -> int:
         """The number of the term's leaf, a new one if there is none."""
-        head = term[:HEAD]
-        edge = self.edges.get(head)
-        if edge is None:
-            self.edges[head] = edge = [head, -1, None]
-        at, end = len(head), len(term)
-        while at < end:
-            if edge[2] is None:
-                edge[2] = {}
-            edges, first = edge[2], term[at]
-            edge = edges.get(first)
-            if edge is None:
-                edges[first] = [term[at:], self.size, None]
+        edges, at = self.edges, 0
+        while True:
+            head = term[at : at + HEAD]
+            below = edges.get(head)
+            at += HEAD
+            if below is None:
+                edges[head] = below = {}
+            elif type(below) is Trie:
+                edges = below.edges
+                continue
+            rest = term[at:]
+            n = below.get(rest)
+            if n is None:
+                below[rest] = n = self.size
                 self.size += 1
-                return self.size - 1
-            label = edge[0]
-            n = len(label)
-            if not term.startswith(label, at):
-                n = next(i for i, x in enumerate(label) if term[at + i : at + i + 1] != label[i : i + 1])
-                edge[:] = [label[:n], -1, {label[n]: [label[n:], edge[1], edge[2]]}]
-            at += n
-        if edge[1] < 0:
-            edge[1] = self.size
-            self.size += 1
-        return edge[1]
+                if len(below) > BURST:
+                    edges[head] = burst = Trie()
+                    for r, m in below.items():
+                        burst.edges.setdefault(r[:HEAD], {})[r[HEAD:]] = m
+            return n
 
     def walk(self) -> Iterator[tuple[bytes, int]]:
         """Terms and their leaves' numbers, in the order of their bytes."""
-        stack = [(b"", e) for _, e in sorted(self.edges.items(), reverse=True)]
+        stack = [(b"", self)]
         while stack:
-            before, (label, leaf, edges) = stack.pop()
-            term = before + label
-            if leaf >= 0:
-                yield term, leaf
-            if edges:
-                stack += [(term, edges[x]) for x in sorted(edges, reverse=True)]
+            before, node = stack.pop()
+            if type(node) is Trie:
+                stack += [(before + head, node.edges[head]) for head in sorted(node.edges, reverse=True)]
+            else:
+                yield from ((before + rest, node[rest]) for rest in sorted(node))
 
 
 class Counters:
@@ -134,12 +129,12 @@ class Counters:
 
     def rows(self, lang: str) -> Iterator[pa.RecordBatch]:
         """A row for each leaf, in the order of its bytes."""
-        walked = list(self.trie.walk())
+        walked, numbers = map(list, zip(*self.trie.walk()))
         rank = np.empty(len(walked), np.int64)
-        rank[[n for _, n in walked]] = np.arange(len(walked))
+        rank[numbers] = np.arange(len(walked))
         code, n, docs = self.added()
         leaf, source = rank[code >> 32], code & 0xFFFFFFFF
-        order = np.lexsort((source, leaf))
+        order = np.argsort(leaf << 32 | source)
         leaf, source, n, docs = leaf[order], source[order], n[order], docs[order]
         names = pa.array(list(self.sources), pa.string())
         for lo in range(0, len(walked), 20_000):
@@ -147,7 +142,7 @@ class Counters:
             a, b = np.searchsorted(leaf, (lo, hi))
             at = np.searchsorted(leaf[a:b], np.arange(lo, hi + 1))
             yield _leaves(
-                pa.array([lang] * (hi - lo), pa.string()), pa.array([t.decode() for t, _ in walked[lo:hi]], pa.string()),
+                pa.array([lang] * (hi - lo), pa.string()), pa.array(walked[lo:hi], pa.binary()).cast(pa.string()),
                 np.add.reduceat(docs[a:b], at[:-1]), at, names.take(pa.array(source[a:b])), n[a:b],
             )
 
@@ -162,7 +157,7 @@ def _leaves(lang: pa.Array, term: pa.Array, docs: np.ndarray, at: np.ndarray, so
 
 def _added(rows: np.ndarray) -> np.ndarray:
     """Rows under equal codes (the first) added up."""
-    rows = rows[:, np.argsort(rows[0], kind="stable")]
+    rows = rows[:, np.argsort(rows[0])]
     if not rows.shape[1]:
         return rows
     first = np.flatnonzero(np.append(True, rows[0, 1:] != rows[0, :-1]))

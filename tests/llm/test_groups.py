@@ -168,8 +168,10 @@ def test_hash_collisions_are_judged_by_strings():
     assert sorted(map(str, spelling.neighbours(rows).to_pylist())) == sorted(map(str, [{"id": 1, "near": 1, "best_n": 50, "best": "abydefgh"}, {"id": 2, "near": 1, "best_n": 5, "best": "abxdefgh"}]))
 
 
-def test_trie():
-    words = sorted({bytes(RNG.choice(list(b"ab\xc3\xa9"), RNG.integers(1, 9))) for _ in range(500)})
+@pytest.mark.parametrize("burst", [2, 2048])
+def test_trie(burst, monkeypatch):
+    monkeypatch.setattr(divergence, "BURST", burst)
+    words = sorted({bytes(RNG.choice(list(b"ab\xc3\xa9"), RNG.integers(1, 9))) for _ in range(500)} | {b"z" * 40 + bytes([i]) for i in range(9)})
     trie, seen = divergence.Trie(), {}
     for w in RNG.permutation(np.array(words, object)):
         seen[w] = trie.leaf(w)
