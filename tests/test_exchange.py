@@ -10,6 +10,7 @@ from permeon.exchange import permutations, signs, variance_groups
 A = np.array
 
 
+# Labels, flags and the variance groups that they have to give.
 @pytest.mark.parametrize(
     ("eb", "flags", "expected"),
     [
