@@ -54,7 +54,7 @@ TEMPLATES = {
     "Proprietary": "All rights reserved.",
 }
 
-#: Also headers over several lines, heads of licence files and whole short licences; # tells a licence's texts apart.
+#: Also headers over several lines, heads of licence files and whole short licences; # tells a licence's texts apart.
 TEXTS = TEMPLATES | {
     "Apache-2.0#head": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
     "Apache-2.0#header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
