@@ -125,3 +125,21 @@ def test_spec_errors():
     s = AnalysisSpec(x, np.eye(2), f_contrast=np.array([0, 1]), permutations=5)
     assert list(s.labels()) == ["c1", "c2", "f"]
     assert AnalysisSpec.from_json(s.to_json()).permutations == 5
+
+
+def test_axial_rotation():
+    affine = np.diag([2.0, 2, 3, 1])
+    affine[:3, 3] = 5, 6, 7
+    turned = spatial.axial_rotation(affine, 90)
+    point = np.array([1.0, 2, 3, 1])
+    x, y, z, _ = affine @ point
+    assert turned @ point == pytest.approx([y, -x, z, 1])  # a quarter clockwise, seen from above
+    assert spatial.axial_rotation(spatial.axial_rotation(affine, 33), -33) == pytest.approx(affine)
+    assert spatial.axial_rotation(affine, 360) == pytest.approx(affine)
+
+
+def test_autocorrelation_compared(spark):
+    a = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 4.0)], "bin int, gamma double")
+    b = spark.createDataFrame([(0, 2.0), (1, 0.0), (5, 9.0)], "bin int, gamma double")
+    assert spatial.variogram_rmse(a, b).first()["rmse"] == pytest.approx(((1 + 4) / 2) ** 0.5)
+    assert spatial.variogram_rmse(a, a).first()["rmse"] == 0
