@@ -3,8 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return the columns
 of documents. run() writes each stage's result to the shared folder and reads it back, so a lost executor costs one stage.
 
-Null and empty texts, null ids and repeated rows pass through as each operator's docstring says; empty tables give empty results;
-extra columns are kept up to the last stage.
+Null and empty texts, null ids and repeated rows pass through as each operator's docstring says; very long texts are scored, compared, cut
+and packed whole; ties go to the smaller doc_id; empty tables give empty results; extra columns, whatever their names, are kept up to the
+last stage.
 """
 
 from __future__ import annotations
