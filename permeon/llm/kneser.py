@@ -266,8 +266,9 @@ def _ask(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                shard, data = zip(*ask(Block(blob.as_py()), shards)) if len(blob.as_py()) else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array([number] * len(shard), pa.int64()), pa.array(shard, pa.int32()), pa.array(data, pa.binary())], names=["block", "shard", "data"])
+                asked = list(ask(Block(blob.as_py()), shards)) if len(blob.as_py()) else []  # nothing of a block without text
+                shard, data = [s for s, _ in asked], [d for _, d in asked]
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(asked), pa.int64()), pa.array(shard, pa.int32()), pa.array(data, pa.binary())], names=["block", "shard", "data"])
 
     return run
 
