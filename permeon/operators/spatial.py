@@ -1,4 +1,4 @@
-"""Spatial tools: variograms, spins, rotations, space-filling orders, simulated and null maps. Experimental."""
+"""Spatial tools: variograms, spins, rotations, space-filling orders, weighted maps. Experimental."""
 
 from __future__ import annotations
 
@@ -153,54 +153,11 @@ def unravel(atlas: DataFrame, bits: int = 10, background: int = 0) -> DataFrame:
     return numbered(ranked, "outer", "parcel", "hilbert", "feature_id").select("feature_id", "parcel", "place")
 
 
-def null_map(shape: tuple[int, int, int], mask: np.ndarray, seed: int | None = None, centre: float = 3.0, edge: float = 7.0) -> np.ndarray:
-    """A spatially autocorrelated random map in a mask, standardised: noise smoothed more towards the edge."""
-    noise = np.where(mask, np.random.default_rng(seed).standard_normal(shape), 0.0)
-    grid = np.stack(np.meshgrid(*(np.arange(s) for s in shape), indexing="ij"), -1)
-    d = np.sqrt(((grid - np.argwhere(mask).mean(0)) ** 2).sum(-1))
-    share = d / max(d[mask].max(), 1e-12)
-    mixed = (1 - share) * smooth(noise, centre) + share * smooth(noise, edge)
-    inside = mixed[mask]
-    return np.where(mask, (mixed - inside.mean()) / max(inside.std(), 1e-12), 0.0)
-
-
-def smooth(a: np.ndarray, sigma: float) -> np.ndarray:
-    """A Gaussian blur, axis by axis, reflecting at the borders."""
-    r = max(1, int(4 * sigma + 0.5))
-    kernel = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
-    kernel /= kernel.sum()
-    for axis in range(a.ndim):
-        padded = np.pad(a, [(r, r) if i == axis else (0, 0) for i in range(a.ndim)], mode="symmetric") if a.shape[axis] >= r else np.pad(a, [(r, r) if i == axis else (0, 0) for i in range(a.ndim)], mode="edge")
-        a = np.apply_along_axis(np.convolve, axis, padded, kernel, mode="valid")
-    return a
-
-
-def simulated_weights(target: np.ndarray, null: np.ndarray, alpha: float = 0.01) -> np.ndarray:
-    """Weights that sum to 1, drawn to uniform by alpha, for which null maps (maps x features) come closest to the target."""
-    k = len(null)
-    system = np.zeros((k + 1, k + 1))
-    system[:k, :k] = null @ null.T + alpha * np.eye(k)
-    system[:k, k] = system[k, :k] = 1
-    return np.linalg.solve(system, np.append(null @ target + alpha / k, 1.0))[:k]
-
-
 def weighted_maps(null: DataFrame, weights: DataFrame) -> DataFrame:
     """(perm_id, feature_id, value): sums of null maps under each row of weights. null: map_id, feature_id, value; weights: perm_id,
     map_id, w."""
     return null.join(weights, "map_id").groupBy("perm_id", "feature_id").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
 
-def correlate_maps(map1: np.ndarray, map2: np.ndarray, nulls: tuple[np.ndarray, np.ndarray], permutations: int, seed: int | None = None, two_tailed: bool = True, compare=None) -> tuple[float, float]:
-    """(similarity, p) of two maps against simulated maps: weights of null maps are fitted to each map and shuffled."""
-    compare = compare or (lambda a, b: float(np.corrcoef(a, b)[0, 1]))
-    rng = np.random.default_rng(seed)
-    w = [simulated_weights(m, n) for m, n in zip((map1, map2), nulls)]
-    seen, hits = compare(map1, map2), 0
-    for _ in range(permutations):
-        r = compare(*(rng.permutation(a) @ n for a, n in zip(w, nulls)))
-        hits += abs(r) >= abs(seen) if two_tailed else r >= seen
-    return seen, (hits + 1) / (permutations + 1)
-
-
 def distance(a: str, b: str) -> Column:
     return F.sqrt(sum((F.pow(F.col(f"{a}.{c}") - F.col(f"{b}.{c}"), 2) for c in "xyz"), F.lit(0.0)))

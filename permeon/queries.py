@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from . import design as algebra
 from . import exchange
 from .functions import special
-from .operators import glm, infer, logistic, qc, similarity, spatial, tfce
+from .operators import glm, infer, logistic, nullmaps, qc, similarity, spatial, tfce
 from .plans import analysis
 from .shared import scratch_path
 from .sources import arrays, loaders
@@ -862,6 +862,62 @@ def weighted_null_maps(spark, sf):
     return spatial.weighted_maps(m, w).select("perm_id", "feature_id", r6(F.col("value")).alias("value"))
 
 
+# Null maps: components of the vectors as voxels, WIDE vectors a plane
+
+
+WIDE, NULLS = 20, 8
+VOXELS = f"vox as (select sample_id * 64 + feature_id as feature_id, sample_id // {WIDE} as i, sample_id % {WIDE} as j, feature_id as k, y from obs), ext as (select max(i) + 1 as ni, {WIDE}::bigint as nj, 64::bigint as nk from vox)"
+
+
+def volume(spark, sf):
+    """Voxels (feature_id, i, j, k, y), and the lattice's shape."""
+    o = obs(spark, sf)
+    top = o.agg(F.max("sample_id")).first()[0]
+    return o.select((F.col("sample_id") * 64 + F.col("feature_id")).alias("feature_id"), F.floor(F.col("sample_id") / WIDE).alias("i"), (F.col("sample_id") % WIDE).alias("j"), F.col("feature_id").alias("k"), "y"), ((top or 0) // WIDE + 1, WIDE, 64)
+
+
+def blur_sql(source: str, sigmas: tuple[float, ...]) -> str:
+    """CTEs that end in `blurred` (s, m, i, j, k, v): source (m, i, j, k, v) under a kernel for each sigma, axis by axis, mirrored at the ends."""
+    taps = " union all ".join(f"select {n} as s, d, exp(-0.5 * (d / {s}::double) ** 2) as e from (select unnest(range({-int(4 * s + 0.5)}, {int(4 * s + 0.5) + 1})) as d)" for n, s in enumerate(sigmas))
+    out, before = [f"taps as ({taps}), kernels as (select s, d, e / sum(e) over (partition by s) as w from taps)"], source
+    for axis in "ijk":
+        u = f"((t + d) % (2 * n{axis}) + 2 * n{axis}) % (2 * n{axis})"
+        out.append(f"w{axis} as (select s, t, case when u < n then u else 2 * n - 1 - u end as p, sum(w) as w from (select s, t, w, n{axis} as n, {u} as u from kernels, (select *, unnest(range(n{axis})) as t from ext)) group by all)")
+        keys = ", ".join("t as " + a if a == axis else a for a in "ijk")
+        held = f"w{axis}.s = b.s and" if before != source else ""
+        out.append(f"b{axis} as (select w{axis}.s, m, {keys}, sum(w * v) as v from {before} b join w{axis} on {held} p = b.{axis} group by all)")
+        before = f"b{axis}"
+    return ", ".join([*out, f"blurred as (select * from {before})"])
+
+
+@query(f"with {OBS}, {VOXELS}, source as (select 0 as m, i, j, k, y as v from vox), {blur_sql('source', (1.5,))} select i, j, k, round(v, 6) + 0.0 as value from blurred")
+def smooth_voxels(spark, sf):
+    voxels, shape = volume(spark, sf)
+    return nullmaps.smoothed(voxels.select("i", "j", "k", F.array("y").alias("values")), shape, (1.5,)).select("i", "j", "k", r6(F.get("values", F.lit(0))).alias("value"))
+
+
+def uniform_sql(lo: int) -> str:
+    return f"((('0x' || substr(h, {lo}, 8))::bigint + 0.5) / 4294967296.0)"
+
+
+@query(f"""with {OBS}, {VOXELS}, mask as (select * from vox where y > 0), far as (select m.*, sqrt((i - ai) ** 2 + (j - aj) ** 2 + (k - ak) ** 2) as d from mask m, (select avg(i) as ai, avg(j) as aj, avg(k) as ak from mask)),
+placed as (select *, (d - min(d) over ()) / (max(d) over () - min(d) over ()) as share from far), hashed as (select m, i, j, k, md5('0:' || m || ':' || feature_id) as h from mask, range(2) r(m)),
+source as (select m, i, j, k, sqrt(-2 * ln({uniform_sql(1)})) * cos({uniform_sql(9)} * 2 * pi()) as v from hashed), {blur_sql('source', (nullmaps.CENTRE, nullmaps.EDGE))},
+mixed as (select m, feature_id, sum(v * case when s = 0 then 1 - share else share end) as v from blurred join placed using (i, j, k) group by all)
+select m::bigint as map_id, feature_id, round((v - avg(v) over (partition by m)) / stddev_pop(v) over (partition by m), 6) + 0.0 as value from mixed""")
+def null_brain_maps(spark, sf):
+    voxels, shape = volume(spark, sf)
+    return nullmaps.null_maps(voxels.where("y > 0"), shape, 2).select("map_id", "feature_id", r6(F.col("value")).alias("value"))
+
+
+@query()
+def null_map_correlation(spark, sf):
+    """A component against its size, by null maps of both; held against NumPy in the tests."""
+    voxels, shape = volume(spark, sf)
+    maps = voxels.select("feature_id", F.col("y").alias("x"), F.abs("y").alias("y"))
+    return nullmaps.correlate(maps, voxels, shape, P, NULLS)[0].select(r6(F.col("r")).alias("r"), r6(F.col("p")).alias("p"))
+
+
 # Checks of inputs
 
 

@@ -111,10 +111,6 @@ def test_spatial():
     assert (np.abs(np.diff(pts[np.argsort(h)], axis=0)).sum(1) == 1).all()
     q = spatial.random_rotation(1)
     assert q @ q.T == pytest.approx(np.eye(3)) and np.linalg.det(q) == pytest.approx(1)
-    w = spatial.simulated_weights(RNG.standard_normal(10), RNG.standard_normal((5, 10)))
-    assert w.sum() == pytest.approx(1)
-    m = spatial.null_map((5, 5, 5), np.ones((5, 5, 5), bool), 1)
-    assert m.mean() == pytest.approx(0, abs=1e-9) and m.std() == pytest.approx(1)
 
 
 def test_spec_errors():
