@@ -1,42 +1,37 @@
 """Exact, memoised encoding with the tokenizers library.
 
-Both vocabularies split a text at single spaces (and line ends) before any merge, so a text's ids are the ids of its
-chunks, one after the other. Chunks repeat, so each worker memoises them and their parts; a memo keeps two generations of
-bounded size, so what is in use stays. A text in which white space meets white space is not cut, but encoded as a whole.
+Both vocabularies split a text at single spaces (and line ends), and between an ASCII letter and the punctuation that ends a word, before any
+merge, so a text's ids are the ids of its pieces, one after the other. Pieces repeat, so each worker memoises them; a memo keeps two
+generations of bounded size, so what is in use stays. A text in which white space meets white space is not cut, but encoded as a whole.
 """
 
 from __future__ import annotations
 
 import os
-import unicodedata
+import re
 from collections.abc import Callable
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries in a generation of the memo of chunks, and of the memo of their parts: about 200 MB a worker in all.
-CHUNKS, PARTS = 200_000, 350_000
+#: Entries in a generation of the memo: about 200 MB a worker in both.
+PIECES = 500_000
 #: Texts that are cut before any is encoded.
-GROUP = 4
-#: Characters in a generation of either, however few the entries are.
-MEMO_BYTES = 32 << 20
-#: A chunk's end that starts a token of its own after a letter, in both vocabularies.
-TRAILING = ".,!|$%&#*"
-
-
-def ends_in_letter(stem: str) -> bool:
-    """Is the last character a letter, also once a vocabulary has normalised it? Some letters become one with a mark, which goes along
-    with the punctuation that follows."""
-    return stem[-1:].isalpha() and (stem[-1].isascii() or unicodedata.normalize("NFC", stem).lower()[-1].isalpha())
-
+GROUP = 16
+#: Characters in a generation, however few the entries are.
+MEMO_BYTES = 64 << 20
+#: A word's end that starts a token of its own after a letter, in both vocabularies: before the cut of one and of the other. Only ASCII letters
+#: count, as normalisation makes a letter and a mark, which goes along with the punctuation, of some others. The set comes first, since a pattern is
+#: searched fast by its first character.
+ENDING = {True: re.compile(r"[.,!|$%&#*](?<=[A-Za-z].)[.,!|$%&#*]*(?=\0|\Z)"), False: re.compile(r"[.,!|$%&#*](?<=[A-Za-z].)[.,!|$%&#*]*(?= |\Z)")}
 
 Pieces = Callable[[list[str]], list]
 
 
 class Uncut(Exception):
-    """The text can't be cut into chunks."""
+    """The text can't be cut into pieces."""
 
 
 class ChunkEncoder:
@@ -46,11 +41,10 @@ class ChunkEncoder:
     def __init__(self, whole: Pieces, byte_level: bool, counting: bool = False) -> None:
         self.whole, self.byte_level, self.counting = whole, byte_level, counting
         self.nothing, self.total = (0, sum) if counting else (b"", b"".join)
-        self.chunks: dict = {}
-        self.parts: dict = {"": self.nothing}
-        self.old_chunks: dict = {}
-        self.old_parts: dict = {}
-        self.held = self.held_parts = 0
+        # nothing between two line ends is white space that meets white space
+        self.always: dict = {} if byte_level else {"": self.nothing}
+        self.memo, self.old = dict(self.always), {}
+        self.held = 0
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_batch([text])[0]
@@ -60,8 +54,8 @@ class ChunkEncoder:
         return [ids for lo in range(0, len(texts), group) for ids in self._encode(texts[lo : lo + group])]
 
     def _encode(self, texts: list[str | None]) -> list:
-        if len(self.chunks) > CHUNKS or self.held > MEMO_BYTES:
-            self.old_chunks, self.chunks, self.held = self.chunks, {}, 0
+        if len(self.memo) > PIECES or self.held > MEMO_BYTES:
+            self.old, self.memo, self.held = self.memo, dict(self.always), 0
         cuts, uncut = [], []
         for i, text in enumerate(texts):
             try:
@@ -69,7 +63,7 @@ class ChunkEncoder:
             except Uncut:
                 cuts.append([])
                 uncut.append(i)
-        new = set(chain.from_iterable(cuts)).difference(self.chunks)
+        new = set(filterfalse(self.memo.__contains__, chain.from_iterable(cuts)))
         if alone := self.inseparable(new):
             uncut += [i for i, cut in enumerate(cuts) if not alone.isdisjoint(cut)]
             for i in uncut:
@@ -77,7 +71,7 @@ class ChunkEncoder:
             new -= alone
         if new:
             self.learn(new)
-        known, total = self.chunks.__getitem__, self.total
+        known, total = self.memo.__getitem__, self.total
         out = [total(map(known, cut)) for cut in cuts]
         if uncut:
             for i, ids in zip(uncut, self.whole([texts[i] for i in uncut])):
@@ -85,42 +79,29 @@ class ChunkEncoder:
         return out
 
     def inseparable(self, new: set[str]) -> set[str]:
-        """Chunks with white space of their own, whose texts must stay whole."""
+        """Pieces with white space of their own, whose texts must stay whole."""
         if not self.byte_level:
             return set()
         cores = ((c, c[1:] if c[:1] == " " else c) for c in new if c != "\n")
         return {c for c, core in cores if not core or core[0].isspace() or core[-1].isspace()}
 
     def cut(self, text: str) -> list[str]:
+        ending = ENDING[self.byte_level].sub
         if not self.byte_level:
-            return text.replace("\n", " ").split(" ")
+            return ending(r" \g<0>", text.replace("\n", " ")).split(" ")
         if "\0" in text:
             raise Uncut
-        cut = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+        cut = ending("\0\\g<0>", text.replace("\n", "\0\n\0").replace(" ", "\0 ")).split("\0")
         if not cut[-1]:
             cut.pop()
         return cut[1:] if cut and not cut[0] else cut
 
     def learn(self, new: set[str]) -> None:
-        ends, known = {}, self.old_chunks
-        for chunk in new:
-            if (ids := known.get(chunk)) is not None:
-                self.chunks[chunk] = ids
-                continue
-            stem = chunk.rstrip(TRAILING)
-            if not ends_in_letter(stem):
-                stem = chunk
-            ends[chunk] = stem, chunk[len(stem) :]
-        if len(self.parts) > PARTS or self.held_parts > MEMO_BYTES:
-            self.old_parts, self.parts, self.held_parts = self.parts, {"": self.nothing}, 0
-        wanted = {x for pair in ends.values() for x in pair}.difference(self.parts)
-        again = {x for x in wanted if x in self.old_parts}
-        self.parts.update((x, self.old_parts[x]) for x in again)
-        if wanted := list(wanted - again):
-            self.parts.update(zip(wanted, self.whole(wanted)))
-        self.held_parts += sum(map(len, again)) + sum(map(len, wanted))
+        again = self.old.keys() & new
+        self.memo.update((x, self.old[x]) for x in again)
+        if wanted := list(new - again):
+            self.memo.update(zip(wanted, self.whole(wanted)))
         self.held += sum(map(len, new))
-        self.chunks.update((chunk, self.parts[a] + self.parts[b]) for chunk, (a, b) in ends.items())
 
 
 #: Pieces that are encoded in one call, with a special token between them, whose text ends what is before it in any vocabulary.
