@@ -30,3 +30,7 @@ def same_as_sql(name, spark, folder):
 
 def test_nested_blocks_of_uneven_sizes(spark, uneven):
     same_as_sql("perm_multilevel", spark, uneven)
+
+
+def test_places_in_blocks_of_uneven_sizes(spark, uneven):
+    same_as_sql("vg_multi_pos", spark, uneven)
