@@ -160,7 +160,8 @@ class HashOrders(Sequence):
         md5 = lambda *x: hashlib.md5(":".join(map(str, (p, *x))).encode()).digest()
         ids, every = self.ids.tolist(), range(len(self.ids))
         if self.mode == "free":
-            return np.array(sorted(every, key=lambda i: (md5(ids[i]), ids[i])), np.int64)
+            drawn = np.frombuffer(b"".join(hashlib.md5(f"{p}:{i}".encode()).digest() for i in ids), ">u8").reshape(-1, 2)
+            return np.lexsort((self.ids, drawn[:, 1], drawn[:, 0]))
         of = np.asarray(self.blocks).tolist()
         place = sorted(every, key=lambda i: (of[i], ids[i]))
         if self.mode == "within":

@@ -190,9 +190,20 @@ class Permuted:
         return self.of(y, self.weights(which))
 
     def of(self, y: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        my = (weights.reshape(-1, self.n) @ y).reshape(len(weights), self.k, -1)
+        return self.of_products((weights.reshape(-1, self.n) @ y).reshape(len(weights), self.k, -1), (y * y).sum(0))
+
+    def part(self, y: np.ndarray, places: np.ndarray, signs: np.ndarray | None = None) -> np.ndarray:
+        """Products (permutations x regressors x features) over some of the samples, to be added up. y: their residuals; places: where each permutation
+        puts them (permutations x samples); signs: theirs."""
+        moved = self.m.T[:, places]  # regressors x permutations x samples
+        if signs is not None:
+            moved = moved * signs
+        return (moved.reshape(-1, len(y)) @ y).reshape(*moved.shape[:2], -1).transpose(1, 0, 2)
+
+    def of_products(self, my: np.ndarray, yy: np.ndarray) -> np.ndarray:
+        """Statistics from the products of weights and data over all samples, and the data's sums of squares."""
         b = np.einsum("ij,pjv->piv", self.p, my)
-        rss = np.maximum((y * y).sum(0) - (b * my).sum(1), 0)
+        rss = np.maximum(yy - (b * my).sum(1), 0)
         effect, top = b[:, : self.q], self.p[: self.q, : self.q]
         if self.name in ("t", "pearson_r"):
             df = self.n - self.k

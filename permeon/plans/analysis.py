@@ -5,6 +5,9 @@ samples x regressors numbers however many permutations there are (as a broadcast
 come as rows with their samples as an array; each Arrow batch is a block of features. A block returns its observed statistics and
 exceedance counts, and for every permutation its largest statistic; maxima meet in a grouped maximum of permutations x blocks rows. Nothing
 else is shuffled, and no feature data reach the driver.
+
+A table with more than TALL samples, and no fewer than features, is cut along its samples too: each order is made once, by one task, and its
+parts meet the same samples' residuals, whose products with the permuted model are then added up (tall_partials).
 """
 
 from __future__ import annotations
@@ -25,6 +28,10 @@ from ..spec import AnalysisSpec
 
 #: Permutations that are held at once as permutations x features of a block.
 CHUNK = 64
+#: Bytes of data, and of weights, that a block works on at a time.
+HELD = 8 << 20
+#: Samples above which a table is cut along them; samples of a part (fewer if there are very many permutations) and features of a group.
+TALL, PART, GROUP = 16_384, 8_192, 128
 PARTIALS = "kind string, contrast string, id bigint, stat double, exceed bigint"
 
 
@@ -57,8 +64,9 @@ class Task:
         """(permutation numbers, statistics) by chunks; only: of these permutations."""
         residual, fitted = algebra.residualise(y, self.nuisance)
         every = np.arange(len(self.orders)) if only is None else only
-        for lo in range(0, len(every), CHUNK):
-            which = every[lo : lo + CHUNK]
+        step = max(1, min(CHUNK, HELD // (8 * self.model.size)))
+        for lo in range(0, len(every), step):
+            which = every[lo : lo + step]
             if self.permuted is not None:
                 yield which, self.permuted(residual, which)
                 continue
@@ -70,9 +78,12 @@ class Task:
 
     def counted(self, y: np.ndarray, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Exceedances of each feature, and the largest statistic of each permutation."""
-        seen, level, maxima = self.fold(self.at_rest(y)), None, []
-        count = np.zeros(len(seen), np.int64)
-        for _, values in self.null(y, only):
+        return self.reached(self.fold(self.at_rest(y)), (values for _, values in self.null(y, only)))
+
+    def reached(self, seen: np.ndarray, null) -> tuple[np.ndarray, np.ndarray]:
+        """The same of folded observed statistics and chunks of the null's."""
+        count, level, maxima = np.zeros(len(seen), np.int64), None, []
+        for values in null:
             values = self.fold(values)
             bare = np.where(np.isnan(values), -np.inf, values)
             if level is None:
@@ -107,10 +118,19 @@ def plan(spec: AnalysisSpec) -> list[Task]:
 
 def prepared(demean: bool, y) -> np.ndarray:
     """Samples x features of an Arrow batch's column of arrays."""
-    y = np.stack(y.to_numpy()).T.astype(np.float64)
+    y = np.stack(y.to_numpy()).T.astype(np.float64, copy=False)
     return y - y.mean(0) if demean else y
 
 
+def feature_blocks(frames, demean: bool):
+    """(feature_id, samples x features) of Arrow batches, HELD bytes or one feature at a time."""
+    for f in frames:
+        each = max(1, HELD // (8 * max(1, len(f["y"].iloc[0])))) if len(f) else 1
+        for lo in range(0, len(f), each):
+            own = f.iloc[lo : lo + each]
+            yield own["feature_id"].to_numpy(), prepared(demean, own["y"])
+
+
 class Shared:
     """Something for all tasks, functions of the caller's included, so that closures hold no more than a reference."""
 
@@ -139,10 +159,7 @@ def block_partials(held: Shared, only: tuple[int, ...] | range | None = None):
 
     def run(frames):
         tasks, demean = held.value
-        for f in frames:
-            if not len(f):
-                continue
-            y, ids = prepared(demean, f["y"]), f["feature_id"].to_numpy()
+        for ids, y in feature_blocks(frames, demean):
             for task in tasks:
                 which = np.arange(len(task.orders)) if only is None else np.array(only, np.int64)
                 count, maxima = task.counted(y, which)
@@ -152,6 +169,83 @@ def block_partials(held: Shared, only: tuple[int, ...] | range | None = None):
     return run
 
 
+def tall_partials(features: DataFrame, tasks: list[Task], held: Shared, only: tuple[int, ...] | range | None, width: int) -> DataFrame:
+    """The same for one-variance statistics of tables with many samples. A task fits whole features and cuts their residuals into parts of the
+    samples; another makes a permutation's order and cuts it likewise. Where both meet, GROUP features or so and one part of the samples are
+    multiplied for all permutations; the products are added up over the parts, CHUNK permutations at a time. width: the number of features."""
+    spark, which = features.sparkSession, range(len(tasks[0].orders)) if only is None else only
+    n, groups = len(tasks[0].model), -(-width // GROUP)
+    size = min(PART, max(512, (1 << 23) // max(1, len(which))))
+    parts = range(-(-n // size))
+
+    def fits(frames):
+        tasks, demean = held.value
+        for f in frames:
+            for group, own in f.groupby("group"):
+                for ids, y in feature_blocks([own], demean):
+                    for at, task in enumerate(tasks):
+                        e = algebra.residualise(y, task.nuisance)[0]
+                        seen = np.stack((task.observed(y), task.permuted.at_rest(e), (e * e).sum(0))).tobytes()
+                        for part in parts:
+                            yield pd.DataFrame({"task": at, "group": group, "part": part, "ids": [ids.astype("<i8").tobytes()], "e": [e[part * size : (part + 1) * size].tobytes()], "seen": [seen]})
+
+    def drawn(frames):
+        tasks = held.value[0]
+        for f in frames:
+            for i in f["id"].tolist():
+                for at, task in enumerate(tasks):
+                    places = np.empty(n, np.int32)
+                    places[task.orders[which[i]]] = np.arange(n, dtype=np.int32)
+                    signs = None if task.flips is None else task.flips[which[i]].astype(np.int8)
+                    cut = lambda x: [None if x is None else x[p * size : (p + 1) * size].tobytes() for p in parts]
+                    yield pd.DataFrame({"task": at, "part": parts, "at": i, "places": cut(places), "signs": cut(signs)})
+
+    def products(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame({"task": [], "group": [], "part": [], "chunk": [], "ids": [], "seen": [], "my": []})
+        task, ids = held.value[0][key[0]], [np.frombuffer(b, "<i8") for b in left["ids"]]
+        y = np.concatenate([np.frombuffer(b).reshape(-1, len(i)) for i, b in zip(ids, left["e"])], 1)
+        seen = np.concatenate([np.frombuffer(b).reshape(3, -1) for b in left["seen"]], 1)
+        ids = np.concatenate(ids)
+        by = np.argsort(ids)
+        y, right = np.ascontiguousarray(y[:, by]), right.sort_values("at")
+        step, out = max(1, min(CHUNK, HELD // (8 * len(y) * task.permuted.k))), []
+        for chunk, own in right.groupby(right["at"] // CHUNK):
+            my = []
+            for lo in range(0, len(own), step):
+                places = np.stack([np.frombuffer(b, np.int32) for b in own["places"].iloc[lo : lo + step]])
+                signs = None if task.flips is None else np.stack([np.frombuffer(b, np.int8) for b in own["signs"].iloc[lo : lo + step]])
+                my.append(task.permuted.part(y, places, signs))
+            out.append((*key, chunk, ids[by].tobytes(), seen[:, by].tobytes(), np.concatenate(my).tobytes()))
+        return pd.DataFrame(out, columns=["task", "group", "part", "chunk", "ids", "seen", "my"])
+
+    def counted(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        task, f = held.value[0][key[0]], f.sort_values("part")
+        ids, seen = np.frombuffer(f["ids"].iloc[0], "<i8"), np.frombuffer(f["seen"].iloc[0]).reshape(3, -1)
+        my = sum(np.frombuffer(b) for b in f["my"]).reshape(-1, task.permuted.k, len(ids))
+        count, maxima = task.reached(task.fold(seen[1]), [task.permuted.of_products(my, seen[2])])
+        perms = [which[i] for i in range(key[2] * CHUNK, key[2] * CHUNK + len(my))]
+        found = pd.DataFrame({"kind": "feature", "contrast": task.label, "id": ids, "stat": seen[0], "exceed": count})
+        return pd.concat((found, pd.DataFrame({"kind": "max", "contrast": task.label, "id": perms, "stat": maxima, "exceed": 0})))
+
+    grouped = features.select(F.pmod(F.xxhash64("feature_id"), F.lit(groups)).cast("int").alias("group"), "feature_id", "y")
+    residuals = grouped.mapInPandas(fits, "task int, group int, part int, ids binary, e binary, seen binary")
+    orders = spark.range(len(which)).mapInPandas(drawn, "task int, part int, at int, places binary, signs binary")
+    orders = orders.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    keys = ["task", "group", "part"]
+    met = residuals.groupBy(*keys).cogroup(orders.groupBy(*keys)).applyInPandas(products, "task int, group int, part int, chunk int, ids binary, seen binary, my binary")
+    found = met.groupBy("task", "group", "chunk").applyInPandas(counted, PARTIALS)
+    return found.groupBy("kind", "contrast", "id").agg(F.max("stat").alias("stat"), F.sum("exceed").alias("exceed"))
+
+
+def partials_of(features: DataFrame, tasks: list[Task], held: Shared, only: tuple[int, ...] | range | None = None) -> DataFrame:
+    """Observed statistics and exceedances of each feature, and the largest statistic of each permutation and block."""
+    features, n = features.select("feature_id", "y"), len(tasks[0].model)
+    if n > TALL and all(t.permuted is not None for t in tasks) and 0 < (width := features.count()) <= n:
+        return tall_partials(features, tasks, held, only, width)
+    return features.mapInPandas(block_partials(held, only), PARTIALS)
+
+
 @dataclass
 class Result:
     """features: contrast, feature_id, stat, exceed, uncp, fdrp, fwep[, cfdrp, cfwep]. maxima: contrast, perm_id, max_stat. tfce: is this
@@ -237,7 +331,7 @@ def contrasts(spec: AnalysisSpec) -> list[Task]:
 def permutation_analysis(features: DataFrame, spec: AnalysisSpec) -> Result:
     """features: (feature_id, y array in the order of the design's rows)."""
     tasks = contrasts(spec)
-    partials = features.select("feature_id", "y").mapInPandas(block_partials(shared(features.sparkSession, tasks, spec)), PARTIALS).persist()
+    partials = partials_of(features, tasks, shared(features.sparkSession, tasks, spec)).persist()
     counts = partials.where("kind = 'feature'").select("contrast", F.col("id").alias("feature_id"), "stat", "exceed")
     maxima = maxima_of(partials)
     out = corrected(counts, maxima, {t.label: t.two_tailed for t in tasks}, spec, len(tasks[0].orders))
@@ -250,11 +344,9 @@ def observed_statistics(features: DataFrame, spec: AnalysisSpec) -> DataFrame:
 
     def run(frames):
         tasks, demean = held.value
-        for f in frames:
-            if len(f):
-                y = prepared(demean, f["y"])
-                for task in tasks:
-                    yield pd.DataFrame({"contrast": task.label, "feature_id": f["feature_id"], "stat": task.observed(y)})
+        for ids, y in feature_blocks(frames, demean):
+            for task in tasks:
+                yield pd.DataFrame({"contrast": task.label, "feature_id": ids, "stat": task.observed(y)})
 
     return features.select("feature_id", "y").mapInPandas(run, "contrast string, feature_id bigint, stat double")
 
@@ -266,10 +358,7 @@ def permuted_blocks(features: DataFrame, spec: AnalysisSpec, rest: bool = False,
 
     def run(frames):
         tasks, demean = held.value
-        for f in frames:
-            if not len(f):
-                continue
-            y, ids = prepared(demean, f["y"]), f["feature_id"].to_numpy()
+        for ids, y in feature_blocks(frames, demean):
             for task in tasks:
                 if rest:
                     yield pd.DataFrame({"contrast": task.label, "perm_id": [-1], "feature_ids": [ids], "stats": [task.at_rest(y)]})

@@ -105,7 +105,7 @@ def resumable_analysis(features: DataFrame, spec: AnalysisSpec, folder: str, ran
             continue
         if permute_fn:
             permute_fn(analysis.permuted_blocks(features, spec, only=part))
-        store.put(name, features.select("feature_id", "y").mapInPandas(analysis.block_partials(held, part), analysis.PARTIALS))
+        store.put(name, analysis.partials_of(features, tasks, held, part))
         if save_fn:
             save_fn(store.p_values())
     maxima = analysis.maxima_of(store.read())

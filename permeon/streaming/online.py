@@ -35,7 +35,7 @@ def counting(stream: DataFrame, features: DataFrame, spec: AnalysisSpec, folder:
         asked = {r[0] for r in numbers.select("perm_id").distinct().collect() if r[0] is not None and 0 <= r[0] < len(tasks[0].orders)}
         new = sorted(asked.difference(store.permutations(but=name)))
         if new:
-            store.put(name, features.select("feature_id", "y").mapInPandas(analysis.block_partials(held, tuple(new)), analysis.PARTIALS))
+            store.put(name, analysis.partials_of(features, tasks, held, tuple(new)))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint"), store
 

@@ -7,7 +7,9 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from permeon.plans import analysis
 from permeon.queries import ORACLE_SQL, QUERIES
+from permeon.spec import AnalysisSpec
 
 
 @pytest.fixture(scope="module")
@@ -34,3 +36,22 @@ def test_nested_blocks_of_uneven_sizes(spark, uneven):
 
 def test_places_in_blocks_of_uneven_sizes(spark, uneven):
     same_as_sql("vg_multi_pos", spark, uneven)
+
+
+@pytest.mark.parametrize("flip_signs", [False, True])
+def test_samples_in_parts_give_what_whole_features_give(spark, monkeypatch, flip_signs):
+    """A table that is cut along its samples: parts, feature groups and chunks of permutations, all with remainders. No order is made twice."""
+    n, rng = 1_300, np.random.default_rng(8)
+    x = np.column_stack((np.ones(n), rng.standard_normal((n, 2))))
+    y = rng.standard_normal((7, n)) + 3
+    y[:3] += 0.1 * x[:, 1]
+    features = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(y)], "feature_id long, y array<double>").repartition(3)
+    s = AnalysisSpec(x, np.array([[0, 1.0, 0], [0, 0, 1.0]]), f_contrast=np.array([True, True]), permutations=70, flip_signs=flip_signs, across_contrasts=True)
+    read = lambda r: (r.features.orderBy("contrast", "feature_id").toPandas(), r.maxima.orderBy("contrast", "perm_id").toPandas())
+    whole = read(analysis.permutation_analysis(features, s))
+    monkeypatch.setattr(analysis, "TALL", 100)
+    monkeypatch.setattr(analysis, "PART", 500)
+    monkeypatch.setattr(analysis, "GROUP", 4)
+    assert not analysis.partials_of(features, analysis.plan(s), analysis.shared(spark, analysis.plan(s), s)).isEmpty()
+    for a, b in zip(read(analysis.permutation_analysis(features, s)), whole):
+        pd.testing.assert_frame_equal(a, b, rtol=1e-9)
