@@ -55,3 +55,19 @@ def test_samples_in_parts_give_what_whole_features_give(spark, monkeypatch, flip
     assert not analysis.partials_of(features, analysis.plan(s), analysis.shared(spark, analysis.plan(s), s)).isEmpty()
     for a, b in zip(read(analysis.permutation_analysis(features, s)), whole):
         pd.testing.assert_frame_equal(a, b, rtol=1e-9)
+
+
+def in_parts(monkeypatch):
+    """Cuts 256 samples, and makes the way that goes by whole features fail."""
+
+    def whole(*_):
+        raise AssertionError("a task holds all samples' weights")
+
+    monkeypatch.setattr(analysis, "TALL", 100)
+    monkeypatch.setattr(analysis, "PART", 60)
+    monkeypatch.setattr(analysis, "block_partials", whole)
+
+
+def test_contrasts_together_in_parts(spark, uneven, monkeypatch):
+    in_parts(monkeypatch)
+    same_as_sql("cross_contrast_p", spark, uneven)
