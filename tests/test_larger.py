@@ -71,3 +71,8 @@ def in_parts(monkeypatch):
 def test_contrasts_together_in_parts(spark, uneven, monkeypatch):
     in_parts(monkeypatch)
     same_as_sql("cross_contrast_p", spark, uneven)
+
+
+def test_two_tails_in_parts(spark, uneven, monkeypatch):
+    in_parts(monkeypatch)
+    same_as_sql("cfwe_p", spark, uneven)
