@@ -3,7 +3,7 @@
 A null map is noise in a mask, blurred narrowly at the mask's centre and widely at its edge, and standardised. BLOCK maps share a row of
 voxels as an array. A blur goes axis by axis: a task gets SIDE x SIDE lines of a segment of the axis, with a halo of the kernel's reach from
 the segments next to it, so no task holds a map however large the lattice is. Beyond its ends the lattice is mirrored (d c b a | a b c d),
-as often as the kernel reaches. Noise is a function of a key, the map and the feature, so a lost task makes the same again.
+as often as the kernel reaches; mirror images are made in the tasks and don't travel. Noise is a function of a key, the map and the feature, so a lost task makes the same again.
 
 Two maps are correlated against nulls whose weights are fitted to each and shuffled. All that takes is the cross products of the null maps
 and both maps, which blocks of features add up in one pass; each shuffle is then arithmetic on (maps x maps) numbers, made in tasks.
@@ -39,13 +39,6 @@ def kernel(sigma: float, reach: int | None = None) -> np.ndarray:
     return np.pad(w / w.sum(), max(0, (own if reach is None else reach) - own))
 
 
-def mirrored(at: Column, n: int, reach: int) -> Column:
-    """Where a voxel's value stands up to `reach` places beyond a lattice of n: at its place, and at its mirror images."""
-    turns = range(-(reach // (2 * n) + 1), reach // (2 * n) + 2)
-    places = F.array(*(x for m in turns for x in (at + 2 * n * m, F.lit(2 * n * m - 1) - at)))
-    return F.filter(places, lambda x: (x >= -reach) & (x < n + reach))
-
-
 def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     """An array column as rows of `width` numbers."""
     flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]) if column.num_chunks else np.zeros(0)
@@ -60,24 +53,27 @@ def _along(rows: DataFrame, axis: str, n: int, sigmas: tuple[float, ...], by: li
     weights = [kernel(s, reach) for s in sigmas]
     long = max(SEGMENT, 2 * reach)
     across = [a for a in AXES if a != axis]
-    rows = rows.withColumn("at", F.explode(mirrored(F.col(axis), n, reach)))
-    first, last = F.greatest(F.floor((F.col("at") - reach) / long), F.lit(0)), F.least(F.floor((F.col("at") + reach) / long), F.lit((n - 1) // long))
-    rows = rows.select(*by, *across, "at", "values", F.explode(F.sequence(first, last)).alias("segment"))
+    # a row goes once to each segment that it reaches; its mirror images reach no others, and are made there
+    at = F.col(axis)
+    first, last = F.greatest(F.floor((at - reach) / long), F.lit(0)), F.least(F.floor((at + reach) / long), F.lit((n - 1) // long))
+    rows = rows.select(*by, *AXES, "values", (F.explode(F.sequence(first, last)) if n > long else F.lit(0).cast("long")).alias("segment"))
     rows = rows.withColumns({f"tile_{a}": F.floor(F.col(a) / SIDE) for a in across})
 
     def run(t: pa.Table) -> pa.Table:
-        segment, at = t["segment"][0].as_py(), t["at"].to_numpy()
+        segment, at = t["segment"][0].as_py(), t[axis].to_numpy()
         width = len(t["values"][0])
         sides = np.stack([t[a].to_numpy() for a in across], 1)
         lines, line = np.unique(sides, axis=0, return_inverse=True)
-        dense = np.zeros((len(lines), long + 2 * reach, width))
-        dense[line.ravel(), at - (segment * long - reach)] = matrix(t["values"], width)
         targets = min(long, n - segment * long)
-        steps = np.arange(targets)[:, None], np.arange(2 * reach + 1)[None, :]
+        seen = (np.arange(targets + 2 * reach) + segment * long - reach) % (2 * n)
+        places, of = np.unique(np.where(seen < n, seen, 2 * n - 1 - seen), return_inverse=True)  # of the lattice, seen by the kernel
+        dense = np.zeros((len(lines), len(places), width))
+        dense[line.ravel(), np.searchsorted(places, at)] = matrix(t["values"], width)
+        steps = np.arange(targets)[:, None], of.ravel()[np.arange(targets)[:, None] + np.arange(2 * reach + 1)]
         out = []
         for s, w in enumerate(weights):
-            spread = np.zeros((targets, long + 2 * reach))
-            spread[steps[0], steps[0] + steps[1]] = w
+            spread = np.zeros((targets, len(places)))
+            np.add.at(spread, steps, w)
             own = slice(s * width // len(weights), (s + 1) * width // len(weights)) if split else slice(None)
             out.append(spread @ dense[:, :, own])
         out = np.concatenate(out, 2).reshape(len(lines) * targets, -1)
@@ -121,10 +117,11 @@ def null_blocks(mask: DataFrame, shape: tuple[int, int, int], count: int, seed:
     blocks = mask.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((count - 1) // BLOCK).cast("long"))))
     own = F.sequence(F.col("block") * BLOCK, F.least(F.col("block") * BLOCK + BLOCK, F.lit(count)) - 1)
     rows = blocks.select("block", *AXES, F.transform(own, lambda m: noise(F.concat_ws(":", F.lit(seed), m, "feature_id"))).alias("values"))
-    blurred = smoothed(rows, shape, (centre, edge), ("block",)).join(mask.withColumn("share", share), AXES)
     half = (F.size("values") / 2).cast("int")
     mixed = F.zip_with(F.slice("values", F.lit(1), half), F.slice("values", half + 1, half), lambda a, b: (1 - F.col("share")) * a + F.col("share") * b)
-    maps = blurred.select("block", "feature_id", mixed.alias("values"))
+    # mixed before the join, so that half as much meets the mask
+    blurred = smoothed(rows, shape, (centre, edge), ("block",)).withColumn("share", share).select("block", *AXES, mixed.alias("values"))
+    maps = blurred.join(mask, AXES).select("block", "feature_id", "values")
 
     each = lambda f: F.array(*(f(F.get("values", F.lit(m))) for m in range(BLOCK)))
     moments = maps.groupBy("block").agg(each(F.avg).alias("mean"), each(F.stddev_pop).alias("sd"))  # a row a block
