@@ -1,14 +1,15 @@
 """Operator 7: near-duplicate vectors by cosine, compared inside cells of a spherical k-means.
 
 Equal vectors are one row with a multiplicity. Centroids come from a sample of at most SAMPLE vectors; there is one for each
-CELL_ROWS rows, MOST_CELLS at most, so they may be broadcast. Every vector goes to its nearest centroid's cell, its home, and as a
+CELL_ROWS rows, MOST_CELLS at most, so they may be broadcast, and fewer where a vector would be a guest of more than GUESTS cells on
+average (spread-out vectors of many dimensions are near most borders): what travels is then a bounded number of copies. Every vector goes to its nearest centroid's cell, its home, and as a
 guest to each cell whose border (the plane half-way between both centroids) is at most REACH away. Unit vectors of cosine 0.95 are
 at most 2 * REACH apart, so of two of them with different homes one at least is within REACH of the other's cell: no link is
 lost, and guests need no comparison with each other.
 
-A cell is compared in blocks: its vectors travel packed, are dealt to blocks of about BLOCK rows by a hash, and each pair of blocks
-of homes, and of homes and guests, is a task, however large the cell is. (Cells grow beyond CELL_ROWS only above CELL_ROWS *
-MOST_CELLS vectors, or where vectors lie close together.) A task returns, for each vector, how many it links with (multiplicities
+A cell is compared in blocks: its vectors travel packed, are dealt to blocks of about BLOCK rows or BLOCK_BYTES by a hash, and each pair of
+blocks of homes, and of homes and guests, is a task, however large the cell is. Products in single precision, whose error is bounded, leave
+out what is far below COSINE; the rest is decided in double precision. A task returns, for each vector, how many it links with (multiplicities
 counted) and one edge to the smallest member of its group among all the task's links; never the pairs, of which a group of
 copies has a square.
 
@@ -34,9 +35,13 @@ from ._vectors import matrix, sample, vectors
 
 COSINE = 0.95
 REACH = (2 - 2 * COSINE) ** 0.5 / 2 + 1e-9
-SAMPLE, CELL_ROWS, MOST_CELLS, BLOCK = 20_000, 1_000, 4_096, 8_192
-#: Vectors that a task deals together, and rows of a comparison.
-DEALT, CHUNK = 16_384, 1_024
+SAMPLE, CELL_ROWS, MOST_CELLS, GUESTS = 20_000, 1_000, 4_096, 24
+#: A block's vectors at most, and their bytes as doubles.
+BLOCK, BLOCK_BYTES = 32_768, 16 << 20
+#: Vectors that a task deals together, their bytes, and the bytes of packed vectors that it hands on at a time.
+DEALT, DEALT_BYTES, SENT_BYTES = 16_384, 16 << 20, 4 << 20
+#: Rows and columns of a comparison.
+CHUNK, ACROSS = 512, 2_048
 #: Products of vectors and centroids that are held at a time.
 PRODUCTS = 1 << 22
 
@@ -64,6 +69,16 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) ->
     return np.unique(centroids, axis=0)
 
 
+def fitted(x: np.ndarray, most: int, seed: int = 7) -> np.ndarray:
+    """Centroids of one half of a sample, as many (1, 2, 3, 4, 6, 8, 12, .. most) as keep the other half's guests at GUESTS a vector or fewer."""
+    best, judges = spherical_kmeans(x, 1, seed=seed), x[1::2][:4_096]
+    for k in sorted({most, *(m << i for m in (2, 3) for i in range(most.bit_length()) if m << i < most)} - {1}):
+        centroids = spherical_kmeans(x[::2], k, seed=seed)
+        if cells_of(judges, centroids)[1].sum() <= GUESTS * len(judges):
+            best = centroids
+    return best
+
+
 def cells_of(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Home of each unit vector, and which cells it is a guest of."""
     apart = np.sqrt(np.maximum(0, 2 - 2 * centroids @ centroids.T))
@@ -115,24 +130,29 @@ def _deal(centroids: dict[int, np.ndarray]):
                     r = rows[lo : lo + CHUNK]
                     yield size, c, guests, len(r), int(ids[r].min()), Vectors.packed(ids[r], copies[r], home[r], guest[r] if not guests else guest[r] & False, x[r])
 
-    def run(frames):
-        held, n = [], 0
-
-        def sent() -> pd.DataFrame:
-            f, out = pd.concat(held), []
-            for size, g in f.groupby(f["embedding"].map(len)):
-                if size in centroids:
-                    out += dealt(size, g["vec_id"].to_numpy(np.int64), g["copies"].to_numpy(np.int64), matrix(g["embedding"]))
-            return pd.DataFrame(out, columns=["size", "cell", "guests", "rows", "name", "data"])
+    def sent(held: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        f, out, n = pd.concat(held), [], 0
+        table = lambda: pd.DataFrame(out, columns=["size", "cell", "guests", "rows", "name", "data"])
+        for size, g in f.groupby(f["embedding"].map(len)):
+            if size in centroids:
+                for row in dealt(size, g["vec_id"].to_numpy(np.int64), g["copies"].to_numpy(np.int64), matrix(g["embedding"])):
+                    out.append(row)
+                    n += len(row[-1])
+                    if n >= SENT_BYTES:
+                        yield table()
+                        out, n = [], 0
+        yield table()
 
+    def run(frames):
+        held, n, size = [], 0, 0
         for f in frames:
             held.append(f)
-            n += len(f)
-            if n >= DEALT:
-                yield sent()
-                held, n = [], 0
+            n, size = n + len(f), size + 8 * int(f["embedding"].map(len).sum())
+            if n >= DEALT or size >= DEALT_BYTES:
+                yield from sent(held)
+                held, n, size = [], 0, 0
         if n:
-            yield sent()
+            yield from sent(held)
 
     return run
 
@@ -148,38 +168,50 @@ def settled(group: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             return group
 
 
+def among(x: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    """Which of x are in a sorted array."""
+    return ascending[np.minimum(np.searchsorted(ascending, x), len(ascending) - 1)] == x if len(ascending) else np.zeros(len(x), bool)
+
+
 def compare(cell: int, left: Vectors, right: Vectors | None) -> pd.DataFrame:
     """Links between homes of a cell and another block of homes or guests, or inside a block: rows (vec_id, other, n)."""
     inside, right = right is None, left if right is None else right
     names, node = np.unique(np.concatenate((left.ids, right.ids)), return_inverse=True)
     of_left, of_right, count = node[: len(left.ids)], node[len(left.ids) :], np.zeros(len(names), np.int64)
-    stars = [(node[:0], node[:0])]  # of each chunk, what leads to the smallest of its group there
-    for lo in range(0, len(left.ids), CHUNK):
-        a = np.arange(lo, min(lo + CHUNK, len(left.ids)))
-        link = left.x[a] @ right.x.T >= COSINE
+    stars = [(node[:0], node[:0])]  # of each part, what leads to the smallest of its group there
+    # single precision is off by less than (length + 2) / 2 ** 24
+    single, least = (left.x.astype(np.float32), right.x.astype(np.float32)), np.float32(COSINE - (left.x.shape[1] + 8) / 2**23)
+    corners = ((lo, at) for lo in range(0, len(left.ids), CHUNK) for at in range(0, len(right.ids), ACROSS) if not inside or at + ACROSS > lo)
+    for lo, at in corners:
+        near = single[0][lo : lo + CHUNK] @ single[1][at : at + ACROSS].T >= least
+        if not near.any():
+            continue
+        a, b = lo + np.flatnonzero(near.any(1)), at + np.flatnonzero(near.any(0))
+        link = left.x[a] @ right.x[b].T >= COSINE
         if inside:
-            link &= a[:, None] < np.arange(len(right.ids))
+            link &= a[:, None] < b
         # a pair that both cells see counts in the smaller one
-        p, q = np.nonzero(link & (right.home < cell))
-        seen = np.isin(a[p] * left.cells + right.home[q], left.guest)
+        p, q = np.nonzero(link & (right.home[b] < cell))
+        seen = among(a[p] * left.cells + right.home[b[q]], left.guest)
         link[p[seen], q[seen]] = False
         rows, cols = np.flatnonzero(link.any(1)), np.flatnonzero(link.any(0))
         if not len(rows):
             continue
-        link = link[np.ix_(rows, cols)]
+        link, a, b = link[np.ix_(rows, cols)], a[rows], b[cols]
         # integers of 64 bits take no BLAS, doubles do; counts stay far below 2**53
         weight = link.astype(np.float64)
-        np.add.at(count, of_left[a[rows]], (weight @ right.copies[cols]).astype(np.int64))
-        np.add.at(count, of_right[cols], (left.copies[a[rows]] @ weight).astype(np.int64))
-        u, v, label = of_left[a[rows]], of_right[cols], np.arange(len(names))
+        np.add.at(count, of_left[a], (weight @ right.copies[b]).astype(np.int64))
+        np.add.at(count, of_right[b], (left.copies[a] @ weight).astype(np.int64))
+        here, own = np.unique(np.concatenate((of_left[a], of_right[b])), return_inverse=True)
+        u, v, label = own[: len(a)], own[len(a) :], np.arange(len(here))
         while True:
             before = label[u].sum(), label[v].sum()
-            np.minimum.at(label, u, np.where(link, label[v], len(names)).min(1))
-            np.minimum.at(label, v, np.where(link, label[u][:, None], len(names)).min(0))
+            np.minimum.at(label, u, np.where(link, label[v], len(here)).min(1))
+            np.minimum.at(label, v, np.where(link, label[u][:, None], len(here)).min(0))
             if before == (label[u].sum(), label[v].sum()):
                 break
-        moved = np.flatnonzero(label != np.arange(len(names)))
-        stars.append((moved, label[moved]))
+        moved = np.flatnonzero(label != np.arange(len(here)))
+        stars.append((here[moved], here[label[moved]]))
     group = settled(np.arange(len(names)), *(np.concatenate(x) for x in zip(*stars)))
     some = (count > 0) | (group != np.arange(len(names)))
     return pd.DataFrame({"vec_id": names[some], "other": names[group[some]], "n": count[some]})
@@ -208,11 +240,12 @@ def near_duplicates(embeddings: DataFrame, seed: int = 7) -> DataFrame:
     reps = classes.select(F.col("node").alias("vec_id"), "embedding", "copies")
     centroids = {}
     for r in reps.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n")).collect():  # one row a vector length
-        k = max(1, min(MOST_CELLS, r["n"] // CELL_ROWS))
-        centroids[r["size"]] = spherical_kmeans(unit(sample(reps.where(F.size("embedding") == r["size"]), SAMPLE)), k, seed=seed)
+        most = max(1, min(MOST_CELLS, r["n"] // CELL_ROWS))
+        centroids[r["size"]] = fitted(unit(sample(reps.where(F.size("embedding") == r["size"]), SAMPLE)), most, seed=seed)
     dealt = reps.mapInPandas(_deal(centroids), schema("size int, cell int, guests boolean, rows bigint, name bigint, data binary"))
     dealt = written(dealt.withColumnRenamed("guests", "guest"), "cells")
-    blocks = lambda guest: F.greatest(F.lit(1), F.ceil(F.sum(F.when(guest, F.col("rows"))) / F.lit(BLOCK))).cast("int")
+    most = F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCK)), F.floor(F.lit(BLOCK_BYTES / 8) / F.col("size"))))
+    blocks = lambda guest: F.greatest(F.lit(1), F.ceil(F.sum(F.when(guest, F.col("rows"))) / F.first(most))).cast("int")
     of_cell = dealt.groupBy("size", "cell").agg(blocks(~F.col("guest")).alias("homes"), blocks(F.col("guest")).alias("others"))
     rows = dealt.join(F.broadcast(of_cell), ["size", "cell"])  # at most MOST_CELLS rows a vector length
     rows = rows.withColumn("block", F.pmod(F.xxhash64("name"), F.when(F.col("guest"), F.col("others")).otherwise(F.col("homes"))).cast("int"))
